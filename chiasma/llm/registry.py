@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from chiasma.llm import token_counts, token_output, url_filter
+from chiasma.llm import token_counts, token_output, toxicity, url_filter
 
-MODULES = [url_filter, token_output, token_counts]
+MODULES = [url_filter, token_output, token_counts, toxicity]
 
 
 def queries():
