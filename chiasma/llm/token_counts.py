@@ -32,7 +32,9 @@ TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
 #: Rows of the broadcast table: at 64 characters a pre-token under 32 MB.
 HEAD = 1 << 18
 #: Distinct pre-tokens that a task sums before it passes them on; longer pre-tokens than LONGEST are counted in place.
-FLUSH, LONGEST = 200_000, 64
+FLUSH, LONGEST = 100_000, 64
+#: Rows that a task gathers for one Arrow batch.
+BATCH = 20_000
 
 
 def _count_pretokens(name: str):
@@ -85,8 +87,8 @@ def _frequencies(name: str, head):
                 for column, v in zip(rows, row, strict=True):
                     column.append(v)
 
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py() or ""
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                doc, text = doc.as_py(), text.as_py() or ""
                 raw = text.encode()
                 h = xxhash.xxh64_intdigest(raw) - (1 << 63)
                 if (parts := p.find(text)) is None:
@@ -105,7 +107,7 @@ def _frequencies(name: str, head):
                 add(doc, h, len(raw), n, f"\0{doc} {h}", None)
                 for w, k in rest:
                     add(doc, h, None, None, w, k)
-                if len(rows[0]) > 200_000:
+                if len(rows[0]) >= BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
                     for column in rows:
                         column.clear()
