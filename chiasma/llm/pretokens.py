@@ -26,8 +26,9 @@ _UNSURE = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧]")
 #: The word-level pattern on that set, for the standard library's engine, which is twice as fast there.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PLAIN = {"word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"), "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")}
-#: Pre-tokens kept by a worker (about 100 MB); when full, it falls back to the first HOT it has met.
-MEMO, HOT, LONGEST = 500_000, 150_000, 64
+_BLANK = ("", " ", "\t", "\n", "\r")
+#: Units and pre-tokens kept by a worker: about 150 MB.
+UNITS, PARTS, LONGEST = 150_000, 700_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,7 +64,7 @@ class PreTokens:
             self.kind = "byte"
         else:
             self.kind = None
-        self._find = _PLAIN[self.kind].findall if self.kind else None
+        self.find_plain = _PLAIN[self.kind].findall if self.kind else None
 
     def plain(self, text: str) -> bool:
         """Whether a text may be taken apart here; else the library must see it whole."""
@@ -73,7 +74,7 @@ class PreTokens:
 
     def find(self, text: str) -> list[str] | None:
         """The pre-tokens themselves, or None."""
-        return self._find(text.lower() if self.lower else text) if self.plain(text) else None
+        return self.find_plain(text.lower() if self.lower else text) if self.plain(text) else None
 
     def split(self, text: str) -> list[str] | None:
         """The units, at byte level without the space before each but the first, which is marked by a leading \\x00; None
@@ -102,35 +103,71 @@ def pretokens(name: str) -> PreTokens:
     return PreTokens(name)
 
 
-class Memo(dict):
-    """pre-token → its ids as little-endian bytes, encoded on first sight; bounded."""
+class Memo:
+    """Encodes texts, each distinct unit and pre-token about once: units in a dictionary that keeps the first UNITS it has
+    met, which are the frequent ones, and the pre-tokens of all other units in one that starts anew when full."""
 
     def __init__(self, name: str, dtype: str):
         self.p, self.dtype = pretokens(name), dtype
+        self.units: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
+    def _learn(self, new: list[str]) -> None:
+        """Puts the ids of new pre-tokens into parts. Those that begin with a space and hold no other white space are
+        encoded as one text, in which each is one word to the library; its word numbers part the ids again."""
         import numpy as np
 
-        if (parts := self.p.split(text)) is None:
-            return np.array(self.p.ids([text])[0], dtype=self.dtype).tobytes()
-        try:
-            return b"".join(map(self.__getitem__, parts))
-        except KeyError:
-            pass
-        new = [x for x in set(parts) if x not in self]
-        own = {x: np.array(i, dtype=self.dtype).tobytes() for x, i in zip(new, self.p.ids([self.p.whole(x) for x in new]), strict=True)}
-        if len(self) + len(own) > MEMO:
-            kept = list(self.items())[:HOT]
-            self.clear()
-            self.update(kept)
-            return b"".join([self[x] if x in self else own[x] if x in own else self._one(x) for x in parts])
-        self.update((k, v) for k, v in own.items() if len(k) <= LONGEST)
-        return b"".join([self[x] if x in self else own[x] for x in parts])
-
-    def _one(self, x: str) -> bytes:
+        encode, step = self.p.tokenizer.encode_batch_fast, 2000
+        joined = [x for x in new if x[0] == " " and x[1:2] not in _BLANK]
+        for k in range(0, len(joined), step):
+            some = joined[k : k + step]
+            e = self.p.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, word = np.array(e.ids, self.dtype), np.array(e.word_ids)
+            cuts = np.flatnonzero(np.diff(word, prepend=-1, append=-2))
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the library cut a pre-token")
+            raw, w = ids.tobytes(), ids.itemsize
+            cuts = (cuts * w).tolist()
+            self.parts.update((x, raw[i:j]) for x, i, j in zip(some, cuts, cuts[1:], strict=False))
+        rest = [x for x in new if x[0] != " " or x[1:2] in _BLANK]
+        for x, e in zip(rest, encode(rest, add_special_tokens=False), strict=True):
+            self.parts[x] = np.array(e.ids, self.dtype).tobytes()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        return np.array(self.p.ids([self.p.whole(x)])[0], dtype=self.dtype).tobytes()
+        get, rows, missing = self.units.get, [], set()
+        for t in texts:
+            parts = self.p.split(t)
+            got, gaps = None, []
+            if parts is not None:
+                got = list(map(get, parts))
+                gaps = [k for k, g in enumerate(got) if g is None]
+                missing.update([parts[k] for k in gaps])
+            rows.append((parts, got, gaps))
+        own = {}
+        if missing:
+            cut = {u: self.p.find_plain(self.p.whole(u)) for u in missing}
+            if len(self.parts) > PARTS:
+                self.parts.clear()
+            if new := list({x for parts in cut.values() for x in parts if x not in self.parts}):
+                self._learn(new)
+            part = self.parts.__getitem__
+            own = {u: b"".join(map(part, parts)) for u, parts in cut.items()}
+            if len(self.units) < UNITS:
+                self.units.update((u, b) for u, b in own.items() if len(u) <= LONGEST)
+        out = []
+        for t, (parts, got, gaps) in zip(texts, rows, strict=True):
+            if parts is None:
+                out.append(np.array(self.p.ids([t])[0], self.dtype).tobytes())
+                continue
+            for k in gaps:
+                got[k] = own[parts[k]]
+            out.append(b"".join(got))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
 
 @functools.cache

@@ -55,14 +55,14 @@ def _tokenise(name: str, end_id: int, bounds: list[int]):
             raise ValueError("ids of this tokenizer don't fit 16 bits")
         for b in batches:
             ids = b.column(0)
-            for k in range(0, len(b), 2000):
-                texts = [t.as_py() or "" for t in b.column(1)[k : k + 2000]]
-                own = ids[k : k + 2000]
+            for k in range(0, len(b), 256):
+                texts = [t.as_py() or "" for t in b.column(1)[k : k + 256]]
+                own = ids[k : k + 256]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([0 if i is None else bisect.bisect_left(bounds, i) for i in own.to_pylist()], pa.int32()),
                     own,
                     pa.array([xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in texts], pa.int64()),
-                    pa.array([m.encode(t) + end for t in texts], pa.binary()),
+                    pa.array([x + end for x in m.encode_many(texts)], pa.binary()),
                 ], ["part", "id", "h", "ids"])
 
     return run
