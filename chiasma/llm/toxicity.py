@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chiasma.llm.common import documents
 
@@ -103,6 +104,24 @@ def _sample_features(batches):
             yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([grade] * n, pa.int32()), pa.array(f.keys(), pa.string()), pa.array(f.values(), pa.int64())], ["id", "grade", "feature", "n"])
 
 
+def _matrix(index: dict[str, int]):
+    """(id, grade, features, times): the model's features of each sampled row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = []
+            for text in b.column(2):
+                f = text_features(text.as_py())
+                found.append(sorted((index[x], n) for x, n in f.items() if x in index))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([[f for f, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int64()))],
+                ["id", "grade", "features", "times"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
     """labels: id_col and grade_col, integers from 0."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id IS NOT NULL AND grade >= 0")
@@ -120,16 +139,16 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: st
     long = sample.select("id", "grade", "text").mapInArrow(_sample_features, "id long, grade int, feature string, n long")
     n0, n1 = sizes.get(0, 0), sum(n for g, n in sizes.items() if g)
     a, b = F.col("n1"), F.col("n0")
+    likelier = a * max(1, n0) > 2 * b * max(1, n1)  # features of toxic rows only: sparse in any text, however common its words
     chi2 = F.pow(a * (n0 - b) - b * (n1 - a), 2) * (n0 + n1) / ((a + b) * (n0 + n1 - a - b + 1) * max(1, n0) * max(1, n1))
     table = (
         long.groupBy("feature").agg(F.count_if(F.col("grade") > 0).alias("n1"), F.count_if(F.col("grade") == 0).alias("n0"))
-        .where(a + b >= LEAST_DF).orderBy(F.desc(chi2), "feature").limit(FEATURES).collect()
+        .where((a + b >= LEAST_DF) & likelier).orderBy(F.desc(chi2), "feature").limit(FEATURES).collect()
     )
     index = {r.feature: k for k, r in enumerate(table)}
-    strong = {r.feature for r in table if (r.n1 + 0.5) / (n1 + 1) > 10 * (r.n0 + 0.5) / (n0 + 1)}
-    terms = sample.sparkSession.createDataFrame([(f,) for f in index] or [("",)], "feature string")
-    own = long.join(F.broadcast(terms), "feature").groupBy("id").agg(F.collect_list(F.struct("feature", "n")).alias("f"))
-    data = [(r.grade, [(x.feature, x.n) for x in r.f or []]) for r in sample.select("id", "grade").join(own, "id", "left").orderBy("id").collect()]
+    strong = {index[r.feature] for r in table if (r.n1 + 0.5) / (n1 + 1) > 10 * (r.n0 + 0.5) / (n0 + 1)}
+    rows = sample.select("id", "grade", "text").mapInArrow(_matrix(index), "id long, grade int, features array<int>, times array<long>").toArrow().sort_by("id")
+    data = [(g, list(zip(f, n, strict=True))) for g, f, n in zip(*(rows[c].to_pylist() for c in ("grade", "features", "times")), strict=True)]
     grades = [g for g, _ in data]
     if max(grades) == 1:
         dose = [sum(n for f, n in fs if f in strong) for _, fs in data]
@@ -137,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: st
         grades = [g + (g == 1 and d > middle) for d, g in zip(dose, grades, strict=True)]
     from math import log
 
-    w, thetas = fit_ordinal([[(index[f], 1 + log(n)) for f, n in fs] for _, fs in data], grades, len(index))
+    w, thetas = fit_ordinal([[(f, 1 + log(n)) for f, n in fs] for _, fs in data], grades, len(index))
     return Model({f: float(w[k]) for f, k in index.items()}, thetas)
 
 
@@ -184,7 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, with its columns, that score() does not reject."""
     d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), F.struct("*").alias("_doc"))
-    scored = d.select("_row", "_text", "_doc").mapInArrow(_score(model), d.schema.add("expected_severity", "double").add("grade", "int").add("p_toxic", "double"))
+    scored = d.select("_row", "_text", "_doc").mapInArrow(_score(model), StructType([*d.schema, *StructType.fromDDL("expected_severity double, grade int, p_toxic double")]))
     return scored.where("grade = 0").select("_doc.*")
 
 
