@@ -33,3 +33,6 @@ def queries():
 
 def oracle_sql():
     return ORACLES
+
+
+from chiasma.plans import cells  # noqa: E402, F401
