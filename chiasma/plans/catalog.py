@@ -35,4 +35,4 @@ def oracle_sql():
     return ORACLES
 
 
-from chiasma.plans import cells  # noqa: E402, F401
+from chiasma.plans import cells, maps  # noqa: E402, F401
