@@ -56,8 +56,14 @@ def dimensions(text: Column) -> list[Column]:
     return [F.octet_length(t).cast("long"), F.length(t).cast("long"), (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long")]
 
 
+def _small(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A table of a few rows of integers, as SQL values: it needs no Python on the executors."""
+    values = ", ".join("(" + ", ".join(f"CAST({'NULL' if v is None else v} AS {t})" for v, t in zip(r, columns.values(), strict=True)) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})"))
+
+
 def _splits(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, "n int, dim int, value long, hash long, l int, r int"))
+    return _small(spark, rows, {"n": "INT", "dim": "INT", "value": "LONG", "hash": "LONG", "l": "INT", "r": "INT"})
 
 
 def _descend(d: DataFrame, levels: list[list[tuple]]) -> DataFrame:
@@ -94,7 +100,7 @@ def kd_splits(meta: DataFrame, shards: int) -> list[list[tuple]]:
             x.at, x.end = r[f"lo{x.dim}"], r[f"hi{x.dim}"] + 1
         while open_ := [x for x in nodes if not x.done]:
             rows = [(x.lo, x.dim, x.at, x.end - x.at, x.value) for x in open_]
-            seek = F.broadcast(spark.createDataFrame(rows, "n int, dim int, at long, width long, tied long"))
+            seek = _small(spark, rows, {"n": "INT", "dim": "INT", "at": "LONG", "width": "LONG", "tied": "LONG"})
             v = F.element_at("dims", F.col("dim") + 1)
             j = now.join(seek, F.col("node") == F.col("n")).where(F.col("tied").isNull() | (v == F.col("tied")))
             j = j.withColumn("v", F.when(F.col("tied").isNull(), v).otherwise(F.col("u"))).where((F.col("v") >= F.col("at")) & (F.col("v") - F.col("at") < F.col("width")))
