@@ -35,4 +35,4 @@ def oracle_sql():
     return ORACLES
 
 
-from chiasma.plans import cells, maps, qc  # noqa: E402, F401
+from chiasma.plans import cells, maps, more, qc  # noqa: E402, F401
