@@ -248,12 +248,24 @@ def marker_references(spark, sf_dir):
     return P.marker_reference(s)
 
 
-@register("chemistry_lookup", "SELECT n_name AS sample_id, CASE n_nationkey % 4 WHEN 0 THEN '3v2' WHEN 1 THEN '3v3' WHEN 2 THEN '5v1' ELSE '5v2' END AS chemistry, 16 AS cb_len, CASE WHEN n_nationkey % 4 = 1 THEN 12 ELSE 10 END AS umi_len, CASE WHEN n_nationkey % 4 < 2 THEN 'Forward' ELSE 'Reverse' END AS strand FROM nation")
+@register("chemistry_lookup", "SELECT n_name AS sample_id, CASE n_nationkey % 2 WHEN 0 THEN '10x_5p_v1' ELSE '10x_3p_v4' END AS chemistry, 16 AS cb_len, CASE WHEN n_nationkey % 2 = 1 THEN 12 ELSE 10 END AS umi_len, CASE WHEN n_nationkey % 2 = 0 THEN 'whitelist_5p_v1' ELSE 'whitelist_3p_v4' END AS whitelist, 'Reverse' AS strand FROM nation")
 def chemistry_lookup(spark, sf_dir):
-    c = F.element_at(F.array(*map(F.lit, P.CHEMISTRIES)), F.col("n_nationkey") % 4 + 1)
+    c = F.element_at(F.array(*map(F.lit, P.CHEMISTRIES)), F.col("n_nationkey") % 2 + 1)
     return P.with_chemistry(table(spark, sf_dir, "nation").select(F.col("n_name").alias("sample_id"), c.alias("chemistry")))
 
 
+@register("marker_samples", "WITH r AS (SELECT n_regionkey, arg_min(n_name, n_nationkey) AS m FROM nation WHERE n_nationkey % 3 = 1 GROUP BY 1) SELECT n_name AS sample_id, m AS marker_sample FROM nation JOIN r USING (n_regionkey)")
+def marker_samples(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return P.marker_samples(n.select(F.col("n_regionkey").cast("string").alias("species"), F.col("n_name").alias("sample_id"), F.col("n_nationkey").alias("line"), F.when(F.col("n_nationkey") % 3 == 1, "yes").otherwise("no").alias("is_marker_reference")))
+
+
+@register("active_samples", "SELECT n_name AS sample_id FROM nation WHERE n_name NOT IN ('FRANCE', 'NATION_3', 'NATION_7')")
+def active_samples(spark, sf_dir):
+    """The sample list less an exclusion set."""
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("sample_id")).where(~F.col("sample_id").isin("FRANCE", "NATION_3", "NATION_7"))
+
+
 @register("dense_chromosome_ids", "SELECT n_name AS name, CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS internal_id FROM nation WHERE n_nationkey IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9000)")
 def dense_chromosome_ids(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("name"), "n_name", F.col("n_nationkey").alias("line"))

@@ -109,12 +109,17 @@ def test_params(spark):
     assert more.exceptAll(params.resolve(w, p)).count() == 0
     with pytest.raises(Exception, match="no value for cell_qc.none"):
         params.resolve(spark.createDataFrame([("cell_qc", "a", "none")], w.schema), p).collect()
-    s = spark.createDataFrame([("s", "a; b", "c;d", "R2", "9x")], "sample_id string, scrna_r2 string, scrna_r3 string, cdna_read string, chemistry string")
-    assert rows(params.lanes(s, "scrna_r2", "scrna_r3"), "lane") == [("s", 0, "a", "c"), ("s", 1, "b", "d")] and params.cdna_reads(s).first().cdna == "a; b"
+    s = spark.createDataFrame([("s", "a; b;", "c;d", "R2", "9x")], "sample_id string, scrna_r2 string, scrna_r3 string, cdna_read string, chemistry string")
+    assert rows(params.lanes(s, "scrna_r2", "scrna_r3"), "lane") == [("s", 0, "a", "c"), ("s", 1, "b", "d")] and params.cdna_reads(s).first().cdna == "a; b;"
     with pytest.raises(Exception, match="unequal lanes"):
         params.lanes(s.withColumn("scrna_r3", F.lit("c")), "scrna_r2", "scrna_r3").collect()
     with pytest.raises(Exception, match="unknown chemistry 9x"):
         params.with_chemistry(s).collect()
+    assert params.with_chemistry(s.withColumn("chemistry", F.lit("10x_3p_v4"))).select("cb_len", "umi_len", "whitelist", "strand").first()[:] == (16, 12, "whitelist_3p_v4", "Reverse")
+    n = spark.createDataFrame([("x", "a", 2, "yes"), ("x", "b", 1, "yes"), ("x", "c", 0, "Yes"), ("y", "d", 3, "no")], "species string, sample_id string, line int, is_marker_reference string")
+    assert rows(params.marker_samples(n.where("species = 'x'")), "sample_id") == [("a", "b"), ("b", "b"), ("c", "b")]
+    with pytest.raises(Exception, match="no marker reference for species y"):
+        params.marker_samples(n).collect()
     with pytest.raises(Exception, match="R2 or R3"):
         params.cdna_reads(s.withColumn("cdna_read", F.lit("R1"))).collect()
 
