@@ -13,7 +13,7 @@ few hashes for each source, so every row decides by itself, without a join on th
 
 Shards. The blocks that sources give are split among the output shards by a tree: at each node the left half's count of
 blocks of every source is drawn from the multivariate hypergeometric distribution, whose totals are exact, seeded by the
-node. A source's blocks, in random order, fill its quotas one shard after the other, so draws are disjoint. Within its
+node. A source's blocks, in random order, fill its quotas one shard after the other, so draws are disjoint. Shards grow in number with the mix. Within its
 shard a copy's place is a hash: mix() shuffles there.
 
 Defined results: a null text has size 0; a source without words has target 0; rows with the same id and text have the
@@ -32,8 +32,10 @@ from chiasma.llm.common import documents, written
 
 NAME = "op10_mixing"
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BLOCK_WORDS, MAX_BLOCKS, SHARDS, SEED = 1 << 16, 100_000, 16, 20240229
+BLOCK_WORDS, MAX_BLOCKS, SEED = 1 << 16, 100_000, 20240229
 SKIPPED, LARGE = 16, 4
+#: Words of an output shard; there are at least and at most so many shards, and the tree's quotas are so many numbers.
+SHARD_WORDS, SHARDS, QUOTAS = 1 << 22, (16, 10_000), 100_000_000
 MAX_SOURCES = 1_000_000
 
 
@@ -77,6 +79,7 @@ class Plan:
 
     sources: DataFrame
     blocks: DataFrame
+    shards: int
 
 
 def _word_count(text: Column) -> Column:
@@ -122,7 +125,7 @@ def _last_block(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), *(pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (3, 4))], ["source", "below", "upto", "skipped", "added"])
 
 
-def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS) -> Plan:
+def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None) -> Plan:
     """keyed: a written table with _source, _h, _size."""
     import numpy as np
     import pyarrow as pa
@@ -158,6 +161,8 @@ def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     docs = placed.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("whole"))).where("cut > 0")
     docs = docs.groupBy("source", "cut", "_h").agg(F.sum("_size").alias("_size"), F.max("_size").alias("_most")).groupBy("source", "cut").agg(F.collect_list(F.struct("_h", "_size", "_most")).alias("docs"))
     chosen = {r.source: r for r in docs.mapInArrow(_last_block, "source string, below long, upto long, skipped array<long>, added array<long>").collect()}
+    if shards is None:
+        shards = max(SHARDS[0], min(int(sum(goal)) // SHARD_WORDS, SHARDS[1], QUOTAS // max(1, len(names))))
     quotas = split(given, shards)
     rows = []
     for k, (s, n) in enumerate(zip(names, blocks, strict=True)):
@@ -170,7 +175,7 @@ def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
         "below": pa.array([chosen[s].below if s in chosen else -1 for s in names], pa.int64()), "upto": pa.array([chosen[s].upto if s in chosen else 0 for s in names], pa.int64()), "skipped": pa.array([chosen[s].skipped if s in chosen else [] for s in names], pa.list_(pa.int64())), "added": pa.array([chosen[s].added if s in chosen else [] for s in names], pa.list_(pa.int64())),
     }))
     where = spark.createDataFrame(pa.table({"s": pa.array([r[0] for r in rows], pa.string()), "b": pa.array([r[1] for r in rows], pa.int64()), "shards": pa.array([r[2] for r in rows], pa.list_(pa.int32()))}))
-    return Plan(sources, where)
+    return Plan(sources, where, shards)
 
 
 def _copies(keyed: DataFrame, p: Plan) -> DataFrame:
@@ -180,11 +185,17 @@ def _copies(keyed: DataFrame, p: Plan) -> DataFrame:
     return out.withColumn("copies", (F.col("passes") + F.when(extra, 1).otherwise(0)).cast("int"))
 
 
+def _shards(keyed: DataFrame, p: Plan) -> DataFrame:
+    """_copies() with shards: where each copy of a row goes."""
+    out = _copies(keyed, p).join(F.broadcast(p.blocks), F.col("_source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return out.withColumn("shards", F.slice("shards", F.lit(1), F.col("copies")))
+
+
 def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """id_col, size, source_size, target, taken of every row."""
+    """id_col, size, source_size, target, taken and shards (one for each copy) of every row."""
     keyed = written(docs.select(F.col(f"`{id_col}`").alias("_id"), *_keys(id_col, source_col, text_col)), "keyed")
-    out = _copies(keyed, plan(keyed, **options))
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
+    out = _shards(keyed, plan(keyed, **options))
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "shards")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
@@ -192,12 +203,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     keys = _keys(id_col, source_col, text_col)
     p = plan(written(docs.select(*keys), "keyed"), **options)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    out = _copies(docs.select(row, *keys), p).where("copies > 0")
-    out = out.join(F.broadcast(p.blocks), F.col("_source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    copy = F.posexplode(F.slice("shards", F.lit(1), F.col("copies"))).alias("copy", "shard")
-    out = out.select("_doc", "_h", copy)
-    shards = options.get("shards", SHARDS)
-    return out.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "_h", "copy")).select("_doc.*")
+    out = _shards(docs.select(row, *keys), p).select("_doc", "_h", F.posexplode("shards").alias("copy", "shard"))
+    return out.repartitionById(p.shards, F.col("shard")).sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "_h", "copy")).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
