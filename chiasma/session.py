@@ -16,3 +16,26 @@ def get_session(app: str = "chiasma", master: str = "local[8]", partitions: int
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once for each context. Nothing is sent where they find it by
+    themselves: by PYTHONPATH, or in the working folder of a local session."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(package)
+    places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if top in map(os.path.realpath, places) or top in places or sc.master.startswith("local") and os.path.realpath(os.getcwd()) == os.path.realpath(top) or getattr(sc, "_chiasma", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="chiasma-"), "chiasma.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
+    sc.addPyFile(path)  # the driver serves it to executors
+    sc._chiasma = True
