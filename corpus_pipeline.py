@@ -7,30 +7,36 @@ from pyspark.sql import functions as F
 
 from chiasma.llm import decontaminate, mixing, simhash, token_output, toxicity
 from chiasma.llm.common import documents, written
+from chiasma.session import ship
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model does not reject; it is fitted on a bounded sample of the labelled ones."""
+    ship(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies (five-word shingles, 0.8)."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item leaks."""
+    ship(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, dealt out to shards and shuffled there."""
+    ship(spark)
     return mixing.mix(docs)
 
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the token files hold: doc_id, start, n_tokens, ids_crc32 of every row."""
+    ship(spark)
     return token_output.token_output(docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
