@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -39,3 +40,31 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def tidy(run):
+    """An Arrow mapper that gives a Python worker's free memory back before and after a task, since workers live on and
+    serve other stages."""
+
+    @functools.wraps(run)
+    def mapper(batches):
+        _release()
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return mapper
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)

@@ -28,7 +28,7 @@ _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PLAIN = {"word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"), "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")}
 _BLANK = ("", " ", "\t", "\n", "\r")
 #: Units and pre-tokens kept by a worker: about 150 MB.
-UNITS, PARTS, LONGEST = 150_000, 700_000, 64
+UNITS, PARTS, LONGEST = 300_000, 500_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,6 +64,8 @@ class PreTokens:
             self.kind = "byte"
         else:
             self.kind = None
+        blanks = r"  |\n |\t |\r |" if self.kind == "byte" else ""
+        self.unsure = blanks + _UNSURE.pattern + "".join("|" + re.escape(x) for x in self.special)
         self.find_plain = _PLAIN[self.kind].findall if self.kind else None
 
     def plain(self, text: str) -> bool:
@@ -76,21 +78,9 @@ class PreTokens:
         """The pre-tokens themselves, or None."""
         return self.find_plain(text.lower() if self.lower else text) if self.plain(text) else None
 
-    def split(self, text: str) -> list[str] | None:
-        """The units, at byte level without the space before each but the first, which is marked by a leading \\x00; None
-        where the library must see the whole text."""
-        if not self.plain(text):
-            return None
-        if self.kind == "word":
-            return text.lower().split()
-        if "  " in text or "\n " in text or "\t " in text or "\r " in text:
-            return None
-        parts = text.split(" ")
-        parts[0] = "\x00" + parts[0]
-        return parts
-
     def whole(self, unit: str) -> str:
-        """The text that a unit stands for."""
+        """The text that a unit stands for: at byte level the space before it belongs to it, but for the first of a text,
+        which a leading \\x00 marks."""
         return unit if self.kind == "word" else unit[1:] if unit[:1] == "\x00" else " " + unit
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -133,41 +123,67 @@ class Memo:
         for x, e in zip(rest, encode(rest, add_special_tokens=False), strict=True):
             self.parts[x] = np.array(e.ids, self.dtype).tobytes()
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        get, rows, missing = self.units.get, [], set()
-        for t in texts:
-            parts = self.p.split(t)
-            got, gaps = None, []
-            if parts is not None:
-                got = list(map(get, parts))
-                gaps = [k for k, g in enumerate(got) if g is None]
-                missing.update([parts[k] for k in gaps])
-            rows.append((parts, got, gaps))
-        own = {}
-        if missing:
-            cut = {u: self.p.find_plain(self.p.whole(u)) for u in missing}
+    def _of(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units."""
+        got = list(map(self.units.get, units))
+        gaps = [k for k, g in enumerate(got) if g is None]
+        if gaps:
+            # A unit of letters alone is one pre-token with the space before it.
+            word = self.p.kind == "byte"
+            cut = [(" " + units[k],) if word and units[k].isalpha() else self.p.find_plain(self.p.whole(units[k])) for k in gaps]
             if len(self.parts) > PARTS:
                 self.parts.clear()
-            if new := list({x for parts in cut.values() for x in parts if x not in self.parts}):
+            if new := list({x for parts in cut for x in parts if x not in self.parts}):
                 self._learn(new)
             part = self.parts.__getitem__
-            own = {u: b"".join(map(part, parts)) for u, parts in cut.items()}
-            if len(self.units) < UNITS:
-                self.units.update((u, b) for u, b in own.items() if len(u) <= LONGEST)
-        out = []
-        for t, (parts, got, gaps) in zip(texts, rows, strict=True):
-            if parts is None:
-                out.append(np.array(self.p.ids([t])[0], self.dtype).tobytes())
-                continue
-            for k in gaps:
-                got[k] = own[parts[k]]
-            out.append(b"".join(got))
+            room = UNITS - len(self.units)
+            for k, parts in zip(gaps, cut, strict=True):
+                got[k] = part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))
+                if room > 0 and len(units[k]) <= LONGEST:
+                    self.units[units[k]] = got[k]
+                    room -= 1
+        return got
+
+    def encode_array(self, texts) -> list[bytes]:
+        """The ids of each text of a string array, as bytes. Units are cut, numbered and put together again by column; only
+        the distinct ones of the array are Python objects."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        unsure = pc.match_substring_regex(texts, self.p.unsure) if self.p.kind else pa.array([True] * len(texts))
+        out: list = [None] * len(texts)
+        for k in np.flatnonzero(unsure.to_numpy(zero_copy_only=False)):
+            out[k] = np.array(self.p.ids([texts[int(k)].as_py()])[0], self.dtype).tobytes()
+        plain = texts.filter(pc.invert(unsure))
+        if not len(plain):
+            return out
+        if self.p.kind == "word":
+            lists = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        else:
+            lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\x00"), plain, ""), " ")
+        numbered = lists.flatten().dictionary_encode()
+        ids = self._of(numbered.dictionary.to_pylist())
+        code, width = numbered.indices.to_numpy(), np.dtype(self.dtype).itemsize
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // width
+        start = np.cumsum(size, dtype=np.int64) - size
+        n = size[code]
+        end = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        narrow = np.int32 if end[-1] < 1 << 31 else np.int64
+        at = np.repeat((start[code] - end[:-1]).astype(narrow), n)
+        at += np.arange(end[-1], dtype=narrow)
+        flat = np.frombuffer(b"".join(ids), self.dtype)[at].tobytes()
+        offsets = lists.offsets.to_numpy()
+        cuts = (end[offsets - offsets[0]] * width).tolist()
+        for k, i, j in zip(np.flatnonzero(~unsure.to_numpy(zero_copy_only=False)).tolist(), cuts, cuts[1:], strict=False):
+            out[k] = flat[i:j]
         return out
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        import pyarrow as pa
+
+        return self.encode_array(pa.array([text]))[0]
 
 
 @functools.cache

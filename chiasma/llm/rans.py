@@ -12,7 +12,7 @@ import numpy as np
 BITS = 20
 LOW = np.uint64(1 << 31)
 _MASK, _U32, _SHIFT = np.uint64((1 << BITS) - 1), np.uint64(32), np.uint64(BITS)
-LANES, PER_LANE = 1024, 64
+LANES, PER_LANE = 4096, 64
 
 
 class Table:

@@ -28,12 +28,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chiasma.llm.common import documents, shared_dir
+from chiasma.llm.common import documents, shared_dir, tidy
 
 NAME = "op2_token_output"
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 PART_BYTES, MAX_PARTS = 10 << 20, 10_000
-GROUP_TOKENS, BLOCK_TOKENS, SEGMENT_TOKENS = 1 << 21, 1 << 18, 1 << 18
+SLICE = 2000  # documents tokenised together
+GROUP_TOKENS, BLOCK_TOKENS, SEGMENT_TOKENS = 1 << 22, 1 << 20, 1 << 20
 SCHEMA = (
     "part int, seq int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, table binary, "
     "blocks array<struct<n_docs: int, n_tokens: long, checkpoints: array<struct<token: long, byte: long, crc32: long>>, data: binary>>"
@@ -55,14 +56,13 @@ def _tokenise(name: str, end_id: int, bounds: list[int]):
             raise ValueError("ids of this tokenizer don't fit 16 bits")
         for b in batches:
             ids = b.column(0)
-            for k in range(0, len(b), 256):
-                texts = [t.as_py() or "" for t in b.column(1)[k : k + 256]]
-                own = ids[k : k + 256]
+            for k in range(0, len(b), SLICE):
+                texts, own = b.column(1)[k : k + SLICE], ids[k : k + SLICE]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([0 if i is None else bisect.bisect_left(bounds, i) for i in own.to_pylist()], pa.int32()),
                     own,
-                    pa.array([xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in texts], pa.int64()),
-                    pa.array([x + end for x in m.encode_many(texts)], pa.binary()),
+                    pa.array([xxhash.xxh64_intdigest(t.as_buffer() or b"") - (1 << 63) for t in texts], pa.int64()),
+                    pa.array([x + end for x in m.encode_array(texts)], pa.binary()),
                 ], ["part", "id", "h", "ids"])
 
     return run
@@ -123,10 +123,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     bounds = sorted(set(d.agg(F.percentile_approx("id", F.array(*map(F.lit, cuts)), 20 * parts)).first()[0] or [])) if cuts else []
     size = _vocabulary(tokenizer)
     coded = (
-        d.mapInArrow(_tokenise(tokenizer, end_id, bounds), "part int, id long, h long, ids binary")
+        d.mapInArrow(tidy(_tokenise(tokenizer, end_id, bounds)), "part int, id long, h long, ids binary")
         .repartitionById(len(bounds) + 1, F.col("part"))
         .sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
-        .mapInArrow(_encode_groups(size), SCHEMA)
+        .mapInArrow(tidy(_encode_groups(size)), SCHEMA)
     )
     coded.write.option("compression", "uncompressed").parquet(path)
     return path
@@ -177,7 +177,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     offsets, at = {}, 0
     for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # at most MAX_PARTS rows
         offsets[r.part], at = at, at + r.n
-    return files.mapInArrow(_decode(offsets), "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return files.mapInArrow(tidy(_decode(offsets)), "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def token_output(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
