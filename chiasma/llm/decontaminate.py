@@ -26,9 +26,8 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from chiasma.llm.common import documents
+from chiasma.llm.common import documents, tidy
 
 NAME = "op5_decontaminate"
 Q, RATE = 10, 0.08
@@ -254,28 +253,27 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     schema = "doc long, item long, start long, end long, edits int, budget int"
     out = docs.sparkSession.createDataFrame([], schema)
     for k, block in enumerate(_blocks(bench, item_col, item_text_col)):
-        found = d.mapInArrow(_report(block), schema)
+        found = d.mapInArrow(tidy(_report(block)), schema)
         out = found if k == 0 else out.unionByName(found)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits", "budget")
 
 
-def _clean(block: _Block):
+def _clean(block: _Block, text_col: str):
     def run(batches):
         import pyarrow as pa
 
         items = _items(block.key, block)
         for b in batches:
-            yield b.filter(pa.array([not items.leaks(t.as_py()) for t in b.column("_text")], pa.bool_()))
+            yield b.filter(pa.array([not items.leaks(t.as_py()) for t in b.column(text_col)], pa.bool_()))
 
     return run
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with its columns, whose text leaks no item."""
-    d = docs.select(F.col(f"`{text_col}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     for block in _blocks(bench, item_col, item_text_col):
-        d = d.mapInArrow(_clean(block), StructType(d.schema.fields))
-    return d.select("_doc.*")
+        docs = docs.mapInArrow(tidy(_clean(block, text_col)), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ _UNSURE = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧]")
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PLAIN = {"word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"), "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")}
 _BLANK = ("", " ", "\t", "\n", "\r")
-#: Units and pre-tokens kept by a worker: about 150 MB.
-UNITS, PARTS, LONGEST = 300_000, 500_000, 64
+#: Units and pre-tokens kept by a worker: about 80 MB.
+UNITS, PARTS, LONGEST = 150_000, 250_000, 64
 
 
 def tokenizer_path(name: str) -> str:

@@ -33,7 +33,7 @@ from chiasma.llm.common import documents, shared_dir, tidy
 NAME = "op2_token_output"
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 PART_BYTES, MAX_PARTS = 10 << 20, 10_000
-SLICE = 2000  # documents tokenised together
+SLICE = 1000  # documents tokenised together
 GROUP_TOKENS, BLOCK_TOKENS, SEGMENT_TOKENS = 1 << 22, 1 << 20, 1 << 20
 SCHEMA = (
     "part int, seq int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, table binary, "

@@ -27,15 +27,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from chiasma.llm.common import documents
+from chiasma.llm.common import documents, tidy
 
 NAME = "op9_toxicity"
 MAX_TRAIN, FEATURES, LEAST_DF = 20_000, 2048, 4
 PREFIXES = range(4, 8)
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
+_MEMO = 200_000
 
 
 def word_features(word: str) -> list[str]:
@@ -136,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: st
     sizes = {r.grade: r["count"] for r in sample.groupBy("grade").count().collect()}
     if len(sizes) < 2:
         return Model()
-    long = sample.select("id", "grade", "text").mapInArrow(_sample_features, "id long, grade int, feature string, n long")
+    long = sample.select("id", "grade", "text").mapInArrow(tidy(_sample_features), "id long, grade int, feature string, n long")
     n0, n1 = sizes.get(0, 0), sum(n for g, n in sizes.items() if g)
     a, b = F.col("n1"), F.col("n0")
     likelier = a * max(1, n0) > 2 * b * max(1, n1)  # features of toxic rows only: sparse in any text, however common its words
@@ -147,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: st
     )
     index = {r.feature: k for k, r in enumerate(table)}
     strong = {index[r.feature] for r in table if (r.n1 + 0.5) / (n1 + 1) > 10 * (r.n0 + 0.5) / (n0 + 1)}
-    rows = sample.select("id", "grade", "text").mapInArrow(_matrix(index), "id long, grade int, features array<int>, times array<long>").toArrow().sort_by("id")
+    rows = sample.select("id", "grade", "text").mapInArrow(tidy(_matrix(index)), "id long, grade int, features array<int>, times array<long>").toArrow().sort_by("id")
     data = [(g, list(zip(f, n, strict=True))) for g, f, n in zip(*(rows[c].to_pylist() for c in ("grade", "features", "times")), strict=True)]
     grades = [g for g, _ in data]
     if max(grades) == 1:
@@ -160,35 +159,39 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: st
     return Model({f: float(w[k]) for f, k in index.items()}, thetas)
 
 
-def _score(model: Model):
-    def run(batches):
-        from math import log
+def _scorer(model: Model):
+    """text → P(grade > k) for each threshold."""
+    from math import log
 
-        import pyarrow as pa
+    known, memo = model.weights, {}
+
+    def of(word):
+        if len(memo) >= _MEMO:
+            memo.clear()
+        memo[word] = out = tuple(f for f in word_features(word[:64]) if f in known)
+        return out
 
-        known, memo = model.weights, {}
+    def score(text):
+        found = {}
+        for w in _WORD.findall((text or "").lower()):
+            f = memo.get(w)
+            for x in of(w) if f is None else f:
+                found[x] = found.get(x, 0) + 1
+        return model.chances(sum(known[f] * (1 + log(n)) for f, n in sorted(found.items())))
 
-        def of(word):
-            if len(memo) >= _MEMO:
-                memo.clear()
-            memo[word] = out = tuple(f for f in word_features(word[:64]) if f in known)
-            return out
+    return score
+
+
+def _score(model: Model):
+    def run(batches):
+        import pyarrow as pa
 
+        chances = _scorer(model)
         for b in batches:
-            severity, grade, chance = [], [], []
-            for text in b.column(1):
-                found = {}
-                for w in _WORD.findall((text.as_py() or "").lower()):
-                    f = memo.get(w)
-                    for x in of(w) if f is None else f:
-                        found[x] = found.get(x, 0) + 1
-                p = model.chances(sum(known[f] * (1 + log(n)) for f, n in sorted(found.items())))
-                severity.append(sum(p))
-                grade.append(sum(x >= 0.5 for x in p))
-                chance.append(p[0] if p else 0.0)
+            p = [chances(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array(chance, pa.float64())],
-                [*b.schema.names, "expected_severity", "grade", "p_toxic"])
+                [b.column(0), pa.array([sum(x) for x in p], pa.float64()), pa.array([sum(v >= 0.5 for v in x) for x in p], pa.int32()), pa.array([x[0] if x else 0.0 for x in p], pa.float64())],
+                ["id", "expected_severity", "grade", "p_toxic"])
 
     return run
 
@@ -196,15 +199,24 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, expected_severity, grade, p_toxic and toxic (grade >= 1) of every row."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = d.mapInArrow(_score(model), "id long, text string, expected_severity double, grade int, p_toxic double")
+    out = d.mapInArrow(tidy(_score(model)), "id long, expected_severity double, grade int, p_toxic double")
     return out.select(F.col("id").alias(id_col), "expected_severity", "grade", "p_toxic", (F.col("grade") >= 1).alias("toxic"))
 
 
+def _clean(model: Model, text_col: str):
+    def run(batches):
+        import pyarrow as pa
+
+        chances = _scorer(model)
+        for b in batches:
+            yield b.filter(pa.array([not any(v >= 0.5 for v in chances(t.as_py())) for t in b.column(text_col)], pa.bool_()))
+
+    return run
+
+
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, with its columns, that score() does not reject."""
-    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), F.struct("*").alias("_doc"))
-    scored = d.select("_row", "_text", "_doc").mapInArrow(_score(model), StructType([*d.schema, *StructType.fromDDL("expected_severity double, grade int, p_toxic double")]))
-    return scored.where("grade = 0").select("_doc.*")
+    return docs.mapInArrow(tidy(_clean(model, text_col)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
