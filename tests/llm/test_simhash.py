@@ -69,7 +69,7 @@ def test_search_finds_every_link():
         for k in (1, 2, 4, 8, 16, 32):
             g ^= g >> np.uint64(k)
         x = x[np.argsort(g)]
-        edges = M.search(x, distance, lambda i, j: np.ones(len(i), bool))
+        edges = M.search(x, distance)
         label = np.arange(len(x))
         for i, j in edges:
             for a, b in zip(i, j, strict=True):
@@ -84,8 +84,8 @@ def test_search_finds_every_link():
 
 def test_masks_cover_every_difference():
     r = random.Random(2)
-    for distance in (0, 1, 3, 6, 8):
-        m = M.masks(distance)
+    for distance, rows in ((0, 0), (1, 0), (3, 0), (6, 0), (8, 0), (3, 10**9), (10, 10**8)):
+        m = M.masks(distance, rows)
         for _ in range(500):
             d = sum(1 << b for b in r.sample(range(64), distance))
             assert any(not d & x for x in m)
@@ -105,6 +105,39 @@ def test_star(spark):
     assert got == want
 
 
+def test_sketch_similarity():
+    import pyarrow as pa
+
+    r = random.Random(8)
+    rows, want = [], []
+    for n, shared in ((10, 9), (10, 8), (200, 190), (5000, 4600), (5000, 4000), (0, 0), (1, 1), (1, 0)):
+        base = [r.getrandbits(64) for _ in range(n)]
+        other = base[:shared] + [r.getrandbits(64) for _ in range(n - shared)]
+        rows.append([(np.unique(np.array(v, np.uint64))[: M.SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for v in (base, other)])
+        want.append(not n or shared / (2 * n - shared) >= 0.8)
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(range(len(rows))), pa.array([x for x, _ in rows]), pa.array([y for _, y in rows])], ["a", "b", "sa", "sb"])
+    assert [x.num_rows for x in M._similar(0.8)([b])] == [sum(want)]
+
+
+def test_near_copies_by_similarity(spark):
+    """Edited copies: similar ones go, less similar ones stay; held against exact shingle sets."""
+    r = random.Random(10)
+    rows, sim = [], {}
+    for k in range(60):
+        w = [f"t{r.randrange(3000)}" for _ in range(r.choice([120, 400, 900]))]
+        v = list(w)
+        for _ in range(int(len(w) * r.choice([0.005, 0.01, 0.05, 0.1]))):
+            v[r.randrange(len(v))] = "edit"
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v)]
+        sim[1000 + k] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(v))]
+    kept = {x.doc_id for x in M.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(60)) <= kept
+    assert all(i in kept for i, s in sim.items() if s < 0.75)
+    high = [i for i, s in sim.items() if s > 0.85]
+    assert len(high) > 10 and sum(i not in kept for i in high) >= 0.95 * len(high)
+
+
 def test_keep_one(spark):
     r = random.Random(9)
     text = [" ".join(f"t{r.randrange(5000)}" for _ in range(300)) for _ in range(30)]
