@@ -16,8 +16,9 @@ meets only.
 
 Verification (keep_one). What links by SimHash is only a candidate; its similarity is taken from bottom-SKETCH sketches of
 the distinct shingle hashes, which are the whole sets, and exact, for texts of fewer than SKETCH distinct shingles, and
-else have a standard error below 0.021. Forests prefer near pairs and are made at three distances, so that verifying
-their edges alone loses few links in dense groups.
+else have a standard error below 0.021. Forests prefer near pairs and are made at three distances, so most groups hold
+together by verified edges alone. Where they do not, the pieces into which a component of candidates falls are compared
+pair by pair, blocks of strays against blocks of the component, so no near and similar pair is left out.
 
 Components. Alternating large-star and small-star steps over written edge tables; only counts reach the driver.
 
@@ -44,6 +45,8 @@ SKETCH = 384
 CROWDED = 4000
 #: Pairs of nodes opened at a time.
 OPEN = 4096
+#: Rows a side of a block in which the pieces of a candidate component are compared.
+BLOCK = 512
 
 
 def masks(distance: int, rows: int = 0) -> list[int]:
@@ -248,6 +251,17 @@ def links(nodes: DataFrame, distance: int, forests: tuple | None = None) -> Data
     return out
 
 
+def alike(x, y, least: float) -> bool:
+    """Whether two sketches (sorted arrays) are as similar as that."""
+    import numpy as np
+
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        both = both[:SKETCH]  # the smallest of the union are in one sketch or the other
+    common = np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)
+    return not len(both) or common.sum() >= least * len(both)
+
+
 def _similar(least: float):
     """(a, b) of rows (a, b, sa, sb) whose sketches are as similar as that."""
 
@@ -256,19 +270,44 @@ def _similar(least: float):
         import pyarrow as pa
 
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), "<u4") for v in (x, y))
-                both = np.union1d(x, y)
-                if max(len(x), len(y)) >= SKETCH:
-                    both = both[:SKETCH]  # the smallest of the union are in one sketch or the other
-                common = np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)
-                keep.append(not len(both) or common.sum() >= least * len(both))
+            keep = [alike(*(np.frombuffer(v.as_py(), "<u4") for v in p), least) for p in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _across(distance: int, least: float, views: int):
+    """From a block of rows (stray, piece, sketch, fp0, ...): pairs of pieces of which a stray and another row are similar
+    and near in one view, as many as join the block's pieces."""
+
+    def run(block):
+        import numpy as np
+        import pyarrow as pa
+
+        stray, piece = (block[c].to_numpy() for c in ("stray", "piece"))
+        fps = [block[f"fp{k}"].to_numpy().view(np.uint64) for k in range(views)]
+        sketch = [np.frombuffer(v.as_py(), "<u4") for v in block["sketch"]]
+        rows, others, up, out = np.flatnonzero(stray), np.flatnonzero(~stray), {}, []
+
+        def root(k):
+            while k in up:
+                k = up[k]
+            return k
+
+        for i in rows:
+            near = np.zeros(len(others), bool)
+            for x in fps:
+                near |= np.bitwise_count(x[i] ^ x[others]) <= distance
+            for j in others[near & (piece[others] != piece[i])]:
+                a, b = root(piece[i]), root(piece[j])
+                if a != b and alike(sketch[i], sketch[j], least):
+                    up[a] = b
+                    out.append((piece[i], piece[j]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
 def star(edges: DataFrame, most: int = 60) -> DataFrame:
     """(u, v): v is the smallest node of u's component, for every node u that is not it. edges: a, b (long)."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -288,6 +327,39 @@ def star(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def verified(nodes: DataFrame, candidates: DataFrame, sure: DataFrame, sketches: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """What star gives, of all pairs of nodes that are near and similar. candidates: edges with the components of all near
+    pairs; sure: the similar ones of them. Where a candidate component falls into several pieces, an edge that the forest
+    left out may join them: all near pairs between its pieces are looked at, each block of strays (rows outside the
+    largest piece) against each block of the component."""
+    views = [c for c in nodes.columns if c.startswith("fp")]
+    pieces = star(sure)
+    of = lambda n: pieces.select(F.col("u").alias(f"u{n}"), F.col("v").alias(f"v{n}"))
+    e = candidates.join(of("a"), F.col("a") == F.col("ua"), "left").join(of("b"), F.col("b") == F.col("ub"), "left")
+    split = written(e.select(F.coalesce("va", "a").alias("a"), F.coalesce("vb", "b").alias("b")).where("a <> b").distinct(), "split")
+    if split.isEmpty():
+        return pieces
+    parts = star(split)
+    parts = written(parts.union(parts.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("piece"), F.col("v").alias("part")), "parts")
+    rows = nodes.join(of("n"), F.col("node") == F.col("un"), "left").withColumn("piece", F.coalesce("vn", "node")).join(parts, "piece").select("part", "piece", "node", *views)
+    rows = written(rows, "pieces_rows")
+    sizes = rows.groupBy("part", "piece").agg(F.count("*").alias("n")).groupBy("part").agg(F.sum("n").alias("n"), F.max(F.struct("n", "piece")).alias("most"))
+    # Of two nodes the one pair has been looked at.
+    sizes = sizes.where("n > 2").select(F.col("part").alias("p"), F.col("most.piece").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("ks"), F.ceil(F.col("n") / BLOCK).alias("kn"))
+    rows = rows.join(sizes, F.col("part") == F.col("p")).join(sketches, "node")
+    at = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    deal = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    strays = rows.where("piece <> main").select("part", at("ks").alias("i"), deal("kn").alias("j"), F.lit(True).alias("stray"), "piece", "sketch", *views)
+    others = rows.select("part", deal("ks").alias("i"), at("kn").alias("j"), F.lit(False).alias("stray"), "piece", "sketch", *views)
+    more = strays.unionByName(others).groupBy("part", "i", "j").applyInArrow(_across(distance, similarity, len(views)), "a long, b long")
+    more = written(more, "more")
+    if more.isEmpty():
+        return pieces
+    joined = star(more)
+    to = joined.select(F.col("u").alias("k"), F.col("v").alias("to"))
+    return pieces.join(to, F.col("v") == F.col("k"), "left").select("u", F.coalesce("to", "v").alias("v")).union(joined)
+
+
 def grouped(prints: DataFrame, distance: int, similarity: float | None = None) -> DataFrame:
     """prints (a written table with id, fp0, ...) with component_id. Rows alike in all views are one node. With a
     similarity, links are those whose sketches (of a node's row of the smallest id) are as similar."""
@@ -302,8 +374,10 @@ def grouped(prints: DataFrame, distance: int, similarity: float | None = None) -
         own = nodes.join(ends, "node", "left_semi").select("node", F.col("row").alias("h"))
         sketches = written(prints.select("h", "sketch").join(own, "h").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
         side = lambda n: sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
-        e = e.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_similar(similarity)), "a long, b long")
-    roots = star(e)
+        sure = e.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_similar(similarity)), "a long, b long")
+        roots = verified(nodes.select("node", *views), e, written(sure, "sure"), sketches, distance, similarity)
+    else:
+        roots = star(e)
     member = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "least", F.coalesce("v", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     of = member.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id")

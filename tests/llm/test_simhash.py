@@ -138,6 +138,50 @@ def test_near_copies_by_similarity(spark):
     assert len(high) > 10 and sum(i not in kept for i in high) >= 0.95 * len(high)
 
 
+def verified_components(rows, distance, least):
+    """Components of rows (id, fp0, fp1, sketch array) by all pairs: near in one view and similar."""
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, (_, *x, s) in enumerate(rows):
+        for b, (_, *y, t) in enumerate(rows[:a]):
+            if any((p ^ q).bit_count() <= distance for p, q in zip(x, y, strict=True)) and M.alike(s, t, least):
+                root[find(a)] = find(b)
+    return {r[0]: min(rows[k][0] for k in range(len(rows)) if find(k) == find(i)) for i, r in enumerate(rows)}
+
+
+def grouped(spark, rows):
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    data = [(i, i, signed(x), signed(y), s.tobytes()) for i, x, y, s in rows]
+    prints = spark.createDataFrame(data, "id long, h long, fp0 long, fp1 long, sketch binary").repartition(3)
+    return {r.id: r.component_id for r in M.grouped(prints, 10, 0.8).collect()}
+
+
+def sketch(hashes):
+    return np.array(sorted(hashes), "<u4")
+
+
+def test_forests_lose_no_similar_pair(spark):
+    """Rows under one pattern that are all near, but similar only within their topic: false edges fill the forests."""
+    r = random.Random(12)
+    bits = lambda v: v ^ sum(1 << b for b in r.sample(range(64), r.randint(2, 5)))
+    centre, shared = (r.getrandbits(64), r.getrandbits(64)), [r.getrandbits(32) for _ in range(20)]
+    topics = [[r.getrandbits(32) for _ in range(30)] for _ in range(25)]
+    rows = []
+    for k in range(700):
+        own = list(topics[k % 25])
+        for _ in range(r.randint(0, 4)):
+            own[r.randrange(30)] = r.getrandbits(32)
+        rows.append((k, *(bits(v) for v in centre), sketch({*own, *shared})))
+    want = verified_components(rows, 10, 0.8)
+    assert 25 <= len(set(want.values())) < 60
+    assert grouped(spark, rows) == want
+
+
 def test_keep_one(spark):
     r = random.Random(9)
     text = [" ".join(f"t{r.randrange(5000)}" for _ in range(300)) for _ in range(30)]
