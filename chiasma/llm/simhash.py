@@ -361,12 +361,12 @@ def verified(nodes: DataFrame, candidates: DataFrame, sure: DataFrame, sketches:
 
 
 def grouped(prints: DataFrame, distance: int, similarity: float | None = None) -> DataFrame:
-    """prints (a written table with id, fp0, ...) with component_id. Rows alike in all views are one node. With a
-    similarity, links are those whose sketches (of a node's row of the smallest id) are as similar."""
+    """prints (a written table with id, fp0, ...) with component_id and its root, a node. Rows alike in all views are one
+    node; with a similarity, only if their sketches are alike too, and links are those whose sketches are as similar."""
     views = [c for c in prints.columns if c.startswith("fp")]
-    node = F.col(views[0]) if len(views) == 1 else F.xxhash64(*views)
-    nodes = prints.groupBy(*views).agg(F.min("id").alias("least"), *([F.min(F.struct(F.col("id").isNull(), "id", "h")).getField("h").alias("row")] if similarity else []))
-    nodes = written(nodes.withColumn("node", node), "nodes")
+    node = F.xxhash64(*views, "sketch") if similarity else F.col(views[0]) if len(views) == 1 else F.xxhash64(*views)
+    nodes = prints.withColumn("node", node).groupBy("node", *views).agg(F.min("id").alias("least"), *([F.min(F.struct(F.col("id").isNull(), "id", "h")).getField("h").alias("row")] if similarity else []))
+    nodes = written(nodes, "nodes")
     e = links(nodes.select("node", *views), distance, (distance // 3, 2 * distance // 3, distance) if similarity else None)
     if similarity:
         e = written(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
@@ -380,7 +380,7 @@ def grouped(prints: DataFrame, distance: int, similarity: float | None = None) -
         roots = star(e)
     member = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "least", F.coalesce("v", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    of = member.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id")
+    of = member.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "root", "component_id")
     return prints.withColumn("node", node).join(of, F.col("node") == F.col("n"), "left").drop("node", "n", "sketch")
 
 
@@ -400,7 +400,7 @@ def keep_one(docs: DataFrame, words: int = 5, distance: int = 10, similarity: fl
     prints = written(fingerprints(docs, words, 2, id_col, text_col, sketch=True), "prints")
     groups = grouped(prints, distance, similarity)
     # No id and h of its own may repeat in a component: those are repeated rows, of which one stays.
-    best = groups.groupBy("component_id", *[F.when(F.col("component_id").isNull(), F.col(c)).alias(f"x_{c}") for c in ("fp0", "fp1")]).agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("best"))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("best"))
     keep = written(best.select(F.col("best.id").alias("_id"), F.col("best.h").alias("_h")), "keep")
     chosen = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     stay = chosen.join(keep, F.col("_key") == F.col("_h"), "left_semi")

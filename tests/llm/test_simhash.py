@@ -182,6 +182,27 @@ def test_forests_lose_no_similar_pair(spark):
     assert grouped(spark, rows) == want
 
 
+def test_rows_alike_in_all_views_are_verified(spark):
+    """More rows than are compared directly, with the same two views and four different texts of some variants each."""
+    r = random.Random(13)
+    topics = [[r.getrandbits(32) for _ in range(40)] for _ in range(4)]
+    rows = [(k, 77, 99, sketch({*topics[k % 4][: 40 - k % 3], *(r.getrandbits(32) for _ in range(k % 3))})) for k in range(200)]
+    rows += [(200 + k, 1 << 40, 1 << 50, sketch(topics[k % 2])) for k in range(6)]
+    want = verified_components(rows, 10, 0.8)
+    assert len(set(want.values())) == 4
+    assert grouped(spark, rows) == want
+
+
+def test_nothing_but_near_copies_goes(spark):
+    """Different texts stay though an id is given twice, or none is."""
+    r = random.Random(14)
+    text = [" ".join(f"t{r.randrange(5000)}" for _ in range(100)) for _ in range(4)]
+    near = " ".join([*text[3].split()[:99], "changed"])
+    docs = spark.createDataFrame([(1, text[0]), (1, text[1]), (None, text[2]), (None, text[3]), (None, near)], "doc_id long, text string")
+    kept = [x.text for x in M.keep_one(docs).collect()]
+    assert len(kept) == 4 and {*text[:3]} < {*kept}
+
+
 def test_keep_one(spark):
     r = random.Random(9)
     text = [" ".join(f"t{r.randrange(5000)}" for _ in range(300)) for _ in range(30)]
