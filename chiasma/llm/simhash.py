@@ -2,7 +2,8 @@
 
 Fingerprint. A-Z are lower-cased, words are runs of [^\\x20\\x09-\\x0D], shingles are `words` words joined by spaces
 (repeats included; a shorter text is one shingle; no words: fingerprint zero). A bit is 1 if it is set in over half of
-the shingles' XXH64 (UTF-8, seed 42). A second view of the same shingles, for the pipeline, mixes each hash anew.
+the shingles' XXH64 (UTF-8, seed 42). The pipeline counts each distinct shingle once, as its similarity is one of sets,
+and takes a second view of the same shingles, which mixes each hash anew.
 
 Search. Work is on distinct fingerprints, so copies cost nothing further. The 64 bits are cut into blocks; two
 fingerprints within `distance` bits agree on some choice of (blocks - distance) blocks, and each choice is a table: rows
@@ -61,7 +62,7 @@ def masks(distance: int, rows: int = 0) -> list[int]:
     return [sum(c) for c in combinations(block, equal)]
 
 
-def _fingerprints(words: int, views: int, sketch: bool):
+def _fingerprints(words: int, views: int, sketch: bool, distinct: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -88,6 +89,8 @@ def _fingerprints(words: int, views: int, sketch: bool):
                 parts = [w[k:] for k in range(words)]
                 shingles = map(b" ".join, zip(*parts, strict=False)) if len(w) >= words else [b" ".join(w)]
                 h = np.array([xxh64_intdigest(s, 42) for s in shingles], np.uint64)
+                if distinct:
+                    h = np.unique(h)
                 if sketch:
                     sketches.append((np.unique(h)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
                 for o in out:
@@ -102,10 +105,11 @@ def _fingerprints(words: int, views: int, sketch: bool):
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 3, views: int = 1, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False) -> DataFrame:
-    """id, h (a hash of the whole row), fp0, fp1, ... and, if asked for, sketch of every row."""
+def fingerprints(docs: DataFrame, words: int = 3, views: int = 1, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False, distinct: bool = False) -> DataFrame:
+    """id, h (a hash of the whole row), fp0, fp1, ... (of the distinct shingles, if asked for) and, if asked for, sketch of
+    every row."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
-    return d.mapInArrow(tidy(_fingerprints(words, views, sketch)), "id long, h long, " + ", ".join(f"fp{k} long" for k in range(views)) + ", sketch binary" * sketch)
+    return d.mapInArrow(tidy(_fingerprints(words, views, sketch, distinct)), "id long, h long, " + ", ".join(f"fp{k} long" for k in range(views)) + ", sketch binary" * sketch)
 
 
 def gray_rank(c):
@@ -397,7 +401,7 @@ def keep_one(docs: DataFrame, words: int = 5, distance: int = 10, similarity: fl
     shingles differs in at most 10 bits: by the binomial model of the views 86% of the pairs of similarity 0.8, 96% at
     0.85 and over 99% from 0.9 on are candidates, and groups need only some of their pairs."""
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    prints = written(fingerprints(docs, words, 2, id_col, text_col, sketch=True), "prints")
+    prints = written(fingerprints(docs, words, 2, id_col, text_col, sketch=True, distinct=True), "prints")
     groups = grouped(prints, distance, similarity)
     # No id and h of its own may repeat in a component: those are repeated rows, of which one stays.
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("best"))

@@ -203,6 +203,19 @@ def test_nothing_but_near_copies_goes(spark):
     assert len(kept) == 4 and {*text[:3]} < {*kept}
 
 
+def test_repeated_passages(spark):
+    """Copies that differ in how often a passage repeats are near copies; different texts with the same filler are not."""
+    r = random.Random(15)
+    text = lambda n: [f"t{r.randrange(50000)}" for _ in range(n)]
+    rows = []
+    for k in range(6):
+        w = text(400)
+        rows += [(10 * k, w), *((10 * k + n, w[:100] + w[70:100] * times + w[100:]) for n, times in ((1, 5), (2, 10), (3, 20)))]
+    filler = [(100 + k, text(300) + ["0"] * 320) for k in range(3)]
+    kept = [x.doc_id for x in M.keep_one(spark.createDataFrame([(i, " ".join(w)) for i, w in rows + filler], "doc_id long, text string")).collect()]
+    assert sorted(kept) == [0, 10, 20, 30, 40, 50, 100, 101, 102]
+
+
 def test_keep_one(spark):
     r = random.Random(9)
     text = [" ".join(f"t{r.randrange(5000)}" for _ in range(300)) for _ in range(30)]
