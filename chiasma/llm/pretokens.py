@@ -26,9 +26,8 @@ _UNSURE = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ‐-‧]")
 #: The word-level pattern on that set, for the standard library's engine, which is twice as fast there.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PLAIN = {"word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"), "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")}
-_BLANK = ("", " ", "\t", "\n", "\r")
-#: Units and pre-tokens kept by a worker: about 80 MB.
-UNITS, PARTS, LONGEST = 150_000, 250_000, 64
+#: Units kept by a worker, their characters, the longest kept: under 60 MB. Units that go to the library as one text.
+UNITS, UNIT_BYTES, LONGEST, JOINED = 1_000_000, 16 << 20, 64, 2000
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,96 +93,109 @@ def pretokens(name: str) -> PreTokens:
 
 
 class Memo:
-    """Encodes texts, each distinct unit and pre-token about once: units in a dictionary that keeps the first UNITS it has
-    met, which are the frequent ones, and the pre-tokens of all other units in one that starts anew when full."""
+    """Encodes texts of a byte-level tokenizer, each distinct unit about once. Units and their ids are kept as columns: the
+    first UNITS a worker meets, which are the frequent ones. Unknown units of a slice of texts go to the library together,
+    joined by spaces; there each begins with a token that begins with a space, and no other token does, so the ids part
+    again by looking at the tokens alone. A tokenizer of another kind, or a text that may not be cut, goes to the library
+    whole."""
 
     def __init__(self, name: str, dtype: str):
-        self.p, self.dtype = pretokens(name), dtype
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        import numpy as np
+        import pyarrow as pa
+
+        self.p, self.dtype, self.room = pretokens(name), np.dtype(dtype), UNIT_BYTES
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        vocabulary = self.p.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # the token begins with a space
+        self.opens[[k for x, k in vocabulary.items() if x[:1] == "\u0120"]] = True
+        self.cuts = self.p.kind == "byte" and not any(" " in x for x in self.p.special)
+
+    def _library(self, texts: list[str]):
+        """(ids of all texts in a row, number of ids of each)."""
+        import numpy as np
+
+        lists = [e.ids for e in self.p.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.array(x, self.dtype) for x in lists]) if lists else np.zeros(0, self.dtype), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _binary(self, flat, end):
+        """Ids in a row, and where each row of them ends, as a binary array."""
+        import numpy as np
+        import pyarrow as pa
+
+        offsets = np.append(0, end) * self.dtype.itemsize
+        return pa.BinaryArray.from_buffers(pa.binary(), len(end), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(np.ascontiguousarray(flat))])
+
+    def _learn(self, units):
+        """The ids of distinct units, in the same order."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def _learn(self, new: list[str]) -> None:
-        """Puts the ids of new pre-tokens into parts. Those that begin with a space and hold no other white space are
-        encoded as one text, in which each is one word to the library; its word numbers part the ids again."""
+        alone = pc.match_substring_regex(units, r"^$|^\x00|[\t\n\r]$").to_numpy(zero_copy_only=False)
+        rest, single = np.flatnonzero(~alone), np.flatnonzero(alone)
+        words = units.take(rest).to_pylist()
+        flat, _ = self._library([" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])
+        first = np.flatnonzero(self.opens[flat])
+        if len(first) != len(words):  # the library cut differently than expected: one by one
+            flat, n = self._library([" " + x for x in words])
+            first = np.cumsum(n) - n
+        more, n = self._library([self.p.whole(x) for x in units.take(single).to_pylist()])
+        if not len(single):
+            return self._binary(flat, np.append(first[1:], len(flat)))
+        both = pa.concat_arrays([self._binary(flat, np.append(first, len(flat))[1:]), self._binary(more, np.cumsum(n))])
+        return both.take(pa.array(np.argsort(np.concatenate([rest, single]), kind="stable")))
+
+    def _of(self, units):
+        """The ids of distinct units, from what is kept or from the library."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        encode, step = self.p.tokenizer.encode_batch_fast, 2000
-        joined = [x for x in new if x[0] == " " and x[1:2] not in _BLANK]
-        for k in range(0, len(joined), step):
-            some = joined[k : k + step]
-            e = self.p.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids, word = np.array(e.ids, self.dtype), np.array(e.word_ids)
-            cuts = np.flatnonzero(np.diff(word, prepend=-1, append=-2))
-            if len(cuts) != len(some) + 1:
-                raise ValueError("the library cut a pre-token")
-            raw, w = ids.tobytes(), ids.itemsize
-            cuts = (cuts * w).tolist()
-            self.parts.update((x, raw[i:j]) for x, i, j in zip(some, cuts, cuts[1:], strict=False))
-        rest = [x for x in new if x[0] != " " or x[1:2] in _BLANK]
-        for x, e in zip(rest, encode(rest, add_special_tokens=False), strict=True):
-            self.parts[x] = np.array(e.ids, self.dtype).tobytes()
-
-    def _of(self, units: list[str]) -> list[bytes]:
-        """The ids of distinct units."""
-        got = list(map(self.units.get, units))
-        gaps = [k for k, g in enumerate(got) if g is None]
-        if gaps:
-            # A unit of letters alone is one pre-token with the space before it.
-            word = self.p.kind == "byte"
-            cut = [(" " + units[k],) if word and units[k].isalpha() else self.p.find_plain(self.p.whole(units[k])) for k in gaps]
-            if len(self.parts) > PARTS:
-                self.parts.clear()
-            if new := list({x for parts in cut for x in parts if x not in self.parts}):
-                self._learn(new)
-            part = self.parts.__getitem__
-            room = UNITS - len(self.units)
-            for k, parts in zip(gaps, cut, strict=True):
-                got[k] = part(parts[0]) if len(parts) == 1 else b"".join(map(part, parts))
-                if room > 0 and len(units[k]) <= LONGEST:
-                    self.units[units[k]] = got[k]
-                    room -= 1
-        return got
-
-    def encode_array(self, texts) -> list[bytes]:
-        """The ids of each text of a string array, as bytes. Units are cut, numbered and put together again by column; only
-        the distinct ones of the array are Python objects."""
+        at = pc.index_in(units, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        if not new.any():
+            return self.ids.take(at)
+        unknown = units.filter(pa.array(new))
+        learned = self._learn(unknown)
+        at = pc.fill_null(at, 0).to_numpy().copy()
+        at[new] = len(self.known) + np.arange(len(unknown))
+        out = pa.concat_arrays([self.ids, learned]).take(pa.array(at))
+        length = pc.binary_length(unknown).to_numpy()
+        keep = (length <= LONGEST) & (np.arange(len(length)) < UNITS - len(self.known))
+        keep &= np.cumsum(np.where(keep, length, 0)) <= self.room
+        if keep.any():
+            self.room -= int(length[keep].sum())
+            self.known = pa.concat_arrays([self.known, unknown.filter(pa.array(keep))])
+            self.ids = pa.concat_arrays([self.ids, learned.filter(pa.array(keep))])
+        return out
+
+    def encode_array(self, texts):
+        """The ids of each text of a string array, as a binary array."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
-        unsure = pc.match_substring_regex(texts, self.p.unsure) if self.p.kind else pa.array([True] * len(texts))
-        out: list = [None] * len(texts)
-        for k in np.flatnonzero(unsure.to_numpy(zero_copy_only=False)):
-            out[k] = np.array(self.p.ids([texts[int(k)].as_py()])[0], self.dtype).tobytes()
-        plain = texts.filter(pc.invert(unsure))
-        if not len(plain):
-            return out
-        if self.p.kind == "word":
-            lists = pc.utf8_split_whitespace(pc.utf8_lower(plain))
-        else:
-            lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\x00"), plain, ""), " ")
+        unsure = pc.match_substring_regex(texts, self.p.unsure).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        odd = unsure.any()
+        plain = texts.filter(pa.array(~unsure)) if odd else texts
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\x00"), plain, ""), " ")
         numbered = lists.flatten().dictionary_encode()
-        ids = self._of(numbered.dictionary.to_pylist())
-        code, width = numbered.indices.to_numpy(), np.dtype(self.dtype).itemsize
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // width
-        start = np.cumsum(size, dtype=np.int64) - size
-        n = size[code]
-        end = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-        narrow = np.int32 if end[-1] < 1 << 31 else np.int64
-        at = np.repeat((start[code] - end[:-1]).astype(narrow), n)
-        at += np.arange(end[-1], dtype=narrow)
-        flat = np.frombuffer(b"".join(ids), self.dtype)[at].tobytes()
-        offsets = lists.offsets.to_numpy()
-        cuts = (end[offsets - offsets[0]] * width).tolist()
-        for k, i, j in zip(np.flatnonzero(~unsure.to_numpy(zero_copy_only=False)).tolist(), cuts, cuts[1:], strict=False):
-            out[k] = flat[i:j]
-        return out
+        ids = self._of(numbered.dictionary).take(numbered.indices)
+        # The units' ids stand in a row, so those of a text do.
+        offsets = np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1, 4 * ids.offset) if len(ids) else np.zeros(1, "<i4")
+        ends = offsets[lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)]
+        out = pa.BinaryArray.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(ends), ids.buffers()[2] if len(ids) else pa.py_buffer(b"")])
+        if not odd:
+            return out
+        flat, n = self._library(texts.filter(pa.array(unsure)).to_pylist())
+        place = np.argsort(np.concatenate([np.flatnonzero(~unsure), np.flatnonzero(unsure)]), kind="stable")
+        return pa.concat_arrays([out, self._binary(flat, np.cumsum(n))]).take(pa.array(place))
 
     def encode(self, text: str) -> bytes:
         import pyarrow as pa
 
-        return self.encode_array(pa.array([text]))[0]
+        return self.encode_array(pa.array([text]))[0].as_py()
 
 
 @functools.cache
