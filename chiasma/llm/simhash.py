@@ -7,13 +7,14 @@ and takes a second view of the same shingles, which mixes each hash anew.
 
 Search. Work is on distinct fingerprints, so copies cost nothing further. The 64 bits are cut into blocks; two
 fingerprints within `distance` bits agree on some choice of (blocks - distance) blocks, and each choice is a table: rows
-meet where they share its masked bit pattern, the top node of an index over them. Inside a table's partition the rows
-under one pattern are sorted by Gray rank, so neighbours share long bit patterns. Sixteen neighbours make a node (the
-bits on which all agree), sixteen nodes the next, and so on. Pairs of nodes are compared from the top: the differences
-on the bits that both share add to those found above, whole groups are pruned when the sum passes `distance`, and groups
-that cannot differ by more are linked without looking inside. Runs of up to DIRECT rows give their pairs; longer runs
-give spanning forests, so a dense group never emits its pairs. Either way a pair is given by the first table where it
-meets only.
+meet where they share its masked bit pattern, the top node of an index over them. The rows under one pattern are sorted by
+Gray rank, so neighbours share long bit patterns. Up to sixteen neighbours make a node (the bits on which all agree),
+sixteen nodes the next, and so on up to the pattern; every run of two rows or more has such an index, and all links come
+from it. Pairs of nodes are opened from the top: the differences on the bits that both share add to those found above,
+whole groups are pruned when the sum passes `distance`, and groups that cannot differ by more are linked without looking
+inside. What is given are spanning forests, so a dense group never emits its pairs; an edge is given by the first table
+where its ends meet only. With two views, a pair that is within `distance` in one must be within `far` in the other, which
+random pairs are not, so that candidates don't grow together as a corpus grows.
 
 Verification (keep_one). What links by SimHash is only a candidate; its similarity is taken from bottom-SKETCH sketches of
 the distinct shingle hashes, which are the whole sets, and exact, for texts of fewer than SKETCH distinct shingles, and
@@ -37,15 +38,16 @@ from pyspark.sql import functions as F
 from chiasma.llm.common import documents, tidy, written
 
 NAME = "op7_simhash"
+#: Children of a node of the index, and rows of its lowest nodes.
 LEAF = 16
-#: Runs of up to this many rows are compared directly; longer ones through nodes.
-DIRECT = 64
+#: Rows that are indexed together, as far as their last run allows.
+ROWS = 1 << 17
 #: Hashes of a sketch.
 SKETCH = 384
 #: Rows that may be expected under one pattern before tables of longer patterns are taken.
 CROWDED = 4000
-#: Pairs of nodes opened at a time.
-OPEN = 4096
+#: Pairs of children looked at at a time.
+OPEN = 1 << 20
 #: Rows a side of a block in which the pieces of a candidate component are compared.
 BLOCK = 512
 
@@ -119,74 +121,133 @@ def gray_rank(c):
     return c
 
 
-def search(x, distance: int):
-    """Edges (i, j) of a spanning forest of all pairs of x within the distance; x is one run in Gray order."""
+def _tree(x, bounds):
+    """The index over runs of Gray-ordered fingerprints: for each level (p, m, lo, hi, bounds) with each node's shared bits,
+    the mask of those, its children in the level below (rows, at the lowest) and where each run's nodes begin. Up to LEAF
+    neighbours of a run make a node, and so on until every run has one: its pattern is what all its rows share."""
     import numpy as np
 
-    n, ones = len(x), ~np.uint64(0)
-    levels = [(x, np.full(n, ones))]
-    while len(levels[-1][0]) > LEAF:
-        p, m = levels[-1]
-        at = np.arange(0, len(p), LEAF)
-        both, some, shared = np.bitwise_and.reduceat(p, at), np.bitwise_or.reduceat(p, at), np.bitwise_and.reduceat(m, at)
+    n = len(x)
+    levels = [(x, np.full(n, ~np.uint64(0)), None, None, bounds)]
+    while len(levels) == 1 or (np.diff(bounds) > 1).any():
+        p, m = levels[-1][:2]
+        groups = -(-np.diff(bounds) // LEAF)
+        above = np.concatenate([[0], np.cumsum(groups)])
+        run = np.repeat(np.arange(len(groups)), groups)
+        lo = bounds[run] + (np.arange(above[-1]) - above[run]) * LEAF
+        hi = np.minimum(lo + LEAF, bounds[run + 1])
+        both, some, shared = np.bitwise_and.reduceat(p, lo), np.bitwise_or.reduceat(p, lo), np.bitwise_and.reduceat(m, lo)
         shared &= ~(both ^ some)
-        levels.append((both & shared, shared))
-    label, edges = np.arange(n), []
+        levels.append((both & shared, shared, lo, hi, above))
+        bounds = above
+    return levels
+
+
+def _ranges(lo, hi):
+    """(which range, number) of every number in the ranges."""
+    import numpy as np
+
+    n = hi - lo
+    which = np.repeat(np.arange(len(n)), n)
+    return which, lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def search(x, distance: int, bounds=None, more=()):
+    """Edges (i, j) of a spanning forest of all pairs of x that are within the distance, and in `more`, pairs of (other
+    fingerprints of the rows, distance), too. x: runs of rows in Gray order, which begin at `bounds`; pairs are sought within
+    a run. Node pairs are opened from each run's top: the differences on the bits that both nodes share are added to those
+    on the bits shared above, and a pair of nodes is left when they exceed the distance, or when all its rows are one
+    component already. Where they cannot differ by more, all rows are joined without looking inside."""
+    import numpy as np
+
+    n = len(x)
+    bounds = np.array([0, n]) if bounds is None else bounds
+    if n < 2:
+        return []
+    levels = _tree(x, bounds)
+    rows = [None]  # rows of each node: from, to
+    for k, (_, _, lo, hi, _) in enumerate(levels[1:]):
+        rows.append((lo, hi) if k == 0 else (rows[k][0][lo], rows[k][1][hi - 1]))
+    label, edges, seen = np.arange(n), [], {}
 
     def join(i, j):
-        """Adds pairs of elements to the forest."""
+        """Adds pairs of rows to the forest."""
+        for other, most in more:
+            near = np.bitwise_count(other[i] ^ other[j]) <= most
+            i, j = i[near], j[near]
         while len(i):
             a, b = label[i], label[j]
             i, j, a, b = (v[a != b] for v in (i, j, a, b))
             if not len(i):
                 return
+            seen.clear()
             lo, hi = np.minimum(a, b), np.maximum(a, b)
             order = np.lexsort((lo, np.bitwise_count(x[i] ^ x[j]), hi))  # the nearest first
             first = order[np.flatnonzero(np.diff(hi[order], prepend=-1))]  # each root takes one smaller root: no cycles
             edges.append((i[first], j[first]))
-            to = np.arange(n)
-            to[hi[first]] = lo[first]
-            while (up := to[to]).tolist() != to.tolist() if n < 64 else (to[to] != to).any():
-                to = to[to]
-            np.take(to, label, out=label)
+            root = np.unique(hi[first])  # of these alone the labels change
+            to = lo[first]  # hi[first] ascends, as order does
+            while len(up := np.flatnonzero(np.isin(to, root))):
+                to = to.copy()
+                to[up] = to[np.searchsorted(root, to[up])]
+            at = np.searchsorted(root, label)
+            at[at == len(root)] = 0
+            changed = root[at] == label
+            label[changed] = to[at[changed]]
+
+    def one(level):
+        """For each node of the level, the label that all its rows have, else -1."""
+        if level not in seen:
+            at = rows[level][0]
+            lo, hi = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+            seen[level] = np.where(lo == hi, lo, -1)
+        return seen[level]
 
     top = len(levels) - 1
-    k = len(levels[top][0])
-    i, j = np.triu_indices(k)
-    stack = [(top, i, j, np.zeros(len(i), np.int64), np.zeros(len(i), np.uint64), True)]
+    i = np.flatnonzero(rows[top][1] - rows[top][0] > 1)
+    stack = [(top, i, i, np.zeros(len(i), np.int64), levels[top][1][i])]
     while stack:
-        level, i, j, acc, known, fresh = stack.pop()
-        if fresh:
-            p, m = levels[level]
-            shared = m[i] & m[j]
-            acc = acc + np.bitwise_count((p[i] ^ p[j]) & shared & ~known)  # only the bits that the nodes above did not share
-            keep = acc <= distance
-            i, j, acc, known = i[keep], j[keep], acc[keep], shared[keep]
-            if level == 0:
-                keep = i < j
-                join(i[keep], j[keep])
-                continue
-        if len(i) > OPEN:
-            stack.append((level, i[OPEN:], j[OPEN:], acc[OPEN:], known[OPEN:], False))
-            i, j, acc, known = i[:OPEN], j[:OPEN], acc[:OPEN], known[:OPEN]
+        level, i, j, acc, known = stack.pop()
+        own = one(level)
+        keep = (own[i] != own[j]) | (own[i] < 0)
+        i, j, acc, known = i[keep], j[keep], acc[keep], known[keep]
         if not len(i):
             continue
-        size = LEAF**level
-        at = np.arange(0, n, size)
-        lo, hi = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
-        keep = ~((lo[i] == hi[i]) & (lo[j] == hi[j]) & (lo[i] == lo[j]))  # else already one component
-        i, j, acc, known = i[keep], j[keep], acc[keep], known[keep]
-        below = len(levels[level - 1][0])
-        ci = (i[:, None, None] * LEAF + np.arange(LEAF)[:, None] + np.zeros(LEAF, int)).ravel()
-        cj = (j[:, None, None] * LEAF + np.zeros((LEAF, 1), int) + np.arange(LEAF)).ravel()
-        acc, known = np.repeat(acc, LEAF * LEAF), np.repeat(known, LEAF * LEAF)
-        keep = (ci < below) & (cj < below) & (ci <= cj)
-        stack.append((level - 1, ci[keep], cj[keep], acc[keep], known[keep], True))
+        _, _, lo, hi, _ = levels[level]
+        count = (hi[i] - lo[i]) * (hi[j] - lo[j])
+        fit = max(1, int(np.searchsorted(np.cumsum(count), OPEN, "right")))
+        if fit < len(i):
+            stack.append((level, i[fit:], j[fit:], acc[fit:], known[fit:]))
+            i, j, acc, known, count = i[:fit], j[:fit], acc[:fit], known[:fit], count[:fit]
+        at = np.repeat(np.arange(len(i)), count)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        wide = (hi[j] - lo[j])[at]
+        ci, cj = lo[i][at] + k // wide, lo[j][at] + k % wide
+        keep = (ci < cj) | (ci == cj) & (level > 1)
+        ci, cj, at = ci[keep], cj[keep], at[keep]
+        p, m = levels[level - 1][:2]
+        shared = m[ci] & m[cj]
+        acc = acc[at] + np.bitwise_count((p[ci] ^ p[cj]) & shared & ~known[at])  # only the bits that the nodes above did not share
+        keep = acc <= distance
+        ci, cj, acc, shared = ci[keep], cj[keep], acc[keep], shared[keep]
+        if level == 1:
+            join(ci, cj)
+            continue
+        if not more:  # all rows of both nodes are within the distance
+            sure = acc + 64 - np.bitwise_count(shared) <= distance
+            if sure.any():
+                a, z = rows[level - 1]
+                for to in (ci[sure], cj[sure]):
+                    which, row = _ranges(a[to], z[to])
+                    first = a[ci[sure]][which]
+                    join(first[first != row], row[first != row])
+                ci, cj, acc, shared = ci[~sure], cj[~sure], acc[~sure], shared[~sure]
+        stack.append((level - 1, ci, cj, acc, shared))
     return edges
 
 
-def _edges(distance: int, tables: list[int], forests: tuple):
-    """From rows (table, key, fp, node) in (table, key, Gray) order: pairs of nodes whose fingerprints are near."""
+def _edges(distance: int, tables: list[int], forests: tuple, views: int, far: int):
+    """From rows (table, key, node, fp, other views) in (table, key, Gray) order: pairs of nodes whose fingerprints are near."""
 
     def run(batches):
         import numpy as np
@@ -194,63 +255,56 @@ def _edges(distance: int, tables: list[int], forests: tuple):
 
         mask = np.array(tables, np.uint64)
 
-        def found(table, key, x, node):
-            cut = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]) | (key[1:] != key[:-1])]))
-            size = np.diff(np.append(cut, len(x)))
-            end = np.repeat(cut + size, size)
-            out = []
-
-            def first(i, j):
-                """Those pairs that meet in no earlier table. For forests this keeps components too: the ends of an edge
-                left out are joined in the earlier table's run, by edges of which the same holds."""
-                for t in range(int(table[i].max()) if len(i) else 0):
-                    new = (table[i] <= t) | (((x[i] ^ x[j]) & mask[t]) != 0)
-                    i, j = i[new], j[new]
-                return i, j
-
-            here = np.flatnonzero(np.repeat(size <= DIRECT, size))
-            for step in range(1, DIRECT):
-                here = here[here + step < end[here]]
-                if not len(here):
-                    break
-                d = x[here] ^ x[here + step]
-                near = np.bitwise_count(d) <= distance
-                k = first(here[near], here[near] + step)[0]
-                out.append((k, k + step))
-            for c, s in zip(cut[size > DIRECT], size[size > DIRECT], strict=True):
-                forest = [np.stack([i, j]) + c for f in forests for i, j in search(x[c : c + s], f)]
-                if forest:
-                    out.append(first(*np.unique(np.concatenate(forest, axis=1), axis=1)))
-            i, j = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
+        def found(table, key, node, x, *others):
+            x, others = x.view(np.uint64), [(o.view(np.uint64), far) for o in others]
+            bounds = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]) | (key[1:] != key[:-1]), [True]]))
+            some = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+            bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[np.diff(bounds) > 1])])
+            table, node, x, others = table[some], node[some], x[some], [(o[some], d) for o, d in others]
+            out = [np.stack([i, j]) for f in forests for i, j in search(x, f, bounds, others)]
+            i, j = np.concatenate(out, axis=1) if out else (np.zeros(0, int), np.zeros(0, int))
+            # Only pairs that meet in no earlier table. The forests keep their components: the ends of an edge left out are
+            # joined in the earlier table's run, by edges of which the same holds.
+            for t in range(int(table[i].max()) if len(i) else 0):
+                new = (table[i] <= t) | (((x[i] ^ x[j]) & mask[t]) != 0)
+                i, j = i[new], j[new]
             return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
-        held = None
+        held: list[list] = []  # columns of the batches since the last that ended a run
+        size = 0
         for b in batches:
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
-            held = now if held is None else [np.concatenate(v) for v in zip(held, now, strict=True)]
-            if not len(held[0]):
+            if not len(b):
                 continue
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            done = last[-1] + 1 if len(last) else 0  # all but the last run are whole
-            if done:
-                yield found(held[0][:done], held[1][:done], held[2][:done].view(np.uint64), held[3][:done])
-            held = [v[done:].copy() for v in held]
-        if held is not None and len(held[0]):
-            yield found(held[0], held[1], held[2].view(np.uint64), held[3])
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+            last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            done = last[-1] + 1 if len(last) else 0
+            if not done and held and (held[-1][0][-1] != now[0][0] or held[-1][1][-1] != now[1][0]):
+                yield found(*(np.concatenate(v) for v in zip(*held, strict=True)))
+                held, size = [], 0
+            if done and size + done >= ROWS:  # all but the last run are whole
+                held.append([v[:done] for v in now])
+                yield found(*(np.concatenate(v) for v in zip(*held, strict=True)))
+                held, size, now = [], 0, [v[done:].copy() for v in now]
+            held.append(now)
+            size += len(now[0])
+        if held:
+            yield found(*(np.concatenate(v) for v in zip(*held, strict=True)))
 
     return run
 
 
-def links(nodes: DataFrame, distance: int, forests: tuple | None = None) -> DataFrame:
-    """Edges a, b between rows of nodes (node, fp0, fp1, ...) of which one view is within the distance; in runs of over
-    DIRECT rows those of spanning forests at each distance of `forests`."""
+def links(nodes: DataFrame, distance: int, forests: tuple | None = None, far: int = 64) -> DataFrame:
+    """Edges a, b between rows of nodes (node, fp0, fp1, ...) of which one view is within the distance and the others are
+    within `far`: those of spanning forests at each distance of `forests`."""
     tables = masks(distance, nodes.count())
-    out = None
-    for v in (c for c in nodes.columns if c.startswith("fp")):
+    views, out = [c for c in nodes.columns if c.startswith("fp")], None
+    for v in views:
+        others = [c for c in views if c != v]
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("table"), F.col(v).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(tables)]))
-        rows = nodes.select(F.col(v).alias("fp"), "node", each.alias("t")).select("t.table", "t.key", "fp", "node")
+        rows = nodes.select("node", F.col(v).alias("fp"), *(F.col(c).alias(f"other{k}") for k, c in enumerate(others)), each.alias("t"))
+        rows = rows.select("t.table", "t.key", "node", "fp", *(f"other{k}" for k in range(len(others))))
         rows = rows.repartition("table", "key").sortWithinPartitions("table", "key", gray_rank(F.col("fp")))
-        e = rows.mapInArrow(tidy(_edges(distance, tables, forests or (distance,))), "a long, b long")
+        e = rows.mapInArrow(tidy(_edges(distance, tables, forests or (distance,), len(views), far)), "a long, b long")
         out = e if out is None else out.unionByName(e)
     return out
 
@@ -280,7 +334,7 @@ def _similar(least: float):
     return run
 
 
-def _across(distance: int, least: float, views: int):
+def _across(distance: int, least: float, views: int, far: int):
     """From a block of rows (stray, piece, sketch, fp0, ...): pairs of pieces of which a stray and another row are similar
     and near in one view, as many as join the block's pieces."""
 
@@ -299,9 +353,8 @@ def _across(distance: int, least: float, views: int):
             return k
 
         for i in rows:
-            near = np.zeros(len(others), bool)
-            for x in fps:
-                near |= np.bitwise_count(x[i] ^ x[others]) <= distance
+            d = np.stack([np.bitwise_count(x[i] ^ x[others]) for x in fps])
+            near = (d.min(0) <= distance) & (d.max(0) <= far)
             for j in others[near & (piece[others] != piece[i])]:
                 a, b = root(piece[i]), root(piece[j])
                 if a != b and alike(sketch[i], sketch[j], least):
@@ -331,7 +384,7 @@ def star(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def verified(nodes: DataFrame, candidates: DataFrame, sure: DataFrame, sketches: DataFrame, distance: int, similarity: float) -> DataFrame:
+def verified(nodes: DataFrame, candidates: DataFrame, sure: DataFrame, sketches: DataFrame, distance: int, similarity: float, far: int = 64) -> DataFrame:
     """What star gives, of all pairs of nodes that are near and similar. candidates: edges with the components of all near
     pairs; sure: the similar ones of them. Where a candidate component falls into several pieces, an edge that the forest
     left out may join them: all near pairs between its pieces are looked at, each block of strays (rows outside the
@@ -355,7 +408,7 @@ def verified(nodes: DataFrame, candidates: DataFrame, sure: DataFrame, sketches:
     deal = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
     strays = rows.where("piece <> main").select("part", at("ks").alias("i"), deal("kn").alias("j"), F.lit(True).alias("stray"), "piece", "sketch", *views)
     others = rows.select("part", deal("ks").alias("i"), at("kn").alias("j"), F.lit(False).alias("stray"), "piece", "sketch", *views)
-    more = strays.unionByName(others).groupBy("part", "i", "j").applyInArrow(_across(distance, similarity, len(views)), "a long, b long")
+    more = strays.unionByName(others).groupBy("part", "i", "j").applyInArrow(_across(distance, similarity, len(views), far), "a long, b long")
     more = written(more, "more")
     if more.isEmpty():
         return pieces
@@ -364,14 +417,14 @@ def verified(nodes: DataFrame, candidates: DataFrame, sure: DataFrame, sketches:
     return pieces.join(to, F.col("v") == F.col("k"), "left").select("u", F.coalesce("to", "v").alias("v")).union(joined)
 
 
-def grouped(prints: DataFrame, distance: int, similarity: float | None = None) -> DataFrame:
+def grouped(prints: DataFrame, distance: int, similarity: float | None = None, far: int = 64) -> DataFrame:
     """prints (a written table with id, fp0, ...) with component_id and its root, a node. Rows alike in all views are one
     node; with a similarity, only if their sketches are alike too, and links are those whose sketches are as similar."""
     views = [c for c in prints.columns if c.startswith("fp")]
     node = F.xxhash64(*views, "sketch") if similarity else F.col(views[0]) if len(views) == 1 else F.xxhash64(*views)
     nodes = prints.withColumn("node", node).groupBy("node", *views).agg(F.min("id").alias("least"), *([F.min(F.struct(F.col("id").isNull(), "id", "h")).getField("h").alias("row")] if similarity else []))
     nodes = written(nodes, "nodes")
-    e = links(nodes.select("node", *views), distance, (distance // 3, 2 * distance // 3, distance) if similarity else None)
+    e = links(nodes.select("node", *views), distance, (distance // 3, 2 * distance // 3, distance) if similarity else None, far)
     if similarity:
         e = written(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         ends = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -379,7 +432,7 @@ def grouped(prints: DataFrame, distance: int, similarity: float | None = None) -
         sketches = written(prints.select("h", "sketch").join(own, "h").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
         side = lambda n: sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
         sure = e.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_similar(similarity)), "a long, b long")
-        roots = verified(nodes.select("node", *views), e, written(sure, "sure"), sketches, distance, similarity)
+        roots = verified(nodes.select("node", *views), e, written(sure, "sure"), sketches, distance, similarity, far)
     else:
         roots = star(e)
     member = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "least", F.coalesce("v", "node").alias("root"))
@@ -394,7 +447,7 @@ def simhash(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "d
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 10, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 10, similarity: float = 0.8, far: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs, with its columns, of each group of near copies: the one with the smallest id.
 
     Rows link where their sets of five-word shingles are similar to 0.8 or more, as far as one of two 64-bit views of the
@@ -402,7 +455,7 @@ def keep_one(docs: DataFrame, words: int = 5, distance: int = 10, similarity: fl
     0.85 and over 99% from 0.9 on are candidates, and groups need only some of their pairs."""
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     prints = written(fingerprints(docs, words, 2, id_col, text_col, sketch=True, distinct=True), "prints")
-    groups = grouped(prints, distance, similarity)
+    groups = grouped(prints, distance, similarity, far)
     # No id and h of its own may repeat in a component: those are repeated rows, of which one stays.
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("best"))
     keep = written(best.select(F.col("best.id").alias("_id"), F.col("best.h").alias("_h")), "keep")
