@@ -61,6 +61,14 @@ def dropped(*tables: DataFrame) -> None:
         _delete(df.sparkSession.sparkContext, df.__dict__["_written"])
 
 
+def repeated(df: DataFrame, times: str, most: int = 4096) -> DataFrame:
+    """df with each row as often as its column `times` (a long, 1 at least) says; no array grows with that number."""
+    t, outer = F.col(times), F.col("_outer")
+    steps = df.withColumn("_outer", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((t - 1) / (most * most)))))
+    steps = steps.withColumn("_outer", F.explode(F.sequence(outer * most, F.least(outer * most + most - 1, F.floor((t - 1) / most)))))
+    return steps.withColumn("_inner", F.explode(F.sequence(outer * most, F.least(outer * most + most, t) - 1))).drop("_outer", "_inner")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,8 +6,9 @@ an equi-join on the first 8 hex digits of the hash finds candidate rules; the fu
 rules that fit, the longest host + path wins.
 
 Which expressions to make follows from the rules: a rule of k host labels and a path of n characters can only equal the
-expression (last k labels, first n characters). The distinct (k, n) of the rules are few; they bound the expansion of
-any URL, however long its host or path is.
+expression (last k labels, first n characters). So a URL meets, by its label counts, the path lengths that rules of so
+many labels have. They bound the expansion of any URL, however long its host or path is, and rules of any number of
+shapes are followed.
 
 Defined results: a null URL, or one without "://", has empty host and path, fits no rule with a host, and gets the
 default verdict with a null rule. Of two verdicts for the same host and path, block wins. Rules with a null host or
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chiasma.llm.common import ascii_lower
+from chiasma.llm.common import ascii_lower, repeated
 
 NAME = "op1_url_filter"
 #: (host, path, verdict)
@@ -33,7 +34,6 @@ RULES = [
 #: Rule tables of up to this many rows (under 64 MB) are broadcast; larger ones are joined by a shuffle with salted keys.
 BROADCAST_RULES = 200_000
 SALTS = 32
-MAX_SHAPES = 4096
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -66,20 +66,20 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
                broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """id_col, host, path, rule, verdict of every row of pages. rules: host, path, verdict ('allow' or 'block')."""
     hashed = hashed_rules(rules)
-    shapes = [(r.k, r.n) for r in hashed.select("k", "n").distinct().limit(MAX_SHAPES + 1).collect()]
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"rules have more than {MAX_SHAPES} distinct (host labels, path length)")
-    u = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    # The expression "" stands for the row itself: it carries the row through the grouping and counts repeated rows.
-    made = [F.lit("")] + [
-        F.when((_labels(F.col("host")) >= k) & (F.length("path") >= n) & (F.col("host") != ""),
-               F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n)))
-        for k, n in sorted(shapes)
-    ]
+    # A row for each number of labels that a rule has, with path lengths: no larger than the longest rules.
+    shapes = F.broadcast(hashed.groupBy(F.col("k").alias("rule_k")).agg(F.collect_set("n").alias("ns")))
+    most = hashed.agg(F.max("k")).first()[0] or 0
+    u = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
+    # The expression "" of no labels stands for the row itself: it carries the row through the grouping and counts repeated rows.
+    labels = F.when(F.col("host") != "", F.least(_labels(F.col("host")), F.lit(most))).otherwise(0)
+    e = u.withColumn("k", F.explode(F.sequence(F.lit(0), labels))).join(shapes, F.col("k") == F.col("rule_k"), "left")
+    lengths = F.when(F.col("k") == 0, F.array(F.lit(0))).otherwise(F.filter("ns", lambda n: n <= F.length("path")))
     e = (
-        u.withColumn("expr", F.explode(F.array_compact(F.array(*made))))
-        .withColumn("x_digest", F.when(F.col("expr") != "", F.sha2("expr", 256)))
+        e.withColumn("n", F.explode(lengths))
+        .withColumn("expr", F.when(F.col("k") == 0, "").otherwise(F.expr("concat(substring_index(host, '.', -k), substring(path, 1, n))")))
+        .withColumn("x_digest", F.when(F.col("k") > 0, F.sha2("expr", 256)))
         .withColumn("prefix", F.substring("x_digest", 1, 8))
+        .drop("k", "rule_k", "ns", "n")
     )
     r = hashed.select("rule", "verdict", "digest", "prefix")
     if r.limit(broadcast_rules + 1).count() <= broadcast_rules:
@@ -89,13 +89,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         hit = e.withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["prefix", "salt"], "left")
     fits = F.col("digest") == F.col("x_digest")
     best = F.max(F.when(fits, F.struct(F.length("rule").alias("len"), F.col("rule"), F.col("verdict"))))
-    return (
-        hit.where((F.col("expr") == "") | fits)
-        .groupBy("id", "host", "path")
-        .agg(F.count(F.when(F.col("expr") == "", 1)).alias("copies"), best.alias("best"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-    )
+    judged = hit.where((F.col("expr") == "") | fits).groupBy("id", "host", "path").agg(F.count(F.when(F.col("expr") == "", 1)).alias("copies"), best.alias("best"))
+    return repeated(judged, "copies").select(
+        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

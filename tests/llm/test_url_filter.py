@@ -36,3 +36,25 @@ def test_empty_tables(spark):
     assert M.url_filter(pages, spark.createDataFrame(M.RULES, none.schema)).count() == 0
     r = M.url_filter(spark.createDataFrame([(1, "http://a.com/")], pages.schema), none).first()
     assert (r.rule, r.verdict) == (None, "allow")
+
+
+def test_rules_of_many_shapes(spark):
+    """Over 4096 pairs of label count and path length, and a row that is repeated very often."""
+    rules = [(".".join(["a"] * k + ["com"]), "/" + "x" * n, "block" if (k + n) % 2 else "allow") for k in range(10) for n in range(450)]
+    urls = [(i, f"http://{'.'.join(['a'] * k + ['com'])}/{'x' * n}y") for i, (k, n) in enumerate([(0, 0), (3, 7), (9, 449), (12, 500), (4, 448)])] + [(9, "http://b.com/x")] * 9000
+    got = M.url_filter(spark.createDataFrame(urls, "page_id long, url string").repartition(4), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    got = [(r.page_id, r.rule, r.verdict) for r in got.collect()]
+    want = []
+    for i, u in urls:
+        host, path = u[7:].split("/", 1)
+        fit = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)] if i != 9 else [("com/", "allow"), ("com/x", "block")]
+        want.append((i, *max(fit, key=lambda x: len(x[0]))))
+    assert sorted(got) == sorted(want)
+
+
+def test_repeated(spark):
+    from chiasma.llm.common import repeated
+
+    df = spark.createDataFrame([(1, 1), (2, 3), (3, 4), (4, 9), (5, 100), (6, 1000)], "k int, times long")
+    for most in (2, 3, 4096):
+        assert {r.k: r["count"] for r in repeated(df, "times", most).groupBy("k").count().collect()} == {1: 1, 2: 3, 3: 4, 4: 9, 5: 100, 6: 1000}
