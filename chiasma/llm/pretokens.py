@@ -7,7 +7,8 @@ pre-tokens, encoded apart; the exception is a space next to other white space at
 Natural text repeats few such units often, and a bounded memo makes the tokenizers library encode each about once per
 Python worker. Texts are cut here only if all their characters belong to a set on which every Unicode version and both
 pattern engines agree (ASCII, Latin letters to U+024F, common punctuation) and they hold none of the tokenizer's special
-strings. Every other text goes to the library as a whole, so results are the library's for any text.
+strings. Of every other text the library finds the pre-tokens, or encodes it as a whole, so results are the library's for
+any text.
 """
 
 from __future__ import annotations
@@ -52,6 +53,9 @@ class PreTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # Pre-tokens are normalised already; doing so again could change some (marks in another order).
+        self.bare = Tokenizer.from_str(self.tokenizer.to_str())
+        self.bare.normalizer = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -74,14 +78,24 @@ class PreTokens:
         return not (_CONTROL.search(text) if text.isascii() else _UNSURE.search(text))
 
     def find(self, text: str) -> list[str] | None:
-        """The pre-tokens themselves, or None."""
-        return self.find_plain(text.lower() if self.lower else text) if self.plain(text) else None
+        """The pre-tokens themselves, or None where the library must see the text whole."""
+        if self.plain(text):
+            return self.find_plain(text.lower() if self.lower else text)
+        if not self.kind or any(x in text for x in self.special):
+            return None
+        t = self.tokenizer
+        plain = t.normalizer.normalize_str(text) if t.normalizer else text
+        return [plain[a:z] for _, (a, z) in t.pre_tokenizer.pre_tokenize_str(plain)]
 
     def whole(self, unit: str) -> str:
         """The text that a unit stands for: at byte level the space before it belongs to it, but for the first of a text,
         which a leading \\x00 marks."""
         return unit if self.kind == "word" else unit[1:] if unit[:1] == "\x00" else " " + unit
 
+    def pieces(self, parts: list[str]) -> list[list[int]]:
+        """The ids of each pre-token."""
+        return [e.ids for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -11,7 +11,9 @@ text) x (pieces of the pre-token). Three steps:
 3. The rest, a few hundredths of the occurrences and none of them hot, is joined by a shuffle on the pre-token. Sums per
    document follow.
 
-Texts that cannot be taken apart safely (see pretokens) are counted by the library as a whole, in step 2.
+Texts are taken apart by the tokenizer's pattern where all Unicode versions agree on their characters, else by the
+library's own normaliser and splitter (see pretokens). Only texts that hold one of the tokenizer's special strings, or a
+tokenizer of another kind, are counted by the library as a whole, in step 2.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows give repeated rows;
 an empty table gives an empty table.
@@ -24,14 +26,14 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chiasma.llm.common import documents, written
+from chiasma.llm.common import documents, repeated, written
 from chiasma.llm.pretokens import pretokens
 
 NAME = "op4_token_counts"
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
 #: Rows of the broadcast table: at 64 characters a pre-token under 32 MB.
 HEAD = 1 << 18
-#: Distinct pre-tokens that a task sums before it passes them on; longer pre-tokens than LONGEST are counted in place.
+#: Distinct pre-tokens that a task sums before it passes them on; longer ones than LONGEST are never broadcast.
 FLUSH, LONGEST = 100_000, 64
 #: Rows that a task gathers for one Arrow batch.
 BATCH = 20_000
@@ -65,7 +67,7 @@ def _count_pieces(name: str):
         p = pretokens(name)
         for b in batches:
             words = b.column(0).to_pylist()
-            n = [len(e.ids) for e in p.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            n = list(map(len, p.pieces(words)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32())], ["pretoken", "freq", "pieces"])
 
     return run
@@ -97,8 +99,6 @@ def _frequencies(name: str, head):
                 n, rest = 0, []
                 for w, k in Counter(parts).items():
                     c = pieces.get(w)
-                    if c is None and len(w) > LONGEST:
-                        c = len(p.ids([w])[0])
                     if c is None:
                         rest.append((w, k))
                     else:
@@ -143,13 +143,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     head = docs.sparkSession.sparkContext.broadcast(head_of(table, head_rows))
     per_doc = d.mapInArrow(_frequencies(tokenizer, head), "id long, h long, n_bytes long, n_head long, pretoken string, freq long")
     joined = per_doc.join(table.select("pretoken", "pieces"), "pretoken", "left")
-    return (
-        joined.groupBy("id", "h")
-        .agg(F.count("n_head").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.sum(F.coalesce("n_head", F.col("freq") * F.col("pieces"))).alias("all"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(F.col("id").alias(id_col), "n_bytes", F.expr("all div copies").alias("n_tokens"))
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    sums = joined.groupBy("id", "h").agg(F.count("n_head").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.sum(F.coalesce("n_head", F.col("freq") * F.col("pieces"))).alias("all"))
+    return repeated(sums, "copies").select(F.col("id").alias(id_col), "n_bytes", F.expr("all div copies").alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,31 @@ def test_memo_equals_library(name):
         assert np.frombuffer(m.encode(t), "<u2").tolist() == p.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def foreign(n=300):
+    """Texts in other scripts, signs, marks and emoji, in bulk."""
+    r = random.Random(6)
+    scripts = [range(0x410, 0x450), range(0x4E00, 0x4E80), range(0x627, 0x64A), range(0x300, 0x330), range(0x1F600, 0x1F640), range(0x905, 0x940), range(0xAC00, 0xAC40), range(0x3B1, 0x3CA), range(0x2160, 0x2180), range(0x1100, 0x1120)]
+    word = lambda: "".join(chr(r.choice(r.choice(scripts) if r.random() < 0.1 else s)) for s in [r.choice(scripts)] * r.randint(1, 7))
+    return ["".join(word() + r.choice([" ", "  ", ", ", "\n", "'s ", "\u3000", "\xa0", "12 ", "İ"]) for _ in range(r.randint(1, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pretokens_of_other_scripts(name):
+    """No such text goes to the library whole, and the pieces of its pre-tokens are the text's."""
+    p = pretokens(name)
+    for t in foreign():
+        parts = p.find(t)
+        assert parts is not None
+        assert [i for e in p.pieces(parts) for i in e] == p.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_other_scripts_in_bulk(spark):
+    rows = [*enumerate([*foreign(), "漢" * 3000, "ж" * 70 + " " + "ж" * 70])]
+    got = {r.doc_id: r.n_tokens for r in M.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), head_rows=500).collect()}
+    p = pretokens(M.TOKENIZER).tokenizer
+    assert got == {i: len(p.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
 @pytest.mark.parametrize("head", [M.HEAD, 50, 0])
 def test_against_library(spark, head):
     rows = [*enumerate(texts(60)), (3, None), (None, "a b"), (None, None), (7, "same same"), (7, "same same")]
