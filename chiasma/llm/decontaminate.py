@@ -6,11 +6,12 @@ edits of the item, at least t = m + 1 - q * (k + 1) of the item's q-grams occur
 item position) that span at most k. So:
 
 1. The items' q-grams are hashed into a sorted table, with a bitmap before it. A text's rolling hashes are looked up; a
-   hit gives (item, diagonal) for every place the q-gram has in the items.
+   hit gives (item, diagonal) for every place the q-gram has in the items, HITS at a time.
 2. Hits are counted in diagonal bands of 2(k + 1) that overlap by half, so any span of k + 1 diagonals lies within one.
-   Bands with t hits or more stay.
+   Bands with t hits or more stay; neighbours of one item become one, up to WIDE diagonals, so a text of one repeated
+   passage costs an alignment for each of those, not for each band.
 3. The item is aligned with each band that stays, edits counted within the band widened by k on both sides, free at both
-   ends of the text. Regions within k edits are leaks.
+   ends of the text. Regions within k edits are leaks. Where only clean texts are kept, the first leak decides.
 
 Documents are scanned where they are read: no shuffle, and nothing is sent but the items, in blocks of at most
 BLOCK_CHARS characters with one pass each, so the broadcast is bounded for a benchmark of any size.
@@ -32,6 +33,8 @@ from chiasma.llm.common import documents, tidy
 NAME = "op5_decontaminate"
 Q, RATE = 10, 0.08
 BLOCK_CHARS, CHUNK = 2 << 20, 1 << 20
+#: Hits counted at a time; diagonals aligned at a time.
+HITS, WIDE = 1 << 20, 1 << 16
 _BITS = 22
 _SPACES = [c for c in range(0x3001) if chr(c).isspace()]
 
@@ -107,10 +110,9 @@ class Items:
         self.t = np.array(self.least, np.int64)
 
     def hits(self, text: str):
-        """(item, diagonal) of every shared q-gram; long texts in chunks."""
+        """(item, diagonal) of every shared q-gram, in slices; long texts in chunks."""
         import numpy as np
 
-        items, diagonals = [], []
         for lo in range(0, max(1, len(text) - self.q + 1), CHUNK):
             h = qgram_hashes(_codes(text[lo : lo + CHUNK + self.q - 1]), self.q)
             at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - _BITS)])
@@ -121,56 +123,94 @@ class Items:
             same = self.known[k] == h[at]
             at, k = at[same], k[same]
             n = self.n[k]
-            row = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            items.append(self.item[row])
-            diagonals.append(np.repeat(at + lo, n) - self.place[row])
-        return (np.concatenate(items), np.concatenate(diagonals)) if items else (None, None)
-
-    def bands(self, text: str):
-        """(item, lowest diagonal) of the bands that meet the lemma's bound."""
+            end = np.cumsum(n)
+            cuts = np.unique(np.concatenate([np.searchsorted(end, np.arange(HITS, end[-1], HITS), "left"), [0, len(at)]])) if len(at) else []
+            for i, j in zip(cuts, cuts[1:], strict=False):  # a q-gram has no more places than the block has characters
+                own = n[i:j]
+                row = np.repeat(self.first[k[i:j]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                yield self.item[row], np.repeat(at[i:j] + lo, own) - self.place[row]
+
+    def bands(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, lowest diagonal, diagonals) of the bands that meet the lemma's bound, neighbours as one."""
         import numpy as np
 
-        item, d = self.hits(text) if len(self.known) else (None, None)
-        if item is None:
+        if not len(self.known):
+            return []
+        key, count, bias = np.zeros(0, np.int64), np.zeros(0, np.int64), 1 << 39
+        for item, d in self.hits(text):  # half a band each
+            new, n = np.unique((item << 40) | (d // (self.k[item] + 1) + bias), return_counts=True)
+            if len(key):
+                new, at = np.unique(np.concatenate([key, new]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([count, n]), len(new)).astype(np.int64)
+            key, count = new, n
+        if not len(key):
             return []
-        width = self.k[item] + 1
-        low = d // width
-        key = np.concatenate([np.stack([item, low]), np.stack([item, low - 1])], axis=1)  # the two bands a diagonal is in
-        key, n = np.unique(key, axis=1, return_counts=True)
-        ok = n >= self.t[key[0]]
-        return [(int(i), int(b) * (self.budget[i] + 1)) for i, b in key[:, ok].T]
+        low = np.unique(np.concatenate([key, key - 1]))  # a band is this half and the next
 
-    def leaks(self, text: str | None) -> list[tuple]:
-        """(item's index, start, end, edits) in the text as it was given."""
-        plain = normalised(text or "")
-        if not plain:
+        def of(k):
+            at = np.searchsorted(key, k)
+            at[at == len(key)] = 0
+            return np.where(key[at] == k, count[at], 0)
+
+        low = low[of(low) + of(low + 1) >= self.t[low >> 40]]
+        if not len(low):
             return []
-        found = []
-        for i, low in self.bands(plain):
+        first = np.flatnonzero(np.diff(low, prepend=-2) != 1)
+        out = []
+        for lo, hi in zip(low[first], low[np.append(first[1:], len(low)) - 1], strict=True):
+            i = int(lo >> 40)
+            width, step = self.budget[i] + 1, max(1, WIDE // (self.budget[i] + 1))
+            for b in range(int(lo & ((1 << 40) - 1)) - bias, int(hi & ((1 << 40) - 1)) - bias + 1, step):
+                last = min(b + step - 1, int(hi & ((1 << 40) - 1)) - bias)
+                out.append((i, b * width, (last - b + 2) * width))
+        return out
+
+    def found(self, plain: str):
+        """(item's index, start, end, edits) in a normalised text, lazily; regions of one item may overlap."""
+        for i, low, wide in self.bands(plain):
             k, item = self.budget[i], self.texts[i]
-            lo, hi = max(0, low - k), low + 2 * (k + 1) + len(item) + k
-            exact = plain.find(item, lo, hi)
-            got = (exact, exact + len(item), 0) if exact >= 0 else align(item, plain, low - k, 2 * (k + 1) + 2 * k, k)
-            if got:
-                found.append((i, *got))
+            if wide + 3 * k < len(item):  # there is room for one region only
+                lo, hi = max(0, low - k), low + wide + len(item) + k
+                exact = plain.find(item, lo, hi)
+                if exact >= 0:
+                    yield i, exact, exact + len(item), 0
+                    continue
+            for start, end, edits in align(item, plain, low - k, wide + 2 * k, k, one=wide + 3 * k < len(item)):
+                yield i, start, end, edits
         for i in self.short:
             at = plain.find(self.texts[i])
             while at >= 0:
-                found.append((i, at, at + len(self.texts[i]), 0))
+                yield i, at, at + len(self.texts[i]), 0
                 at = plain.find(self.texts[i], at + len(self.texts[i]))
-        kept = []
-        for x in sorted(found, key=lambda x: (x[0], x[3], x[1])):
-            if not any(y[0] == x[0] and x[1] < y[2] and y[1] < x[2] for y in kept):
-                kept.append(x)
+
+    def any(self, text: str | None) -> bool:
+        plain = normalised(text or "")
+        return bool(plain) and next(iter(self.found(plain)), None) is not None
+
+    def leaks(self, text: str | None) -> list[tuple]:
+        """(item's index, start, end, edits) in the text as it was given."""
+        from bisect import bisect_left, insort
+
+        plain = normalised(text or "")
+        if not plain:
+            return []
+        kept, taken = [], {}
+        for x in sorted(set(self.found(plain)), key=lambda x: (x[0], x[3], x[1], x[2])):
+            own = taken.setdefault(x[0], [])  # regions of the item, none of which overlap
+            k = bisect_left(own, (x[1], x[2]))
+            if (k and own[k - 1][1] > x[1]) or (k < len(own) and own[k][0] < x[2]):
+                continue
+            insort(own, (x[1], x[2]))
+            kept.append(x)
         if not kept:
             return []
         at = positions(text)
         return [(i, int(at[a]), int(at[b - 1]) + 1, e) for i, a, b, e in kept]
 
 
-def align(item: str, text: str, low: int, width: int, most: int):
-    """(start, end, edits) of the region of text nearest to item within the diagonals low to low + width, or None where
-    it takes more than `most` edits."""
+def align(item: str, text: str, low: int, width: int, most: int, one: bool = True) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the region of text nearest to item within the diagonals low to low + width, or of the best
+    one at every end; none that takes more than `most` edits."""
     import numpy as np
 
     a, m, reach = _codes(item), len(item), np.arange(width + 1)
@@ -190,13 +230,11 @@ def align(item: str, text: str, low: int, width: int, most: int):
         source = np.maximum.accumulate(np.where(x == low_x, reach, 0))
         cost, start = low_x + reach, begin[source]
         if cost.min() > most:
-            return None
+            return []
     end = low + m + reach
     cost = np.where((end >= 0) & (end <= len(text)), cost, big)
-    k = int(np.argmin(cost))
-    if cost[k] > most:
-        return None
-    return max(0, int(start[k])), int(end[k]), int(cost[k])
+    at = [int(np.argmin(cost))] if one else np.flatnonzero(cost <= most).tolist()
+    return [(max(0, int(start[k])), int(end[k]), int(cost[k])) for k in at if cost[k] <= most]
 
 
 @functools.lru_cache(maxsize=2)
@@ -264,7 +302,7 @@ def _clean(block: _Block, text_col: str):
 
         items = _items(block.key, block)
         for b in batches:
-            yield b.filter(pa.array([not items.leaks(t.as_py()) for t in b.column(text_col)], pa.bool_()))
+            yield b.filter(pa.array([not items.any(t.as_py()) for t in b.column(text_col)], pa.bool_()))
 
     return run
 

@@ -42,9 +42,10 @@ def cases():
     return items, [*texts, "", None, " ", "TINY  one", "İ " + items[2].upper() + " İİ", items[3], items[1] + " " + items[1], "x" * 200]
 
 
-@pytest.mark.parametrize("chunk", [M.CHUNK, 64])
-def test_against_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(M, "CHUNK", chunk)
+@pytest.mark.parametrize(("chunk", "hits", "wide"), [(M.CHUNK, M.HITS, M.WIDE), (64, 7, 9)])
+def test_against_brute_force(spark, monkeypatch, chunk, hits, wide):
+    for name, v in (("CHUNK", chunk), ("HITS", hits), ("WIDE", wide)):
+        monkeypatch.setattr(M, name, v)
     items, texts = cases()
     index = M.Items([(k, t) for k, t in enumerate(items) if t])
     for t in texts:
@@ -58,6 +59,23 @@ def test_against_brute_force(spark, monkeypatch, chunk):
             assert got.get(i) == (want if want <= index.budget[i] else None), (it, t)
 
 
+def test_repetitive_texts():
+    """A long text of one character, or of a repeated passage, beside items of the same kind, in bounded time and whole."""
+    import time
+
+    dash, passage = "-" * 180, "to be or not to be, that is the question here. "
+    index = M.Items([(1, dash), (2, (passage * 4).strip()), (3, "-" * 60 + "and here is where it ends" + "-" * 60)])
+    began = time.process_time()
+    got = index.leaks("start " + "-" * 100_000 + " stop")
+    assert {i for i, *_ in got} == {0} and len(got) >= 100_000 // 180 and all(e == 0 for *_, e in got[:500])
+    got = index.leaks(passage * 1000)
+    assert {i for i, *_ in got} == {1} and len(got) >= 240
+    assert index.any("-" * 100_000) and not index.any("- " * 50_000)
+    assert time.process_time() - began < 30
+    spans = sorted((a, b) for _, a, b, _ in got)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
 def test_spark(spark):
     items, texts = cases()
     bench = spark.createDataFrame([*enumerate(items), (50, items[3])], "item_id long, text string")
@@ -74,6 +92,7 @@ def test_spark(spark):
         M.BLOCK_CHARS = M_blocks
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if not index.leaks(r.text))
+    assert all(index.any(t) == bool(index.leaks(t)) for t in texts)
 
 
 def test_empty(spark):
