@@ -7,9 +7,11 @@ source: what is above is shared again by weight among the others until none is a
 Blocks. A hash of id and text deals each source's documents out to blocks of about BLOCK_WORDS words, at most about
 MAX_BLOCKS in all, so blocks are random parts of a source and their words fit on the driver at any input size. A source
 gives whole passes over its blocks while its target allows, and then blocks in their (hashed) order up to the rest. The
-last block gives documents in hash order as long as they fit: first the few of over 1 / LARGE of the rest, then the
-others, skipping up to SKIPPED that don't fit, and one more where that comes nearer. These choices are a threshold and a
-few hashes for each source, so every row decides by itself, without a join on the documents.
+last block is cut into slices of about BLOCK_WORDS words by the hash, gives whole slices likewise, and the slice in which
+the rest ends gives documents in hash order as long as they fit: first the few of over 1 / LARGE of the rest, then the
+others, skipping up to SKIPPED that don't fit, and one more where that comes nearer. So what one task looks at is bounded
+for any corpus. These choices are thresholds and a few hashes for each source, so every row decides by itself, without a
+join on the documents.
 
 Shards. The blocks that sources give are split among the output shards by a tree: at each node the left half's count of
 blocks of every source is drawn from the multivariate hypergeometric distribution, whose totals are exact, seeded by the
@@ -18,7 +20,7 @@ shard a copy's place is a hash: mix() shuffles there.
 
 Defined results: a null text has size 0; a source without words has target 0; rows with the same id and text have the
 same hash and are taken alike, so only where such rows outweigh a block can a target be missed; rerunning gives the same
-rows; an empty table gives an empty one. Sources may number up to MAX_SOURCES.
+rows; an empty table gives an empty one. The driver holds a few numbers for each source, block and quota.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chiasma.llm.common import documents, written
 
@@ -35,8 +38,7 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK_WORDS, MAX_BLOCKS, SEED = 1 << 16, 100_000, 20240229
 SKIPPED, LARGE = 16, 4
 #: Words of an output shard; there are at least and at most so many shards, and the tree's quotas are so many numbers.
-SHARD_WORDS, SHARDS, QUOTAS = 1 << 22, (16, 10_000), 100_000_000
-MAX_SOURCES = 1_000_000
+SHARD_WORDS, SHARDS, QUOTAS = 1 << 22, (16, 10_000), 10_000_000
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -74,8 +76,8 @@ def split(counts, shards: int, seed: int = SEED):
 
 @dataclass
 class Plan:
-    """sources: source, source_size, target, blocks, passes, whole (blocks given once more), below (hash up to which the
-    next block gives), if of up to `upto` words, skipped and added (hashes of it); blocks: source, block, shards (of its copies)."""
+    """sources: source, source_size, target, blocks, passes, whole (blocks given once more), floor (hash below which the
+    next block gives all), below (hash up to which it gives documents of up to `upto` words), skipped and added (hashes of it); blocks: source, block, shards (of its copies)."""
 
     sources: DataFrame
     blocks: DataFrame
@@ -131,9 +133,7 @@ def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     import pyarrow as pa
 
     spark = keyed.sparkSession
-    stats = keyed.groupBy("_source").agg(F.sum("_size").alias("n")).limit(MAX_SOURCES + 1).toArrow()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    stats = keyed.groupBy("_source").agg(F.sum("_size").alias("n")).toArrow()
     order = sorted(zip(stats["_source"].to_pylist(), stats["n"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or ""))
     names, sizes = [s for s, _ in order], [n for _, n in order]
     goal = targets(sizes, weights, share, most)
@@ -146,7 +146,7 @@ def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     table = [np.zeros(n, np.int64) for n in blocks]
     for s, b, n in zip(*(words[c].to_pylist() for c in ("source", "block", "n")), strict=True):
         table[at[s]][b] = n
-    passes, whole, cut, given = [], [], [], []
+    passes, whole, cut, given, slices = [], [], [], [], []
     for n, t, own in zip(sizes, goal, table, strict=True):
         p = int(t // n) if n else 0
         rest = t - p * n
@@ -156,10 +156,18 @@ def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
         whole.append(k)
         cut.append(rest - (int(ends[k - 1]) if k else 0))
         given.append(p * len(own) + k + (0 < rest and k < len(own)))
-    last = spark.createDataFrame(pa.table({"s": pa.array(names, pa.string()), "whole": pa.array(whole, pa.int64()), "cut": pa.array([int(round(c)) for c in cut], pa.int64())}))
+        slices.append(max(1, -(-int(own[k]) // BLOCK_WORDS)) if k < len(own) else 1)
+    last = spark.createDataFrame(pa.table({"s": pa.array(names, pa.string()), "whole": pa.array(whole, pa.int64()), "cut": pa.array([int(round(c)) for c in cut], pa.int64()), "slices": pa.array(slices, pa.int64())}))
     # One block of each source: about BLOCK_WORDS words, or 1 / MAX_BLOCKS of the corpus.
-    docs = placed.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("whole"))).where("cut > 0")
-    docs = docs.groupBy("source", "cut", "_h").agg(F.sum("_size").alias("_size"), F.max("_size").alias("_most")).groupBy("source", "cut").agg(F.collect_list(F.struct("_h", "_size", "_most")).alias("docs"))
+    partly = placed.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("whole"))).where("cut > 0")
+    partly = partly.select("source", "cut", "_h", "_size", F.shiftright(F.shiftright("_h", 32) * F.col("slices"), 31).alias("slice"))
+    sums = partly.groupBy("source", "cut", "slice").agg(F.sum("_size").alias("n"))  # as many rows as the block has slices
+    sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("slice")) - F.col("n"))
+    ends_in = sums.where("before <= cut AND (cut < before + n)").select("source", "slice", (F.col("cut") - F.col("before")).alias("rest"), "before").toArrow()
+    slice_of = dict(zip(ends_in["source"].to_pylist(), zip(*(ends_in[c].to_pylist() for c in ("slice", "before")), strict=True), strict=True))
+    floor = [-(-(slice_of[s][0] << 31) // n) << 32 if s in slice_of else 0 for s, n in zip(names, slices, strict=True)]
+    docs = partly.join(F.broadcast(spark.createDataFrame(ends_in.select(["source", "slice", "rest"]).rename_columns(["e", "z", "rest"]))), F.col("source").eqNullSafe(F.col("e")) & (F.col("slice") == F.col("z")))
+    docs = docs.groupBy("source", "rest", "_h").agg(F.sum("_size").alias("_size"), F.max("_size").alias("_most")).groupBy("source", "rest").agg(F.collect_list(F.struct("_h", "_size", "_most")).alias("docs"))
     chosen = {r.source: r for r in docs.mapInArrow(_last_block, "source string, below long, upto long, skipped array<long>, added array<long>").collect()}
     if shards is None:
         shards = max(SHARDS[0], min(int(sum(goal)) // SHARD_WORDS, SHARDS[1], QUOTAS // max(1, len(names))))
@@ -171,7 +179,7 @@ def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
             rows.append((s, b, to[b::n].tolist()))
     sources = spark.createDataFrame(pa.table({
         "source": pa.array(names, pa.string()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(goal, pa.float64()), "blocks": pa.array(blocks, pa.int64()),
-        "passes": pa.array(passes, pa.int64()), "whole": pa.array(whole, pa.int64()),
+        "passes": pa.array(passes, pa.int64()), "whole": pa.array(whole, pa.int64()), "floor": pa.array(floor, pa.int64()),
         "below": pa.array([chosen[s].below if s in chosen else -1 for s in names], pa.int64()), "upto": pa.array([chosen[s].upto if s in chosen else 0 for s in names], pa.int64()), "skipped": pa.array([chosen[s].skipped if s in chosen else [] for s in names], pa.list_(pa.int64())), "added": pa.array([chosen[s].added if s in chosen else [] for s in names], pa.list_(pa.int64())),
     }))
     where = spark.createDataFrame(pa.table({"s": pa.array([r[0] for r in rows], pa.string()), "b": pa.array([r[1] for r in rows], pa.int64()), "shards": pa.array([r[2] for r in rows], pa.list_(pa.int32()))}))
@@ -180,7 +188,7 @@ def plan(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
 
 def _copies(keyed: DataFrame, p: Plan) -> DataFrame:
     """keyed with source_size, target, block and copies."""
-    extra = (F.col("block") < F.col("whole")) | ((F.col("block") == F.col("whole")) & ((F.col("_h") <= F.col("below")) & (F.col("_size") <= F.col("upto")) & ~F.array_contains("skipped", F.col("_h")) | F.array_contains("added", F.col("_h"))))
+    extra = (F.col("block") < F.col("whole")) | ((F.col("block") == F.col("whole")) & ((F.col("_h") < F.col("floor")) | (F.col("_h") <= F.col("below")) & (F.col("_size") <= F.col("upto")) & ~F.array_contains("skipped", F.col("_h")) | F.array_contains("added", F.col("_h"))))
     out = keyed.join(F.broadcast(p.sources), F.col("_source").eqNullSafe(F.col("source"))).withColumn("block", F.pmod("_h", "blocks"))
     return out.withColumn("copies", (F.col("passes") + F.when(extra, 1).otherwise(0)).cast("int"))
 
