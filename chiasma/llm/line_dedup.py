@@ -237,7 +237,7 @@ def deletions(keyed: DataFrame, least: int = BLOCK_WORDS, rare: int = RARE) -> D
     two = written(pairs(lines, rare), "pairs")
     hot_pairs = max(HOT, two.count() // HOT_KEYS)
     many = two.groupBy("first_id", "first_h").count().where(F.col("count") > hot_pairs)
-    many = F.broadcast(written(many.select(F.col("first_id").alias("hot_id"), F.col("first_h").alias("hot_h"), F.ceil(F.col("count") / hot_pairs).alias("salts")), "many"))  # at most HOT_KEYS rows
+    many = F.broadcast(many.select(F.col("first_id").alias("hot_id"), F.col("first_h").alias("hot_h"), F.ceil(F.col("count") / hot_pairs).alias("salts")))  # at most HOT_KEYS rows
     salts = F.coalesce("salts", F.lit(1).cast("long"))
     is_hot = F.col("first_id").eqNullSafe(F.col("hot_id")) & (F.col("first_h") == F.col("hot_h"))
 
@@ -268,7 +268,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         name += "_"
     text = F.col(f"`{text_col}`")
     row = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    gone = written(deletions(row.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col(f"_doc.`{text_col}`").alias("text")), least, rare), "deleted")
+    gone = deletions(row.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col(f"_doc.`{text_col}`").alias("text")), least, rare)
     # Deletions grow with the corpus, so they are never broadcast, not even where they happen to be few.
     out = row.join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left")
     kept = F.array_join(F.transform(
