@@ -69,6 +69,22 @@ def repeated(df: DataFrame, times: str, most: int = 4096) -> DataFrame:
     return steps.withColumn("_inner", F.explode(F.sequence(outer * most, F.least(outer * most + most, t) - 1))).drop("_outer", "_inner")
 
 
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a further long column, and its name: it ascends as rows stand in the files that docs is read from, by file
+    name and place. docs that are not read from files are written first, partition after partition."""
+    if not docs.inputFiles():
+        docs = written(docs, "in_order")
+    name = "_place"
+    while name in docs.columns:
+        name += "_"
+    m, spark = docs.metadataColumn("_metadata"), docs.sparkSession
+    files = sorted(f.rsplit("/", 1)[-1] for f in docs.inputFiles())
+    rank = F.broadcast(spark.createDataFrame(list(enumerate(files)), f"{name}_rank long, {name}_file string"))  # a row for each file
+    placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], m["file_name"].alias(f"{name}_own"), m["row_index"].alias(name))
+    placed = placed.join(rank, F.col(f"{name}_own") == F.col(f"{name}_file")).withColumn(name, F.shiftleft(f"{name}_rank", 40) + F.col(name))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], name), name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
