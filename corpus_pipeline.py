@@ -1,4 +1,12 @@
-"""The corpus pipeline: documents without toxic ones, near copies and benchmark leaks, mixed to weights, as token files."""
+"""The corpus pipeline: documents without toxic ones, near copies and benchmark leaks, mixed to weights, as token files.
+
+Defined results, by stage. Null and empty texts count as texts without words: they are not toxic, leak nothing, and are near
+copies of each other, so one of them stays. Rows alike in all columns are near copies of each other. Rows with a null id
+are kept by the same rules as others and come after those with ids where the smallest id decides. Null sources are one
+source, mixed last. Without labels nothing is toxic; without benchmark items nothing leaks. A source without words has
+nothing to give, so its documents don't come into the mix. The mix gives a row as often as it is taken, at most twice, in
+the order of its shards, and the token files keep that order. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chiasma.llm import decontaminate, mixing, simhash, token_output, toxicity
-from chiasma.llm.common import documents, written
+from chiasma.llm.common import documents, in_file_order, written
 from chiasma.session import ship
 
 
@@ -29,15 +37,16 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, dealt out to shards and shuffled there."""
+    """Documents as often as the mix takes them, dealt out to shards and shuffled there: a file for each shard, in order."""
     ship(spark)
     return mixing.mix(docs)
 
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token files hold: doc_id, start, n_tokens, ids_crc32 of every row."""
+    """What the token files hold: doc_id, start, n_tokens, ids_crc32 of every row, in the order of the mix's files."""
     ship(spark)
-    return token_output.token_output(docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    placed, place = in_file_order(docs)
+    return token_output.token_output(placed, order=F.col(place), digest=True)
 
 
 STAGES = [("toxicity", _toxicity), ("near_dedup", _near_dedup), ("decontaminate", _decontaminate), ("mix", _mix), ("tokens", _tokens)]
