@@ -2,8 +2,8 @@
 
 Fingerprint. A-Z are lower-cased, words are runs of [^\\x20\\x09-\\x0D], shingles are `words` words joined by spaces
 (repeats included; a shorter text is one shingle; no words: fingerprint zero). A bit is 1 if it is set in over half of
-the shingles' XXH64 (UTF-8, seed 42). The pipeline counts each distinct shingle once, as its similarity is one of sets,
-and takes a second view of the same shingles, which mixes each hash anew.
+the shingles' XXH64 (UTF-8, seed 42). keep_one counts each distinct shingle once, as its similarity is one of sets, and
+takes a second view of the same shingles, which mixes each hash anew.
 
 Search. Work is on distinct fingerprints, so copies cost nothing further. The 64 bits are cut into blocks; two
 fingerprints within `distance` bits agree on some choice of (blocks - distance) blocks, and each choice is a table: rows
@@ -64,54 +64,82 @@ def masks(distance: int, rows: int = 0) -> list[int]:
     return [sum(c) for c in combinations(block, equal)]
 
 
-def _fingerprints(words: int, views: int, sketch: bool, distinct: bool):
+def _majority(h):
+    """The bits that over half of the hashes have, counted in slices of bounded memory."""
+    import numpy as np
+
+    n = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        n += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(n * 2 > len(h), bitorder="little").view(np.int64)[0]
+
+
+def _fingerprints(words: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        odd = np.uint64(0x9E3779B97F4A7C15)
-
-        def bits(h):
-            """Majority bits of hashes, counted in slices of bounded memory."""
-            n = np.zeros(64, np.int64)
-            for k in range(0, len(h), 1 << 16):
-                n += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            return np.packbits(n * 2 > len(h), bitorder="little").view(np.int64)[0]
-
         for b in batches:
-            out, sketches = [[] for _ in range(views)], []
+            out = []
             for text in b.column(1):
                 w = (text.as_py() or "").encode().lower().split()  # bytes: only ASCII letters and white space count
-                if not w:
-                    for o in out:
-                        o.append(0)
-                    sketches.append(b"")
-                    continue
                 parts = [w[k:] for k in range(words)]
                 shingles = map(b" ".join, zip(*parts, strict=False)) if len(w) >= words else [b" ".join(w)]
-                h = np.array([xxh64_intdigest(s, 42) for s in shingles], np.uint64)
-                if distinct:
-                    h = np.unique(h)
-                if sketch:
-                    sketches.append((np.unique(h)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+                out.append(_majority(np.array([xxh64_intdigest(s, 42) for s in shingles], np.uint64)) if w else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["id", "fp0"])
+
+    return run
+
+
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and fp0, the fingerprint, of every row."""
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return d.mapInArrow(tidy(_fingerprints(words)), "id long, fp0 long")
+
+
+def grams(h, n: int):
+    """The distinct hashes of all runs of n word hashes, ascending; of all of them where there are fewer."""
+    import numpy as np
+
+    n, odd = min(n, len(h)), np.uint64(0x9E3779B97F4A7C15)
+    x = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        x = (x ^ (x >> np.uint64(29))) * odd + h[k : len(h) - n + 1 + k]
+    x ^= x >> np.uint64(32)
+    return np.unique(x * odd)
+
+
+def _near_prints(words: int, print_words: int, views: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            out, sketches = [[] for _ in range(views)], []
+            for text in b.column(1):
+                w = np.array([xxh64_intdigest(x, 42) for x in (text.as_py() or "").encode().lower().split()], np.uint64)
+                sketches.append((grams(w, words)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() if len(w) else b"")
+                h = grams(w, print_words) if len(w) else w
                 for o in out:
-                    o.append(bits(h))
+                    o.append(_majority(h) if len(w) else 0)
                     h = h * odd
                     h ^= h >> np.uint64(29)
                     h *= odd
                     h ^= h >> np.uint64(32)
-            columns = [b.column(0), b.column(2), *(pa.array(o, pa.int64()) for o in out)] + ([pa.array(sketches, pa.binary())] if sketch else [])
-            yield pa.RecordBatch.from_arrays(columns, ["id", "h", *(f"fp{k}" for k in range(views)), *["sketch"] * sketch])
+            columns = [b.column(0), b.column(2), *(pa.array(o, pa.int64()) for o in out), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", *(f"fp{k}" for k in range(views)), "sketch"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 3, views: int = 1, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False, distinct: bool = False) -> DataFrame:
-    """id, h (a hash of the whole row), fp0, fp1, ... (of the distinct shingles, if asked for) and, if asked for, sketch of
-    every row."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
-    return d.mapInArrow(tidy(_fingerprints(words, views, sketch, distinct)), "id long, h long, " + ", ".join(f"fp{k} long" for k in range(views)) + ", sketch binary" * sketch)
+def near_prints(docs: DataFrame, words: int, print_words: int, views: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, h (a hash of the whole row), fp0, fp1, ... of the distinct shingles of print_words words, and a sketch of those of
+    `words` words, of every row."""
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    return d.mapInArrow(tidy(_near_prints(words, print_words, views)), "id long, h long, " + ", ".join(f"fp{k} long" for k in range(views)) + ", sketch binary")
 
 
 def gray_rank(c):
@@ -443,18 +471,20 @@ def grouped(prints: DataFrame, distance: int, similarity: float | None = None, f
 
 def simhash(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id of every row."""
-    out = grouped(written(fingerprints(docs, words, 1, id_col, text_col).select("id", "fp0"), "prints"), distance)
+    out = grouped(written(fingerprints(docs, words, id_col, text_col), "prints"), distance)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 10, similarity: float = 0.8, far: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 9, similarity: float = 0.8, far: int = 16, print_words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs, with its columns, of each group of near copies: the one with the smallest id.
 
-    Rows link where their sets of five-word shingles are similar to 0.8 or more, as far as one of two 64-bit views of the
-    shingles differs in at most 10 bits: by the binomial model of the views 86% of the pairs of similarity 0.8, 96% at
-    0.85 and over 99% from 0.9 on are candidates, and groups need only some of their pairs."""
+    Rows link where their sets of five-word shingles are similar (Jaccard) to 0.8 or more. Candidates come from two views of
+    64 bits of the distinct two-word shingles: an edited word changes two of those but five of the five-word shingles, so
+    similar texts are nearer there, and the search may be narrower. Two texts are candidates if one view differs in at
+    most 9 bits and the other in at most 16. By the binomial model of the views that finds 99% of the pairs at 0.8 whose
+    words were changed one by one, and more above; groups need only some of their pairs."""
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    prints = written(fingerprints(docs, words, 2, id_col, text_col, sketch=True, distinct=True), "prints")
+    prints = written(near_prints(docs, words, print_words, 2, id_col, text_col), "prints")
     groups = grouped(prints, distance, similarity, far)
     # No id and h of its own may repeat in a component: those are repeated rows, of which one stays.
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("best"))
