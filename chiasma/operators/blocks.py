@@ -27,9 +27,9 @@ def long_enough(blocks: DataFrame, block_size: int, marker_num: int) -> DataFram
 
 
 def enough_markers(markers: DataFrame, cell_markers: int, cell: str = "barcode") -> DataFrame:
-    """The rows of cells with at least cell_markers rows: a semi join on the counts."""
-    ok = markers.groupBy(cell).count().where(F.col("count") >= cell_markers).select(cell)
-    return markers.join(ok, cell, "left_semi")
+    """The rows of cells with at least cell_markers rows, counted in a window: the shuffle by cell then serves all windows
+    over (cell, chromosome) that follow."""
+    return markers.withColumn("_n", F.count("*").over(Window.partitionBy(cell))).where(F.col("_n") >= cell_markers).drop("_n")
 
 
 def callable_chroms(markers: DataFrame) -> DataFrame:
@@ -71,6 +71,66 @@ def refine(points: DataFrame, smoothed: DataFrame, value: str = "smt_af") -> Dat
     )
 
 
+def called(smoothed: DataFrame, block_size: int, marker_num: int, value: str = "smt_af", genotype: float = 0.2) -> DataFrame:
+    """Surviving blocks with the refined breakpoint before each, from smoothed rows in one pass: runs(), long_enough(),
+    breakpoints() and refine() as windows over (cell, chromosome) alone, so the rows are smoothed once and never joined.
+
+    (barcode, chrom, blk from 1, sta, end, genotype, markernum, run, acc, fresh, bp_start, bp_end, geno_pre, marker_count):
+    run numbers the stretches of equal blocks from 0, acc is the running sum of markers of blocks that continue one, fresh
+    marks a block of another genotype than the one before, whose breakpoint is given. A row is dealt to the gap between
+    two surviving blocks that it lies in; the last row of the block before and the first of the next belong to it."""
+    w = ordered(*KEY)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    d = smoothed.select(*KEY, "pos", F.col(value).alias("_v"))
+    d = d.withColumn("_c", F.coalesce((F.col("_v") != F.lag("_v").over(w)).cast("int"), F.lit(1)))
+    d = d.withColumns({"_blk": F.sum("_c").over(upto), "_ends": F.coalesce(F.lead("_c").over(w), F.lit(1)) == 1})
+    one = Window.partitionBy(*KEY, "_blk")
+    d = d.withColumns({"sta": F.min("pos").over(one), "end": F.max("pos").over(one), "markernum": F.count("*").over(one), "genotype": block_genotype(F.col("_v"), genotype)})
+    keep = (F.col("end") - F.col("sta") >= block_size) & (F.col("markernum") >= marker_num)
+    d = d.withColumns({"_keep": keep, "_first": keep & (F.col("_c") == 1), "_last": keep & F.col("_ends")})
+    d = d.withColumns({"_k": F.sum(F.col("_first").cast("long")).over(upto), "_g": F.last(F.when(F.col("_first"), F.col("genotype")), ignorenulls=True).over(before)})
+    fresh, cont = F.col("_first") & (F.col("_g") != F.col("genotype")), F.col("_first") & (F.col("_g") == F.col("genotype"))
+    d = d.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
+    d = d.withColumns({"run": F.sum(F.col("fresh").cast("long")).over(upto), "acc": F.sum(F.when(cont, F.col("markernum")).otherwise(0)).over(upto)})
+    d = d.withColumn("_m", F.sum(F.when(F.col("_first"), F.col("markernum"))).over(Window.partitionBy(*KEY, "run")))
+    role = lambda on, gap, n: F.when(on, F.struct(gap.alias("gap"), F.lit(n).alias("role")))
+    roles = F.array_compact(F.array(role(~F.col("_keep") & (F.col("_k") > 0), F.col("_k"), 0), role(F.col("_last"), F.col("_k"), 1), role(F.col("_first"), F.col("_k") - 1, 2)))
+    d = d.withColumn("_r", F.explode(roles)).select("*", "_r.gap", "_r.role")
+    whole = Window.partitionBy(*KEY, "gap")
+    o = whole.orderBy("pos", "role")
+    left = o.rowsBetween(Window.unboundedPreceding, 0)
+    zero, real = (F.col("_v") == 0).cast("int"), (F.col("_v") == 1).cast("int")
+    d = d.withColumns({"_next": F.lead("pos").over(o), "_i": F.row_number().over(o), "_n": F.count("*").over(whole), "_l0": F.sum(zero).over(left), "_l1": F.sum(real).over(left),
+                       "_t0": F.sum(zero).over(whole), "_t1": F.sum(real).over(whole)})
+    rest = F.nullif(F.col("_n") - F.col("_i"), F.lit(0))
+    score = F.greatest((F.col("_l0") / F.col("_i")) * ((F.col("_t1") - F.col("_l1")) / rest), (F.col("_l1") / F.col("_i")) * ((F.col("_t0") - F.col("_l0")) / rest))
+    best = F.max_by(F.struct("pos", "_next"), F.when(F.col("_next").isNotNull(), F.struct(score, -F.col("_i"))))
+    own = ("sta", "end", "genotype", "markernum", "run", "acc", "fresh")
+    g = d.groupBy(*KEY, "gap").agg(
+        F.max(F.when(F.col("role") == 2, F.struct(*own))).alias("_b"), F.max(F.when(F.col("role") == 1, F.struct("genotype", "_m"))).alias("_a"), best.alias("_p")).where("_b IS NOT NULL")
+    on = lambda c: F.when(F.col("_b.fresh"), F.col(c))
+    return g.select(*KEY, (F.col("gap") + 1).alias("blk"), *[F.col(f"_b.{c}").alias(c) for c in own], on("_p.pos").alias("bp_start"), on("_p._next").alias("bp_end"),
+                    on("_a.genotype").alias("geno_pre"), on("_a._m").alias("marker_count"))
+
+
+def refined(calls: DataFrame) -> DataFrame:
+    """The breakpoints of called()."""
+    return calls.where("fresh").select(*KEY, "bp_start", "bp_end", "geno_pre", F.col("genotype").alias("geno_post"), "marker_count")
+
+
+def haplotypes(calls: DataFrame, sizes: DataFrame) -> DataFrame:
+    """final_blocks() with refined borders, from called(): one more aggregation over the same partitions."""
+    out = calls.groupBy(*KEY, "run").agg(
+        F.min("sta").alias("_s"), F.max("end").alias("_e"), F.first("genotype").alias("genotype"), F.max("acc").alias("markernum_acc"), F.sum("markernum").alias("n_markers"),
+        F.max("bp_start").alias("_bs"), F.max("bp_end").alias("_be"))
+    r = Window.partitionBy(*KEY).orderBy("run")
+    out = out.join(F.broadcast(sizes.select("chrom", "size")), "chrom")  # one row for each chromosome of an assembly
+    out = out.withColumns({"_nr": F.lead("run").over(r), "_ns": F.lead("_bs").over(r)})
+    sta = F.coalesce("_be", F.when(F.col("run") == 0, F.lit(1)).otherwise(F.col("_s")))
+    end = F.coalesce("_ns", F.when(F.col("_nr").isNull(), F.greatest("_e", "size")).otherwise(F.col("_e")))
+    return out.select(*KEY, "run", sta.cast("long").alias("sta"), end.alias("end"), F.col("genotype").cast("int").alias("genotype"), "markernum_acc", "n_markers")
+
+
 def final_blocks(blocks: DataFrame, sizes: DataFrame, refined: DataFrame | None = None) -> DataFrame:
     """Runs of equal surviving blocks from 1 to the chromosome's end (chrom, size), numbered by run. n_markers is their
     markers; markernum_acc is the running sum over the blocks that continue a run, which is never reset. With refined

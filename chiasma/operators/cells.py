@@ -45,17 +45,32 @@ def rank_curve(stats: DataFrame) -> DataFrame:
     return by.select((F.coalesce(F.sum("n").over(w), F.lit(0)) + 1).alias("rank"), "total_umi", "n")
 
 
-def knee(curve: list[tuple[int, int]], lower: int = 100) -> tuple[float | None, float | None]:
-    """(knee, inflection) totals of a rank curve [(rank, total)], descending: the point farthest above the chord between
-    the curve's ends on logarithmic scales, and the steepest step after it."""
-    pts = [(math.log10(r), math.log10(t)) for r, t in curve if t > lower]
-    if len(pts) < 3:
-        return None, None
-    (x0, y0), (x1, y1) = pts[0], pts[-1]
-    far = max(range(len(pts)), key=lambda k: (y1 - y0) * (x0 - pts[k][0]) - (x1 - x0) * (y0 - pts[k][1]))
-    steps = [(pts[k + 1][1] - pts[k][1]) / max(1e-12, pts[k + 1][0] - pts[k][0]) for k in range(far, len(pts) - 1)]
-    at = far + min(range(len(steps)), key=steps.__getitem__) if steps else far
-    return 10 ** pts[far][1], 10 ** pts[at][1]
+def thresholds(stats: DataFrame, lower: int = 100) -> DataFrame:
+    """One row, knee and inflection: totals on the curve of mean ranks and totals above `lower`, on logarithmic scales. The
+    knee lies farthest above the chord between the curve's ends, the inflection begins the steepest step from there on;
+    both null with fewer than three distinct totals. Works on the distinct totals."""
+    c = rank_curve(stats).where(F.col("total_umi") > lower).select("total_umi", F.log10(F.col("rank") + (F.col("n") - 1) / 2).alias("x"), F.log10("total_umi").alias("y"))
+    every, down = Window.partitionBy(), Window.orderBy(F.desc("total_umi"))
+    end = lambda f, v: f(F.struct("total_umi", v)).over(every).getField(v)
+    c = c.withColumns({"x0": end(F.max, "x"), "y0": end(F.max, "y"), "x1": end(F.min, "x"), "y1": end(F.min, "y"), "k": F.count("*").over(every)}).where("k >= 3")
+    far = (F.col("y1") - F.col("y0")) * (F.col("x0") - F.col("x")) - (F.col("x1") - F.col("x0")) * (F.col("y0") - F.col("y"))
+    c = c.withColumn("slope", (F.lead("y").over(down) - F.col("y")) / (F.lead("x").over(down) - F.col("x")))
+    c = c.withColumn("knee", F.max(F.struct(far.alias("d"), "total_umi")).over(every).getField("total_umi"))
+    best = F.min(F.when((F.col("total_umi") <= F.col("knee")) & F.col("slope").isNotNull(), F.struct("slope", (-F.col("total_umi")).alias("t"))))
+    return c.agg(F.max("knee").alias("knee"), F.coalesce(-best.getField("t"), F.max("knee")).alias("inflection"))
+
+
+def calls(stats: DataFrame, lower: int = 100) -> DataFrame:
+    """stats with is_cell_knee and is_cell_inflection: totals that reach the thresholds; false where there are none."""
+    t = F.col("total_umi")
+    return stats.join(F.broadcast(thresholds(stats, lower))).select(*stats.columns, F.coalesce(t >= F.col("knee"), F.lit(False)).alias("is_cell_knee"), F.coalesce(t >= F.col("inflection"), F.lit(False)).alias("is_cell_inflection"))
+
+
+def lists(flagged: DataFrame, methods: dict[str, str], default: str) -> DataFrame:
+    """(list, barcode): the barcodes that each method (name → boolean column) calls, and those of the default method once
+    more as the list `called`, the name that later steps read."""
+    named = F.array(*[F.struct(F.lit(n).alias("list"), F.col(c).alias("on")) for n, c in [*methods.items(), ("called", methods[default])]])
+    return flagged.select("barcode", F.explode(F.filter(named, lambda x: x["on"])).alias("x")).select("x.list", "barcode")
 
 
 def index_quartiles(df: DataFrame, value: str, keys: tuple = ()) -> DataFrame:
@@ -69,47 +84,166 @@ def index_quartiles(df: DataFrame, value: str, keys: tuple = ()) -> DataFrame:
 
 
 def false_discovery(df: DataFrame, p: str = "p", id_col: str = "barcode") -> DataFrame:
-    """df with fdr: the running least, from the largest p down, of p * n / rank; null where p is. For tables of tested
-    barcodes, which are far fewer than barcodes."""
-    d = df.where(F.col(p).isNotNull())
-    n = F.count("*").over(Window.partitionBy())
-    up = Window.orderBy(p, id_col)
-    adjusted = d.withColumn("_q", F.col(p) * n / F.row_number().over(up))
-    down = Window.orderBy(F.desc(p), F.desc(id_col)).rowsBetween(Window.unboundedPreceding, 0)
-    out = adjusted.withColumn("fdr", F.least(F.lit(1.0), F.min("_q").over(down))).drop("_q")
-    return out.unionByName(df.where(F.col(p).isNull()).withColumn("fdr", F.lit(None).cast("double")))
-
-
-def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 1000, seed: int = 42) -> DataFrame:
-    """(barcode, total_umi, p, fdr): Monte-Carlo chance that the ambient profile, of barcodes up to `lower` reads, gives
-    counts as unlikely as a barcode's, by multinomial log-likelihood. Barcodes up to lower have a null p.
-
-    One Arrow group per barcode; the profile has one entry for each gene and is checked to be at most 200,000."""
-    t = totals(matrix)
-    low = matrix.join(t.where(F.col("total_umi") <= lower), "barcode", "left_semi").groupBy("gene").agg(F.sum("n").alias("a"))
-    genes = matrix.select("gene").distinct().join(low, "gene", "left").select("gene", (F.coalesce("a", F.lit(0)) + 1).alias("a")).orderBy("gene").limit(200_001).collect()
-    if len(genes) > 200_000:
-        raise ValueError("more than 200,000 genes")
-    whole = sum(g.a for g in genes)
-    logp = {g.gene: math.log(g.a / whole) for g in genes}
-    weights = [g.a / whole for g in genes]
-
-    def run(group):
-        import numpy as np
+    """df with fdr: the running least, from the largest p down, of p * n / rank; null where p is. Rows of one p share their
+    value, that of the last of them, so ranks come from the counts of distinct p (a Monte-Carlo test has no more of those
+    than draws), and no task orders all rows. id_col is kept for callers that name it; it decides nothing."""
+    by = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_k"))
+    up = F.sum("_k").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    by = by.withColumn("_q", F.col(p) * F.sum("_k").over(Window.partitionBy()) / up)
+    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    by = by.select(F.col(p).alias("_p"), F.least(F.lit(1.0), F.min("_q").over(down)).alias("fdr"))
+    return df.join(by, F.col(p) == F.col("_p"), "left").drop("_p")
+
+
+def log_gamma(x):
+    """The logarithm of the gamma function of an array above 0: raised to 8 and more by recurrence, then Stirling's series."""
+    import numpy as np
+
+    x = np.array(x, float)
+    shift = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        shift[low] -= np.log(x[low])
+        x[low] += 1
+    f = 1 / (x * x)
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f / 1680))) / x
+
+
+def good_turing(counts):
+    """Proportions of genes in the ambient pool from their counts, by simple Good-Turing: counts are smoothed through the
+    straight line of log frequency on log count, and genes never seen share the proportion of those seen once."""
+    import numpy as np
+
+    counts = np.asarray(counts, np.int64)
+    r, n = np.unique(counts[counts > 0], return_counts=True)
+    if not len(r):
+        return np.full(len(counts), 1 / max(1, len(counts)))
+    unseen = int((counts == 0).sum())
+    p0 = n[0] / (r * n).sum() if r[0] == 1 else 0.0
+    below, above = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - (r[-2] if len(r) > 1 else 0))
+    slope = np.polyfit(np.log(r), np.log(2 * n / (above - below)), 1)[0] if len(r) > 1 else -1.0
+    smooth = r * (1 + 1 / r) ** (slope + 1)
+    out, turing = smooth.copy(), True
+    at = dict(zip(r.tolist(), n.tolist(), strict=True))
+    for k, (x, m) in enumerate(zip(r.tolist(), n.tolist(), strict=True)):
+        nxt = at.get(x + 1, 0)
+        turing = turing and nxt > 0
+        if turing:
+            raw = (x + 1) * nxt / m
+            turing = abs(raw - smooth[k]) > 1.96 * math.sqrt((x + 1) ** 2 * nxt / m**2 * (1 + nxt / m))
+            if turing:
+                out[k] = raw
+    share = out / (out * n).sum() * (1 - (p0 if unseen else 0.0))
+    p = np.zeros(len(counts))
+    p[counts > 0] = share[np.searchsorted(r, counts[counts > 0])]
+    p[counts == 0] = p0 / unseen if unseen else 0.0
+    return np.where(p > 0, p, np.finfo(float).tiny) / p.sum()
+
+
+def _golden(f, lo: float, hi: float, steps: int = 60) -> float:
+    """The place of f's largest value between lo and hi, for f with one top."""
+    g = (math.sqrt(5) - 1) / 2
+    a, b = hi - g * (hi - lo), lo + g * (hi - lo)
+    fa, fb = f(a), f(b)
+    for _ in range(steps):
+        if fa > fb:
+            hi, b, fb = b, a, fa
+            a = hi - g * (hi - lo)
+            fa = f(a)
+        else:
+            lo, a, fa = a, b, fb
+            b = lo + g * (hi - lo)
+            fb = f(b)
+    return (lo + hi) / 2
+
+
+def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 10_000, seed: int = 42, alpha: float | None = None, retain: bool = True) -> DataFrame:
+    """(barcode, total_umi, p, fdr): Monte-Carlo chance that the ambient pool gives counts as unlikely as a barcode's.
+
+    The pool's profile is the Good-Turing one of the barcodes up to `lower` reads, with a Dirichlet-multinomial spread
+    alpha, which is fitted to them by likelihood unless given (inf: multinomial). p and fdr of barcodes up to lower are
+    null. With retain, barcodes that reach the knee of the rank curve are kept: their p counts as 0 for fdr.
+
+    An iteration grows one sample molecule by molecule and reads the likelihood off at every total that a tested barcode
+    has, so its cost is the largest total, whatever the genes or barcodes are; iterations are dealt to tasks, seeded by
+    their number. The driver holds a number for each gene and two for each tested barcode."""
+    import numpy as np
+
+    spark, t = matrix.sparkSession, totals(matrix)
+    low = matrix.join(t.where(F.col("total_umi") <= lower), "barcode", "left_semi")
+    genes = matrix.select("gene").distinct().join(low.groupBy("gene").agg(F.sum("n").alias("a")), "gene", "left").select("gene", F.coalesce("a", F.lit(0)).alias("a")).orderBy("gene").toArrow()
+    p = good_turing(genes["a"].to_numpy())
+    if alpha is None:
+        at = spark.createDataFrame(_columns(genes, p))
+        seen = low.join(at, "gene").where("n > 0").groupBy("p", "n").count().toArrow()  # pairs of a gene and a count up to lower
+        sizes = t.where((F.col("total_umi") <= lower) & (F.col("total_umi") > 0)).groupBy("total_umi").count().toArrow()
+        sp, sn, sk, size, times = (c.to_numpy().astype(float) for c in (*seen.columns, *sizes.columns))
+
+        def likelihood(x):
+            a = math.exp(x)
+            own = (times * (log_gamma(np.array([a]))[0] - log_gamma(size + a))).sum() if len(size) else 0.0
+            return own + (sk * (log_gamma(sn + a * sp) - log_gamma(a * sp))).sum()
+
+        alpha = math.exp(_golden(likelihood, math.log(0.01), math.log(10_000))) if len(sn) else math.inf
+
+    def term(p, before):
+        """What one more molecule adds to the log-likelihood of a gene that has `before`, but for what totals share."""
+        return (np.log(p) if math.isinf(alpha) else np.log(alpha * p + before)) - np.log(before + 1.0)
+
+    def own(batches):
         import pyarrow as pa
 
-        n = group["n"].to_numpy()
-        total = int(n.sum())
-        lgamma = np.vectorize(math.lgamma)
-        own = sum(k * logp[g] for g, k in zip(group["gene"].to_pylist(), n.tolist(), strict=True)) - lgamma(n + 1.0).sum()
-        rng = np.random.default_rng([seed, total])  # barcodes of one total share their draws
-        lp, below = np.log(weights), 0
-        for _ in range(0, iterations, 100):
-            x = rng.multinomial(total, weights, size=100)
-            below += int(((x * lp).sum(1) - lgamma(x + 1.0).sum(1) <= own).sum())
-        return pa.table({"barcode": group["barcode"][:1], "total_umi": pa.array([total]), "p": pa.array([(below + 1) / (iterations + 1)])})
+        for b in batches:
+            p, n = b.column(1).to_numpy(), b.column(2).to_numpy().astype(float)
+            v = n * np.log(p) if math.isinf(alpha) else log_gamma(n + alpha * p) - log_gamma(alpha * p)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v - log_gamma(n + 1))], ["barcode", "ll"])
 
     kind = matrix.schema["barcode"].dataType.simpleString()
-    tested = matrix.join(t.where(F.col("total_umi") > lower), "barcode", "left_semi").groupBy("barcode").applyInArrow(run, f"barcode {kind}, total_umi long, p double")
-    rest = t.where(F.col("total_umi") <= lower).select("barcode", "total_umi", F.lit(None).cast("double").alias("p"))
-    return false_discovery(tested.unionByName(rest))
+    tested = t.where(F.col("total_umi") > lower)
+    mine = matrix.join(tested, "barcode", "left_semi").where("n > 0").join(spark.createDataFrame(_columns(genes, p)), "gene").select("barcode", "p", "n")
+    mine = mine.mapInArrow(own, f"barcode {kind}, ll double").groupBy("barcode").agg(F.sum("ll").alias("ll")).join(tested, "barcode").select("barcode", "total_umi", "ll").toArrow()
+    barcodes, size, ll = mine["barcode"], mine["total_umi"].to_numpy().astype(np.int64), mine["ll"].to_numpy()
+    distinct, at = np.unique(size, return_inverse=True)
+    limit = ll + 1e-9 * np.abs(ll)
+
+    def simulate(batches):
+        import pyarrow as pa
+
+        below, most = np.zeros(len(limit), np.int64), int(distinct[-1]) if len(distinct) else 0
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                rng = np.random.default_rng([seed, i])
+                weights = p if math.isinf(alpha) else rng.gamma(alpha * p)
+                ends = np.cumsum(weights)
+                g = np.minimum(np.searchsorted(ends, rng.random(most) * ends[-1], "right"), len(p) - 1)
+                order = np.argsort(g, kind="stable")
+                first = np.flatnonzero(np.diff(g[order], prepend=-1))
+                before = np.empty(most)
+                before[order] = np.arange(most) - np.repeat(first, np.diff(np.append(first, most)))
+                below += np.cumsum(term(p[g], before))[distinct - 1][at] <= limit
+        hit = np.flatnonzero(below)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(below[hit])], ["k", "below"])
+
+    if len(limit):
+        parts = max(1, min(iterations, spark.sparkContext.defaultParallelism))
+        got = spark.range(0, iterations, 1, parts).mapInArrow(simulate, "k long, below long").groupBy("k").agg(F.sum("below").alias("below")).toArrow()
+        below = np.zeros(len(limit), np.int64)
+        below[got["k"].to_numpy()] = got["below"].to_numpy()
+    else:
+        below = np.zeros(0, np.int64)
+    import pyarrow as pa
+
+    chance = spark.createDataFrame(pa.table({"b": barcodes, "p": pa.array((below + 1) / (iterations + 1), pa.float64())}))
+    out = t.join(chance, F.col("barcode") == F.col("b"), "left").select("barcode", "total_umi", "p")
+    if not retain:
+        return false_discovery(out)
+    knee = thresholds(t, lower).select("knee")
+    kept = F.col("p").isNotNull() & F.coalesce(F.col("total_umi") >= F.col("knee"), F.lit(False))
+    out = out.join(F.broadcast(knee)).withColumn("_own", F.when(kept, F.lit(0.0)).otherwise(F.col("p")))
+    return false_discovery(out.select("barcode", "total_umi", "p", "_own"), "_own").select("barcode", "total_umi", "p", "fdr")
+
+
+def _columns(genes, p):
+    import pyarrow as pa
+
+    return pa.table({"gene": genes["gene"], "p": pa.array(p, pa.float64())})

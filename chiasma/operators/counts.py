@@ -23,10 +23,36 @@ def allele_counts(reads: DataFrame, sites: DataFrame, min_mapq: int = 20, min_le
     return m.groupBy("cb", "chrom", "pos").agg((n("ref") + n("alt")).alias("dp"), n("alt").alias("ad"), n("oth").alias("oth"))
 
 
-def gene_counts(reads: DataFrame) -> DataFrame:
+def site_filter(counts: DataFrame, min_count: int = 1, min_maf: float = 0.0, max_depth: int = 100_000) -> DataFrame:
+    """The counts (cb, chrom, pos, dp, ad, oth) of sites that have, over all cells, at least min_count molecules, a minor
+    allele's share of min_maf and at most max_depth molecules. Totals are sums, so sites are summed before they move."""
+    total = F.sum(F.col("dp") + F.col("oth"))
+    minor = F.coalesce(F.try_divide(F.least(F.sum("ad"), F.sum("dp") - F.sum("ad")), F.sum("dp")), F.lit(0.0))
+    ok = counts.groupBy("chrom", "pos").agg(total.alias("_n"), minor.alias("_maf")).where((F.col("_n") >= min_count) & (F.col("_maf") >= min_maf) & (F.col("_n") <= max_depth))
+    return counts.join(ok.select("chrom", "pos"), ["chrom", "pos"], "left_semi")
+
+
+def _one_off(u):
+    """All strings that differ from u in one base."""
+    other = lambda k: F.transform(F.filter(F.array(*map(F.lit, "ACGT")), lambda b: b != F.substring(u, k, F.lit(1))), lambda b: F.concat(F.substring(u, F.lit(1), k - 1), b, F.substring(u, k + 1, F.length(u))))
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.length(u)), other))
+
+
+def collapsed(reads: DataFrame) -> DataFrame:
+    """(cb, gene, ub, k): molecules with their reads, where a molecule that differs in one base from one with more reads of
+    the same cell and gene (on a tie from the later one by name) is taken for that one. A molecule is dealt to its
+    neighbours, so they meet by equality; corrections are made at once and are not followed on."""
+    n = reads.groupBy("cb", "gene", "ub").agg(F.count("*").alias("k"))
+    near = n.select("cb", "gene", F.col("ub").alias("_from"), F.col("k").alias("_k"), F.explode(_one_off(F.col("ub"))).alias("ub"))
+    better = near.join(n, ["cb", "gene", "ub"]).where((F.col("k") > F.col("_k")) | ((F.col("k") == F.col("_k")) & (F.col("ub") > F.col("_from"))))
+    to = better.groupBy("cb", "gene", F.col("_from").alias("ub")).agg(F.max(F.struct("k", "ub")).getField("ub").alias("_to"))
+    return n.join(to, ["cb", "gene", "ub"], "left").groupBy("cb", "gene", F.coalesce("_to", "ub").alias("ub")).agg(F.sum("k").alias("k"))
+
+
+def gene_counts(reads: DataFrame, mismatch: bool = False) -> DataFrame:
     """(gene, barcode, n): molecules of each gene; a molecule seen in several genes counts for the one with most reads, and
-    for none on a tie."""
-    n = reads.groupBy("cb", "ub", "gene").agg(F.count("*").alias("k"))
+    for none on a tie. With mismatch, molecules one base apart are collapsed first."""
+    n = collapsed(reads) if mismatch else reads.groupBy("cb", "ub", "gene").agg(F.count("*").alias("k"))
     w = Window.partitionBy("cb", "ub")
     best = n.withColumn("top", F.max("k").over(w)).where("k = top").withColumn("ties", F.count("*").over(w)).where("ties = 1")
     return best.groupBy("gene", F.col("cb").alias("barcode")).agg(F.count("*").alias("n"))
@@ -49,3 +75,20 @@ def conversion_counters(per_cell: DataFrame, min_markers: int) -> DataFrame:
     """Cells without entries, below the minimum, and written, from (cell, n_cov)."""
     n = F.col("n_cov")
     return per_cell.agg(F.count("*").alias("n_total"), F.count_if(n == 0).alias("n_empty"), F.count_if((n > 0) & (n < min_markers)).alias("n_below"), F.count_if(n >= min_markers).alias("n_written"))
+
+
+def aligned_bases(reads: DataFrame, sites: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """reads (chrom, start, cigar, seq and others) with pos and base at each site (chrom, pos, ...) that a read's alignment
+    covers with a base: matches and mismatches; deletions, skips and clips cover none. Each run of aligned bases is dealt to
+    the bins that it meets, and sites to theirs, so the join is one of equality."""
+    ops = F.transform(F.regexp_extract_all("cigar", F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("long").alias("n"), F.substring(x, -1, 1).alias("op")))
+    zero = F.struct(F.col("start").cast("long").alias("ref"), F.lit(1).cast("long").alias("read"), F.array().cast("array<struct<ref: bigint, read: bigint, n: bigint>>").alias("runs"))
+    moves = lambda o, kinds: F.when(o["op"].isin(*kinds), o["n"]).otherwise(F.lit(0))
+    step = lambda a, o: F.struct(
+        (a["ref"] + moves(o, "MDN=X")).alias("ref"), (a["read"] + moves(o, "MIS=X")).alias("read"),
+        F.when(o["op"].isin("M", "=", "X"), F.concat(a["runs"], F.array(F.struct(a["ref"].alias("ref"), a["read"].alias("read"), o["n"].alias("n"))))).otherwise(a["runs"]).alias("runs"))
+    r = reads.withColumn("_run", F.explode(F.aggregate(ops, zero, step, lambda a: a["runs"])))
+    r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_run.ref") / width), F.floor((F.col("_run.ref") + F.col("_run.n") - 1) / width))))
+    s = sites.withColumn("_bin", F.floor(F.col("pos") / width))
+    hit = r.join(s, ["chrom", "_bin"]).where((F.col("pos") >= F.col("_run.ref")) & (F.col("pos") < F.col("_run.ref") + F.col("_run.n")))
+    return hit.withColumn("base", F.substring(F.col("seq"), (F.col("_run.read") + F.col("pos") - F.col("_run.ref")).cast("int"), F.lit(1))).drop("_run", "_bin")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MB = 1_000_000
@@ -20,22 +20,36 @@ def intervals_of(mids: DataFrame, sizes: DataFrame, interval_mb: float, keys: tu
     return d.where((F.col("iv") >= 1) & (F.col("iv") <= n)).distinct()
 
 
-def coincidence(presence: DataFrame, n_cells: int, interval_mb: float, keys: tuple = ()) -> DataFrame:
+def coincidence(presence: DataFrame, n_cells: int, interval_mb: float, members: DataFrame | None = None) -> DataFrame:
     """Per distance bin: sum of cells with crossovers in both intervals over the sum expected from the intervals' shares,
     over pairs with an expectation; n_pairs and total_exp. The expectation needs the pairs of a chromosome's occupied
-    intervals, at most N squared each."""
+    intervals, at most N squared each. With members (b, barcode), for each replicate b over its cells: a cell's pairs are
+    made once and then counted in every replicate that has the cell."""
+    keys = () if members is None else ("b",)
     k = [*keys, "chrom"]
-    share = presence.groupBy(*k, "size", "n_iv", "iv").agg((F.count("*") / n_cells).alias("p"))
+    drawn = (lambda d: d) if members is None else (lambda d: d.join(members, "barcode"))
+    share = drawn(presence).groupBy(*k, "size", "n_iv", "iv").agg((F.count("*") / n_cells).alias("p"))
     a, b = share.select(*k, "size", "n_iv", F.col("iv").alias("_a"), F.col("p").alias("pa")), share.select(*k, F.col("iv").alias("_b"), F.col("p").alias("pb"))
     pairs = a.join(b, k).where("_a < _b").withColumn("expected", F.col("pa") * F.col("pb") * n_cells)
-    x, y = presence.select(*k, "barcode", F.col("iv").alias("_a")), presence.select(*k, "barcode", F.col("iv").alias("_b"))
-    both = x.join(y, [*k, "barcode"]).where("_a < _b").groupBy(*k, "_a", "_b").agg(F.count("*").alias("observed"))
+    x, y = presence.select("chrom", "barcode", F.col("iv").alias("_a")), presence.select("chrom", "barcode", F.col("iv").alias("_b"))
+    both = drawn(x.join(y, ["chrom", "barcode"]).where("_a < _b")).groupBy(*k, "_a", "_b").agg(F.count("*").alias("observed"))
     d = (F.col("_b") - F.col("_a")) * (F.col("size") / F.col("n_iv")) / MB
     out = pairs.join(both, [*k, "_a", "_b"], "left").withColumn("dist_mb", F.rint(d / interval_mb) * interval_mb)
     return out.where("expected > 0").groupBy(*keys, "dist_mb").agg(
         (F.sum(F.coalesce("observed", F.lit(0))) / F.sum("expected")).alias("coc"), F.count("*").alias("n_pairs"), F.sum("expected").alias("total_exp"))
 
 
+def alpha(total_exp) -> Column:
+    """Opacity by statistical power: 1 from ten expected pairs on, 0.2 at least."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.2), total_exp / 10))
+
+
+def axis_top(curve: DataFrame, band: DataFrame) -> DataFrame:
+    """One row, ymax: a tenth above the largest coefficient or upper bound, 4 at most."""
+    top = curve.agg(F.max("coc").alias("a")).join(band.agg(F.max("hi").alias("b")))
+    return top.select(F.least(F.greatest("a", "b") * 1.1, F.lit(4.0)).alias("ymax"))
+
+
 def digamma(x: float) -> float:
     """Recurrence up to 10, then the asymptotic series."""
     out = 0.0
@@ -63,10 +77,11 @@ def gamma_shape(n: int | None, mean: float | None, mean_log: float | None) -> tu
 
 
 def gamma_stats(dist: DataFrame, keys: list[str]) -> DataFrame:
-    """Sufficient statistics of positive distances."""
-    d = dist.where("dist_mb > 0")
-    stats = [F.count("*").alias("n"), F.avg("dist_mb").alias("mean"), F.avg(F.ln("dist_mb")).alias("mean_log"), F.var_samp("dist_mb").alias("var")]
-    return d.groupBy(*keys).agg(*stats) if keys else d.agg(*stats)
+    """Sufficient statistics of distances. A distance of 0 has no logarithm, so a group with one has no mean_log and, as
+    its likelihood is not finite, no fit."""
+    log = F.when(F.min("dist_mb") > 0, F.avg(F.when(F.col("dist_mb") > 0, F.ln("dist_mb"))))
+    stats = [F.count("*").alias("n"), F.avg("dist_mb").alias("mean"), log.alias("mean_log"), F.var_samp("dist_mb").alias("var")]
+    return dist.groupBy(*keys).agg(*stats) if keys else dist.agg(*stats)
 
 
 def gamma_fit(stats: DataFrame) -> DataFrame:

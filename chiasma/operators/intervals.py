@@ -8,15 +8,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def merge(df: DataFrame, flank: int = 0, gap: int = 0, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+def _carried(d: DataFrame, keys: tuple, agg, fold) -> DataFrame:
+    """d, which has _bin, with _carry: `agg` of each bin, folded over the earlier bins of the keys. The bins of a key, not
+    its rows, are ordered in one task."""
+    n = d.groupBy(*keys, "_bin").agg(agg.alias("_one"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), fold("_one").over(before).alias("_carry"))
+    on = F.col("_bin") == F.col("_b")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return d.join(n, on).drop("_b", *[f"_k{i}" for i in range(len(keys))])
+
+
+def merge(df: DataFrame, flank: int = 0, gap: int = 0, chrom: str = "chrom", start: str = "start", end: str = "end", width: int = 1 << 20) -> DataFrame:
     """Unions of intervals per chromosome: each widened by flank (start not below 0), joined where the gap to what came
-    before is at most `gap`."""
-    d = df.select(chrom, F.greatest(F.col(start) - flank, F.lit(0)).alias("start"), (F.col(end) + flank).alias("end"))
-    w = Window.partitionBy(chrom).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_new", F.coalesce((F.col("start") - before > gap).cast("int"), F.lit(1)))
-    d = d.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(chrom, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    before is at most `gap`. Bins of `width` are worked on by themselves; what reaches into a bin, and where the island at
+    its left edge began, is carried from the bins before."""
+    d = df.select(chrom, F.greatest(F.col(start) - flank, F.lit(0)).alias("start"), (F.col(end) + flank).alias("end")).withColumn("_bin", F.floor(F.col("start") / width))
+    w = Window.partitionBy(chrom, "_bin").orderBy("start", "end")
+    d = _carried(d, (chrom,), F.max("end"), F.max)
+    before = F.greatest("_carry", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))  # nulls are skipped
+    d = d.withColumn("_new", F.when(F.coalesce(F.col("start") - before > gap, F.lit(True)), F.col("start"))).drop("_carry")
+    d = _carried(d, (chrom,), F.max("_new"), F.max)
+    island = F.coalesce(F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
+    return d.withColumn("_island", island).groupBy(chrom, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
+def ranked(df: DataFrame, keys: tuple, by: str, width: float, *ties: str) -> DataFrame:
+    """df with rank from 1 in order of by (a number) and ties within the keys, counted in bins of `width`."""
+    d = _carried(df.withColumn("_bin", F.floor(F.col(by) / width)), keys, F.count("*"), F.sum)
+    own = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(by, *ties))
+    return d.withColumn("rank", (own + F.coalesce("_carry", F.lit(0))).cast("long")).drop("_bin", "_carry")
+
+
+def previous(df: DataFrame, keys: tuple, by: str, width: float) -> DataFrame:
+    """df with previous: the value of by in the row before, within the keys; null for the first."""
+    d = _carried(df.withColumn("_bin", F.floor(F.col(by) / width)), keys, F.max(by), F.max)
+    return d.withColumn("previous", F.coalesce(F.lag(by).over(Window.partitionBy(*keys, "_bin").orderBy(by)), F.col("_carry"))).drop("_bin", "_carry")
+
+
+def numbered(df: DataFrame, by: str, *ties: str, bins: int = 4096) -> DataFrame:
+    """df with i from 0 in order of by (a whole number) and ties, and n, the number of rows; by lies in `bins` equal bins."""
+    lo, hi, n = df.agg(F.min(by), F.max(by), F.count("*")).first()
+    d = df.withColumn("_all", F.lit(0)).withColumn("_by", F.col(by) - F.lit(lo or 0))
+    return ranked(d, ("_all",), "_by", max(1, ((hi or 0) - (lo or 0)) // bins + 1), *ties).withColumn("i", F.col("rank") - 1).withColumn("n", F.lit(n).cast("long")).drop("rank", "_all", "_by")
 
 
 def _bins(lo, hi, width: int):
@@ -40,7 +75,12 @@ def windows(sizes: DataFrame, win: int, step: int) -> DataFrame:
 
 
 def point_counts(points: DataFrame, win: int, step: int, keys: tuple = ("chrom",), pos: str = "pos") -> DataFrame:
-    """(keys, w, n): points in each half-open window; a point is dealt to its win / step windows, then counted."""
+    """(keys, w, n): points in each half-open window. Where a window is a whole number of steps, points are counted by step
+    and the counts dealt to windows; else a point is dealt to its windows, then counted."""
+    if win % step == 0:
+        by = points.where(F.col(pos) >= 0).groupBy(*keys, F.floor(F.col(pos) / step).cast("long").alias("_s")).agg(F.count("*").alias("_n"))
+        first = F.greatest(F.lit(0).cast("long"), F.col("_s") - (win // step - 1))
+        return by.select(*keys, "_n", F.explode(F.sequence(first, F.col("_s"))).alias("w")).groupBy(*keys, "w").agg(F.sum("_n").alias("n"))
     last = F.floor(F.col(pos) / step).cast("long")
     first = F.greatest(F.lit(0).cast("long"), (F.floor((F.col(pos) - win) / step) + 1).cast("long"))
     return points.where(F.col(pos) >= 0).select(*keys, F.explode(F.sequence(first, last)).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("n"))

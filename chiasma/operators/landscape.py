@@ -68,7 +68,10 @@ def sliding_rate(mids: DataFrame, sizes: DataFrame, win: int, step: int, n_cells
 
 
 def numbered(cells: DataFrame) -> DataFrame:
-    """Cells with i from 0 in order of barcode and their number n: a dimension of thousands, numbered in one task."""
+    """Cells with i from 0 in order of barcode and their number n. Numbers are counted in bins of the barcode; barcodes of
+    text are ordered in one task, for they are a dimension of thousands."""
+    if dict(cells.dtypes)["barcode"] in ("tinyint", "smallint", "int", "bigint"):
+        return I.numbered(cells.select("barcode"), "barcode").select("barcode", "i", "n")
     return cells.select("barcode", (F.row_number().over(Window.orderBy("barcode")) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
 
 
@@ -79,7 +82,8 @@ def membership(cells: DataFrame, n_boot: int) -> DataFrame:
 
 
 def rate_band(mids: DataFrame, cells: DataFrame, sizes: DataFrame, win: int, step: int, n_cells: int, n_boot: int) -> DataFrame:
-    """sliding_rate() with ymin and ymax: one standard deviation over replicates of drawn cells, floored at 0."""
+    """sliding_rate() with ymin and ymax, one standard deviation over replicates of drawn cells, floored at 0; chr_avg, the
+    chromosome's own rate, and genome_rate."""
     drawn = mids.join(membership(cells, n_boot), "barcode")
     n = I.point_counts(drawn, win, step, ("b", "chrom"), "mid").withColumn("r", F.col("n") * 100.0 / n_cells / (win / MB))
     # Replicates without a crossover in a window are not rows; their rate is 0, so sums over all replicates suffice.
@@ -87,19 +91,25 @@ def rate_band(mids: DataFrame, cells: DataFrame, sizes: DataFrame, win: int, ste
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.coalesce("s2", F.lit(0.0)) - F.pow(F.coalesce("s1", F.lit(0.0)), 2) / n_boot) / (n_boot - 1)))
     base = I.windows(sizes, win, step).join(I.point_counts(mids, win, step, pos="mid"), ["chrom", "w"], "left").join(s, ["chrom", "w"], "left")
     rate = F.coalesce("n", F.lit(0)) * 100.0 / n_cells / (win / MB)
-    return base.select("chrom", ((F.col("lo") + F.col("hi")) / 2.0 / MB).alias("pos_mb"), rate.alias("rate"), F.greatest(rate - sd, F.lit(0.0)).alias("ymin"), (rate + sd).alias("ymax"))
+    own = chrom_table(mids, sizes, n_cells).select("chrom", F.col("cm_per_mb").alias("chr_avg"), (F.sum("cm").over(Window.partitionBy()) / F.sum("size_mb").over(Window.partitionBy())).alias("genome_rate"))
+    return base.join(F.broadcast(own), "chrom").select(  # a row for each chromosome
+        "chrom", ((F.col("lo") + F.col("hi")) / 2.0 / MB).alias("pos_mb"), rate.alias("rate"), F.greatest(rate - sd, F.lit(0.0)).alias("ymin"), (rate + sd).alias("ymax"), "chr_avg", "genome_rate")
 
 
 def marey(mids: DataFrame, sizes: DataFrame, n_cells: int) -> DataFrame:
     """Cumulative map: (chrom, pos, cm) from (0, 0) by crossovers to (size, total); two rows of 0 where there is none."""
-    rank = F.row_number().over(Window.partitionBy("chrom").orderBy("mid", "barcode"))
-    steps = mids.select("chrom", F.col("mid").alias("pos"), (rank * 100.0 / n_cells).alias("cm"))
+    steps = I.ranked(mids.select("chrom", "mid", "barcode"), ("chrom",), "mid", MB, "barcode").select("chrom", F.col("mid").alias("pos"), (F.col("rank") * 100.0 / n_cells).alias("cm"))
     total = sizes.join(mids.groupBy("chrom").agg(F.count("*").alias("n")), "chrom", "left")
     ends = total.select("chrom", F.explode(F.array(F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("cm")),
                                                    F.struct(F.col("size").cast("double").alias("pos"), (F.coalesce("n", F.lit(0)) * 100.0 / n_cells).alias("cm")))).alias("e"))
     return steps.unionByName(ends.select("chrom", "e.pos", "e.cm"))
 
 
+def marey_labels(mids: DataFrame, sizes: DataFrame, n_cells: int) -> DataFrame:
+    """Where each chromosome's curve ends and what stands there: (chrom, chrom_end_mb, total_cm, cm_per_mb)."""
+    return chrom_table(mids, sizes, n_cells).select("chrom", F.col("size_mb").alias("chrom_end_mb"), F.col("cm").alias("total_cm"), "cm_per_mb")
+
+
 def distances(mids: DataFrame) -> DataFrame:
     """(barcode, chrom, dist_mb) between neighbouring crossovers of a cell."""
     w = Window.partitionBy("barcode", "chrom").orderBy("mid")

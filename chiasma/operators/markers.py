@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from chiasma.operators import intervals as I
 
 HET = ("0/1", "1/0", "0|1", "1|0")
 
@@ -49,11 +52,37 @@ def threshold_grid(diag: DataFrame, dps: list[int], quals: list[float], low: flo
     return counts.select(F.inline(F.array(*[F.struct(F.lit(d).alias("min_dp"), F.lit(float(q)).alias("min_qual"), F.col(f"n{k}").alias("n")) for k, (d, q) in enumerate(grid)])))
 
 
+def quantiles(df: DataFrame, value: str, at: dict[str, float], keys: tuple = ()) -> DataFrame:
+    """(keys, a column for each name in `at`, mean, n): exact interpolated quantiles from the counts of distinct values,
+    which are summed in every task before they move and then read in order, so no buffer holds them."""
+    by = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    part = Window.partitionBy(*keys)
+    by = by.withColumns({"_hi": F.sum("_k").over(part.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_k").over(part)})
+    aggs = []
+    for k, q in enumerate(at.values()):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        aggs += [F.min(F.when(F.col("_hi") > F.floor(h), F.col("_v"))).alias(f"_a{k}"), F.min(F.when(F.col("_hi") > F.ceil(h), F.col("_v"))).alias(f"_b{k}"), F.max(h - F.floor(h)).alias(f"_f{k}")]
+    out = by.groupBy(*keys).agg(*aggs, (F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("mean"), F.coalesce(F.sum("_k"), F.lit(0)).alias("n"))
+    return out.select(*keys, *[(F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * F.col(f"_f{k}")).cast("double").alias(name) for k, name in enumerate(at)], "mean", "n")
+
+
 def six_numbers(df: DataFrame, value: str, keys: tuple = ()) -> DataFrame:
     """Least, quartiles (interpolated), mean and largest."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("p")
-    d = df.groupBy(*keys).agg(p, F.avg(value).alias("mean"))
-    return d.select(*keys, *[F.col("p")[k].alias(n) for k, n in enumerate(("min", "q1", "median", "q3", "max"))], "mean")
+    return quantiles(df, value, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}, keys).drop("n")
+
+
+def spacing(markers: DataFrame, wide: int, keys: tuple = ("chrom",), pos: str = "pos", width: int = 1 << 20) -> DataFrame:
+    """(keys, median_gap, p99_gap, wide): distances between neighbouring markers, and how many exceed `wide`."""
+    g = I.previous(markers.select(*keys, pos), keys, pos, width).select(*keys, (F.col(pos) - F.col("previous")).alias("gap"))
+    n = g.groupBy(*keys).agg(F.count_if(F.col("gap") > wide).alias("wide"))
+    return n.join(quantiles(g, "gap", {"median_gap": 0.5, "p99_gap": 0.99}, keys).drop("mean", "n"), list(keys), "left").select(*keys, "median_gap", "p99_gap", "wide")
+
+
+def per_mb(markers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(chrom, n_markers, per_mb) of every chromosome of sizes (chrom, size)."""
+    n = markers.groupBy("chrom").agg(F.count("*").alias("n"))
+    out = sizes.join(n, "chrom", "left").withColumn("n_markers", F.coalesce("n", F.lit(0)))
+    return out.select("chrom", "n_markers", (F.col("n_markers") / (F.col("size") / 1_000_000)).alias("per_mb"))
 
 
 def winsorised(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:

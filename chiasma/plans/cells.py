@@ -149,6 +149,10 @@ def smoothed(spark, sf_dir):
     return S.pass_two(S.pass_one(gated(spark, sf_dir), base_af=BASE_AF), window_af=WINDOW_AF)
 
 
+def calls(spark, sf_dir):
+    return B.called(smoothed(spark, sf_dir), BLOCK_SIZE, MARKER_NUM, genotype=GENOTYPE)
+
+
 def surviving(spark, sf_dir):
     return B.long_enough(B.runs(smoothed(spark, sf_dir), genotype=GENOTYPE), BLOCK_SIZE, MARKER_NUM)
 
@@ -185,13 +189,10 @@ def breakpoints(spark, sf_dir):
 
 @register("refined_breakpoints", f"{ALL} SELECT * FROM rb")
 def refined_breakpoints(spark, sf_dir):
-    s = smoothed(spark, sf_dir)
-    return B.refine(B.breakpoints(B.long_enough(B.runs(s, genotype=GENOTYPE), BLOCK_SIZE, MARKER_NUM)), s)
+    return B.refined(calls(spark, sf_dir))
 
 
 @register("final_blocks", f'{ALL} SELECT * FROM fin')
 def final_blocks(spark, sf_dir):
-    s = smoothed(spark, sf_dir)
-    kept = B.long_enough(B.runs(s, genotype=GENOTYPE), BLOCK_SIZE, MARKER_NUM)
     sizes = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("chrom")).agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) + 1).alias("size"))
-    return B.final_blocks(kept, sizes, B.refine(B.breakpoints(kept), s))
+    return B.haplotypes(calls(spark, sf_dir), sizes)

@@ -1,23 +1,24 @@
-"""Queries from crossovers to maps and interference. Every fifth event stands for a crossover: minutes since 2024 are
-positions in units of 100 bases, so a month is a chromosome of about 4.3 Mb."""
+"""Queries from crossovers to maps and interference. Every event stands for a crossover: a base lasts 0.6 seconds since the
+start of 2024, so a month is a chromosome of about 4.3 Mb."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chiasma.operators import intervals as I
 from chiasma.operators import interference as X
 from chiasma.operators import landscape as L
 from chiasma.plans.catalog import register, table
 
-WIN, STEP, INTERVAL, BOOT = 500_000, 50_000, 0.4, 20
+WIN, STEP, INTERVAL = 500_000, 50_000, 0.4
+#: Replicates of the rate band, the coincidence band and the gamma band.
+BOOT, BOOT_COC, BOOT_GAMMA = 200, 500, 1000
 T0 = 1_704_067_200_000_000
 
 
 def co(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
-    start = F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {T0}) div 60000000 * 100")
+    e = table(spark, sf_dir, "events")
+    start = F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {T0}) div 600000")
     return L.midpoints(e.select(F.col("user_id").alias("barcode"), F.col("event_type").alias("chrom"), start.alias("bp_start"), (start + F.floor("value") * 10).cast("long").alias("bp_end")))
 
 
@@ -36,7 +37,7 @@ def n_cells(spark, sf_dir) -> int:
 
 
 CO = f"""
-co0 AS (SELECT user_id AS barcode, event_type AS chrom, (epoch_us(ts) - {T0}) // 60000000 * 100 AS bp_start, CAST(floor(value) AS BIGINT) * 10 AS w FROM events WHERE event_id % 5 = 0),
+co0 AS (SELECT user_id AS barcode, event_type AS chrom, (epoch_us(ts) - {T0}) // 600000 AS bp_start, CAST(floor(value) AS BIGINT) * 10 AS w FROM events),
 co AS (SELECT barcode, chrom, bp_start, bp_start + w AS bp_end, (bp_start + bp_start + w) / 2.0::DOUBLE AS mid FROM co0),
 sz AS (SELECT DISTINCT event_type AS chrom, CAST(4400000 + length(event_type) * 10000 AS BIGINT) AS size FROM events),
 cl AS (SELECT DISTINCT user_id AS barcode FROM events), nc AS (SELECT count(*) AS n FROM cl),
@@ -107,22 +108,25 @@ def sliding_rate(spark, sf_dir):
     return r.select("chrom", F.round("pos_mb", 6).alias("pos_mb"), F.round("rate", 6).alias("rate"))
 
 
-DRAWS = f"""
+def _draws(n_boot):
+    return f"""
 ci AS (SELECT barcode, row_number() OVER (ORDER BY barcode) - 1 AS i FROM cl),
-dr AS (SELECT b, i AS slot, ((((b * 7919 + i * 104729 + 12345) % 2147483647) * 48271) % 2147483647 * 16807) % 2147483647 % n AS j FROM ci CROSS JOIN nc CROSS JOIN (SELECT unnest(generate_series(0, {BOOT - 1})) AS b)),
+dr AS (SELECT b, i AS slot, ((((b * 7919 + i * 104729 + 12345) % 2147483647) * 48271) % 2147483647 * 16807) % 2147483647 % n AS j FROM ci CROSS JOIN nc CROSS JOIN (SELECT unnest(generate_series(0, {n_boot - 1})) AS b)),
 mb AS (SELECT DISTINCT b, barcode FROM dr JOIN ci ON ci.i = dr.j)
 """
 
 
-@register("rate_band", f"""WITH {CO}, {DRAWS},
+@register("rate_band", f"""WITH {CO}, {_draws(BOOT)},
   rb AS (SELECT x.chrom, x.lo, x.hi, x.b, count(co.barcode) * {RATE} AS r FROM (SELECT wl.*, b FROM wl CROSS JOIN (SELECT unnest(generate_series(0, {BOOT - 1})) AS b)) x CROSS JOIN nc
      LEFT JOIN (SELECT co.*, mb.b AS cb FROM co JOIN mb USING (barcode)) co ON co.chrom = x.chrom AND co.cb = x.b AND mid >= lo AND mid < hi GROUP BY 1, 2, 3, 4, n),
   r0 AS (SELECT wl.chrom, lo, hi, count(co.barcode) * {RATE} AS rate FROM wl CROSS JOIN nc LEFT JOIN co ON co.chrom = wl.chrom AND mid >= lo AND mid < hi GROUP BY 1, 2, 3, n),
-  sd AS (SELECT chrom, lo, stddev_samp(r) AS sd FROM rb GROUP BY 1, 2)
-  SELECT r0.chrom, round((lo + hi) / 2.0::DOUBLE / 1000000, 6) AS pos_mb, round(rate, 6) AS rate, round(greatest(rate - sd, 0), 5) AS ymin, round(rate + sd, 5) AS ymax FROM r0 JOIN sd USING (chrom, lo)""")
+  sd AS (SELECT chrom, lo, stddev_samp(r) AS sd FROM rb GROUP BY 1, 2),
+  av AS (SELECT sz.chrom, size / 1000000 AS mb, count(co.barcode) * 100.0::DOUBLE / any_value(n) AS cm FROM sz CROSS JOIN nc LEFT JOIN co ON co.chrom = sz.chrom GROUP BY 1, 2)
+  SELECT r0.chrom, round((lo + hi) / 2.0::DOUBLE / 1000000, 6) AS pos_mb, round(rate, 6) AS rate, round(greatest(rate - sd, 0), 5) AS ymin, round(rate + sd, 5) AS ymax,
+    round(cm / mb, 6) AS chr_avg, round((SELECT sum(cm) / sum(mb) FROM av), 6) AS genome_rate FROM r0 JOIN sd USING (chrom, lo) JOIN av USING (chrom)""")
 def rate_band(spark, sf_dir):
     r = L.rate_band(co(spark, sf_dir), cells(spark, sf_dir), sizes(spark, sf_dir), WIN, STEP, n_cells(spark, sf_dir), BOOT)
-    return r.select("chrom", F.round("pos_mb", 6).alias("pos_mb"), F.round("rate", 6).alias("rate"), F.round("ymin", 5).alias("ymin"), F.round("ymax", 5).alias("ymax"))
+    return r.select("chrom", F.round("pos_mb", 6).alias("pos_mb"), F.round("rate", 6).alias("rate"), F.round("ymin", 5).alias("ymin"), F.round("ymax", 5).alias("ymax"), F.round("chr_avg", 6).alias("chr_avg"), F.round("genome_rate", 6).alias("genome_rate"))
 
 
 @register("marey_map", f"""WITH {CO} SELECT chrom, mid AS pos, round(row_number() OVER (PARTITION BY chrom ORDER BY mid, barcode) * 100.0::DOUBLE / n, 6) AS cm FROM co, nc
@@ -135,6 +139,12 @@ def marey_map(spark, sf_dir):
 DI = "di AS (SELECT * FROM (SELECT barcode, chrom, (mid - lag(mid) OVER (PARTITION BY barcode, chrom ORDER BY mid)) / 1000000 AS dist_mb FROM co) WHERE dist_mb IS NOT NULL)"
 
 
+@register("marey_labels", f"WITH {CO}, t AS ({CT}) SELECT chrom, size_mb AS chrom_end_mb, cm AS total_cm, cm_per_mb FROM t")
+def marey_labels(spark, sf_dir):
+    t = L.marey_labels(co(spark, sf_dir), sizes(spark, sf_dir), n_cells(spark, sf_dir))
+    return t.select("chrom", *[F.round(c, 6).alias(c) for c in ("chrom_end_mb", "total_cm", "cm_per_mb")])
+
+
 @register("inter_co_distances", f"WITH {CO}, {DI} SELECT barcode, chrom, round(dist_mb, 6) AS dist_mb FROM di")
 def inter_co_distances(spark, sf_dir):
     return L.distances(co(spark, sf_dir)).withColumn("dist_mb", F.round("dist_mb", 6))
@@ -166,24 +176,35 @@ def co_presence(spark, sf_dir):
 @register("coincidence", f"WITH {CO}, {PR}, {_coc('pv')} SELECT round(dist_mb, 6) AS dist_mb, round(coc, 6) AS coc, n_pairs, round(total_exp, 5) AS total_exp, round(least(1, greatest(0.2, total_exp / 10)), 6) AS alpha FROM cc")
 def coincidence(spark, sf_dir):
     c = X.coincidence(X.intervals_of(co(spark, sf_dir), sizes(spark, sf_dir), INTERVAL), n_cells(spark, sf_dir), INTERVAL)
-    alpha = F.least(F.lit(1.0), F.greatest(F.lit(0.2), F.col("total_exp") / 10))
-    return c.select(F.round("dist_mb", 6).alias("dist_mb"), F.round("coc", 6).alias("coc"), "n_pairs", F.round("total_exp", 5).alias("total_exp"), F.round(alpha, 6).alias("alpha"))
+    return c.select(F.round("dist_mb", 6).alias("dist_mb"), F.round("coc", 6).alias("coc"), "n_pairs", F.round("total_exp", 5).alias("total_exp"), F.round(X.alpha(F.col("total_exp")), 6).alias("alpha"))
 
 
-@register("coincidence_band", f"""WITH {CO}, {DRAWS}, {PR}, pb AS (SELECT b AS rep, pv.* FROM pv JOIN mb USING (barcode)), {_coc('pb', 'rep')}
+@register("coincidence_band", f"""WITH {CO}, {_draws(BOOT_COC)}, {PR}, pb AS (SELECT b AS rep, pv.* FROM pv JOIN mb USING (barcode)), {_coc('pb', 'rep')}
   SELECT round(dist_mb, 6) AS dist_mb, round(quantile_cont(coc, 0.025), 6) AS lo, round(quantile_cont(coc, 0.975), 6) AS hi FROM ccrep GROUP BY 1""")
 def coincidence_band(spark, sf_dir):
-    p = X.intervals_of(co(spark, sf_dir), sizes(spark, sf_dir), INTERVAL).join(L.membership(cells(spark, sf_dir), BOOT), "barcode")
-    c = X.coincidence(p, n_cells(spark, sf_dir), INTERVAL, ("b",))
-    q = F.percentile("coc", F.array(F.lit(0.025), F.lit(0.975)))
-    return c.groupBy(F.round("dist_mb", 6).alias("dist_mb")).agg(q.alias("q")).select("dist_mb", F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"))
+    return _band(spark, sf_dir).select("dist_mb", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@register("gamma_statistics", f"WITH {CO}, {DI} SELECT coalesce(chrom, 'POOLED') AS chrom, count(*) AS n, round(avg(dist_mb), 6) AS mean, round(avg(ln(dist_mb)), 6) AS mean_log, round(var_samp(dist_mb), 6) AS var FROM di WHERE dist_mb > 0 GROUP BY ROLLUP (chrom)")
+def _band(spark, sf_dir):
+    p = X.intervals_of(co(spark, sf_dir), sizes(spark, sf_dir), INTERVAL)
+    c = X.coincidence(p, n_cells(spark, sf_dir), INTERVAL, L.membership(cells(spark, sf_dir), BOOT_COC))
+    q = F.percentile("coc", F.array(F.lit(0.025), F.lit(0.975)))  # of one value for each replicate
+    return c.groupBy(F.round("dist_mb", 6).alias("dist_mb")).agg(q.alias("q")).select("dist_mb", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
+@register("coincidence_axis", f"""WITH {CO}, {_draws(BOOT_COC)}, {PR}, pb AS (SELECT b AS rep, pv.* FROM pv JOIN mb USING (barcode)), {_coc('pb', 'rep')}, {_coc('pv')},
+  bd AS (SELECT quantile_cont(coc, 0.975) AS hi FROM ccrep GROUP BY round(dist_mb, 6))
+  SELECT round(least(greatest((SELECT max(coc) FROM cc), (SELECT max(hi) FROM bd)) * 1.1, 4), 5) AS ymax""")
+def coincidence_axis(spark, sf_dir):
+    c = X.coincidence(X.intervals_of(co(spark, sf_dir), sizes(spark, sf_dir), INTERVAL), n_cells(spark, sf_dir), INTERVAL)
+    return X.axis_top(c, _band(spark, sf_dir)).select(F.round("ymax", 5).alias("ymax"))
+
+
+@register("gamma_statistics", f"WITH {CO}, {DI} SELECT coalesce(chrom, 'POOLED') AS chrom, count(*) AS n, round(avg(dist_mb), 6) AS mean, round(CASE WHEN min(dist_mb) > 0 THEN avg(CASE WHEN dist_mb > 0 THEN ln(dist_mb) END) END, 6) AS mean_log, round(var_samp(dist_mb), 6) AS var FROM di GROUP BY ROLLUP (chrom)")
 def gamma_statistics(spark, sf_dir):
-    d = L.distances(co(spark, sf_dir)).where("dist_mb > 0")
-    r = d.rollup("chrom").agg(F.count("*").alias("n"), F.avg("dist_mb").alias("mean"), F.avg(F.ln("dist_mb")).alias("mean_log"), F.var_samp("dist_mb").alias("var"))
-    return r.select(F.coalesce("chrom", F.lit("POOLED")).alias("chrom"), "n", *[F.round(c, 6).alias(c) for c in ("mean", "mean_log", "var")])
+    d = L.distances(co(spark, sf_dir))
+    r = X.gamma_stats(d, ["chrom"]).unionByName(X.gamma_stats(d, []).withColumn("chrom", F.lit("POOLED")))
+    return r.select("chrom", "n", *[F.round(c, 6).alias(c) for c in ("mean", "mean_log", "var")])
 
 
 @register("gamma_fits")
@@ -197,16 +218,11 @@ def gamma_fits(spark, sf_dir):
 @register("gamma_band")
 def gamma_band(spark, sf_dir):
     """Interval of the pooled shape over replicates of the distances drawn with multiplicity."""
-    d = L.distances(co(spark, sf_dir)).where("dist_mb > 0")
-    # Draws by number need a dense one: (barcode, chrom, dist) in order, counted by barcode first so no task holds them all.
-    per = d.groupBy("barcode").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("barcode").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("barcode", before.alias("o"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    own = F.row_number().over(Window.partitionBy("barcode").orderBy("chrom", "dist_mb")) - 1
-    u = d.withColumn("own", own).join(per, "barcode").select("dist_mb", (F.col("o") + F.col("own")).alias("i"), "n")
+    # Draws by number need a dense one.
+    u = I.numbered(L.distances(co(spark, sf_dir)), "barcode", "chrom", "dist_mb").select("dist_mb", "i", "n")
     from chiasma.operators.sampling import replicates
 
-    r = replicates(u, 2 * BOOT).join(u.select("i", "dist_mb"), "i")
+    r = replicates(u, BOOT_GAMMA).join(u.select("i", "dist_mb"), "i")
     fits = X.gamma_fit(X.gamma_stats(r, ["b"]))
     q = F.percentile("nu", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return fits.agg(F.count("nu").alias("n_boot"), q.alias("q")).select("n_boot", *[F.round(F.col("q")[k], 4).alias(a) for k, a in enumerate(("lo", "mid", "hi"))])
@@ -225,7 +241,7 @@ def features(spark, sf_dir):
 
 
 def _merged(spark, sf_dir):
-    return I.merge(features(spark, sf_dir).where("event_id % 3 = 0"), 10, 15)
+    return I.merge(features(spark, sf_dir).where("event_id % 3 = 0"), 10, 15, width=2000)  # a third of the features are masks
 
 
 @register("interval_merge", f'WITH {FE} SELECT chrom, start, "end" FROM me')
@@ -233,6 +249,16 @@ def interval_merge(spark, sf_dir):
     return _merged(spark, sf_dir)
 
 
+@register("mask_products", f"WITH {FE} SELECT chrom, CASE WHEN event_id % 2 = 0 THEN '18S_rRNA' ELSE '5S_rRNA' END AS product, count(*) AS n FROM fe WHERE event_id % 3 = 0 GROUP BY 1, 2")
+def mask_products(spark, sf_dir):
+    """Masked features by chromosome and product, the product read from the attributes of an annotation line."""
+    from chiasma.functions.text import gff_product
+
+    name = F.when(F.col("event_id") % 2 == 0, "18S_rRNA").otherwise("5S_rRNA")
+    f = features(spark, sf_dir).where("event_id % 3 = 0").withColumn("attributes", F.concat(F.lit("Name="), name, F.lit(";product="), F.lower(name)))
+    return f.groupBy("chrom", gff_product(F.col("attributes")).alias("product")).agg(F.count("*").alias("n"))
+
+
 @register("excluded_bases", f'WITH {FE} SELECT chrom, count(*) AS n_regions, CAST(coalesce(sum("end" - start), 0) AS BIGINT) AS bp FROM me GROUP BY 1')
 def excluded_bases(spark, sf_dir):
     return _merged(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("n_regions"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bp"))

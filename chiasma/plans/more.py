@@ -8,6 +8,7 @@ from chiasma.functions import density as D
 from chiasma.functions import text as X
 from chiasma.operators import audit as A
 from chiasma.operators import blocks as B
+from chiasma.operators import frames as R
 from chiasma.operators import genotype as G
 from chiasma.operators import intervals as I
 from chiasma.operators import landscape as L
@@ -63,9 +64,12 @@ SWEEP = ([0, 86_400_000_000, 2 * 86_400_000_000], [1, 3])
 
 @register("block_sweep", f"""{QC.ALL}, s AS (SELECT * FROM (VALUES (0), (86400000000), (172800000000)) a(block_size), (VALUES (1), (3)) b(marker_num)),
   k AS (SELECT s.*, bl.*, CASE WHEN genotype <> lag(genotype) OVER (PARTITION BY block_size, marker_num, barcode, chrom ORDER BY sta) THEN 1 ELSE 0 END AS nw FROM bl JOIN s ON "end" - sta >= block_size AND markernum >= marker_num)
-  SELECT CAST(block_size AS BIGINT) AS block_size, CAST(marker_num AS BIGINT) AS marker_num, count(*) AS n_blocks, CAST(sum(nw) AS BIGINT) AS n_breakpoints FROM k GROUP BY 1, 2""")
+  , nu AS (SELECT count(DISTINCT user_id) AS u, count(DISTINCT event_type) AS c FROM events), p AS (SELECT block_size, marker_num, chrom, count(*) AS b, sum(nw) AS x FROM k GROUP BY ALL)
+  SELECT CAST(block_size AS BIGINT) AS block_size, CAST(marker_num AS BIGINT) AS marker_num, CAST(sum(b) AS BIGINT) AS n_blocks, CAST(sum(x) AS BIGINT) AS n_breakpoints, round(sum(x) * 100.0::DOUBLE / any_value(u), 6) AS cm,
+    CAST(any_value(c) - count_if(x * 100.0::DOUBLE / u >= 50) AS BIGINT) AS n_below FROM p, nu GROUP BY 1, 2""")
 def block_sweep(spark, sf_dir):
-    return A.block_sweep(B.runs(QC.smoothed(spark, sf_dir), genotype=QC.GENOTYPE), *SWEEP)
+    s = A.block_sweep(B.runs(QC.smoothed(spark, sf_dir), genotype=QC.GENOTYPE), *SWEEP, n_cells=QM.n_cells(spark, sf_dir), chroms=QC.chrom_names(spark, sf_dir))
+    return s.withColumn("cm", F.round("cm", 6))
 
 
 @register("map_floor", f"WITH {QM.CO} SELECT chrom, cm, cm < 250 AS below FROM ({QM.CT})")
@@ -103,7 +107,7 @@ def single_read_share(spark, sf_dir):
     return A.single_read_share(_observed(spark, sf_dir)).select(*[F.round(c, 6).alias(c) for c in ("single_share", "mean_dp", "alt_fraction")])
 
 
-@register("detection_saturation", f"""WITH {QC.CM}, pcc AS (SELECT user_id AS barcode, CAST(count_if(event_id % 5 = 0) AS BIGINT) AS n_cos FROM events GROUP BY 1), j AS (SELECT total_markers, n_cos FROM st JOIN pcc USING (barcode)),
+@register("detection_saturation", f"""WITH {QC.CM}, pcc AS (SELECT user_id AS barcode, CAST(count(*) AS BIGINT) AS n_cos FROM events GROUP BY 1), j AS (SELECT total_markers, n_cos FROM st JOIN pcc USING (barcode)),
   e AS (SELECT min(total_markers) AS lo, max(total_markers) AS hi FROM j) SELECT CAST(least((total_markers - lo) * 5 // greatest(1, hi - lo), 4) AS BIGINT) AS bin, count(*) AS n_cells, round(avg(n_cos), 6) AS mean_cos FROM j, e GROUP BY 1""")
 def detection_saturation(spark, sf_dir):
     t = G.switch_table(QC._switches(spark, sf_dir), QC.chrom_names(spark, sf_dir))
@@ -126,7 +130,8 @@ def qc_flags(spark, sf_dir):
 @register("figure_tracks", f"""WITH {QM.CO}, {QM.FE}, ds AS (SELECT DISTINCT chrom, 44640 AS size FROM fe), dw AS (SELECT chrom, w * {QM.DS} AS lo, w * {QM.DS} + {QM.DW} AS hi FROM (SELECT chrom, unnest(generate_series(0, (size - {QM.DW}) // {QM.DS})) AS w FROM ds))
   SELECT 'co' AS track, wl.chrom, (lo + hi) / 2.0::DOUBLE AS pos, round(count(co.barcode) * {QM.RATE}, 6) AS val FROM wl CROSS JOIN nc LEFT JOIN co ON co.chrom = wl.chrom AND mid >= lo AND mid < hi GROUP BY wl.chrom, lo, hi, n
   UNION ALL SELECT 'gene', dw.chrom, (lo + hi) / 2.0::DOUBLE, CAST(count(fe.start) AS DOUBLE) FROM dw LEFT JOIN fe ON fe.chrom = dw.chrom AND start < hi AND "end" > lo GROUP BY dw.chrom, lo, hi
-  UNION ALL SELECT 'snp', dw.chrom, (lo + hi) / 2.0::DOUBLE, CAST(count(fe.start) AS DOUBLE) FROM dw LEFT JOIN fe ON fe.chrom = dw.chrom AND start >= lo AND start < hi GROUP BY dw.chrom, lo, hi""")
+  UNION ALL SELECT 'snp', dw.chrom, (lo + hi) / 2.0::DOUBLE, CAST(count(fe.start) AS DOUBLE) FROM dw LEFT JOIN fe ON fe.chrom = dw.chrom AND start >= lo AND start < hi GROUP BY dw.chrom, lo, hi
+  UNION ALL SELECT CASE k WHEN 1 THEN 'satellite' ELSE 'ltr' END, dw.chrom, (lo + hi) / 2.0::DOUBLE, round(coalesce(sum(CASE WHEN fe.start IS NOT NULL THEN least("end", hi) - greatest(start, lo) END), 0) / {QM.DW}, 6) FROM dw CROSS JOIN (VALUES (1), (2)) kk(k) LEFT JOIN fe ON fe.chrom = dw.chrom AND event_id % 4 = k AND start < hi AND "end" > lo GROUP BY k, dw.chrom, lo, hi""")
 def figure_tracks(spark, sf_dir):
     f = QM.features(spark, sf_dir)
     s = f.select("chrom").distinct().withColumn("size", F.lit(44640).cast("long"))
@@ -134,7 +139,11 @@ def figure_tracks(spark, sf_dir):
     co = L.sliding_rate(QM.co(spark, sf_dir), QM.sizes(spark, sf_dir), QM.WIN, QM.STEP, QM.n_cells(spark, sf_dir)).select("chrom", F.round(F.col("pos_mb") * 1e6, 3).alias("pos"), F.round("rate", 6).alias("val"))
     gene = I.density(f, s, QM.DW, QM.DS).select("chrom", mid, F.col("n_features").cast("double").alias("val"))
     snp = I.windows(s, QM.DW, QM.DS).join(I.point_counts(f, QM.DW, QM.DS, pos="start"), ["chrom", "w"], "left").select("chrom", mid, F.coalesce("n", F.lit(0)).cast("double").alias("val"))
-    return S.stacked([t.select(F.lit(k).alias("track"), "chrom", "pos", "val") for k, t in (("co", co), ("gene", gene), ("snp", snp))])
+    kinds = F.element_at(F.array(*map(F.lit, ("gene", "tandem_repeat", "transposable_element", "exon"))), (F.col("event_id") % 4 + 1).cast("int"))
+    typed = f.withColumn("type", kinds)
+    covered = lambda t: I.density(R.of_types(typed, s, [t]), s, QM.DW, QM.DS).select("chrom", mid, F.round("covered", 6).alias("val"))
+    tracks = (("co", co), ("gene", gene), ("snp", snp), ("satellite", covered("tandem_repeat")), ("ltr", covered("transposable_element")))
+    return S.stacked([t.select(F.lit(k).alias("track"), "chrom", "pos", "val") for k, t in tracks])
 
 
 @register("distance_histogram", f"""WITH {QM.CO}, {QM.DI}, e AS (SELECT min(dist_mb) AS lo, max(dist_mb) AS hi, count(*) AS n FROM di), g AS (SELECT unnest(generate_series(0, 24)) AS b),

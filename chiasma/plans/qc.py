@@ -11,6 +11,7 @@ from chiasma.operators import expression as E
 from chiasma.operators import intervals as I
 from chiasma.operators import markers as M
 from chiasma.operators import params as P
+from chiasma.operators import sets as S
 from chiasma.operators import tracks as T
 from chiasma.plans.catalog import register, table
 
@@ -89,10 +90,13 @@ def winsorised_depth(spark, sf_dir):
 
 @register("marker_spacing", f"WITH {V}, g AS (SELECT chrom, pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) AS gap FROM mk) SELECT chrom, median(gap) AS median_gap, quantile_cont(gap, 0.99) AS p99_gap, CAST(count_if(gap > 100) AS BIGINT) AS wide FROM g GROUP BY 1")
 def marker_spacing(spark, sf_dir):
-    from pyspark.sql.window import Window
+    return M.spacing(_markers(spark, sf_dir), 100, width=20_000)
 
-    g = _markers(spark, sf_dir).select("chrom", (F.col("pos") - F.lag("pos").over(Window.partitionBy("chrom").orderBy("pos"))).alias("gap"))
-    return g.groupBy("chrom").agg(F.median("gap").alias("median_gap"), F.percentile("gap", 0.99).alias("p99_gap"), F.count_if(F.col("gap") > 100).alias("wide"))
+
+@register("markers_per_mb", f"WITH {V}, s AS (SELECT chrom, max(pos) AS size FROM v GROUP BY 1) SELECT s.chrom, count(mk.chrom) AS n_markers, round(count(mk.chrom) / (size / 1000000), 6) AS per_mb FROM s LEFT JOIN mk ON mk.chrom = s.chrom GROUP BY s.chrom, size")
+def markers_per_mb(spark, sf_dir):
+    sizes = variants(spark, sf_dir).groupBy("chrom").agg(F.max("pos").alias("size"))
+    return M.per_mb(_markers(spark, sf_dir), sizes).withColumn("per_mb", F.round("per_mb", 6))
 
 
 MX = """mx AS (SELECT l_partkey AS gene, l_suppkey AS barcode, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2),
@@ -104,6 +108,10 @@ def matrix(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("barcode")).agg(F.sum(F.col("l_quantity").cast("long")).alias("n"))
 
 
+#: Lower bounds of the ambient test, in reads of the binding's matrix.
+AMBIENT = (14_000, 14_500, 15_000, 15_500)
+
+
 def barcode_stats(spark, sf_dir):
     return C.totals(matrix(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("barcode")))
 
@@ -160,9 +168,13 @@ def false_discovery(spark, sf_dir):
 
 @register("ambient_test")
 def ambient_test(spark, sf_dir):
-    """Monte-Carlo: no SQL; tested for its error rate and power on planted barcodes."""
-    m = matrix(spark, sf_dir).select((F.col("gene") % 50).alias("gene"), "barcode", "n").groupBy("gene", "barcode").agg(F.sum(F.col("n") % 7).alias("n"))
-    return C.ambient_test(m, lower=1200, iterations=200).select("barcode", "total_umi", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"))
+    """Monte-Carlo, at four lower bounds: no SQL; tested for its error rate and power on planted barcodes."""
+    m, out = matrix(spark, sf_dir), None
+    for lower in AMBIENT:
+        t = C.ambient_test(m, lower=lower).select(F.lit(lower).alias("lower"), "barcode", "total_umi", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"))
+        t = t.withColumn("is_cell", F.coalesce(F.col("fdr") <= 0.001, F.lit(False)))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 @register("sparse_allele_join", "WITH d AS (SELECT l_suppkey AS site, l_partkey AS cell, count(*) AS dp FROM lineitem GROUP BY 1, 2), a AS (SELECT l_suppkey AS site, l_partkey AS cell, count(*) AS ad FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) SELECT site, cell, dp, coalesce(ad, 0) AS ad, greatest(dp - coalesce(ad, 0), 0) AS ref_count FROM d LEFT JOIN a USING (site, cell)")
@@ -192,11 +204,11 @@ def gene_counts(spark, sf_dir):
     return N.gene_counts(reads(spark, sf_dir))
 
 
-HT = "ht AS (SELECT DISTINCT p_brand AS marker, '_scaffold_' || (l_suppkey % 9) || '_' || (l_partkey % 20) AS gene, exp(-(l_quantity + l_linenumber)) AS evalue, l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS line, '_scaffold_' || (l_suppkey % 9) AS scaffold FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 20 = 0)"
+HT = "ht AS (SELECT DISTINCT p_brand AS marker, '_scaffold_' || (l_suppkey % 9) || '_' || (l_partkey % 20) AS gene, exp(-(l_quantity + l_linenumber)) AS evalue, l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS line, '_scaffold_' || (l_suppkey % 9) AS scaffold FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
 def hits(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     gene = F.concat(F.lit("_scaffold_"), (F.col("l_suppkey") % 9).cast("string"), F.lit("_"), (F.col("l_partkey") % 20).cast("string"))
     return l.select(F.col("p_brand").alias("marker"), gene.alias("gene"), F.exp(-(F.col("l_quantity") + F.col("l_linenumber"))).alias("evalue"),
                     (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("line"), E.scaffold(gene).alias("scaffold")).distinct()
@@ -263,7 +275,8 @@ def marker_samples(spark, sf_dir):
 @register("active_samples", "SELECT n_name AS sample_id FROM nation WHERE n_name NOT IN ('FRANCE', 'NATION_3', 'NATION_7')")
 def active_samples(spark, sf_dir):
     """The sample list less an exclusion set."""
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("sample_id")).where(~F.col("sample_id").isin("FRANCE", "NATION_3", "NATION_7"))
+    gone = spark.sql("SELECT * FROM VALUES ('FRANCE'), ('NATION_3'), ('NATION_7') AS t(sample_id)")
+    return S.without(table(spark, sf_dir, "nation").select(F.col("n_name").alias("sample_id")), gone, "sample_id")
 
 
 @register("dense_chromosome_ids", "SELECT n_name AS name, CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS internal_id FROM nation WHERE n_nationkey IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9000)")

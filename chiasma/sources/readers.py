@@ -32,8 +32,22 @@ def tsv(spark: SparkSession, path, schema: str, header: bool = False) -> DataFra
 
 
 def spaced(spark: SparkSession, path, schema: str) -> DataFrame:
-    """Space-separated, ragged rows filled with nulls; files that went missing are left out."""
-    return spark.read.schema(schema).option("ignoreMissingFiles", "true").csv(path, sep=" ", mode="PERMISSIVE")
+    """Space-separated, ragged rows filled with nulls. Paths (one or a list) that are missing, or empty, give no rows."""
+    there = existing(spark, path)
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("ignoreMissingFiles", "true").csv(there, sep=" ", mode="PERMISSIVE")
+
+
+def existing(spark: SparkSession, path) -> list[str]:
+    """Those of the paths (globs too) that are there, on whichever file system they name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for one in [path] if isinstance(path, str) else list(path):
+        p = jvm.org.apache.hadoop.fs.Path(one)
+        if p.getFileSystem(conf).globStatus(p):
+            out.append(one)
+    return out
 
 
 def per_cell_tables(spark: SparkSession, folder: str, schema: str = CELL_MARKERS, without: tuple = ()) -> DataFrame:
@@ -143,6 +157,29 @@ def barcode_counts(spark: SparkSession, path) -> DataFrame:
     return t.where("n IS NOT NULL AND barcode <> ''")
 
 
+def bad_barcode_lines(spark: SparkSession, path) -> DataFrame:
+    """(value): the lines that barcode_counts() skips, blank ones aside."""
+    p = F.split(F.trim("value"), r"\s+")
+    t = spark.read.text(path).where(F.trim("value") != "")
+    return t.where(F.get(p, F.lit(1)).try_cast("double").cast("long").isNull())
+
+
+SAM = "name string, flag int, chrom string, start long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string"
+
+
+def sam(spark: SparkSession, path) -> DataFrame:
+    """Aligned reads of SAM text: its eleven columns without header lines, strand, length, and tags as a map (CB, UB, GX ...).
+    A missing value ('*') of seq, cigar or qual is null."""
+    p = F.split("value", "\t")
+    t = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(p) >= 11))
+    kinds = [c.split() for c in SAM.split(", ")]
+    cols = [F.nullif(F.get(p, F.lit(k)), F.lit("*")).try_cast(kind).alias(n) for k, (n, kind) in enumerate(kinds)]
+    tags = F.filter(F.slice(p, 12, 1000), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:.:"))
+    tags = F.map_from_arrays(F.transform(tags, lambda x: F.substring(x, 1, 2)), F.transform(tags, lambda x: F.substring(x, F.lit(6), F.length(x))))
+    out = t.select(*cols, tags.alias("tags"))
+    return out.withColumns({"strand": F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+"), "len": F.length("seq"), "cb": F.try_element_at("tags", F.lit("CB")), "ub": F.try_element_at("tags", F.lit("UB"))})
+
+
 def fasta(spark: SparkSession, path) -> DataFrame:
     """(header, fields, sequence): records split at '>', header fields at '|'."""
     t = spark.read.option("lineSep", ">").text(path).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
@@ -165,7 +202,7 @@ def barcode_and_molecule(reads: DataFrame, cb_len: int = 16, umi_len: int = 12,
 
 def params(spark: SparkSession, text: str) -> DataFrame:
     """(section, species, key, value) of a parameter file: sections of 'default' and species blocks of numbers, as JSON or
-    as indented YAML of that shape."""
+    as YAML."""
     tree = json.loads(text) if text.lstrip().startswith("{") else _blocks(text)
     rows = [(s, sp, k, float(v)) for s, b in tree.items() if isinstance(b, dict) for sp, kv in b.items() if isinstance(kv, dict) for k, v in kv.items() if _number(v)]
     return spark.createDataFrame(rows, "section string, species string, key string, value double")
@@ -178,20 +215,75 @@ def _number(v) -> bool:
         return False
 
 
-def _blocks(text: str) -> dict:
-    """Mappings by indentation; lists, anchors and other YAML are not read."""
-    root: dict = {}
-    stack = [(-1, root)]
+def _blocks(text: str):
+    """YAML as parameter files use it: mappings and lists by indentation, flow mappings and lists, quoted and plain scalars,
+    anchors and aliases, merge keys, comments. Block scalars and tags are not read."""
+    lines = []
     for raw in text.splitlines():
-        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
-        if not line.strip() or ":" not in line:
-            continue
-        depth = len(line) - len(line.lstrip())
-        key, _, value = line.strip().partition(":")
-        while stack[-1][0] >= depth:
-            stack.pop()
-        value = value.strip().strip("\"'")
-        stack[-1][1][key.strip("\"'")] = child = value if value else {}
-        if not value:
-            stack.append((depth, child))
-    return root
+        line = re.sub(r"(^|\s)#(?=([^\"']|\"[^\"]*\"|'[^']*')*$).*$", "", raw).rstrip()
+        if line.strip() and line.strip() not in ("---", "..."):
+            lines.append((len(line) - len(line.lstrip()), line.strip()))
+    anchors: dict = {}
+    at = 0
+
+    def scalar(v: str):
+        v = v.strip()
+        if v[:1] in ("[", "{"):
+            inner = _flow(v[1:-1])
+            return [scalar(x) for x in inner] if v[0] == "[" else {k.strip().strip("\"'"): scalar(x) for k, _, x in (i.partition(":") for i in inner)}
+        return anchors.get(v[1:]) if v[:1] == "*" else v[1:-1] if v[:1] in ("'", '"') and v[-1:] == v[:1] else v
+
+    def value(text: str, depth: int):
+        """What stands after a key or dash: on the line itself, else below it."""
+        name = None
+        if text[:1] == "&":
+            name, _, text = text[1:].partition(" ")
+        out = scalar(text) if text.strip() else block(depth)
+        if name:
+            anchors[name] = out
+        return out
+
+    def block(above: int):
+        nonlocal at
+        if at >= len(lines) or lines[at][0] < above or lines[at][0] == above and not lines[at][1].startswith("- "):
+            return {}
+        depth, out = lines[at][0], [] if lines[at][1].startswith("- ") or lines[at][1] == "-" else {}
+        while at < len(lines) and lines[at][0] == depth:
+            line = lines[at][1]
+            if isinstance(out, list):
+                if not line.startswith("-"):
+                    break
+                rest = line[1:].strip()
+                if re.match(r"[^\[{\"'][^:]*:(\s|$)", rest):  # a mapping that begins on the dash's line
+                    lines[at] = (depth + 2, rest)
+                    out.append(block(depth))
+                    continue
+                at += 1
+                out.append(value(rest, depth))
+            else:
+                key, found, rest = line.partition(":")
+                at += 1
+                if not found:
+                    continue
+                v = value(rest.strip(), depth)
+                if key.strip() == "<<":
+                    for one in v if isinstance(v, list) else [v]:
+                        out = {**one, **out}
+                else:
+                    out[key.strip().strip("\"'")] = v
+        return out
+
+    return block(-1)
+
+
+def _flow(text: str) -> list[str]:
+    """The parts of a flow list or mapping between its commas."""
+    parts, depth, quote, own = [], 0, "", ""
+    for c in text:
+        quote = "" if c == quote else quote or (c if c in "'\"" else "")
+        depth += (c in "[{") - (c in "]}") if not quote else 0
+        if c == "," and not depth and not quote:
+            parts, own = [*parts, own], ""
+        else:
+            own += c
+    return [p for p in [*parts, own] if p.strip()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,22 @@ def indexed(df: DataFrame, path: str, chrom: str = "chrom", pos: str = "pos") ->
 def report(row: DataFrame) -> DataFrame:
     """(metric, value) of a one-row summary, as text."""
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("string").alias("value")) for c in row.columns])))
+
+
+def params_log(spark: SparkSession, params: dict, path: str | None = None) -> DataFrame:
+    """One row with a column for each parameter, as text, written beside the results that they led to where a path is given."""
+    row = spark.range(1).select(*[F.lit(None if v is None else str(v)).cast("string").alias(k) for k, v in params.items()])
+    if path:
+        row.coalesce(1).write.mode("overwrite").json(path)
+    return row
+
+
+def barcode_lists(lists: DataFrame, path: str) -> None:
+    """(list, barcode) as a folder of lines for each list, the list `called` among them."""
+    lists.select("list", F.col("barcode").cast("string").alias("value")).write.mode("overwrite").partitionBy("list").text(path)
+
+
+def text_report(report: DataFrame, path: str, width: int = 40) -> None:
+    """(section, metric, value) as one text file for each section: the metric padded to a width, then the value."""
+    line = F.concat(F.rpad("metric", width, " "), F.col("value"))
+    report.select("section", line.alias("value")).coalesce(1).write.mode("overwrite").partitionBy("section").text(path)

@@ -173,10 +173,47 @@ def test_top_with_ties_and_quartiles(spark):
     assert (q.q1, q.median, q.q3) == (w[37 // 4], w[37 // 2], w[3 * 37 // 4])
 
 
-def test_knee():
+def test_thresholds(spark):
     curve = [(k, 10000) for k in range(1, 101)] + [(k, max(101, int(10000 * (100 / k) ** 4))) for k in range(101, 300)]
-    knee, inflection = C.knee(curve)
-    assert 5000 < knee <= 10001 and inflection <= knee and C.knee([]) == (None, None)
+    stats = lambda rows: spark.createDataFrame(rows, "barcode int, total_umi long")
+    t = C.thresholds(stats([*curve, (400, 5), (401, 0)]), 100).first()
+    assert 5000 < t.knee <= 10000 and t.inflection <= t.knee
+    # by brute force over the distinct totals, at their mean ranks
+    ranks = {}
+    for k, (_, v) in enumerate(sorted(curve, key=lambda x: -x[1]), 1):
+        ranks.setdefault(v, []).append(k)
+    pts = [(math.log10(sum(r) / len(r)), math.log10(v), v) for v, r in ranks.items() if v > 100]
+    (x0, y0, _), (x1, y1, _) = pts[0], pts[-1]
+    far = max(pts, key=lambda p: (y1 - y0) * (x0 - p[0]) - (x1 - x0) * (y0 - p[1]))[2]
+    steps = [((b[1] - a[1]) / (b[0] - a[0]), a[2]) for a, b in zip(pts, pts[1:], strict=False) if a[2] <= far]
+    assert t.knee == far and t.inflection == min(steps)[1]
+    assert C.thresholds(stats([(1, 500), (2, 400)]), 100).first().knee is None
+    called = {r.barcode: r for r in C.calls(stats([*curve, (400, 5)]), 100).collect()}
+    assert called[1].is_cell_knee and not called[400].is_cell_inflection
+    lists = C.lists(C.calls(stats(curve), 100), {"knee": "is_cell_knee", "inflection": "is_cell_inflection"}, "knee")
+    n = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}
+    assert n["called"] == n["knee"] <= n["inflection"]
+
+
+def test_log_gamma_and_good_turing():
+    x = [1e-4, 0.3, 1, 2.5, 7.9, 8, 40, 1e5]
+    assert C.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-7)
+    p = C.good_turing([0, 0, 1, 1, 1, 2, 2, 3, 10, 100])
+    assert p.sum() == pytest.approx(1) and p[0] == p[1] == pytest.approx(3 / 120 / 2) and (p[2:] > 0).all() and p[9] > p[8] > p[7] > p[5] > p[2]
+    assert C.good_turing([0, 0]) == pytest.approx([0.5, 0.5]) and C.good_turing([5, 5]).sum() == pytest.approx(1)
+
+
+def test_ambient_p_is_uniform_without_cells(spark):
+    """Barcodes drawn from the pool itself: their chances spread evenly, by the multinomial and by the fitted spread."""
+    r = random.Random(8)
+    rows = []
+    for b in range(160):
+        g = r.choices(range(12), range(1, 13), k=40 if b < 100 else r.choice([200, 300]))
+        rows += [(x, b, g.count(x)) for x in set(g)]
+    m = spark.createDataFrame(rows, "gene long, barcode long, n long")
+    for alpha in (math.inf, None):
+        t = [x for x in C.ambient_test(m, 100, 1000, alpha=alpha, retain=False).collect() if x.p is not None]
+        assert len(t) == 60 and 0.3 < sum(x.p for x in t) / 60 < 0.7 and sum(x.p < 0.05 for x in t) <= 8
 
 
 def test_ambient_test_finds_planted_cells(spark):

@@ -11,7 +11,7 @@ def plan(spark, name):
     return catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in catalog.queries() if n not in ("rate_band", "gamma_band", "snp_density", "winsorised_depth", "detection_saturation", "distance_histogram", "marker_expression", "top_barcodes_with_ties", "chromosome_extremes", "resolved_params")))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.queries() if n not in ("rate_band", "gamma_band", "snp_density", "winsorised_depth", "detection_saturation", "distance_histogram", "marker_expression", "top_barcodes_with_ties", "chromosome_extremes", "resolved_params", "ambient_test", "barcode_calls", "called_lists", "coincidence_axis", "marker_frames", "switch_frames")))
 def test_no_theta_join(spark, name):
     """The names left out join a one-row table of thresholds or defaults."""
     p = plan(spark, name)
@@ -24,6 +24,25 @@ def test_python_only_in_the_recurrence(spark, name):
     assert ("InArrow" in p) == (name == "refined_breakpoints")
 
 
+@pytest.mark.parametrize("name", ["refined_breakpoints", "final_blocks", "block_rectangles"])
+def test_calling_smooths_once_after_one_shuffle(spark, name):
+    p = plan(spark, name)
+    # one exchange of markers by cell; the chromosomes' sizes are a summary of their own
+    assert p.count("FlatMapGroupsInArrow") == 1 and p.count("Exchange hashpartitioning") == (1 if name == "refined_breakpoints" else 2)
+
+
+@pytest.mark.parametrize("name", ["interval_merge", "marey_map", "marker_spacing", "false_discovery", "gamma_band"])
+def test_rows_are_not_ordered_in_one_task(spark, name):
+    """Windows over a whole chromosome or table see bins or distinct values, which are summed before."""
+    import re
+
+    p = plan(spark, name)
+    for part in re.split(r"\n(?=[ :+-]*Window )", p)[1:]:
+        head, below = part.split("\n", 1)
+        if "_bin" not in head.split("]")[-2] and "barcode" not in head:
+            assert "HashAggregate" in below.split("Window")[0] or "HashAggregate" in below.split("FileScan")[0]
+
+
 def test_columns_are_pruned(spark):
     p = plan(spark, "switch_counts")
     assert "props" not in p.split("ReadSchema")[1] and "value" not in p.split("ReadSchema")[1]
