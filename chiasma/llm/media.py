@@ -8,9 +8,10 @@ ARCHIVE_BYTES or ARCHIVE_MEMBERS. Members are named number_id_bytes.png, the id
 committed, a manifest lists the archives of those attempts alone, so what lost or repeated attempts left is never read.
 
 Reading. The manifest gives each archive's size; the planner cuts the archives into byte ranges of RANGE_BYTES without
-opening them. A partition reads its archive's directory and takes the members whose header begins in its range. It reads
-neighbouring members together, up to READ_BYTES at once, and yields Arrow batches of about that size. A member that
-cannot be read or fails its CRC is read again by its own offset, up to RETRIES times, without the others.
+opening them. A partition reads its archive's directory, at most ARCHIVE_MEMBERS entries, and takes the members whose
+header begins in its range. It reads neighbouring members together, up to READ_BYTES at once, and yields Arrow batches of
+about that size. A member that cannot be read or fails its CRC is read again by its own offset, up to RETRIES times,
+without the others; so are manifests and directories.
 
 Files are opened through pyarrow's file systems, by the path's scheme, below the folder that all executors share.
 
@@ -38,7 +39,7 @@ from chiasma.llm.common import documents, shared_dir
 
 NAME = "op8_media"
 ROW = 192
-ARCHIVE_BYTES, ARCHIVE_MEMBERS, RANGE_BYTES, READ_BYTES, RETRIES = 256 << 20, 100_000, 16 << 20, 4 << 20, 3
+ARCHIVE_BYTES, ARCHIVE_MEMBERS, RANGE_BYTES, READ_BYTES, RETRIES = 256 << 20, 16_384, 16 << 20, 4 << 20, 3
 SCHEMA = "id long, n_bytes long, archive string, offset long, media binary, payload binary, feature string"
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -179,8 +180,12 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self):
         fs, top = _store(self.path)
-        with fs.open_input_stream(f"{top}/manifest.json") as f:
-            archives = json.loads(f.read())
+
+        def manifest():
+            with fs.open_input_stream(f"{top}/manifest.json") as f:
+                return json.loads(f.read())
+
+        archives = retried(manifest)
         cut = [Range(name, k, min(size, k + self.range_bytes)) for name, size in archives for k in range(0, size, self.range_bytes)]
         return cut or [Range(None, 0, 0)]
 
@@ -191,8 +196,12 @@ class ArchiveReader(DataSourceReader):
             return
         fs, top = _store(self.path)
         path = f"{top}/{partition.archive}"
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            members = sorted((m for m in z.infolist() if partition.start <= m.header_offset < partition.end), key=lambda m: m.header_offset)
+
+        def directory():
+            with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                return sorted((m for m in z.infolist() if partition.start <= m.header_offset < partition.end), key=lambda m: m.header_offset)
+
+        members = retried(directory)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
         k = 0
@@ -221,6 +230,17 @@ class ArchiveReader(DataSourceReader):
 _HEADER, _SLACK = 30, 64
 
 
+def retried(read):
+    """What read() gives, called again after an error, RETRIES times in all."""
+    for attempt in range(RETRIES):
+        try:
+            return read()
+        except (OSError, ValueError, zipfile.BadZipFile):
+            if attempt + 1 == RETRIES:
+                raise
+            time.sleep(0.1 * 2**attempt)
+
+
 def _media(data: bytes, m: zipfile.ZipInfo) -> bytes | None:
     """The member's bytes where data begins with its header and its CRC is right."""
     if len(data) < _HEADER or data[:4] != b"PK\x03\x04":

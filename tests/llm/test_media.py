@@ -14,6 +14,42 @@ def rows():
     return out + [(200, None), (201, ""), (None, "x"), (None, None), (-5, " "), (7, out[7][1]), (7, out[7][1]), (300, "long " * 200_000)]
 
 
+def decode(png):
+    """The samples of a greyscale PNG, by the format's own description: any chunks, any line filter."""
+    assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, idat, width, height = 8, b"", 0, 0
+    while at < len(png):
+        n, kind = int.from_bytes(png[at : at + 4]), png[at + 4 : at + 8]
+        body = png[at + 8 : at + 8 + n]
+        assert int.from_bytes(png[at + 8 + n : at + 12 + n]) == zlib.crc32(png[at + 4 : at + 8 + n])
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4]), int.from_bytes(body[4:8])
+            assert tuple(body[8:]) == (8, 0, 0, 0, 0)
+        idat += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, out, above = zlib.decompress(idat), bytearray(), [0] * width
+    for y in range(height):
+        kind, line, left = raw[y * (width + 1)], raw[y * (width + 1) + 1 : (y + 1) * (width + 1)], 0
+        own = []
+        for x, v in enumerate(line):
+            corner = above[x - 1] if x else 0
+            guess = left + above[x] - corner
+            paeth = min((left, above[x], corner), key=lambda c: abs(guess - c))
+            left = (v + (0, left, above[x], (left + above[x]) // 2, paeth)[kind]) % 256
+            own.append(left)
+        out += bytes(own)
+        above = own
+    return bytes(out)
+
+
+def features(raw):
+    """The feature string again, by the statistics module."""
+    import statistics
+
+    steps = [abs(b - a) for a, b in zip(raw, raw[1:], strict=False)]
+    return f"mean={statistics.fmean(raw):.4f};std={statistics.pstdev(raw):.4f};step={statistics.fmean(steps):.4f}"
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_round_trip(spark, tmp_path, monkeypatch, small):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows()], "doc_id long, text string, id int, payload string").repartition(3)
@@ -25,6 +61,8 @@ def test_round_trip(spark, tmp_path, monkeypatch, small):
         raw = bytes(r.payload)
         assert len(raw) > 0 and len(raw) % 192 == 0 and raw[r.n_bytes :] == b" " * (len(raw) - r.n_bytes) and len(raw) - r.n_bytes < 192 + (r.n_bytes == 0)
         assert M.from_png(bytes(r.media)) == raw
+        if len(raw) < 20_000:
+            assert decode(bytes(r.media)) == raw and r.feature == features(raw)
     assert len({(r.archive, r.offset) for r in got}) == len(got)
 
 
@@ -34,9 +72,10 @@ def test_query(spark):
     assert {r.doc_id for r in got} == set(want) and len(got) == len(want)
     for r in got:
         raw = want[r.doc_id]
-        p = M.payload_of(raw.decode())
+        p = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
         png = M.to_png(p)
-        assert tuple(r)[1:] == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(png), hashlib.sha256(png).hexdigest(), M.feature_of(p))
+        assert decode(png) == p
+        assert tuple(r)[1:] == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(png), hashlib.sha256(png).hexdigest(), features(p))
 
 
 def test_one_member_is_read_again(tmp_path):
@@ -88,6 +127,32 @@ def test_one_member_is_read_again(tmp_path):
         M._store = real
 
 
+def test_directories_are_read_again(tmp_path, monkeypatch):
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("lost")
+        return "read"
+
+    monkeypatch.setattr(M.time, "sleep", lambda _: None)
+    assert M.retried(flaky) == "read" and len(calls) == 3
+    calls[:] = [1] * 0
+    with pytest.raises(OSError):
+        M.retried(lambda: flaky() if len(calls) < 2 else (_ for _ in ()).throw(OSError("gone")))
+
+
+def test_archives_are_cut_by_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "ARCHIVE_MEMBERS", 10)
+    w = M.ArchiveWriter(f"file://{tmp_path}/d")
+    import pyarrow as pa
+
+    done = w.write([pa.RecordBatch.from_pydict({"id": list(range(35)), "text": ["t"] * 35})])
+    w.commit([done])
+    assert len(done.archives) == 4 and sorted(r.id for r in M.read_media(spark, f"file://{tmp_path}/d").collect()) == list(range(35))
+
+
 def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert M.read_media(spark, M.write_media(none, f"file://{tmp_path}/c")).count() == 0
