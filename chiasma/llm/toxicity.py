@@ -8,9 +8,10 @@ of thresholds with P(grade > k) >= 0.5, and a text is rejected from grade 1.
 Fit. On a bounded sample of the labelled rows: those whose hashed id falls under MAX_TRAIN / (number of labelled rows),
 so any input size gives about MAX_TRAIN rows, and reruns the same. Feature counts by class come from a distributed
 aggregation over the sample; the FEATURES with the largest chi-square become the model's. The weights are fitted on the
-driver by full-batch gradient descent over at most MAX_TRAIN sparse rows. Labels that are only 0 and 1 are first spread
-to 0, 1 and 2: a toxic row whose dose (occurrences of features ten times likelier in toxic rows) is above the toxic rows'
-median gets 2. The border between 0 and 1 stays as labelled.
+driver by full-batch gradient descent over at most MAX_TRAIN sparse rows. Where labels has a column `severity` with
+grades from 0 (SEVERITY), those are taught. Labels that are only 0 and 1 are first spread to 0, 1 and 2: a toxic row whose
+dose (occurrences of features ten times likelier in toxic rows) is above the toxic rows' median gets 2. Only the border
+between 0 and 1 is labelled then; grade 2, and what it adds to the expected severity, is the model's own scale.
 
 Score. One pass over the documents without a shuffle; the model is a dictionary of at most FEATURES entries.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from chiasma.llm.common import documents, tidy
 
 NAME = "op9_toxicity"
+SEVERITY = "severity"
 MAX_TRAIN, FEATURES, LEAST_DF = 20_000, 2048, 4
 PREFIXES = range(4, 8)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -122,7 +124,8 @@ def _matrix(index: dict[str, int]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
-    """labels: id_col and grade_col, integers from 0."""
+    """labels: id_col and grade_col, integers from 0; a column `severity` is taken instead of grade_col where there is one."""
+    grade_col = SEVERITY if SEVERITY in labels.columns else grade_col
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id IS NOT NULL AND grade >= 0")
     total = known.count()
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_train / max(1, total)))
@@ -197,7 +200,8 @@ def _score(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, expected_severity, grade, p_toxic and toxic (grade >= 1) of every row."""
+    """id_col, expected_severity, grade, p_toxic and toxic (grade >= 1) of every row. Of a model fitted to labels 0 and 1,
+    toxic and p_toxic speak of what is labelled; grade 2 says only that more speaks for it."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = d.mapInArrow(tidy(_score(model)), "id long, expected_severity double, grade int, p_toxic double")
     return out.select(F.col("id").alias(id_col), "expected_severity", "grade", "p_toxic", (F.col("grade") >= 1).alias("toxic"))

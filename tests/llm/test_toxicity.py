@@ -27,6 +27,60 @@ def test_gradient_matches_likelihood():
     assert abs(np.mean(p) - np.mean(y)) < 0.02
 
 
+def scalar(model, text):
+    """Severity and grade of a text, restated: words, their prefixes of 4 to 7 letters, 1 + ln(times), shared weights."""
+    import re
+
+    times = {}
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        w = w[:64]
+        for f in [w, *(w[:n] + "-" for n in (4, 5, 6, 7) if len(w) > n)]:
+            times[f] = times.get(f, 0) + 1
+    s = sum(w * (1 + math.log(times[f])) for f, w in model.weights.items() if f in times)
+    p = [1 / (1 + math.exp(t - s)) for t in model.thetas]
+    return sum(p), sum(x >= 0.5 for x in p)
+
+
+def test_scores_against_a_scalar_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = M.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in M.score(docs, model).collect():
+        severity, grade = scalar(model, texts[r.doc_id])
+        assert abs(r.expected_severity - severity) < 1e-9 and r.grade == grade and r["toxic"] == (grade > 0)
+
+
+def test_fit_against_plain_descent():
+    """The fitted likelihood is as good as that of plain gradient steps with numeric derivatives."""
+    r = random.Random(5)
+    rows = [[(f, 1.0 + r.random()) for f in r.sample(range(4), r.randint(1, 3))] for _ in range(150)]
+    y = [min(2, max(0, round(sum(v * (1.2, -0.7, 0.4, 0.0)[f] for f, v in x) + r.gauss(0, 0.7)))) for x in rows]
+
+    def loss(w, a, gap):
+        out, theta = 0.0, (a, a + math.exp(gap))
+        for x, g in zip(rows, y, strict=True):
+            s = sum(w[f] * v for f, v in x)
+            above = [1.0, *(1 / (1 + math.exp(t - s)) for t in theta), 0.0]
+            out -= math.log(max(1e-12, above[g] - above[g + 1]))
+        return out / len(rows)
+
+    p, rate = [0.0] * 6, 0.5
+    for _ in range(800):
+        base = loss(p[:4], p[4], p[5])
+        slope = [(loss(*(lambda q: (q[:4], q[4], q[5]))([v + (1e-5 if k == j else 0) for j, v in enumerate(p)])) - base) / 1e-5 for k in range(6)]
+        p = [v - rate * d for v, d in zip(p, slope, strict=True)]
+    w, theta = M.fit_ordinal(rows, y, 4, l2=0, steps=1500, rate=0.05)
+    assert abs(loss(list(w), theta[0], math.log(theta[1] - theta[0])) - loss(p[:4], p[4], p[5])) < 2e-3
+
+
+def test_given_severities_are_taught(spark):
+    docs = spark.createDataFrame([(k, ("calm " * 5, "rude " * 5, "vile " * 5, "dire " * 5)[k % 4] + f"text{k % 9} word") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), k % 4) for k in range(200)], "doc_id long, toxic int, severity int")
+    got = M.score(docs, M.fit(docs, labels)).collect()
+    assert all(r.grade == r.doc_id % 4 for r in got)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
