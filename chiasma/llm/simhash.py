@@ -35,7 +35,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chiasma.llm.common import documents, tidy, written
+from chiasma.llm.common import documents, dropped, tidy, written
 
 NAME = "op7_simhash"
 #: Children of a node of the index, and rows of its lowest nodes.
@@ -404,7 +404,8 @@ def star(edges: DataFrame, most: int = 60) -> DataFrame:
         large = written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "small")
+        old, e = e, written(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "small")
+        dropped(old, large)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             return e
