@@ -254,7 +254,7 @@ def _blocks(text: str):
                 if not line.startswith("-"):
                     break
                 rest = line[1:].strip()
-                if re.match(r"[^\[{\"'][^:]*:(\s|$)", rest):  # a mapping that begins on the dash's line
+                if rest.startswith("- ") or re.match(r"[^\[{\"'][^:]*:(\s|$)", rest):  # a list or mapping that begins on the dash's line
                     lines[at] = (depth + 2, rest)
                     out.append(block(depth))
                     continue

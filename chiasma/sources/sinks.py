@@ -20,8 +20,9 @@ def line_list(df: DataFrame, column: str, path: str) -> None:
 
 
 def per_cell(df: DataFrame, path: str, key: str = "barcode") -> None:
-    """A folder for each cell, which replaces one file per cell; cells are gathered first so each has few files."""
-    df.repartition(key).sortWithinPartitions("chrom", "pos").write.mode("overwrite").partitionBy(key).parquet(path)
+    """A folder for each cell, which replaces one file per cell. Rows are dealt by ranges of cell and place, so a cell has
+    few files and a large one is written by several tasks."""
+    df.repartitionByRange(key, "chrom", "pos").sortWithinPartitions(key, "chrom", "pos").write.mode("overwrite").partitionBy(key).parquet(path)
 
 
 def replaced_partitions(df: DataFrame, path: str, *keys: str) -> None:

@@ -256,3 +256,131 @@ def test_robust_top(spark):
     one = lambda v: T.robust_top(spark.createDataFrame([(float(x),) for x in v], "v double"), "v").first().top
     assert one([0, 0]) == 1.0 and one([]) == 1.0 and one([5]) == 5.0 and one([-2.0]) == -2.0
     assert one(range(101)) == pytest.approx(99.01)
+
+
+@pytest.mark.parametrize(("size", "number"), [(0, 1), (6, 2), (15, 3)])
+def test_calling_in_one_pass(spark, size, number):
+    """called() against the same steps taken one after the other with joins."""
+    r = random.Random(size)
+    rows = []
+    for b in range(12):
+        for c in "xy":
+            p = sorted(r.sample(range(1000), r.choice([1, 2, 40, 60])))
+            v, out = r.choice([0.0, 1.0]), []
+            for _ in p:
+                v = r.choice([0.0, 1.0, 0.5]) if r.random() < 0.12 else v
+                out.append(v)
+            rows += [(f"b{b}", c, x, y) for x, y in zip(p, out, strict=True)]
+    s = spark.createDataFrame(rows, "barcode string, chrom string, pos long, smt_af double").repartition(3)
+    kept = B.long_enough(B.runs(s), size, number)
+    calls = B.called(s, size, number)
+    key = lambda d: sorted(map(str, d.select("barcode", "chrom", "sta", "end", "genotype", "markernum").collect()))
+    assert key(calls) == key(kept)
+    points = B.refine(B.breakpoints(kept), s)
+    assert sorted(map(str, B.refined(calls).collect())) == sorted(map(str, points.collect())) and points.count() > 5
+    sizes = spark.createDataFrame([("x", 1200), ("y", 500)], "chrom string, size long")
+    columns = ["barcode", "chrom", "run", "sta", "end", "genotype", "markernum_acc", "n_markers"]
+    want = B.final_blocks(kept, sizes, points).select(*columns).collect()
+    assert sorted(map(str, B.haplotypes(calls, sizes).select(*columns).collect())) == sorted(map(str, want))
+
+
+def test_merge_across_bins(spark):
+    r = random.Random(4)
+    rows = [(r.choice("ab"), x, x + r.choice([1, 3, 10, 400])) for x in (r.randrange(5000) for _ in range(300))]
+    want = []
+    for c in "ab":
+        island = None
+        for s, e in sorted((max(0, s - 2), e + 2) for k, s, e in rows if k == c):
+            if island and s - island[1] <= 5:
+                island[1] = max(island[1], e)
+            else:
+                island = [s, e]
+                want.append((c, island))
+    df = spark.createDataFrame(rows, "chrom string, start long, end long").repartition(4)
+    for width in (7, 300, 1 << 20):
+        assert sorted((x.chrom, [x.start, x.end]) for x in I.merge(df, 2, 5, width=width).collect()) == sorted(want)
+
+
+def test_ranks_in_bins(spark):
+    r = random.Random(5)
+    rows = [(r.choice([None, "a", "b"]), r.randrange(200), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(4)
+    by = {}
+    for row in sorted(rows, key=lambda x: (x[0] or "", x[1], x[2])):
+        by.setdefault(row[0], []).append(row)
+    want = {x[2]: (n + 1, own[n - 1][1] if n else None) for own in by.values() for n, x in enumerate(own)}
+    for width in (1, 13, 10_000):
+        assert {x.i: x["rank"] for x in I.ranked(df, ("k",), "v", width, "i").collect()} == {i: w[0] for i, w in want.items()}
+        got = {x.i: x.previous for x in I.previous(df, ("k",), "v", width).collect()}
+        assert sorted((rows[i][1], p) for i, p in got.items() if p is not None) == sorted((rows[i][1], w[1]) for i, w in want.items() if w[1] is not None)
+    order = sorted(rows, key=lambda x: (x[1], x[2]))
+    for bins in (3, 4096):
+        got = {x.src: (x.i, x.n) for x in I.numbered(df.withColumnRenamed("i", "src").withColumnRenamed("v", "value"), "value", "src", bins=bins).collect()}
+        assert got == {row[2]: (n, 400) for n, row in enumerate(order)}
+
+
+def test_quantiles_from_counts(spark):
+    import numpy as np
+
+    r = random.Random(6)
+    rows = [(r.choice("ab"), r.choice([None, r.randrange(30) / 4])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = {"lo": 0.0, "a": 0.25, "m": 0.5, "z": 0.99, "hi": 1.0}
+    for x in M.quantiles(df, "v", at, ("k",)).collect():
+        own = [v for k, v in rows if k == x.k and v is not None]
+        assert [x[c] for c in at] == pytest.approx([float(np.quantile(own, q)) for q in at.values()]) and x.n == len(own)
+    none = M.quantiles(df.where("false"), "v", at).first()
+    assert none.n == 0 and none.m is None
+
+
+def test_collapsed_molecules(spark):
+    r = random.Random(7)
+    rows = [(r.choice("cd"), "".join(r.choice("ACGT") for _ in range(3)), r.randrange(2)) for _ in range(150)]
+    from chiasma.operators import counts as N
+
+    n = {}
+    for cb, ub, g in rows:
+        n[cb, g, ub] = n.get((cb, g, ub), 0) + 1
+    want = {}
+    for (cb, g, ub), k in n.items():
+        near = [(m, u) for (c, h, u), m in n.items() if (c, h) == (cb, g) and sum(a != b for a, b in zip(u, ub, strict=True)) == 1 and (m, u) > (k, ub)]
+        to = max(near)[1] if near else ub
+        want[cb, g, to] = want.get((cb, g, to), 0) + k
+    got = N.collapsed(spark.createDataFrame(rows, "cb string, ub string, gene int"))
+    assert {(x.cb, x.gene, x.ub): x.k for x in got.collect()} == want
+
+
+def test_aligned_bases(spark):
+    from chiasma.operators import counts as N
+
+    r = random.Random(8)
+    reads, want, sites = [], set(), sorted(r.sample(range(1, 400), 120))
+    for k in range(60):
+        ops = [(r.randint(1, 9), r.choice("MIDNS=X")) for _ in range(r.randint(1, 6))]
+        n = sum(x for x, o in ops if o in "MIS=X")
+        seq, at, ref, start = "".join(r.choice("ACGT") for _ in range(n)), 0, 0, r.randint(1, 350)
+        for x, o in ops:
+            for j in range(x):
+                if o in "M=X" and start + ref + j in sites:
+                    want.add((k, start + ref + j, seq[at + j]))
+            at += x if o in "MIS=X" else 0
+            ref += x if o in "MDN=X" else 0
+        reads.append((k, "1", start, "".join(f"{x}{o}" for x, o in ops), seq))
+    df = spark.createDataFrame([*reads, (99, "1", 5, None, None)], "id int, chrom string, start long, cigar string, seq string")
+    s = spark.createDataFrame([("1", p) for p in sites], "chrom string, pos long")
+    for width in (8, 1 << 16):
+        assert {(x.id, x.pos, x.base) for x in N.aligned_bases(df, s, width).collect()} == want
+
+
+def test_site_filter(spark):
+    from chiasma.operators import counts as N
+
+    rows = [("a", "1", 1, 10, 5, 0), ("b", "1", 1, 10, 4, 2), ("a", "1", 2, 30, 0, 0), ("a", "1", 3, 4, 2, 0), ("a", "1", 4, 500, 250, 0)]
+    got = N.site_filter(spark.createDataFrame(rows, "cb string, chrom string, pos long, dp long, ad long, oth long"), 5, 0.2, 100)
+    assert sorted((x.cb, x.pos) for x in got.collect()) == [("a", 1), ("b", 1)]
+
+
+def test_zero_distances_have_no_fit(spark):
+    d = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 2.0), ("a", 3.0), *[("b", float(k)) for k in range(1, 9)]], "chrom string, dist_mb double")
+    got = {x.chrom: x for x in X.gamma_fit(X.gamma_stats(d, ["chrom"])).collect()}
+    assert got["a"].n == 4 and got["a"].nu is None and got["b"].nu > 0

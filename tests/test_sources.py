@@ -158,3 +158,74 @@ def test_density(spark):
     assert abs(sum(r.gamma for r in c) * step - 1) < 1e-3 and abs(sum(r.exponential for r in c) * step - 1) < 0.02
     h = density.histogram(spark.range(1000).select((F.col("id") % 37).cast("double").alias("v")), "v").collect()
     assert len(h) == 25 and abs(sum(r.density * (r.right - r.left) for r in h) - 1) < 1e-9
+
+
+def test_missing_and_empty_files_give_no_rows(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 10 20 0 1 7\n1 30 40\n")
+    (tmp_path / "empty.txt").write_text("")
+    schema = R.CO_PRED
+    one = R.spaced(spark, f"{tmp_path}/a.txt", schema)
+    assert [tuple(r) for r in one.orderBy("bp_start").collect()] == [("1", 10, 20, 0, 1, 7), ("1", 30, 40, None, None, None)]
+    for path in (f"{tmp_path}/missing.txt", f"{tmp_path}/no*.txt", [f"{tmp_path}/missing.txt"], f"{tmp_path}/empty.txt"):
+        got = R.spaced(spark, path, schema)
+        assert got.columns == one.columns and got.count() == 0
+    assert R.spaced(spark, [f"{tmp_path}/a.txt", f"{tmp_path}/missing.txt", f"{tmp_path}/empty.txt"], schema).count() == 2
+
+
+def test_bad_lines_are_reported(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("AAA 5\nBBB\nCCC x\n\nDDD\t7 more\n")
+    assert {(r.barcode, r.n) for r in R.barcode_counts(spark, f"{tmp_path}/b.txt").collect()} == {("AAA", 5), ("DDD", 7)}
+    assert {r.value for r in R.bad_barcode_lines(spark, f"{tmp_path}/b.txt").collect()} == {"BBB", "CCC x"}
+
+
+def test_sam(spark, tmp_path):
+    (tmp_path / "r.sam").write_text("@HD\tVN:1.6\n@SQ\tSN:1\tLN:100\nr1\t0\t1\t5\t60\t4M\t*\t0\t0\tACGT\tFFFF\tCB:Z:AAAC\tUB:Z:GG\tNH:i:1\nr2\t16\t1\t9\t255\t2S2M\t*\t0\t0\tTTAC\t*\nr3\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\n")
+    got = {r.name: r for r in R.sam(spark, f"{tmp_path}/r.sam").collect()}
+    assert set(got) == {"r1", "r2", "r3"}
+    r = got["r1"]
+    assert (r.chrom, r.start, r.mapq, r.cigar, r.seq, r.strand, r.len, r.cb, r.ub, r.tags["NH"]) == ("1", 5, 60, "4M", "ACGT", "+", 4, "AAAC", "GG", "1")
+    assert (got["r2"].strand, got["r2"].cb, got["r2"].qual) == ("-", None, None) and (got["r3"].chrom, got["r3"].seq) == (None, None)
+
+
+def test_yaml():
+    text = """
+# parameters
+defaults: &base
+  reads: 10     # a comment
+  name: "a: b # c"
+qc:
+  default: {min: 1, max: [2, 3], 'on': yes}
+  wheat:
+    <<: *base
+    reads: 20
+samples:
+  - one
+  - two words
+  - id: three
+    files: [a.gz, "b, c.gz"]
+  - - nested
+    - list
+again: *base
+url: http://x/y
+"""
+    t = R._blocks(text)
+    assert t["defaults"] == {"reads": "10", "name": "a: b # c"} and t["again"] == t["defaults"]
+    assert t["qc"]["default"] == {"min": "1", "max": ["2", "3"], "on": "yes"}
+    assert t["qc"]["wheat"] == {"reads": "20", "name": "a: b # c"}
+    assert t["samples"][:3] == ["one", "two words", {"id": "three", "files": ["a.gz", "b, c.gz"]}] and t["url"] == "http://x/y"
+
+
+def test_logs_lists_and_reports(spark, tmp_path):
+    import json
+
+    row = K.params_log(spark, {"block_size": 1000, "rate": 0.12, "none": None}, f"{tmp_path}/log")
+    assert row.first().asDict() == {"block_size": "1000", "rate": "0.12", "none": None}
+    (part,) = (tmp_path / "log").glob("part-*")
+    assert json.loads(part.read_text())["rate"] == "0.12"
+    lists = spark.createDataFrame([("called", "b1"), ("knee", "b1"), ("knee", "b2")], "list string, barcode string")
+    K.barcode_lists(lists, f"{tmp_path}/lists")
+    read = lambda n: sorted(x for p in (tmp_path / "lists" / f"list={n}").glob("part-*") for x in p.read_text().split())
+    assert read("called") == ["b1"] and read("knee") == ["b1", "b2"]
+    K.text_report(spark.createDataFrame([("totals", "cells", "12"), ("totals", "mean", "1.50")], "section string, metric string, value string"), f"{tmp_path}/report", 10)
+    (part,) = (tmp_path / "report" / "section=totals").glob("part-*")
+    assert sorted(part.read_text().splitlines()) == ["cells     12", "mean      1.50"]
