@@ -57,8 +57,3 @@ def dirname(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"\.[^.]*$", "")
-
-
-def gff_product(attributes: Column) -> Column:
-    """The name in the first attribute of an annotation line, without its key."""
-    return F.regexp_replace(F.substring_index(attributes, ";", 1), "Name=", "")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chiasma.operators.genotype import remaining_ref
+
 
 def depth_with_alt(dp: DataFrame, ad: DataFrame, keys=("site", "cell")) -> DataFrame:
     """(keys, dp, ad, ref_count): every depth entry, with 0 where the alternative matrix has no entry. Matrices are joined
     by index, never by position: their non-zero sets differ."""
     j = dp.join(ad, list(keys), "left").withColumn("ad", F.coalesce("ad", F.lit(0)))
-    return j.withColumn("ref_count", F.greatest(F.col("dp") - F.col("ad"), F.lit(0)))
+    return j.withColumn("ref_count", remaining_ref())
 
 
 def allele_counts(reads: DataFrame, sites: DataFrame, min_mapq: int = 20, min_len: int = 30) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chiasma.operators.sets import member_or_all
+
 
 def best_hits(hits: DataFrame, top: int, most: float = 1e-10) -> DataFrame:
     """(marker, gene, evalue, rank): per marker and gene the best hit, then the marker's `top` best genes. Ties go to the
@@ -30,7 +32,7 @@ def marker_expression(markers: DataFrame, matrix: DataFrame, cells: DataFrame, o
     known = matrix.select("gene").distinct().withColumn("in_matrix", F.lit(True))
     out = markers.join(known, "gene", "left").join(own, "gene", "left").join(F.broadcast(n_cells))
     expr, umi = F.coalesce("expr", F.lit(0)), F.coalesce("umi", F.lit(0))
-    place = F.col("scaffold").isin(*on_chrom) if on_chrom else F.lit(True)
+    place = member_or_all(F.col("scaffold"), on_chrom or [])
     return out.select(
         *markers.columns, F.coalesce("in_matrix", F.lit(False)).alias("in_matrix"), place.alias("on_chrom"), expr.alias("n_cells_expr"), umi.alias("total_umi"),
         F.bround(F.coalesce(F.try_divide(expr * 100.0, F.col("n_cells")), F.lit(0.0)), 2).alias("pct"), F.bround(F.coalesce(F.try_divide(umi, expr), F.lit(0.0)), 2).alias("mean_expr"))

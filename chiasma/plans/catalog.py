@@ -35,4 +35,4 @@ def oracle_sql():
     return ORACLES
 
 
-from chiasma.plans import cells, frames, maps, more, qc  # noqa: E402, F401
+from chiasma.plans import cells, files, frames, maps, more, qc  # noqa: E402, F401

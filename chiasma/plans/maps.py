@@ -252,11 +252,11 @@ def interval_merge(spark, sf_dir):
 @register("mask_products", f"WITH {FE} SELECT chrom, CASE WHEN event_id % 2 = 0 THEN '18S_rRNA' ELSE '5S_rRNA' END AS product, count(*) AS n FROM fe WHERE event_id % 3 = 0 GROUP BY 1, 2")
 def mask_products(spark, sf_dir):
     """Masked features by chromosome and product, the product read from the attributes of an annotation line."""
-    from chiasma.functions.text import gff_product
+    from chiasma.functions.text import product
 
     name = F.when(F.col("event_id") % 2 == 0, "18S_rRNA").otherwise("5S_rRNA")
     f = features(spark, sf_dir).where("event_id % 3 = 0").withColumn("attributes", F.concat(F.lit("Name="), name, F.lit(";product="), F.lower(name)))
-    return f.groupBy("chrom", gff_product(F.col("attributes")).alias("product")).agg(F.count("*").alias("n"))
+    return f.groupBy("chrom", product(F.col("attributes")).alias("product")).agg(F.count("*").alias("n"))
 
 
 @register("excluded_bases", f'WITH {FE} SELECT chrom, count(*) AS n_regions, CAST(coalesce(sum("end" - start), 0) AS BIGINT) AS bp FROM me GROUP BY 1')

@@ -217,9 +217,9 @@ def hits(spark, sf_dir):
 BH = f"{HT}, b1 AS (SELECT marker, gene, evalue, line, row_number() OVER (PARTITION BY marker, gene ORDER BY evalue, line) AS r FROM ht WHERE evalue <= 1e-10), b2 AS (SELECT marker, gene, evalue, row_number() OVER (PARTITION BY marker ORDER BY evalue, line) AS rank FROM b1 WHERE r = 1)"
 
 
-@register("best_hits", f"WITH {BH} SELECT marker, gene, rank FROM b2 WHERE rank <= 3")
+@register("best_hits", f"WITH {BH} SELECT marker, gene, round(log10(evalue), 6) AS log_evalue, rank FROM b2 WHERE rank <= 3")
 def best_hits(spark, sf_dir):
-    return E.best_hits(hits(spark, sf_dir), 3).select("marker", "gene", "rank")
+    return E.best_hits(hits(spark, sf_dir), 3).select("marker", "gene", F.round(F.log10("evalue"), 6).alias("log_evalue"), "rank")
 
 
 @register("debris_markers", f"WITH {HT} SELECT marker, string_agg(DISTINCT scaffold, ',' ORDER BY scaffold) AS scaffolds FROM ht WHERE evalue <= 1e-18 GROUP BY 1 HAVING NOT bool_or(scaffold IN ('_scaffold_0', '_scaffold_1', '_scaffold_2'))")

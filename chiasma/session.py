@@ -18,6 +18,37 @@ def get_session(app: str = "chiasma", master: str = "local[8]", partitions: int
     )
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir). Where that is unset, a local
+    session, as in tests, takes a temporary folder of this machine; on a cluster each executor would write to its own, so
+    there it is an error. A session's folders go when its driver ends."""
+    import atexit
+    import re
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="chiasma-")
+        spark.conf.set("spark.checkpoint.dir", top)
+        sc.setCheckpointDir(top)
+    own = f"{top.rstrip('/')}/chiasma/{sc.applicationId}"
+    if getattr(sc, "_chiasma_dir", None) != own:
+        sc._chiasma_dir = own
+        atexit.register(delete, sc, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def delete(sc, path: str) -> None:
+    """Deletes a folder of whichever file system, while the context runs."""
+    if sc._jsc is not None:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers, once for each context. Nothing is sent where they find it by
     themselves: by PYTHONPATH, or in the working folder of a local session."""

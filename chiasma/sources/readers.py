@@ -53,7 +53,7 @@ def existing(spark: SparkSession, path) -> list[str]:
 def per_cell_tables(spark: SparkSession, folder: str, schema: str = CELL_MARKERS, without: tuple = ()) -> DataFrame:
     """All *.tsv of a folder but the named ones, with barcode from the file's name."""
     t = spark.read.schema(schema).option("pathGlobFilter", "*.tsv").csv(folder, sep="\t")
-    t = t.withColumn("_f", F.col("_metadata.file_name"))
+    t = t.withColumn("_f", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))  # the name comes encoded
     return t.where(~F.col("_f").isin(*without) if without else F.lit(True)).withColumn("barcode", F.regexp_replace("_f", r"\.tsv$", "")).drop("_f")
 
 
@@ -180,6 +180,95 @@ def sam(spark: SparkSession, path) -> DataFrame:
     return out.withColumns({"strand": F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+"), "len": F.length("seq"), "cb": F.try_element_at("tags", F.lit("CB")), "ub": F.try_element_at("tags", F.lit("UB"))})
 
 
+def bam(spark: SparkSession, path) -> DataFrame:
+    """The columns of sam() from binary alignments: each file is streamed by one task, block after block, and gives Arrow
+    batches of bounded size. path: one or a list; missing files give no rows."""
+    schema = SAM + ", tags map<string, string>"
+    files = spark.createDataFrame([(f,) for one in existing(spark, path) for f in _expanded(spark, one)], "file string")
+    t = files.repartition(max(1, files.count())).mapInArrow(_alignments, schema)
+    return t.withColumns({"strand": F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+"), "len": F.length("seq"), "cb": F.try_element_at("tags", F.lit("CB")), "ub": F.try_element_at("tags", F.lit("UB"))})
+
+
+def _expanded(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path or glob names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().toString() for x in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)]
+
+
+#: Fixed values of the binary alignment format: bases, CIGAR operations and the sizes of its numbers.
+_BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+_NUMBERS = {"c": "b", "C": "B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
+_BATCH = 20_000
+
+
+def _alignments(batches):
+    import gzip
+    import struct
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    names = [c.split()[0] for c in SAM.split(", ")] + ["tags"]
+    types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+    for b in batches:
+        for file in b.column(0).to_pylist():
+            store, at = fs.FileSystem.from_uri(file if "://" in file else "file://" + file.removeprefix("file:"))
+            with store.open_input_stream(at, compression=None) as raw, gzip.open(raw) as f:
+                number = lambda f=f: struct.unpack("<i", f.read(4))[0]
+                if f.read(4) != b"BAM\1":
+                    raise ValueError(f"{file} holds no binary alignments")
+                f.read(number())
+                refs = []
+                for _ in range(number()):
+                    refs.append(f.read(number())[:-1].decode())
+                    number()
+                rows = []
+                while len(size := f.read(4)) == 4:
+                    rows.append(_record(f.read(struct.unpack("<i", size)[0]), refs))
+                    if len(rows) >= _BATCH:
+                        yield pack(rows)
+                        rows = []
+                yield pack(rows)
+
+
+def _record(d: bytes, refs: list[str]) -> tuple:
+    """One alignment as a row of the text format: places from 1, '*' as null."""
+    import struct
+
+    ref, pos, n_name, mapq, _, n_ops, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", d)
+    at = 32 + n_name
+    cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", d, at))
+    at += 4 * n_ops
+    packed = d[at : at + (n_seq + 1) // 2]
+    at += len(packed)
+    qual = d[at : at + n_seq]
+    at += n_seq
+    tags = []
+    while at < len(d):
+        key, kind = d[at : at + 2].decode(), chr(d[at + 2])
+        at += 3
+        if kind == "A":
+            value, at = chr(d[at]), at + 1
+        elif kind in "ZH":
+            end = d.index(0, at)
+            value, at = d[at:end].decode(), end + 1
+        elif kind == "B":
+            one, n = _NUMBERS[chr(d[at])], struct.unpack_from("<i", d, at + 1)[0]
+            size = struct.calcsize(one)
+            value = ",".join([chr(d[at]), *(str(struct.unpack_from(one, d, at + 5 + k * size)[0]) for k in range(n))])
+            at += 5 + n * size
+        else:
+            value = str(struct.unpack_from(_NUMBERS[kind], d, at)[0])
+            at += struct.calcsize(_NUMBERS[kind])
+        tags.append((key, value))
+    place = lambda r: refs[r] if r >= 0 else None
+    mate = None if next_ref < 0 else "=" if next_ref == ref else refs[next_ref]
+    seq = "".join(_BASES[x >> 4] + _BASES[x & 15] for x in packed)[:n_seq]
+    return (d[32 : 31 + n_name].decode(), flag, place(ref), pos + 1, mapq, cigar or None, mate, next_pos + 1, tlen, seq or None,
+            None if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual), tags)
+
+
 def fasta(spark: SparkSession, path) -> DataFrame:
     """(header, fields, sequence): records split at '>', header fields at '|'."""
     t = spark.read.option("lineSep", ">").text(path).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")

@@ -187,6 +187,34 @@ def test_sam(spark, tmp_path):
     assert (got["r2"].strand, got["r2"].cb, got["r2"].qual) == ("-", None, None) and (got["r3"].chrom, got["r3"].seq) == (None, None)
 
 
+def test_bam(spark, tmp_path):
+    """A hand-made binary file against the same reads as text."""
+    import gzip
+    import struct
+
+    def record(name, flag, ref, pos, mapq, ops, seq, qual, tags, mate=-1):
+        packed = bytes(("=ACMGRSVTWYHKDBN".index(a) << 4) | "=ACMGRSVTWYHKDBN".index(b) for a, b in zip(seq[::2], seq[1::2] + "=" * (len(seq) % 2), strict=True))
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(ops), flag, len(seq), mate, -1 if mate < 0 else 7, 0) + name.encode() + b"\0"
+        body += b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in ops) + packed + qual + tags
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\1" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", 2) + b"".join(struct.pack("<i", len(n) + 1) + n + b"\0" + struct.pack("<i", 1000) for n in (b"1", b"chr2"))
+    reads = [record("r1", 0, 0, 4, 60, [(2, "S"), (3, "M")], "TTACG", bytes([37] * 5), b"CBZAAAC\0UBZGG\0NHC\x01" + b"XBBc\x02\0\0\0\x05\xfb"),
+             record("r2", 16, 1, 9, 255, [(4, "M")], "ACGT", b"\xff" * 4, b"ASi" + struct.pack("<i", -7), mate=1), record("r3", 4, -1, -1, 0, [], "", b"", b"")]
+    data = head + b"".join(reads)
+    path = tmp_path / "x.bam"
+    path.write_bytes(b"".join(gzip.compress(data[k : k + 50]) for k in range(0, len(data), 50)) + gzip.compress(b""))  # blocks that cut records
+    got = {r.name: r for r in R.bam(spark, str(path)).collect()}
+    r = got["r1"]
+    assert (r.chrom, r.start, r.mapq, r.cigar, r.seq, r.qual, r.strand, r.cb, r.ub, r.len) == ("1", 5, 60, "2S3M", "TTACG", "FFFFF", "+", "AAAC", "GG", 5)
+    assert r.tags["NH"] == "1" and r.tags["XB"] == "c,5,-5"
+    r = got["r2"]
+    assert (r.chrom, r.start, r.cigar, r.qual, r.strand, r.rnext, r.pnext, r.tags) == ("chr2", 10, "4M", None, "-", "=", 8, {"AS": "-7"})
+    assert (got["r3"].chrom, got["r3"].seq, got["r3"].cigar) == (None, None, None)
+    assert R.bam(spark, f"{tmp_path}/none.bam").count() == 0 and R.bam(spark, f"{tmp_path}/*.bam").count() == 3
+    assert [f.dataType for f in R.bam(spark, str(path)).schema][:11] == [f.dataType for f in R.sam(spark, put(tmp_path / "e.sam", "")).schema][:11]
+
+
 def test_yaml():
     text = """
 # parameters
@@ -229,3 +257,29 @@ def test_logs_lists_and_reports(spark, tmp_path):
     K.text_report(spark.createDataFrame([("totals", "cells", "12"), ("totals", "mean", "1.50")], "section string, metric string, value string"), f"{tmp_path}/report", 10)
     (part,) = (tmp_path / "report" / "section=totals").glob("part-*")
     assert sorted(part.read_text().splitlines()) == ["cells     12", "mean      1.50"]
+
+
+def test_drawings(spark, tmp_path):
+    import xml.etree.ElementTree as E
+
+    from chiasma.sources import drawings as D
+
+    count = lambda text, tag: len(E.fromstring(text).findall(f"{{http://www.w3.org/2000/svg}}{tag}"))
+    h = spark.createDataFrame([("dp", 0.0, 1.0, 5), ("dp", 1.0, 2.0, 0), ("<q&>", 0.0, 1.0, 2)], "frame string, left double, right double, n long")
+    D.write_svg(D.histogram(h), f"{tmp_path}/h", title="a < b")
+    (part,) = (tmp_path / "h").glob("part-*")
+    text = part.read_text()
+    assert count(text, "rect") == 3 and count(text, "path") == 2 and "a &lt; b" in text
+    band = spark.createDataFrame([("1", x / 2, 1.0 + x, 0.5, 2.0 + x, 3.0) for x in range(5)], "chrom string, pos_mb double, rate double, ymin double, ymax double, chr_avg double")
+    text = D.svg(D.landscape(band))
+    assert count(text, "polyline") == 2 and count(text, "polygon") == 1
+    lol = spark.createDataFrame([("b", "1", 5, 3, "red"), ("b", "2", 9, -2, "blue"), ("c", "1", 5, 3, "red")], "barcode string, chrom string, pos long, height long, colour string")
+    rect = spark.createDataFrame([("b", "1", 1, 50, "red")], "barcode string, chrom string, sta long, end long, colour string")
+    text = D.svg(D.cell(lol, rect, "b"))
+    assert count(text, "circle") == 2 and count(text, "rect") == 1 and count(text, "path") == 2
+    curve = spark.createDataFrame([(1, 100), (10, 10), (0, 5)], "rank int, total int")
+    text = D.svg(D.marks(curve, "points", "rank", "total"), log_x=True, log_y=True)
+    assert count(text, "circle") == 2 and ">100<" in text
+    assert count(D.svg(D.histogram(h.where("false"))), "rect") == 0
+    with pytest.raises(ValueError, match="marks"):
+        D.svg(D.marks(spark.range(D.MOST + 1), "points", "id", "id"))
