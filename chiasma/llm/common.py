@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chiasma.session import delete, scratch
+
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,28 +20,8 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir). Where that is unset, a local
-    session, as in tests, takes a temporary folder of this machine; on a cluster each executor would write to its own, so
-    there it is an error. The folders of a session go when its driver ends."""
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="chiasma-")
-        spark.conf.set("spark.checkpoint.dir", top)
-        sc.setCheckpointDir(top)
-    own = f"{top.rstrip('/')}/chiasma/{sc.applicationId}"
-    if getattr(sc, "_chiasma_dir", None) != own:
-        sc._chiasma_dir = own
-        atexit.register(_delete, sc, own)
-    return f"{own}/{uuid.uuid4().hex}"
-
-
-def _delete(sc, path: str) -> None:
-    if sc._jsc is not None:  # the context still runs
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    """A new folder in the one that driver and executors share."""
+    return scratch(spark)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -58,7 +36,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables of which all that is read has been."""
     for df in tables:
-        _delete(df.sparkSession.sparkContext, df.__dict__["_written"])
+        delete(df.sparkSession.sparkContext, df.__dict__["_written"])
 
 
 def repeated(df: DataFrame, times: str, most: int = 4096) -> DataFrame:

@@ -82,6 +82,56 @@ def test_search_finds_every_link():
                     assert label[a] == label[b]
 
 
+def test_links_come_from_the_index(spark, monkeypatch):
+    """On a whole table, with near variants of its fingerprints, every link is given by the hierarchical index, whatever the
+    size of its nodes."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    x = np.unique(np.array([r.fp0 for r in M.fingerprints(docs).collect()], np.int64)).view(np.uint64)
+    r = np.random.default_rng(4)
+    near = [x[::7] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (k, len(x[::7])), dtype=np.uint64)) for k in (1, 2, 3, 4, 6)]
+    x = np.unique(np.concatenate([x, *near]))
+    tables, rows = M.masks(3, len(x)), []
+    for t, mask in enumerate(tables):
+        g = x.copy()
+        for k in (1, 2, 4, 8, 16, 32):
+            g ^= g >> np.uint64(k)
+        key = (x & np.uint64(mask)).view(np.int64)
+        order = np.lexsort((g, key))
+        rows.append([np.full(len(x), t, np.int32), key[order], order.astype(np.int64), x[order].view(np.int64)])
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+    cuts = [0, 7, 400, 401, len(columns[0])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i:j]) for c in columns], ["table", "key", "node", "fp"]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def components(leaf, opened, rows_at_once):
+        for name, v in (("LEAF", leaf), ("OPEN", opened), ("ROWS", rows_at_once)):
+            monkeypatch.setattr(M, name, v)
+        label = np.arange(len(x))
+        for b in M._edges(3, tables, (3,), 1, 64)(batches):
+            for i, j in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                assert int(x[i] ^ x[j]).bit_count() <= 3
+                label[label == label[i]] = label[j]
+        return label
+
+    d = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
+    for leaf, opened, at_once in ((16, 1 << 20, 1 << 17), (2, 8, 50), (3, 1000, 1)):
+        label = components(leaf, opened, at_once)
+        assert ((label[:, None] == label[None, :]) >= d).all() and len(set(label.tolist())) < 0.8 * len(x)
+    monkeypatch.setattr(M, "search", lambda *a: [])
+    assert sum(b.num_rows for b in M._edges(3, tables, (3,), 1, 64)(batches)) == 0
+
+
+def test_dense_groups_are_linked_whole():
+    """Nodes that cannot differ by more than the distance are joined without looking inside; runs stay apart."""
+    r = np.random.default_rng(3)
+    dense = np.unique(np.uint64(0xABCD00) | r.integers(0, 8, 400, dtype=np.uint64))
+    x = np.concatenate([dense, dense + np.uint64(1 << 40), np.array([5], np.uint64)])
+    bounds = np.array([0, len(dense), 2 * len(dense), 2 * len(dense) + 1])
+    edges = np.concatenate([np.stack(e) for e in M.search(x, 3, bounds)], axis=1)
+    assert edges.shape[1] == 2 * (len(dense) - 1) and (edges.max(0) < 2 * len(dense)).all() and ((edges[0] < len(dense)) == (edges[1] < len(dense))).all()
+
+
 def test_masks_cover_every_difference():
     r = random.Random(2)
     for distance, rows in ((0, 0), (1, 0), (3, 0), (6, 0), (8, 0), (3, 10**9), (10, 10**8)):
