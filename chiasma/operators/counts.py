@@ -89,7 +89,8 @@ def aligned_bases(reads: DataFrame, sites: DataFrame, width: int = 1 << 16) -> D
     step = lambda a, o: F.struct(
         (a["ref"] + moves(o, "MDN=X")).alias("ref"), (a["read"] + moves(o, "MIS=X")).alias("read"),
         F.when(o["op"].isin("M", "=", "X"), F.concat(a["runs"], F.array(F.struct(a["ref"].alias("ref"), a["read"].alias("read"), o["n"].alias("n"))))).otherwise(a["runs"]).alias("runs"))
-    r = reads.withColumn("_run", F.explode(F.aggregate(ops, zero, step, lambda a: a["runs"])))
+    whole = F.array(F.struct(F.col("start").cast("long").alias("ref"), F.lit(1).cast("long").alias("read"), F.regexp_extract("cigar", "^[0-9]+", 0).try_cast("long").alias("n")))
+    r = reads.withColumn("_run", F.explode(F.when(F.col("cigar").rlike("^[0-9]+M$"), whole).otherwise(F.aggregate(ops, zero, step, lambda a: a["runs"]))))
     r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_run.ref") / width), F.floor((F.col("_run.ref") + F.col("_run.n") - 1) / width))))
     s = sites.withColumn("_bin", F.floor(F.col("pos") / width))
     hit = r.join(s, ["chrom", "_bin"]).where((F.col("pos") >= F.col("_run.ref")) & (F.col("pos") < F.col("_run.ref") + F.col("_run.n")))

@@ -78,7 +78,7 @@ def numbered(cells: DataFrame) -> DataFrame:
 def membership(cells: DataFrame, n_boot: int) -> DataFrame:
     """(b, barcode): the distinct cells that each replicate draws. Membership, not multiplicity."""
     c = numbered(cells)
-    return replicates(c, n_boot).select("b", "i").distinct().join(c.select("barcode", "i"), "i").select("b", "barcode")
+    return replicates(c, n_boot).select("b", "i").distinct().hint("merge").join(c.select("barcode", "i"), "i").select("b", "barcode")
 
 
 def rate_band(mids: DataFrame, cells: DataFrame, sizes: DataFrame, win: int, step: int, n_cells: int, n_boot: int) -> DataFrame:

@@ -222,7 +222,8 @@ def gamma_band(spark, sf_dir):
     u = I.numbered(L.distances(co(spark, sf_dir)), "barcode", "chrom", "dist_mb").select("dist_mb", "i", "n")
     from chiasma.operators.sampling import replicates
 
-    r = replicates(u, BOOT_GAMMA).join(u.select("i", "dist_mb"), "i")
+    # Draws are BOOT_GAMMA times the distances, which the planner cannot see: they are never to be broadcast.
+    r = replicates(u, BOOT_GAMMA).select("b", "i").hint("merge").join(u.select("i", "dist_mb"), "i")
     fits = X.gamma_fit(X.gamma_stats(r, ["b"]))
     q = F.percentile("nu", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return fits.agg(F.count("nu").alias("n_boot"), q.alias("q")).select("n_boot", *[F.round(F.col("q")[k], 4).alias(a) for k, a in enumerate(("lo", "mid", "hi"))])
