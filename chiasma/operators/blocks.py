@@ -27,8 +27,8 @@ def long_enough(blocks: DataFrame, block_size: int, marker_num: int) -> DataFram
 
 
 def enough_markers(markers: DataFrame, cell_markers: int, cell: str = "barcode") -> DataFrame:
-    """The rows of cells with at least cell_markers rows, counted in a window: the shuffle by cell then serves all windows
-    over (cell, chromosome) that follow."""
+    """The rows of cells with at least cell_markers rows, counted in a window: the shuffle by cell then serves what follows
+    by (cell, chromosome), up to the second smoothing pass."""
     return markers.withColumn("_n", F.count("*").over(Window.partitionBy(cell))).where(F.col("_n") >= cell_markers).drop("_n")
 
 
