@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from chiasma.llm import decontaminate, line_dedup, media, mixing, quality_rules, sharding, simhash, token_counts, token_output, toxicity, url_filter
+from chiasma.llm import centroids, decontaminate, line_dedup, media, mixing, quality_rules, sharding, simhash, token_counts, token_output, toxicity, url_filter, whitening
 
-MODULES = [url_filter, token_output, line_dedup, token_counts, decontaminate, sharding, simhash, media, toxicity, mixing, quality_rules]
+MODULES = [url_filter, token_output, line_dedup, token_counts, decontaminate, sharding, simhash, media, toxicity, mixing, quality_rules, whitening, centroids]
 
 
 def queries():
