@@ -1,30 +1,9 @@
-"""Registered queries: each name binds operators to tables, and has the SQL it is held against."""
+"""All registered queries; importing this imports the modules that register them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator: adds a query, and its SQL if there is any."""
-
-    def add(f):
-        assert name not in QUERIES, name
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from chiasma.plans import cells, files, frames, maps, more, qc  # noqa: F401
+from chiasma.plans.registry import ORACLES, QUERIES
 
 
 def queries():
@@ -33,6 +12,3 @@ def queries():
 
 def oracle_sql():
     return ORACLES
-
-
-from chiasma.plans import cells, files, frames, maps, more, qc  # noqa: E402, F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chiasma.operators import blocks as B
 from chiasma.operators import genotype as G
 from chiasma.operators import smoothing as S
-from chiasma.plans.catalog import register, table
+from chiasma.plans.registry import register, table
 
 TOTAL, PER_CHROM, RATE = 55, 8, 0.3
 BASE_AF, WINDOW_AF, GENOTYPE, BLOCK_SIZE, MARKER_NUM, CELL_MARKERS = 0.4, 0.3, 0.2, 2 * 86_400 * 1_000_000, 3, 55

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chiasma.operators import counts as N
+from chiasma.operators import intervals as I
 from chiasma.operators import params as P
 from chiasma.plans import cells as QC
 from chiasma.plans import maps as QM
 from chiasma.plans import qc as QQ
-from chiasma.plans.catalog import register, table
+from chiasma.plans.registry import register, table
 from chiasma.session import scratch
 from chiasma.sources import readers as R
 from chiasma.sources import sinks as K
@@ -36,6 +36,12 @@ def _file(spark, lines: DataFrame, path: str) -> str:
     return path
 
 
+def _parts(lines: DataFrame, path: str) -> str:
+    """A folder of text files that hold the lines in order of `k`, file after file."""
+    lines.repartitionByRange("k").sortWithinPartitions("k").select("value").write.text(path)
+    return path
+
+
 def _lines(spark, *values: str, k: int = -10) -> DataFrame:
     """(k, value) of a few lines that come first."""
     return spark.range(1).select(F.posexplode(F.array(*map(F.lit, values))).alias("k", "value")).withColumn("k", (F.col("k") + k).cast("long"))
@@ -125,12 +131,16 @@ def file_indexed(spark, sf_dir):
     return spark.read.parquet(path).where("chrom = 'AF' AND pos BETWEEN 1000 AND 20000")
 
 
-def _vcf(spark, sf_dir):
+def _vcf_lines(spark, sf_dir):
     v = QQ.variants(spark, sf_dir)
     dot = lambda c: F.coalesce(c.cast("string"), F.lit("."))
     line = _tabs(F.col("chrom"), F.col("pos"), F.lit("."), F.col("ref"), F.col("alt"), dot(F.col("qual")), F.lit("."), F.lit("."), F.lit("GT:AD:DP"), F.concat_ws(":", F.col("gt"), F.array_join("ad", ","), dot(F.col("dp"))))
     head = _lines(spark, "##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts")
-    return _text(spark, head.select("value").unionByName(v.select(line.alias("value"))))
+    return head.select("value").unionByName(v.select(line.alias("value")))
+
+
+def _vcf(spark, sf_dir):
+    return _text(spark, _vcf_lines(spark, sf_dir))
 
 
 @register("file_vcf", f"WITH {QQ.V} SELECT chrom, pos, ref, alt, round(qual, 6) AS qual, gt, ad, dp FROM v")
@@ -143,18 +153,49 @@ def file_vcf_sites(spark, sf_dir):
     return R.vcf_sites(spark, _vcf(spark, sf_dir))
 
 
+@register("file_vcf_blocks", f"WITH {QQ.V} SELECT chrom, pos, ref, alt, round(qual, 6) AS qual, gt, ad, dp FROM v")
+def file_vcf_blocks(spark, sf_dir):
+    """Variants through block-compressed files, each read as several ranges."""
+    path = f"{scratch(spark)}/v"
+    K.packed_lines(_vcf_lines(spark, sf_dir).coalesce(4), path)
+    return R.vcf(spark, path, range_bytes=1 << 15).withColumn("qual", F.round("qual", 6))
+
+
+ALIGNED = f"""SELECT 'r' || l_orderkey || '_' || l_linenumber AS name, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 16 ELSE 0 END AS INTEGER) AS flag, CASE WHEN l_linenumber < 7 THEN l_returnflag END AS chrom, l_partkey::BIGINT AS start,
+  l_quantity::INTEGER AS mapq, CASE WHEN l_linenumber < 7 THEN (8 + l_linenumber % 3) || 'M' || l_linenumber || 'N1S' END AS cigar, substr({{bases}}, 1, 9 + l_linenumber % 3) AS seq,
+  CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, CAST(9 + l_linenumber % 3 AS INTEGER) AS len, 'c' || l_suppkey AS cb, CASE WHEN l_linenumber < 4 THEN 'u' || l_linenumber END AS ub FROM lineitem"""
+
+
+def aligned(spark, sf_dir):
+    """Reads of the binding in the columns of an alignment file."""
+    l, k = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    cigar = F.concat((8 + k % 3).cast("string"), F.lit("M"), k.cast("string"), F.lit("N1S"))
+    return l.select(
+        F.concat(F.lit("r"), "l_orderkey", F.lit("_"), "l_linenumber").alias("name"), F.when(k % 2 == 0, 16).otherwise(0).alias("flag"), F.when(k < 7, F.col("l_returnflag")).alias("chrom"), F.col("l_partkey").cast("long").alias("start"),
+        F.col("l_quantity").cast("int").alias("mapq"), F.when(k < 7, cigar).alias("cigar"), F.substring(_bases("l_partkey", 11), F.lit(1), 9 + k % 3).alias("seq"), F.concat(F.lit("c"), "l_suppkey").alias("cb"), F.when(k < 4, F.concat(F.lit("u"), k)).alias("ub"))
+
+
+@register("file_alignments", ALIGNED.format(bases="(" + " || ".join(f"substr('ACGT', CAST((l_partkey // {4**k}) % 4 AS INT) + 1, 1)" for k in range(11)) + ")"))
+def file_alignments(spark, sf_dir):
+    """Binary alignments, each file read as several ranges, of which only these columns are decoded."""
+    path = f"{scratch(spark)}/a"
+    K.alignments(aligned(spark, sf_dir).coalesce(4), path, [(c, 1 << 28) for c in "ANR"])
+    return R.bam(spark, path, ["name", "flag", "chrom", "start", "mapq", "cigar", "seq", "strand", "len", "cb", "ub"], range_bytes=1 << 15)
+
+
 @register("file_umi_matrix", "SELECT 'gene' || l_partkey AS gene, 'cell' || l_suppkey AS barcode, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def file_umi_matrix(spark, sf_dir):
-    """Genes and barcodes by line number, entries by index."""
+    """Genes and barcodes by line number, entries by index; keys are numbered in bins and all three files are folders of
+    parts whose names keep the lines' order."""
     folder, l = f"{scratch(spark)}/m", table(spark, sf_dir, "lineitem")
-    number = lambda c: l.select(F.col(c).alias("key")).distinct().select("key", F.row_number().over(Window.orderBy("key")).cast("long").alias("k"))
+    number = lambda c: I.numbered(l.select(F.col(c).alias("key")).distinct(), "key").select("key", (F.col("i") + 1).alias("k"))
     g, b = number("l_partkey"), number("l_suppkey")
     m = l.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")).join(g.select(F.col("key").alias("l_partkey"), F.col("k").alias("row")), "l_partkey").join(b.select(F.col("key").alias("l_suppkey"), F.col("k").alias("col")), "l_suppkey")
     size = m.agg(F.max("row").alias("r"), F.max("col").alias("c"), F.count("*").alias("n"))
     head = _lines(spark, "%%MatrixMarket matrix coordinate integer general", "%").unionByName(size.select(F.lit(-1).cast("long").alias("k"), F.concat_ws(" ", "r", "c", "n").alias("value")))
-    _file(spark, head.unionByName(m.select(F.col("row").alias("k"), F.concat_ws(" ", "row", "col", "n").alias("value"))), f"{folder}/matrix.mtx")
-    _file(spark, g.select("k", F.concat(F.lit("gene"), "key", F.lit("\tname")).alias("value")), f"{folder}/features.tsv")
-    _file(spark, b.select("k", F.concat(F.lit("cell"), "key").alias("value")), f"{folder}/barcodes.tsv")
+    _parts(head.unionByName(m.select(F.col("row").alias("k"), F.concat_ws(" ", "row", "col", "n").alias("value"))), f"{folder}/matrix.mtx")
+    _parts(g.select("k", F.concat(F.lit("gene"), "key", F.lit("\tname")).alias("value")), f"{folder}/features.tsv")
+    _parts(b.select("k", F.concat(F.lit("cell"), "key").alias("value")), f"{folder}/barcodes.tsv")
     return R.umi_matrix(spark, folder)
 
 

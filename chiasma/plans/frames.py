@@ -16,7 +16,7 @@ from chiasma.operators import markers as M
 from chiasma.plans import cells as QC
 from chiasma.plans import maps as QM
 from chiasma.plans import qc as QQ
-from chiasma.plans.catalog import register, table
+from chiasma.plans.registry import register, table
 from chiasma.sources import sinks
 
 LOWER = 5

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chiasma.operators import intervals as I
 from chiasma.operators import interference as X
 from chiasma.operators import landscape as L
-from chiasma.plans.catalog import register, table
+from chiasma.plans.registry import register, table
 
 WIN, STEP, INTERVAL = 500_000, 50_000, 0.4
 #: Replicates of the rate band, the coincidence band and the gamma band.

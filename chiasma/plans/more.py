@@ -16,7 +16,7 @@ from chiasma.operators import sets as S
 from chiasma.operators import tracks as T
 from chiasma.plans import cells as QC
 from chiasma.plans import maps as QM
-from chiasma.plans.catalog import register, table
+from chiasma.plans.registry import register, table
 
 
 @register("set_operations", """SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey FROM orders UNION ALL SELECT c_custkey FROM customer)

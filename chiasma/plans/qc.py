@@ -13,7 +13,7 @@ from chiasma.operators import markers as M
 from chiasma.operators import params as P
 from chiasma.operators import sets as S
 from chiasma.operators import tracks as T
-from chiasma.plans.catalog import register, table
+from chiasma.plans.registry import register, table
 
 V = """v AS (SELECT l_returnflag || l_linestatus AS chrom, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_partkey % 11 = 0 THEN 'AT' ELSE 'A' END AS ref,
     CASE WHEN l_suppkey % 7 = 0 THEN 'C,T' WHEN l_suppkey % 13 = 0 THEN 'GG' ELSE 'G' END AS alt, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice / 1000 END AS qual,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chiasma.sources import block_files as B
+
 SAMPLES = ", ".join(f"{c} string" for c in (
     "sample_id species haplotype assembly_fasta annotation_gff repeats_ltr_gff repeats_satellite_gff syri_dir scrna_r1 scrna_r2 scrna_i1 scrna_r3 "
     "hifi_reads centromere exp_ploidy chr_number_2n chemistry cdna_read notes is_marker_reference").split())
@@ -64,11 +67,30 @@ def lines(spark: SparkSession, path, skip_blank: bool = True) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path, start: int = 1) -> DataFrame:
-    """(line, value) in file order, numbered through: each split counts its lines, offsets are a running sum over splits."""
-    t = spark.read.text(path).withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id() % (1 << 33)})
-    n = t.groupBy("_p").agg((F.max("_k") + 1).alias("n"))
-    offset = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.join(F.broadcast(n.select("_p", offset.alias("_o"))), "_p").select((F.col("_k") + F.col("_o") + start).alias("line"), "value")
+    """(line, value), numbered through in order of files, by name, and of lines in them: each split counts its lines,
+    offsets are a running sum over splits."""
+    t = spark.read.text(path)
+    m = t.metadataColumn("_metadata")
+    t = t.select("value", m["file_path"].alias("_f"), m["file_block_start"].alias("_s"), F.monotonically_increasing_id().alias("_k"))
+    n = t.groupBy("_f", "_s").agg(F.min("_k").alias("_lo"), F.count("*").alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(F.col("_f").alias("_g"), F.col("_s").alias("_t"), (offset - F.col("_lo") + start).alias("_o"))
+    return t.join(F.broadcast(n), (F.col("_f") == F.col("_g")) & (F.col("_s") == F.col("_t"))).select((F.col("_k") + F.col("_o")).alias("line"), "value")
+
+
+def text_lines(spark: SparkSession, path, range_bytes: int = B.RANGE_BYTES) -> DataFrame:
+    """(value): the lines of text files in no order. Block-compressed files (.gz, .bgz) are read by byte ranges; other gzip
+    files cannot be split, so each is read by one task and dealt out again for what follows."""
+    packed = [f for one in existing(spark, path) for f in _expanded(spark, one) if f.endswith((".gz", ".bgz"))]
+    if not packed:
+        return spark.read.text(path)
+    plain = [f for one in existing(spark, path) for f in _expanded(spark, one) if not f.endswith((".gz", ".bgz"))]
+    by_range = [f for f in packed if B.Blocks(f).length(0) is not None]
+    whole = [f for f in packed if f not in set(by_range)]
+    parts = [B.read(spark, by_range, "text", range_bytes).select(F.regexp_replace("value", "\r$", "").alias("value"))] if by_range else []
+    parts += [spark.read.text(whole).repartition(spark.sparkContext.defaultParallelism)] if whole else []
+    parts += [spark.read.text(plain)] if plain else []
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _fields(df: DataFrame, names: list[str], sep: str = "\t") -> DataFrame:
@@ -76,15 +98,17 @@ def _fields(df: DataFrame, names: list[str], sep: str = "\t") -> DataFrame:
     return df.withColumns({n: F.get(p, F.lit(k)) for k, n in enumerate(names)})
 
 
-def vcf_sites(spark: SparkSession, path) -> DataFrame:
+def vcf_sites(spark: SparkSession, path, range_bytes: int = B.RANGE_BYTES) -> DataFrame:
     """(chrom, pos, ref, alt) of a VCF, compressed or not; header lines are skipped and other columns not parsed."""
-    t = spark.read.schema("chrom string, pos long, id string, ref string, alt string").csv(path, sep="\t", comment="#", quote="", mode="PERMISSIVE", enforceSchema=True)
-    return t.select("chrom", "pos", "ref", "alt")
+    t = text_lines(spark, path, range_bytes).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    p = F.split("value", "\t", 6)
+    return t.select(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).try_cast("long").alias("pos"), F.get(p, F.lit(3)).alias("ref"), F.get(p, F.lit(4)).alias("alt"))
 
 
-def vcf(spark: SparkSession, path) -> DataFrame:
+def vcf(spark: SparkSession, path, range_bytes: int = B.RANGE_BYTES) -> DataFrame:
     """(chrom, pos, ref, alt, qual, gt, ad, dp) of a VCF with one sample; a value that is missing or '.' is null."""
-    t = _fields(spark.read.text(path).where(~F.col("value").startswith("#")), ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"])
+    t = text_lines(spark, path, range_bytes).where(~F.col("value").startswith("#"))
+    t = _fields(t, ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"])
     # a sample column may end early; its fields are those that are there
     keys, values = F.split("format", ":"), F.split("sample", ":")
     n = F.least(F.size(keys), F.size(values))
@@ -96,9 +120,12 @@ def vcf(spark: SparkSession, path) -> DataFrame:
 
 def matrix_market(spark: SparkSession, path, check: tuple[int, int] | None = None) -> DataFrame:
     """(row, col, value) of a coordinate matrix, 1-based. With check, dimensions other than these are an error."""
-    t = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    t = t.select(F.monotonically_increasing_id().alias("_k"), F.split(F.trim("value"), r"\s+").alias("p"))
-    head = t.orderBy("_k").limit(1).collect()
+    t = spark.read.text(path)
+    m, files = t.metadataColumn("_metadata"), sorted(f.rsplit("/", 1)[-1] for f in t.inputFiles())
+    first = (F.col("_f") == (files[0] if files else "")) & (F.col("_s") == 0)
+    t = t.select("value", m["file_name"].alias("_f"), m["file_block_start"].alias("_s"), F.monotonically_increasing_id().alias("_k"))
+    t = t.where(~F.col("value").startswith("%") & (F.trim("value") != "")).withColumn("p", F.split(F.trim("value"), r"\s+"))
+    head = t.where(first).limit(1).collect()  # as many splits are read as it takes to find the first
     if not head:
         raise ValueError(f"{path} holds no matrix")
     dims = tuple(int(x) for x in head[0].p[:2])
@@ -180,93 +207,22 @@ def sam(spark: SparkSession, path) -> DataFrame:
     return out.withColumns({"strand": F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+"), "len": F.length("seq"), "cb": F.try_element_at("tags", F.lit("CB")), "ub": F.try_element_at("tags", F.lit("UB"))})
 
 
-def bam(spark: SparkSession, path) -> DataFrame:
-    """The columns of sam() from binary alignments: each file is streamed by one task, block after block, and gives Arrow
-    batches of bounded size. path: one or a list; missing files give no rows."""
-    schema = SAM + ", tags map<string, string>"
-    files = spark.createDataFrame([(f,) for one in existing(spark, path) for f in _expanded(spark, one)], "file string")
-    t = files.repartition(max(1, files.count())).mapInArrow(_alignments, schema)
-    return t.withColumns({"strand": F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+"), "len": F.length("seq"), "cb": F.try_element_at("tags", F.lit("CB")), "ub": F.try_element_at("tags", F.lit("UB"))})
+def bam(spark: SparkSession, path, columns: list[str] | None = None, range_bytes: int = B.RANGE_BYTES) -> DataFrame:
+    """The columns of sam(), or those asked for, from binary alignments, read by byte ranges. path: one or a list; missing
+    files give no rows."""
+    asked = columns or [*[c.split()[0] for c in SAM.split(", ")], "tags", "strand", "len", "cb", "ub"]
+    files = [f for one in existing(spark, path) for f in _expanded(spark, one)]
+    t = B.read(spark, files, "alignments", range_bytes, list(dict.fromkeys("flag" if c == "strand" else c for c in asked)))
+    strand = F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+")
+    return t.select(*[strand.alias(c) if c == "strand" else F.col(c) for c in asked])
 
 
 def _expanded(spark: SparkSession, path: str) -> list[str]:
-    """The files that a path or glob names."""
+    """The files that a path or glob names, or that lie in a folder; hidden ones are not taken."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return [x.getPath().toString() for x in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)]
-
-
-#: Fixed values of the binary alignment format: bases, CIGAR operations and the sizes of its numbers.
-_BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-_NUMBERS = {"c": "b", "C": "B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
-_BATCH = 20_000
-
-
-def _alignments(batches):
-    import gzip
-    import struct
-
-    import pyarrow as pa
-    from pyarrow import fs
-
-    names = [c.split()[0] for c in SAM.split(", ")] + ["tags"]
-    types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
-    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-    for b in batches:
-        for file in b.column(0).to_pylist():
-            store, at = fs.FileSystem.from_uri(file if "://" in file else "file://" + file.removeprefix("file:"))
-            with store.open_input_stream(at, compression=None) as raw, gzip.open(raw) as f:
-                number = lambda f=f: struct.unpack("<i", f.read(4))[0]
-                if f.read(4) != b"BAM\1":
-                    raise ValueError(f"{file} holds no binary alignments")
-                f.read(number())
-                refs = []
-                for _ in range(number()):
-                    refs.append(f.read(number())[:-1].decode())
-                    number()
-                rows = []
-                while len(size := f.read(4)) == 4:
-                    rows.append(_record(f.read(struct.unpack("<i", size)[0]), refs))
-                    if len(rows) >= _BATCH:
-                        yield pack(rows)
-                        rows = []
-                yield pack(rows)
-
-
-def _record(d: bytes, refs: list[str]) -> tuple:
-    """One alignment as a row of the text format: places from 1, '*' as null."""
-    import struct
-
-    ref, pos, n_name, mapq, _, n_ops, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", d)
-    at = 32 + n_name
-    cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", d, at))
-    at += 4 * n_ops
-    packed = d[at : at + (n_seq + 1) // 2]
-    at += len(packed)
-    qual = d[at : at + n_seq]
-    at += n_seq
-    tags = []
-    while at < len(d):
-        key, kind = d[at : at + 2].decode(), chr(d[at + 2])
-        at += 3
-        if kind == "A":
-            value, at = chr(d[at]), at + 1
-        elif kind in "ZH":
-            end = d.index(0, at)
-            value, at = d[at:end].decode(), end + 1
-        elif kind == "B":
-            one, n = _NUMBERS[chr(d[at])], struct.unpack_from("<i", d, at + 1)[0]
-            size = struct.calcsize(one)
-            value = ",".join([chr(d[at]), *(str(struct.unpack_from(one, d, at + 5 + k * size)[0]) for k in range(n))])
-            at += 5 + n * size
-        else:
-            value = str(struct.unpack_from(_NUMBERS[kind], d, at)[0])
-            at += struct.calcsize(_NUMBERS[kind])
-        tags.append((key, value))
-    place = lambda r: refs[r] if r >= 0 else None
-    mate = None if next_ref < 0 else "=" if next_ref == ref else refs[next_ref]
-    seq = "".join(_BASES[x >> 4] + _BASES[x & 15] for x in packed)[:n_seq]
-    return (d[32 : 31 + n_name].decode(), flag, place(ref), pos + 1, mapq, cigar or None, mate, next_pos + 1, tlen, seq or None,
-            None if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual), tags)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for x in fs.globStatus(p) for s in (fs.listStatus(x.getPath()) if x.isDirectory() else [x])]
+    return sorted(s.getPath().toString() for s in found if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
 
 
 def fasta(spark: SparkSession, path) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chiasma.sources import block_files as B
+
 
 def tsv(df: DataFrame, path: str, header: bool = True) -> None:
     """Tab-separated without quotes; nulls as NA."""
@@ -35,6 +37,16 @@ def indexed(df: DataFrame, path: str, chrom: str = "chrom", pos: str = "pos") ->
     df.repartitionByRange(chrom, pos).sortWithinPartitions(chrom, pos).write.mode("overwrite").parquet(path)
 
 
+def packed_lines(df: DataFrame, path: str, column: str = "value") -> None:
+    """A block-compressed text file for each task, lines in the order of its rows."""
+    B.write(df.select(F.col(column).cast("string").alias("value")), path, "text")
+
+
+def alignments(df: DataFrame, path: str, references: list[tuple[str, int]]) -> None:
+    """A binary alignment file for each task, from columns named as reader bam() gives them; references: (name, size)."""
+    B.write(df, path, "alignments", references)
+
+
 def report(row: DataFrame) -> DataFrame:
     """(metric, value) of a one-row summary, as text."""
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("string").alias("value")) for c in row.columns])))

@@ -56,3 +56,13 @@ def test_switches_take_one_shuffle_of_the_rows(spark):
 def test_filters_reach_the_scan(spark):
     p = plan(spark, "marker_expression")
     assert "PushedFilters: [IsNotNull(p_size), LessThan(p_size,12)" in p
+
+
+@pytest.mark.parametrize("module", ["catalog", "registry", "cells", "files", "frames", "maps", "more", "qc"])
+def test_each_module_of_plans_imports_by_itself(module):
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", f"import chiasma.plans.{module}"], cwd=top, check=True, timeout=120)

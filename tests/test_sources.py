@@ -189,9 +189,10 @@ def test_sam(spark, tmp_path):
 
 def test_bam(spark, tmp_path):
     """A hand-made binary file against the same reads as text."""
-    import gzip
     import struct
 
+    from chiasma.sources import block_files as BF
+
     def record(name, flag, ref, pos, mapq, ops, seq, qual, tags, mate=-1):
         packed = bytes(("=ACMGRSVTWYHKDBN".index(a) << 4) | "=ACMGRSVTWYHKDBN".index(b) for a, b in zip(seq[::2], seq[1::2] + "=" * (len(seq) % 2), strict=True))
         body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(ops), flag, len(seq), mate, -1 if mate < 0 else 7, 0) + name.encode() + b"\0"
@@ -203,7 +204,7 @@ def test_bam(spark, tmp_path):
              record("r2", 16, 1, 9, 255, [(4, "M")], "ACGT", b"\xff" * 4, b"ASi" + struct.pack("<i", -7), mate=1), record("r3", 4, -1, -1, 0, [], "", b"", b"")]
     data = head + b"".join(reads)
     path = tmp_path / "x.bam"
-    path.write_bytes(b"".join(gzip.compress(data[k : k + 50]) for k in range(0, len(data), 50)) + gzip.compress(b""))  # blocks that cut records
+    path.write_bytes(b"".join(BF.packed(data[k : k + 50]) for k in range(0, len(data), 50)) + BF.END_MARK)  # blocks that cut records
     got = {r.name: r for r in R.bam(spark, str(path)).collect()}
     r = got["r1"]
     assert (r.chrom, r.start, r.mapq, r.cigar, r.seq, r.qual, r.strand, r.cb, r.ub, r.len) == ("1", 5, 60, "2S3M", "TTACG", "FFFFF", "+", "AAAC", "GG", 5)
