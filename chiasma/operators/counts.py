@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chiasma.operators import intervals as I
 from chiasma.operators.genotype import remaining_ref
 
 
@@ -73,16 +74,59 @@ def correct_barcodes(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
     return reads.join(fixed, "cb").withColumn("cb", F.col("_fixed")).drop("_fixed")
 
 
+def posterior_barcodes(reads: DataFrame, whitelist: DataFrame, quality: str | None = None, least: float = 0.975) -> DataFrame:
+    """reads with cb replaced by its whitelist entry, where there is a likely one; others go. An exact entry stays. Else the
+    candidates are the entries one base away or, of a barcode with one unread base (N), those that fill it. A candidate weighs
+    its exact reads plus one, times the chance that its base was misread, 10^(-q/10) by the base's letter in `quality` (offset
+    33; without it all bases are alike); the best is taken if it has at least `least` of the weight of all. So a tie gives
+    none, and so do two unread bases. Candidates are found once for each distinct barcode, by equality."""
+    cb = F.col("cb")
+    w = whitelist.select(F.col("barcode").alias("_w")).distinct()
+    own = reads.groupBy("cb").agg(F.count("*").alias("_n"))
+    known = w.join(own, F.col("_w") == F.col("cb"), "left").select("_w", (F.coalesce("_n", F.lit(0)) + 1).alias("_prior"))
+    other = own.select("cb").join(w, F.col("_w") == F.col("cb"), "left_anti")
+    n, at = F.length(F.regexp_replace("cb", "[^N]", "")), F.instr("cb", "N")
+    swap = lambda k: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.struct(F.concat(F.substring(cb, F.lit(1), k - 1), b, F.substring(cb, k + 1, F.length("cb"))).alias("_w"), k.alias("_at")))
+    places = F.when(n == 0, F.sequence(F.lit(1), F.greatest(F.length("cb"), F.lit(1)))).when(n == 1, F.array(at)).otherwise(F.array().cast("array<int>"))
+    near = other.select("cb", F.inline(F.flatten(F.transform(places, swap)))).join(known, "_w")
+    near = near.groupBy("cb").agg(F.sort_array(F.collect_list(F.struct("_w", "_at", "_prior"))).alias("_near"))  # at most four for each base
+    known = known.select(F.col("_w").alias("cb"), F.col("_w").alias("_exact"))
+    j = reads.join(known, "cb", "left").join(near, "cb", "left")
+    odds = (lambda x: x["_prior"].cast("double")) if quality is None else (lambda x: x["_prior"] * F.pow(F.lit(10.0), -(F.ascii(F.substring(F.col(quality), x["_at"], F.lit(1))) - 33) / 10.0))
+    weighed = F.transform("_near", lambda x: F.struct(odds(x).alias("p"), x["_w"].alias("w")))
+    best, total = F.array_max(weighed), F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x["p"])
+    fixed = F.coalesce("_exact", F.when(best["p"] >= least * total, best["w"]))
+    return j.withColumn("_fixed", fixed).where("_fixed IS NOT NULL").withColumn("cb", F.col("_fixed")).select(*reads.columns)
+
+
+def capped(hits: DataFrame, max_depth: int, key: Column, keys: tuple = ("chrom", "pos"), buckets: int = 4096) -> DataFrame:
+    """The max_depth hits of least `key` (a whole number from 0 to 2^31 - 1 that says nothing of the read; ties by the hit's
+    other columns) of each site, all where there are fewer. Depths are counted by bucket of the key before anything moves; only
+    of the bucket in which a site reaches its depth do ranks decide, and they are of one bucket each, so no task holds a site."""
+    k = list(keys)
+    h = hits.withColumn("_key", key.cast("long")).withColumn("_bucket", F.floor(F.col("_key") * buckets / F.lit(1 << 31)).cast("int"))
+    upto = F.sum("_n").over(Window.partitionBy(*k).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    n = h.groupBy(*k, "_bucket").agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+    full = n.where((F.col("_upto") > max_depth) & (F.col("_upto") - F.col("_n") <= max_depth))  # sites over max_depth: hits / max_depth at most
+    full = full.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(k)], F.col("_bucket").alias("_last"), (max_depth - F.col("_upto") + F.col("_n")).alias("_left"))
+    on = [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(k)]
+    own = Window.partitionBy(*k, "_bucket").orderBy("_key", *[c for c in hits.columns if c not in keys])
+    j = h.join(F.broadcast(full), on, "left").withColumn("_rank", F.row_number().over(own))
+    keep = F.col("_last").isNull() | (F.col("_bucket") < F.col("_last")) | ((F.col("_bucket") == F.col("_last")) & (F.col("_rank") <= F.col("_left")))
+    return j.where(keep).select(*hits.columns)
+
+
 def conversion_counters(per_cell: DataFrame, min_markers: int) -> DataFrame:
     """Cells without entries, below the minimum, and written, from (cell, n_cov)."""
     n = F.col("n_cov")
     return per_cell.agg(F.count("*").alias("n_total"), F.count_if(n == 0).alias("n_empty"), F.count_if((n > 0) & (n < min_markers)).alias("n_below"), F.count_if(n >= min_markers).alias("n_written"))
 
 
-def aligned_bases(reads: DataFrame, sites: DataFrame, width: int = 1 << 16) -> DataFrame:
+def aligned_bases(reads: DataFrame, sites: DataFrame, width: int = 1 << 16, most: int = I.HOT) -> DataFrame:
     """reads (chrom, start, cigar, seq and others) with pos and base at each site (chrom, pos, ...) that a read's alignment
     covers with a base: matches and mismatches; deletions, skips and clips cover none. Each run of aligned bases is dealt to
-    the bins that it meets, and sites to theirs, so the join is one of equality."""
+    the bins that it meets, and sites to theirs, so the join is one of equality; a bin with more than `most` runs is cut in
+    parts of reads, each with all its sites."""
     ops = F.transform(F.regexp_extract_all("cigar", F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("long").alias("n"), F.substring(x, -1, 1).alias("op")))
     zero = F.struct(F.col("start").cast("long").alias("ref"), F.lit(1).cast("long").alias("read"), F.array().cast("array<struct<ref: bigint, read: bigint, n: bigint>>").alias("runs"))
     moves = lambda o, kinds: F.when(o["op"].isin(*kinds), o["n"]).otherwise(F.lit(0))
@@ -92,6 +136,6 @@ def aligned_bases(reads: DataFrame, sites: DataFrame, width: int = 1 << 16) -> D
     whole = F.array(F.struct(F.col("start").cast("long").alias("ref"), F.lit(1).cast("long").alias("read"), F.regexp_extract("cigar", "^[0-9]+", 0).try_cast("long").alias("n")))
     r = reads.withColumn("_run", F.explode(F.when(F.col("cigar").rlike("^[0-9]+M$"), whole).otherwise(F.aggregate(ops, zero, step, lambda a: a["runs"]))))
     r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_run.ref") / width), F.floor((F.col("_run.ref") + F.col("_run.n") - 1) / width))))
-    s = sites.withColumn("_bin", F.floor(F.col("pos") / width))
-    hit = r.join(s, ["chrom", "_bin"]).where((F.col("pos") >= F.col("_run.ref")) & (F.col("pos") < F.col("_run.ref") + F.col("_run.n")))
-    return hit.withColumn("base", F.substring(F.col("seq"), (F.col("_run.read") + F.col("pos") - F.col("_run.ref")).cast("int"), F.lit(1))).drop("_run", "_bin")
+    r, s, on = I.dealt(r, sites.withColumn("_bin", F.floor(F.col("pos") / width)), ["chrom", "_bin"], most)
+    hit = r.join(s, on).where((F.col("pos") >= F.col("_run.ref")) & (F.col("pos") < F.col("_run.ref") + F.col("_run.n")))
+    return hit.withColumn("base", F.substring(F.col("seq"), (F.col("_run.read") + F.col("pos") - F.col("_run.ref")).cast("int"), F.lit(1))).drop("_run", "_bin", "_part")

@@ -54,6 +54,26 @@ def numbered(df: DataFrame, by: str, *ties: str, bins: int = 4096) -> DataFrame:
     return ranked(d, ("_all",), "_by", max(1, ((hi or 0) - (lo or 0)) // bins + 1), *ties).withColumn("i", F.col("rank") - 1).withColumn("n", F.lit(n).cast("long")).drop("rank", "_all", "_by")
 
 
+#: Rows of one key of a join that one task takes.
+HOT = 2_000_000
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], most: int = HOT) -> tuple[DataFrame, DataFrame, list[str]]:
+    """left, right and the columns to join them on, for a join in which few keys may hold most of left's rows. Keys are
+    counted in left; one with more than `most` rows is cut in parts: left's rows get one by a hash of their own values (so a
+    repeated task deals alike), right's rows are copied to all. Other keys have one part. The counts are made where the rows
+    are, and the list of such keys, of which there are at most rows / most, is broadcast to both sides."""
+    n = left.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
+    hot = n.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.ceil(F.col("_rows") / most).cast("int").alias("_parts"))
+    on = lambda df: [df[k].eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
+    spare = [f"_h{i}" for i in range(len(keys))]
+    parts = F.coalesce("_parts", F.lit(1))
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), parts).cast("int")
+    a = left.join(F.broadcast(hot), on(left), "left").withColumn("_part", own).drop("_parts", *spare)
+    b = right.join(F.broadcast(hot), on(right), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts", *spare)
+    return a, b, [*keys, "_part"]
+
+
 def _bins(lo, hi, width: int):
     """Bins of [lo, hi] (both ends)."""
     return F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))

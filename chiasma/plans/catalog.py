@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chiasma.plans import cells, files, frames, maps, more, qc  # noqa: F401
+from chiasma.plans import cells, files, frames, maps, more, qc, reads  # noqa: F401
 from chiasma.plans.registry import ORACLES, QUERIES
 
 

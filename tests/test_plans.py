@@ -58,7 +58,7 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(p_size), LessThan(p_size,12)" in p
 
 
-@pytest.mark.parametrize("module", ["catalog", "registry", "cells", "files", "frames", "maps", "more", "qc"])
+@pytest.mark.parametrize("module", ["catalog", "registry", "cells", "files", "frames", "maps", "more", "qc", "reads"])
 def test_each_module_of_plans_imports_by_itself(module):
     import os
     import subprocess
