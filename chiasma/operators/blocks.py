@@ -73,43 +73,55 @@ def refine(points: DataFrame, smoothed: DataFrame, value: str = "smt_af") -> Dat
 
 def called(smoothed: DataFrame, block_size: int, marker_num: int, value: str = "smt_af", genotype: float = 0.2) -> DataFrame:
     """Surviving blocks with the refined breakpoint before each, from smoothed rows in one pass: runs(), long_enough(),
-    breakpoints() and refine() as windows over (cell, chromosome) alone, so the rows are smoothed once and never joined.
+    breakpoints() and refine() over (cell, chromosome) alone, so the rows are smoothed once and never joined.
 
     (barcode, chrom, blk from 1, sta, end, genotype, markernum, run, acc, fresh, bp_start, bp_end, geno_pre, marker_count):
     run numbers the stretches of equal blocks from 0, acc is the running sum of markers of blocks that continue one, fresh
-    marks a block of another genotype than the one before, whose breakpoint is given. A row is dealt to the gap between
-    two surviving blocks that it lies in; the last row of the block before and the first of the next belong to it."""
+    marks a block of another genotype than the one before, whose breakpoint is given.
+
+    Rows become runs of one value first, and all else works on those. The gap between two surviving blocks is the last row of
+    the one, the runs between, and the first row of the next. Inside a run each of the two products that a border is scored by
+    rises or falls throughout, so the best border of a run is the one after its first row or the one after its last."""
     w = ordered(*KEY)
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     d = smoothed.select(*KEY, "pos", F.col(value).alias("_v"))
-    d = d.withColumn("_c", F.coalesce((F.col("_v") != F.lag("_v").over(w)).cast("int"), F.lit(1)))
-    d = d.withColumns({"_blk": F.sum("_c").over(upto), "_ends": F.coalesce(F.lead("_c").over(w), F.lit(1)) == 1})
-    one = Window.partitionBy(*KEY, "_blk")
-    d = d.withColumns({"sta": F.min("pos").over(one), "end": F.max("pos").over(one), "markernum": F.count("*").over(one), "genotype": block_genotype(F.col("_v"), genotype)})
+    d = d.withColumns({"_c": F.coalesce((F.col("_v") != F.lag("_v").over(w)).cast("int"), F.lit(1)), "_second": F.lead("pos").over(w)})
+    d = d.withColumn("_blk", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    b = d.groupBy(*KEY, "_blk").agg(F.min("pos").alias("sta"), F.max("pos").alias("end"), F.count("*").alias("markernum"), F.first("_v").alias("_v"), F.max(F.when(F.col("_c") == 1, F.col("_second"))).alias("_second"))
     keep = (F.col("end") - F.col("sta") >= block_size) & (F.col("markernum") >= marker_num)
-    d = d.withColumns({"_keep": keep, "_first": keep & (F.col("_c") == 1), "_last": keep & F.col("_ends")})
-    d = d.withColumns({"_k": F.sum(F.col("_first").cast("long")).over(upto), "_g": F.last(F.when(F.col("_first"), F.col("genotype")), ignorenulls=True).over(before)})
-    fresh, cont = F.col("_first") & (F.col("_g") != F.col("genotype")), F.col("_first") & (F.col("_g") == F.col("genotype"))
-    d = d.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
-    d = d.withColumns({"run": F.sum(F.col("fresh").cast("long")).over(upto), "acc": F.sum(F.when(cont, F.col("markernum")).otherwise(0)).over(upto)})
-    d = d.withColumn("_m", F.sum(F.when(F.col("_first"), F.col("markernum"))).over(Window.partitionBy(*KEY, "run")))
-    role = lambda on, gap, n: F.when(on, F.struct(gap.alias("gap"), F.lit(n).alias("role")))
-    roles = F.array_compact(F.array(role(~F.col("_keep") & (F.col("_k") > 0), F.col("_k"), 0), role(F.col("_last"), F.col("_k"), 1), role(F.col("_first"), F.col("_k") - 1, 2)))
-    d = d.withColumn("_r", F.explode(roles)).select("*", "_r.gap", "_r.role")
+    o = Window.partitionBy(*KEY).orderBy("_blk")
+    upto, before = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumns({"genotype": block_genotype(F.col("_v"), genotype), "_keep": keep})
+    b = b.withColumns({"_k": F.sum(F.col("_keep").cast("long")).over(upto), "_g": F.last(F.when(F.col("_keep"), F.col("genotype")), ignorenulls=True).over(before)})
+    cont = F.col("_keep") & (F.col("_g") == F.col("genotype"))
+    b = b.withColumn("fresh", F.coalesce(F.col("_keep") & (F.col("_g") != F.col("genotype")), F.lit(False)))
+    b = b.withColumns({"run": F.sum(F.col("fresh").cast("long")).over(upto), "acc": F.sum(F.when(cont, F.col("markernum")).otherwise(0)).over(upto)})
+    b = b.withColumn("_m", F.sum(F.when(F.col("_keep"), F.col("markernum"))).over(Window.partitionBy(*KEY, "run")))
+    part = lambda on, gap, role, first, second, last, n: F.when(on, F.struct(gap.alias("gap"), F.lit(role).alias("role"), first.alias("first"), second.alias("second"), last.alias("last"), n.alias("n")))
+    one, none, c = F.lit(1).cast("long"), F.lit(None).cast("long"), F.col
+    parts = F.array_compact(F.array(
+        part(~c("_keep") & (c("_k") > 0), c("_k"), 0, c("sta"), c("_second"), c("end"), c("markernum")),
+        part(c("_keep"), c("_k"), 1, c("end"), none, c("end"), one), part(c("_keep"), c("_k") - 1, 2, c("sta"), none, c("sta"), one)))
+    g = b.withColumn("_p", F.explode(parts)).select(*KEY, "_v", "sta", "end", "genotype", "markernum", "run", "acc", "fresh", "_m", "_p.*")
     whole = Window.partitionBy(*KEY, "gap")
-    o = whole.orderBy("pos", "role")
-    left = o.rowsBetween(Window.unboundedPreceding, 0)
-    zero, real = (F.col("_v") == 0).cast("int"), (F.col("_v") == 1).cast("int")
-    d = d.withColumns({"_next": F.lead("pos").over(o), "_i": F.row_number().over(o), "_n": F.count("*").over(whole), "_l0": F.sum(zero).over(left), "_l1": F.sum(real).over(left),
-                       "_t0": F.sum(zero).over(whole), "_t1": F.sum(real).over(whole)})
-    rest = F.nullif(F.col("_n") - F.col("_i"), F.lit(0))
-    score = F.greatest((F.col("_l0") / F.col("_i")) * ((F.col("_t1") - F.col("_l1")) / rest), (F.col("_l1") / F.col("_i")) * ((F.col("_t0") - F.col("_l0")) / rest))
-    best = F.max_by(F.struct("pos", "_next"), F.when(F.col("_next").isNotNull(), F.struct(score, -F.col("_i"))))
+    q = whole.orderBy("first", "role")
+    so_far = q.rowsBetween(Window.unboundedPreceding, -1)
+    zero, real = F.when(c("_v") == 0, c("n")).otherwise(0), F.when(c("_v") == 1, c("n")).otherwise(0)
+    sums = {"_i": (c("n"), "_n"), "_l0": (zero, "_t0"), "_l1": (real, "_t1")}
+    g = g.withColumns({"_next": F.lead("first").over(q)} | {k: F.coalesce(F.sum(v).over(so_far), F.lit(0)) for k, (v, _) in sums.items()} | {t: F.sum(v).over(whole) for v, t in sums.values()})
+
+    def border(rows, pos, after):
+        """Score of the border after so many rows of a run, as (score, place before all, position, next position)."""
+        i, l0, l1 = c("_i") + rows, c("_l0") + F.when(c("_v") == 0, rows).otherwise(0), c("_l1") + F.when(c("_v") == 1, rows).otherwise(0)
+        rest = F.nullif(c("_n") - i, F.lit(0))
+        score = F.greatest((l0 / i) * ((c("_t1") - l1) / rest), (l1 / i) * ((c("_t0") - l0) / rest))
+        return F.when(after.isNotNull(), F.struct(score.alias("score"), (-i).alias("i"), pos.alias("pos"), after.alias("next")))
+
+    best = F.greatest(border(c("n"), c("last"), c("_next")), F.when(c("n") > 1, border(one, c("first"), c("second"))))
     own = ("sta", "end", "genotype", "markernum", "run", "acc", "fresh")
-    g = d.groupBy(*KEY, "gap").agg(
-        F.max(F.when(F.col("role") == 2, F.struct(*own))).alias("_b"), F.max(F.when(F.col("role") == 1, F.struct("genotype", "_m"))).alias("_a"), best.alias("_p")).where("_b IS NOT NULL")
-    on = lambda c: F.when(F.col("_b.fresh"), F.col(c))
-    return g.select(*KEY, (F.col("gap") + 1).alias("blk"), *[F.col(f"_b.{c}").alias(c) for c in own], on("_p.pos").alias("bp_start"), on("_p._next").alias("bp_end"),
+    g = g.groupBy(*KEY, "gap").agg(
+        F.max(F.when(c("role") == 2, F.struct(*own))).alias("_b"), F.max(F.when(c("role") == 1, F.struct("genotype", "_m"))).alias("_a"), F.max(best).alias("_p")).where("_b IS NOT NULL")
+    on = lambda x: F.when(c("_b.fresh"), c(x))
+    return g.select(*KEY, (c("gap") + 1).alias("blk"), *[c(f"_b.{x}").alias(x) for x in own], on("_p.pos").alias("bp_start"), on("_p.next").alias("bp_end"),
                     on("_a.genotype").alias("geno_pre"), on("_a._m").alias("marker_count"))
 
 

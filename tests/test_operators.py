@@ -51,6 +51,33 @@ def test_smoothing_against_scalar(spark):
     assert parallel_differs  # else the recurrence would not be tested
 
 
+def test_second_pass_over_many_blocks(spark):
+    """Long chromosomes: states that pass through whole blocks of rows, and blocks entered in each state."""
+    r = random.Random(12)
+    rows, want = [], {}
+    for k in range(24):
+        n = r.choice([59, 60, 61, 120, 121, 900])
+        if k % 3 == 0:  # what a row becomes depends on the left over long stretches
+            smt = [float(j // 2 % 2) for j in range(n)]
+            raw = [1.0 - v if r.random() < 0.5 else v for v in smt]
+        else:
+            smt, raw = [r.choice([0.0, 0.5, 1.0]) for _ in range(n)], [r.choice([0.0, 1.0]) for _ in range(n)]
+        two = list(smt)
+        for i in range(n):
+            near = [j for j in range(max(0, i - 2), min(n, i + 3)) if j != i]
+            if near and 0.3 <= sum(two[j] > 0 for j in near) / len(near) <= 0.7:
+                two[i] = raw[i]
+        want |= {(k, p): v for p, v in enumerate(two)}
+        rows += [("c", str(k), p, raw[p], smt[p], f"x{p}") for p in range(n)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "barcode string, chrom string, pos long, raw_af double, smt_af double, other string")
+    got = S.pass_two(df)
+    assert got.columns == df.columns
+    found = got.collect()
+    assert {(int(x.chrom), x.pos): x.smt_af for x in found} == want and all(x.other == f"x{x.pos}" for x in found) and len(found) == len(rows)
+    assert S.pass_two(df.limit(0)).count() == 0
+
+
 def _parallel(raw):
     one, _ = scalar_smooth(raw)
     out = []
