@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chiasma.operators.sampling import by_replicate, lane_sums, resampled_sums
+
 MB = 1_000_000
 SHAPE, SCALE = (0.05, 50.0), (0.05, 1000.0)
 
@@ -20,23 +22,33 @@ def intervals_of(mids: DataFrame, sizes: DataFrame, interval_mb: float, keys: tu
     return d.where((F.col("iv") >= 1) & (F.col("iv") <= n)).distinct()
 
 
-def coincidence(presence: DataFrame, n_cells: int, interval_mb: float, members: DataFrame | None = None) -> DataFrame:
+def coincidence(presence: DataFrame, n_cells: int, interval_mb: float, sets: DataFrame | None = None, n_boot: int = 1) -> DataFrame:
     """Per distance bin: sum of cells with crossovers in both intervals over the sum expected from the intervals' shares,
-    over pairs with an expectation; n_pairs and total_exp. The expectation needs the pairs of a chromosome's occupied
-    intervals, at most N squared each. With members (b, barcode), for each replicate b over its cells: a cell's pairs are
-    made once and then counted in every replicate that has the cell."""
-    keys = () if members is None else ("b",)
-    k = [*keys, "chrom"]
-    drawn = (lambda d: d) if members is None else (lambda d: d.join(members, "barcode"))
-    share = drawn(presence).groupBy(*k, "size", "n_iv", "iv").agg((F.count("*") / n_cells).alias("p"))
-    a, b = share.select(*k, "size", "n_iv", F.col("iv").alias("_a"), F.col("p").alias("pa")), share.select(*k, F.col("iv").alias("_b"), F.col("p").alias("pb"))
-    pairs = a.join(b, k).where("_a < _b").withColumn("expected", F.col("pa") * F.col("pb") * n_cells)
-    x, y = presence.select("chrom", "barcode", F.col("iv").alias("_a")), presence.select("chrom", "barcode", F.col("iv").alias("_b"))
-    both = drawn(x.join(y, ["chrom", "barcode"]).where("_a < _b")).groupBy(*k, "_a", "_b").agg(F.count("*").alias("observed"))
-    d = (F.col("_b") - F.col("_a")) * (F.col("size") / F.col("n_iv")) / MB
-    out = pairs.join(both, [*k, "_a", "_b"], "left").withColumn("dist_mb", F.rint(d / interval_mb) * interval_mb)
-    return out.where("expected > 0").groupBy(*keys, "dist_mb").agg(
-        (F.sum(F.coalesce("observed", F.lit(0))) / F.sum("expected")).alias("coc"), F.count("*").alias("n_pairs"), F.sum("expected").alias("total_exp"))
+    over pairs with an expectation; n_pairs and total_exp. With sets (barcode and the words of n_boot replicates), for each
+    replicate b over its cells.
+
+    A cell's pairs are counted by their lag, intervals by their cells, in lanes of replicates; then a chromosome is one row of
+    two dense arrays, and the expectation at a lag is their autocorrelation. So no pair of intervals is a row, and what grows
+    with the replicates is chromosomes."""
+    cells = presence.groupBy("chrom", "barcode").agg(F.first("size").alias("size"), F.first("n_iv").alias("n_iv"), F.collect_set("iv").alias("_ivs"))
+    cells = cells.join(sets, "barcode") if sets is not None else cells.withColumn("w0", F.lit(1).cast("long"))
+    lags = F.flatten(F.transform("_ivs", lambda a: F.transform(F.filter("_ivs", lambda b: b > a), lambda b: b - a)))
+    places = F.concat(F.transform("_ivs", lambda a: F.struct(F.lit(0).alias("kind"), a.alias("k"))), F.transform(lags, lambda d: F.struct(F.lit(1).alias("kind"), d.alias("k"))))
+    n = cells.withColumn("_p", F.explode(places)).groupBy("chrom", "size", "n_iv", "_p.kind", "_p.k").agg(*lane_sums(n_boot))
+    n = n.select("chrom", "size", "n_iv", "kind", F.struct("k", by_replicate(n_boot).alias("c")).alias("e"))
+    of = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.col("e"))))
+    rows = n.groupBy("chrom", "size", "n_iv").agg(of(0).alias("_own"), of(1).alias("_both"))  # as many entries as intervals
+    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    at = lambda m, k: f"coalesce(try_element_at({m}, {k})[b], 0L)"
+    rows = rows.withColumn("_c", F.expr(f"transform(sequence(1L, n_iv), k -> {at('_own', 'k')})"))
+    pair = "zip_with(slice(_c, 1, int(n_iv - d)), slice(_c, int(d + 1), int(n_iv - d)), (x, y) -> x * y)"
+    lag = f"struct(d AS d, {at('_both', 'd')} AS observed, {pair} AS products)"
+    rows = rows.select("b", "chrom", "size", "n_iv", F.expr(f"explode(transform(sequence(1L, greatest(n_iv - 1, 1L)), d -> {lag}))").alias("l")).where("l.d < n_iv")
+    rows = rows.select("b", (F.col("l.d") * (F.col("size") / F.col("n_iv")) / MB).alias("_d"), "l.observed", F.expr("aggregate(l.products, 0D, (a, x) -> a + x)").alias("_e"), F.expr("size(filter(l.products, x -> x > 0))").alias("_n"))
+    out = rows.where("_n > 0").withColumn("dist_mb", F.rint(F.col("_d") / interval_mb) * interval_mb)
+    out = out.groupBy("b", "dist_mb").agg(
+        (F.sum("observed") / (F.sum("_e") / n_cells)).alias("coc"), F.sum("_n").cast("long").alias("n_pairs"), (F.sum("_e") / n_cells).alias("total_exp"))
+    return out.drop("b") if sets is None else out
 
 
 def alpha(total_exp) -> Column:
@@ -84,6 +96,13 @@ def gamma_stats(dist: DataFrame, keys: list[str]) -> DataFrame:
     return dist.groupBy(*keys).agg(*stats) if keys else dist.agg(*stats)
 
 
+def gamma_replicates(dist: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
+    """gamma_stats() without var of n_boot resamples b of all distances, with multiplicity; no distance becomes a row for each
+    replicate, and only sums leave a task."""
+    s = resampled_sums(dist, "dist_mb", n_boot, seed)
+    return s.select("b", "n", (F.col("total") / F.col("n")).alias("mean"), F.when(F.col("zeros") == 0, F.col("log_total") / F.col("n")).alias("mean_log"))
+
+
 def gamma_fit(stats: DataFrame) -> DataFrame:
     """stats with nu and theta; a few numbers per group, so one Arrow batch each task."""
     from pyspark.sql.types import StructType

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chiasma.operators import intervals as I
-from chiasma.operators.sampling import replicates
+from chiasma.operators.sampling import again, by_replicate, drawn, lane_sums
 
 MB = 1_000_000
 
@@ -75,20 +75,21 @@ def numbered(cells: DataFrame) -> DataFrame:
     return cells.select("barcode", (F.row_number().over(Window.orderBy("barcode")) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
 
 
-def membership(cells: DataFrame, n_boot: int) -> DataFrame:
-    """(b, barcode): the distinct cells that each replicate draws. Membership, not multiplicity."""
-    c = numbered(cells)
-    return replicates(c, n_boot).select("b", "i").distinct().hint("merge").join(c.select("barcode", "i"), "i").select("b", "barcode")
-
-
 def rate_band(mids: DataFrame, cells: DataFrame, sizes: DataFrame, win: int, step: int, n_cells: int, n_boot: int) -> DataFrame:
     """sliding_rate() with ymin and ymax, one standard deviation over replicates of drawn cells, floored at 0; chr_avg, the
-    chromosome's own rate, and genome_rate."""
-    drawn = mids.join(membership(cells, n_boot), "barcode")
-    n = I.point_counts(drawn, win, step, ("b", "chrom"), "mid").withColumn("r", F.col("n") * 100.0 / n_cells / (win / MB))
-    # Replicates without a crossover in a window are not rows; their rate is 0, so sums over all replicates suffice.
-    s = n.groupBy("chrom", "w").agg(F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
-    sd = F.sqrt(F.greatest(F.lit(0.0), (F.coalesce("s2", F.lit(0.0)) - F.pow(F.coalesce("s1", F.lit(0.0)), 2) / n_boot) / (n_boot - 1)))
+    chromosome's own rate, and genome_rate. Replicates are bits of a cell and lanes of the sums by step (which divides the
+    window), so crossovers are counted once."""
+    if win % step:
+        raise ValueError("a window is a whole number of steps")
+    own = mids.where("mid >= 0").join(drawn(numbered(cells), n_boot), "barcode")
+    by = own.groupBy("chrom", F.floor(F.col("mid") / step).cast("long").alias("_s")).agg(*lane_sums(n_boot))
+    first = F.greatest(F.lit(0).cast("long"), F.col("_s") - (win // step - 1))
+    by = by.withColumn("w", F.explode(F.sequence(first, F.col("_s")))).groupBy("chrom", "w").agg(*again(n_boot))
+    # Replicates without a crossover in a window count 0 there, so sums over all replicates suffice.
+    s = by.select("chrom", "w", by_replicate(n_boot).alias("_c"))
+    s = s.select("chrom", "w", F.expr("aggregate(_c, 0D, (a, x) -> a + x)").alias("s1"), F.expr("aggregate(_c, 0D, (a, x) -> a + double(x) * x)").alias("s2"))
+    var = (F.coalesce("s2", F.lit(0.0)) - F.pow(F.coalesce("s1", F.lit(0.0)), 2) / n_boot) / (n_boot - 1)
+    sd = F.sqrt(F.greatest(F.lit(0.0), var)) * 100.0 / n_cells / (win / MB)
     base = I.windows(sizes, win, step).join(I.point_counts(mids, win, step, pos="mid"), ["chrom", "w"], "left").join(s, ["chrom", "w"], "left")
     rate = F.coalesce("n", F.lit(0)) * 100.0 / n_cells / (win / MB)
     own = chrom_table(mids, sizes, n_cells).select("chrom", F.col("cm_per_mb").alias("chr_avg"), (F.sum("cm").over(Window.partitionBy()) / F.sum("size_mb").over(Window.partitionBy())).alias("genome_rate"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chiasma.operators import intervals as I
 from chiasma.operators import interference as X
 from chiasma.operators import landscape as L
+from chiasma.operators.sampling import drawn
 from chiasma.plans.registry import register, table
 
 WIN, STEP, INTERVAL = 500_000, 50_000, 0.4
@@ -187,7 +188,8 @@ def coincidence_band(spark, sf_dir):
 
 def _band(spark, sf_dir):
     p = X.intervals_of(co(spark, sf_dir), sizes(spark, sf_dir), INTERVAL)
-    c = X.coincidence(p, n_cells(spark, sf_dir), INTERVAL, L.membership(cells(spark, sf_dir), BOOT_COC))
+    sets = drawn(L.numbered(cells(spark, sf_dir)), BOOT_COC).drop("i", "n")
+    c = X.coincidence(p, n_cells(spark, sf_dir), INTERVAL, sets, BOOT_COC)
     q = F.percentile("coc", F.array(F.lit(0.025), F.lit(0.975)))  # of one value for each replicate
     return c.groupBy(F.round("dist_mb", 6).alias("dist_mb")).agg(q.alias("q")).select("dist_mb", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
@@ -217,14 +219,9 @@ def gamma_fits(spark, sf_dir):
 
 @register("gamma_band")
 def gamma_band(spark, sf_dir):
-    """Interval of the pooled shape over replicates of the distances drawn with multiplicity."""
-    # Draws by number need a dense one.
-    u = I.numbered(L.distances(co(spark, sf_dir)), "barcode", "chrom", "dist_mb").select("dist_mb", "i", "n")
-    from chiasma.operators.sampling import replicates
-
-    # Draws are BOOT_GAMMA times the distances, which the planner cannot see: they are never to be broadcast.
-    r = replicates(u, BOOT_GAMMA).select("b", "i").hint("merge").join(u.select("i", "dist_mb"), "i")
-    fits = X.gamma_fit(X.gamma_stats(r, ["b"]))
+    """Interval of the pooled shape over replicates of the distances drawn with multiplicity; numpy's draws have no SQL, tested
+    against plain resampling."""
+    fits = X.gamma_fit(X.gamma_replicates(L.distances(co(spark, sf_dir)), BOOT_GAMMA))
     q = F.percentile("nu", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return fits.agg(F.count("nu").alias("n_boot"), q.alias("q")).select("n_boot", *[F.round(F.col("q")[k], 4).alias(a) for k, a in enumerate(("lo", "mid", "hi"))])
 

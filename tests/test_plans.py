@@ -33,7 +33,7 @@ def test_calling_smooths_once(spark, name):
     assert "SortMergeJoin" not in p
 
 
-@pytest.mark.parametrize("name", ["interval_merge", "marey_map", "marker_spacing", "false_discovery", "gamma_band"])
+@pytest.mark.parametrize("name", ["interval_merge", "marey_map", "marker_spacing", "false_discovery"])
 def test_rows_are_not_ordered_in_one_task(spark, name):
     """Windows are over bins of a chromosome or table, over what bins add up to, over counts of distinct values, or over one
     cell."""
