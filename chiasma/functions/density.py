@@ -24,6 +24,25 @@ def curve(spark, shape: float, scale: float, top: float, points: int = 200):
     return spark.range(points).select(x.alias("x"), dgamma(x, shape, scale).alias("gamma"), dexp(x, shape * scale).alias("exponential"))
 
 
+def fitted_curves(fits, dist, value: str = "dist_mb", least: float = 0.1, points: int = 200):
+    """(chrom, x, gamma, exponential): the densities of each fit (chrom, mean, nu, theta), on a grid from `least` to the largest
+    distance of all; an exponential of the same mean beside it. Fits without parameters have no curve. The gamma function's
+    logarithm is taken of the fits, a few numbers, in one batch; the curves are expressions."""
+    def constants(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            c = [None if k is None or t is None else -math.lgamma(k) - k * math.log(t) for k, t in zip(b.column("nu").to_pylist(), b.column("theta").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, pa.float64())], [*b.schema.names, "log_c"])
+
+    f = fits.select("chrom", "mean", "nu", "theta").mapInArrow(constants, "chrom string, mean double, nu double, theta double, log_c double").where("log_c IS NOT NULL")
+    top = dist.agg(F.max(value).alias("top"))  # one row
+    x = F.lit(least) + F.col("k") * (F.col("top") - least) / (points - 1)
+    grid = f.join(F.broadcast(top)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
+    gamma = F.exp(F.col("log_c") + (F.col("nu") - 1) * F.ln("x") - F.col("x") / F.col("theta"))
+    return grid.select("chrom", "x", gamma.alias("gamma"), (F.exp(-F.col("x") / F.col("mean")) / F.col("mean")).alias("exponential"))
+
+
 def histogram(df, value: str, bins: int = 25):
     """(left, right, density) of equal bins from the least to the largest value."""
     ends = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"), F.count(value).alias("n"))

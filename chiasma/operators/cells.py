@@ -60,10 +60,88 @@ def thresholds(stats: DataFrame, lower: int = 100) -> DataFrame:
     return c.agg(F.max("knee").alias("knee"), F.coalesce(-best.getField("t"), F.max("knee")).alias("inflection"))
 
 
-def calls(stats: DataFrame, lower: int = 100) -> DataFrame:
-    """stats with is_cell_knee and is_cell_inflection: totals that reach the thresholds; false where there are none."""
+#: Pieces of the smoothed rank curve, and its effective degrees of freedom.
+SEGMENTS, FREEDOM = 50, 20
+
+
+def _basis(u, derivative: int = 0) -> list:
+    """The four cubic B-splines on a piece, u from 0 to 1 along it, or a derivative by u; u is a column, an array or a number."""
+    if derivative == 0:
+        return [(1 - u) * (1 - u) * (1 - u) / 6, (3 * u * u * u - 6 * u * u + 4) / 6, (-3 * u * u * u + 3 * u * u + 3 * u + 1) / 6, u * u * u / 6]
+    if derivative == 1:
+        return [-(1 - u) * (1 - u) / 2, (3 * u * u - 4 * u) / 2, (-3 * u * u + 2 * u + 1) / 2, u * u / 2]
+    return [1 - u, 3 * u - 2, 1 - 3 * u, u * 1.0]
+
+
+def penalised(gram, right, freedom: float):
+    """Coefficients of the spline with these normal equations whose second differences are penalised so that it has `freedom`
+    effective degrees of freedom, or all there are."""
+    import numpy as np
+
+    d = np.diff(np.eye(len(gram)), 2, axis=0)
+    penalty = d.T @ d
+    spread = lambda w: np.trace(np.linalg.solve(gram + w * penalty, gram))
+    scale = np.trace(gram) / np.trace(penalty)
+    lo, hi = 1e-10 * scale, 1e10 * scale
+    if spread(lo) <= freedom:
+        return np.linalg.solve(gram + lo * penalty, right)
+    for _ in range(100):  # freedom falls with the weight
+        mid = math.sqrt(lo * hi)
+        lo, hi = (mid, hi) if spread(mid) > freedom else (lo, mid)
+    return np.linalg.solve(gram + math.sqrt(lo * hi) * penalty, right)
+
+
+def smoothed_curve(stats: DataFrame, lower: int = 100, segments: int = SEGMENTS, freedom: float = FREEDOM) -> DataFrame | None:
+    """(total_umi, rank, x, y, fit, d1, d2): the curve of log10 total on log10 mean rank over the distinct totals above lower,
+    a penalised cubic spline through it, and the spline's two derivatives. None with fewer than five distinct totals. Each point
+    meets four splines, so the normal equations are sums by piece, which are all that the driver gets; they do not grow."""
+    import numpy as np
+
+    rank = F.col("rank") + (F.col("n") - 1) / 2
+    c = rank_curve(stats).where(F.col("total_umi") > lower).select("total_umi", "rank", F.log10(rank).alias("x"), F.log10("total_umi").alias("y"))
+    n, x0, x1 = c.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if n < 5:
+        return None
+    h = (x1 - x0) / segments
+    t = (F.col("x") - x0) / h
+    c = c.withColumn("_j", F.least(F.floor(t), F.lit(segments - 1)).cast("int")).withColumn("_u", t - F.col("_j"))
+    b = _basis(F.col("_u"))
+    at = [(i, k) for i in range(4) for k in range(i, 4)]
+    gram, right = np.zeros((segments + 3, segments + 3)), np.zeros(segments + 3)
+    for r in c.groupBy("_j").agg(*[F.sum(b[i] * b[k]).alias(f"g{i}{k}") for i, k in at], *[F.sum(b[i] * F.col("y")).alias(f"y{i}") for i in range(4)]).collect():
+        j = r["_j"]
+        for i in range(4):
+            right[j + i] += r[f"y{i}"]
+        for i, k in at:
+            gram[j + i, j + k] += r[f"g{i}{k}"]
+            gram[j + k, j + i] += r[f"g{i}{k}"] if i != k else 0.0
+    own = F.array(*[F.lit(float(v)) for v in penalised(gram, right, freedom)])
+    value = lambda d: sum((F.get(own, F.col("_j") + i) * v for i, v in enumerate(_basis(F.col("_u"), d))), F.lit(0.0)) / h**d
+    return c.select("total_umi", "rank", "x", "y", value(0).alias("fit"), value(1).alias("d1"), value(2).alias("d2"))
+
+
+def smoothed_thresholds(stats: DataFrame, lower: int = 100, exclude: int = 50, segments: int = SEGMENTS, freedom: float = FREEDOM) -> DataFrame:
+    """One row, knee and inflection, from the smoothed curve behind the first `exclude` ranks (behind none, if fewer than three
+    totals are left): the inflection is where its slope is least, the knee where its curvature is least between there and
+    the flattest place before. Both null with fewer than five distinct totals. Works on the distinct totals."""
+    c = smoothed_curve(stats, lower, segments, freedom)
+    if c is None:
+        return stats.sparkSession.range(1).select(F.lit(None).cast("long").alias("knee"), F.lit(None).cast("long").alias("inflection"))
+    every = Window.partitionBy()
+    late = F.col("rank") > exclude
+    c = c.withColumn("_late", F.count_if(late).over(every)).where(late | (F.col("_late") < 3))
+    c = c.withColumn("_end", F.min(F.struct("d1", "x", "total_umi")).over(every))
+    c = c.where(F.col("x") <= F.col("_end.x")).withColumn("_begin", F.max(F.struct("d1", (-F.col("x")).alias("x"))).over(every))
+    curvature = F.col("d2") / F.pow(1 + F.col("d1") * F.col("d1"), 1.5)
+    bent = F.min(F.when(F.col("x") >= -F.col("_begin.x"), F.struct(curvature.alias("k"), F.col("x"), F.col("total_umi").alias("t"))))
+    return c.agg(bent.getField("t").alias("knee"), F.max("_end.total_umi").alias("inflection"))
+
+
+def calls(stats: DataFrame, lower: int = 100, smooth: bool = False) -> DataFrame:
+    """stats with is_cell_knee and is_cell_inflection: totals that reach the thresholds, those of the smoothed curve if asked;
+    false where there are none."""
     t = F.col("total_umi")
-    return stats.join(F.broadcast(thresholds(stats, lower))).select(*stats.columns, F.coalesce(t >= F.col("knee"), F.lit(False)).alias("is_cell_knee"), F.coalesce(t >= F.col("inflection"), F.lit(False)).alias("is_cell_inflection"))
+    return stats.join(F.broadcast((smoothed_thresholds if smooth else thresholds)(stats, lower))).select(*stats.columns, F.coalesce(t >= F.col("knee"), F.lit(False)).alias("is_cell_knee"), F.coalesce(t >= F.col("inflection"), F.lit(False)).alias("is_cell_inflection"))
 
 
 def lists(flagged: DataFrame, methods: dict[str, str], default: str) -> DataFrame:
@@ -164,9 +242,11 @@ def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 10_000,
     alpha, which is fitted to them by likelihood unless given (inf: multinomial). p and fdr of barcodes up to lower are
     null. With retain, barcodes that reach the knee of the rank curve are kept: their p counts as 0 for fdr.
 
-    An iteration grows one sample molecule by molecule and reads the likelihood off at every total that a tested barcode
-    has, so its cost is the largest total, whatever the genes or barcodes are; iterations are dealt to tasks, seeded by
-    their number. The driver holds a number for each gene and two for each tested barcode."""
+    An iteration grows one sample molecule by molecule and gives the likelihood at every total that a tested barcode has, so
+    its cost is the largest total, whatever the genes or barcodes are; iterations are dealt to tasks, seeded by their number.
+    Barcodes stay where they are: at each total the likelihoods of the iterations and of the barcodes are merged in order, and
+    a barcode's rank among the iterations is a running count. The driver holds a number for each gene and each distinct
+    total. matrix is read several times, so it should be a table."""
     import numpy as np
 
     spark, t = matrix.sparkSession, totals(matrix)
@@ -201,15 +281,13 @@ def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 10_000,
     kind = matrix.schema["barcode"].dataType.simpleString()
     tested = t.where(F.col("total_umi") > lower)
     mine = matrix.join(tested, "barcode", "left_semi").where("n > 0").join(spark.createDataFrame(_columns(genes, p)), "gene").select("barcode", "p", "n")
-    mine = mine.mapInArrow(own, f"barcode {kind}, ll double").groupBy("barcode").agg(F.sum("ll").alias("ll")).join(tested, "barcode").select("barcode", "total_umi", "ll").toArrow()
-    barcodes, size, ll = mine["barcode"], mine["total_umi"].to_numpy().astype(np.int64), mine["ll"].to_numpy()
-    distinct, at = np.unique(size, return_inverse=True)
-    limit = ll + 1e-9 * np.abs(ll)
+    mine = mine.mapInArrow(own, f"barcode {kind}, ll double").groupBy("barcode").agg(F.sum("ll").alias("ll")).join(tested, "barcode")
+    distinct = np.sort(tested.select("total_umi").distinct().toArrow()["total_umi"].to_numpy().astype(np.int64))  # no more than the largest total
 
     def simulate(batches):
         import pyarrow as pa
 
-        below, most = np.zeros(len(limit), np.int64), int(distinct[-1]) if len(distinct) else 0
+        most = int(distinct[-1])
         for b in batches:
             for i in b.column(0).to_pylist():
                 rng = np.random.default_rng([seed, i])
@@ -220,20 +298,17 @@ def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 10_000,
                 first = np.flatnonzero(np.diff(g[order], prepend=-1))
                 before = np.empty(most)
                 before[order] = np.arange(most) - np.repeat(first, np.diff(np.append(first, most)))
-                below += np.cumsum(term(p[g], before))[distinct - 1][at] <= limit
-        hit = np.flatnonzero(below)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(below[hit])], ["k", "below"])
+                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.cumsum(term(p[g], before))[distinct - 1])], ["total_umi", "ll"])
 
-    if len(limit):
+    chance = mine.select(F.col("barcode").alias("b"), F.lit(None).cast("double").alias("p"))
+    if len(distinct):
         parts = max(1, min(iterations, spark.sparkContext.defaultParallelism))
-        got = spark.range(0, iterations, 1, parts).mapInArrow(simulate, "k long, below long").groupBy("k").agg(F.sum("below").alias("below")).toArrow()
-        below = np.zeros(len(limit), np.int64)
-        below[got["k"].to_numpy()] = got["below"].to_numpy()
-    else:
-        below = np.zeros(0, np.int64)
-    import pyarrow as pa
-
-    chance = spark.createDataFrame(pa.table({"b": barcodes, "p": pa.array((below + 1) / (iterations + 1), pa.float64())}))
+        drawn = spark.range(0, iterations, 1, parts).mapInArrow(simulate, "total_umi long, ll double")
+        both = drawn.select("total_umi", "ll", F.lit(0).alias("own"), F.lit(None).cast(kind).alias("b"))
+        both = both.unionByName(mine.select(F.col("total_umi").cast("long").alias("total_umi"), (F.col("ll") + 1e-9 * F.abs("ll")).alias("ll"), F.lit(1).alias("own"), F.col("barcode").alias("b")))
+        upto = Window.partitionBy("total_umi").orderBy("ll", "own").rowsBetween(Window.unboundedPreceding, 0)
+        below = F.sum(1 - F.col("own")).over(upto)
+        chance = both.withColumn("p", (below + 1) / (iterations + 1.0)).where("own = 1").select("b", "p")
     out = t.join(chance, F.col("barcode") == F.col("b"), "left").select("barcode", "total_umi", "p")
     if not retain:
         return false_discovery(out)

@@ -73,19 +73,27 @@ def digamma(x: float) -> float:
 
 
 def gamma_shape(n: int | None, mean: float | None, mean_log: float | None) -> tuple[float | None, float | None]:
-    """Maximum likelihood (shape, scale) within their bounds from sufficient statistics; (None, None) for fewer than 3."""
+    """Maximum likelihood (shape, scale) within their bounds from sufficient statistics; (None, None) for fewer than 3. Where
+    the scale of the free optimum, the mean over the shape, is out of bounds, the scale is that bound and the shape its best
+    for it: the likelihood falls away from its top along either, so the optimum lies there."""
     if not n or n < 3 or mean is None or mean_log is None or mean <= 0:
         return None, None
     s = math.log(mean) - mean_log
+    shape = _falling(lambda k: math.log(k) - digamma(k) - s) if s > 0 else SHAPE[1]
+    scale = mean / shape
+    if not SCALE[0] <= scale <= SCALE[1]:
+        scale = min(max(scale, SCALE[0]), SCALE[1])
+        shape = _falling(lambda k: mean_log - math.log(scale) - digamma(k))
+    return shape, scale
+
+
+def _falling(f) -> float:
+    """Where f, which falls, is zero within the bounds of the shape; the nearer bound where it is not."""
     lo, hi = SHAPE
-    if s <= 0:
-        shape = hi
-    else:
-        for _ in range(200):  # ln k - digamma(k) falls with k
-            mid = math.sqrt(lo * hi)
-            lo, hi = (mid, hi) if math.log(mid) - digamma(mid) > s else (lo, mid)
-        shape = math.sqrt(lo * hi)
-    return shape, min(max(mean / shape, SCALE[0]), SCALE[1])
+    for _ in range(200):
+        mid = math.sqrt(lo * hi)
+        lo, hi = (mid, hi) if f(mid) > 0 else (lo, mid)
+    return math.sqrt(lo * hi)
 
 
 def gamma_stats(dist: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,12 +108,28 @@ def point_counts(points: DataFrame, win: int, step: int, keys: tuple = ("chrom",
 
 def density(features: DataFrame, sizes: DataFrame, win: int, step: int) -> DataFrame:
     """Per window: features that overlap it (start < hi and end > lo) and the fraction of it that they cover, each feature
-    by itself."""
-    first = F.greatest(F.lit(0).cast("long"), (F.floor((F.col("start") - win) / step) + 1).cast("long"))
-    last = F.floor((F.col("end") - 1) / step).cast("long")
-    f = features.where(F.col("end") > 0).select("chrom", "start", "end", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("w"))
-    lo, hi = F.col("w") * step, F.col("w") * step + win
-    f = f.where((F.col("start") < hi) & (F.col("end") > lo))
-    hit = f.groupBy("chrom", "w").agg(F.count("*").alias("n_features"), F.sum(F.least("end", hi) - F.greatest("start", lo)).alias("bp"))
-    out = windows(sizes, win, step).join(hit, ["chrom", "w"], "left")
-    return out.select("chrom", "lo", "hi", F.coalesce("n_features", F.lit(0)).alias("n_features"), (F.coalesce("bp", F.lit(0)) / win).alias("covered"))
+    by itself.
+
+    A sweep: features that overlap a window are those that start before its end less those that end by its start, and what
+    they cover of it is what they cover up to its end less that up to its start. Up to an edge x they cover x times the
+    features that are open there, less their starts, plus the ends of the closed. So a feature is a start and an end at the
+    two edges that first lie behind them, of windows' starts and of their ends, at any length; these are added up by edge
+    where they are read, and running sums go over the windows of a chromosome."""
+    edge = lambda pos, off: F.greatest(F.floor((pos - off) / step) + 1, F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def event(w, lo=(zero, zero, zero), hi=(zero, zero, zero)):
+        """At window w: change of features open at, of places to subtract from, and of features closed by, its start; and of
+        the first two, and of features begun, at its end."""
+        return F.struct(w.alias("w"), *[c.cast("long").alias(n) for c, n in zip((*lo, *hi), ("_ol", "_pl", "_closed", "_oh", "_ph", "_begun"), strict=True)])
+
+    start, end, one = F.col("start"), F.col("end"), F.lit(1).cast("long")
+    events = F.array(
+        event(edge(start, 0), lo=(one, start, zero)), event(edge(end - 1, 0), lo=(-one, -end, one)),
+        event(edge(start, win), hi=(one, start, one)), event(edge(end - 1, win), hi=(-one, -end, zero)))
+    sums = features.select("chrom", F.explode(events).alias("e")).select("chrom", "e.*").groupBy("chrom", "w").agg(*[F.sum(c).alias(c) for c in ("_ol", "_pl", "_closed", "_oh", "_ph", "_begun")])
+    upto = Window.partitionBy("chrom").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    out = windows(sizes, win, step).join(sums, ["chrom", "w"], "left").withColumns({c: run(c) for c in ("_ol", "_pl", "_closed", "_oh", "_ph", "_begun")})
+    bp = (F.col("hi") * F.col("_oh") - F.col("_ph")) - (F.col("lo") * F.col("_ol") - F.col("_pl"))
+    return out.select("chrom", "lo", "hi", (F.col("_begun") - F.col("_closed")).alias("n_features"), (bp / win).alias("covered"))

@@ -10,6 +10,7 @@ from chiasma.operators import audit as A
 from chiasma.operators import blocks as B
 from chiasma.operators import frames as R
 from chiasma.operators import genotype as G
+from chiasma.operators import interference as N
 from chiasma.operators import intervals as I
 from chiasma.operators import landscape as L
 from chiasma.operators import sets as S
@@ -156,5 +157,8 @@ def distance_histogram(spark, sf_dir):
 
 @register("density_curves")
 def density_curves(spark, sf_dir):
-    """200 points of a gamma and an exponential curve; the gamma function has no SQL, tested by its integral."""
-    return D.curve(spark, 2.4, 0.8, 10.0)
+    """Curves of the fitted parameters, of each chromosome and pooled; the fits have no SQL, tested by their integrals."""
+    d = L.distances(QM.co(spark, sf_dir))
+    s = N.gamma_stats(d, ["chrom"]).unionByName(N.gamma_stats(d, []).withColumn("chrom", F.lit("POOLED")))
+    c = D.fitted_curves(N.gamma_fit(s), d)
+    return c.select("chrom", *[F.round(x, 6).alias(x) for x in ("x", "gamma", "exponential")])

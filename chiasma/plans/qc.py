@@ -14,6 +14,7 @@ from chiasma.operators import params as P
 from chiasma.operators import sets as S
 from chiasma.operators import tracks as T
 from chiasma.plans.registry import register, table
+from chiasma.session import scratch
 
 V = """v AS (SELECT l_returnflag || l_linestatus AS chrom, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_partkey % 11 = 0 THEN 'AT' ELSE 'A' END AS ref,
     CASE WHEN l_suppkey % 7 = 0 THEN 'C,T' WHEN l_suppkey % 13 = 0 THEN 'GG' ELSE 'G' END AS alt, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice / 1000 END AS qual,
@@ -146,6 +147,19 @@ def rank_curve(spark, sf_dir):
     return C.rank_curve(order_stats(spark, sf_dir))
 
 
+@register("smoothed_rank_curve")
+def smoothed_rank_curve(spark, sf_dir):
+    """The knee curve through a penalised spline, with its slope; a spline has no SQL, tested against a dense solve."""
+    c = C.smoothed_curve(order_stats(spark, sf_dir), lower=1)
+    return c.select("total_umi", *[F.round(x, 6).alias(x) for x in ("fit", "d1")])
+
+
+@register("smoothed_calls")
+def smoothed_calls(spark, sf_dir):
+    """Barcodes that reach the knee and the inflection of the smoothed curve."""
+    return C.calls(order_stats(spark, sf_dir), lower=1, smooth=True)
+
+
 @register("coverage_quartiles", f"WITH {MX}, a AS (SELECT list_sort(list(total_umi)) AS l, avg(total_umi) AS mean FROM ot) SELECT l[len(l) // 4 + 1] AS q1, l[len(l) // 2 + 1] AS median, l[3 * len(l) // 4 + 1] AS q3, round(mean, 1) AS mean, CAST(len(l) AS BIGINT) AS n FROM a")
 def coverage_quartiles(spark, sf_dir):
     return C.index_quartiles(order_stats(spark, sf_dir), "total_umi").withColumn("mean", F.round("mean", 1))
@@ -169,7 +183,9 @@ def false_discovery(spark, sf_dir):
 @register("ambient_test")
 def ambient_test(spark, sf_dir):
     """Monte-Carlo, at four lower bounds: no SQL; tested for its error rate and power on planted barcodes."""
-    m, out = matrix(spark, sf_dir), None
+    path, out = f"{scratch(spark)}/matrix", None
+    matrix(spark, sf_dir).write.parquet(path)
+    m = spark.read.parquet(path)
     for lower in AMBIENT:
         t = C.ambient_test(m, lower=lower).select(F.lit(lower).alias("lower"), "barcode", "total_umi", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"))
         t = t.withColumn("is_cell", F.coalesce(F.col("fdr") <= 0.001, F.lit(False)))

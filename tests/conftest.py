@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # its threads can stall beside a JVM
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

@@ -411,3 +411,93 @@ def test_zero_distances_have_no_fit(spark):
     d = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 2.0), ("a", 3.0), *[("b", float(k)) for k in range(1, 9)]], "chrom string, dist_mb double")
     got = {x.chrom: x for x in X.gamma_fit(X.gamma_stats(d, ["chrom"])).collect()}
     assert got["a"].n == 4 and got["a"].nu is None and got["b"].nu > 0
+
+
+def test_density_by_sweep(spark):
+    r = random.Random(11)
+    sizes = {"1": 1000, "2": 340, "3": 20}
+    rows = [(r.choice("1234"), s, s + r.choice([0, 1, 7, 50, 400])) for s in (r.randint(-60, 1100) for _ in range(300))]
+    rows += [("1", 0, 1000), ("1", -5000, 9000), ("2", 0, 340), ("2", 100, 200), ("2", 100, 200)]  # as long as the chromosome, and longer
+    f = spark.createDataFrame(rows, "chrom string, start long, end long")
+    s = spark.createDataFrame(list(sizes.items()), "chrom string, size long")
+    for win, step in ((100, 25), (100, 30), (64, 100), (40, 7)):
+        want = {}
+        for c, size in sizes.items():
+            for lo in range(0, size - win + 1, step):
+                own = [(a, b) for ch, a, b in rows if ch == c and a < lo + win and b > lo]
+                want[c, lo, lo + win] = (len(own), sum(min(b, lo + win) - max(a, lo) for a, b in own) / win)
+        got = {(x.chrom, x.lo, x.hi): (x.n_features, x.covered) for x in I.density(f, s, win, step).collect()}
+        assert got == want
+    assert {x.n_features for x in I.density(f.limit(0), s, 100, 25).collect()} == {0}
+    events = I.density(f, s, 40, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in events.split("Generate explode(array(")[1].split("LocalRelation")[0]  # a feature is four events, not its windows
+
+
+def test_gamma_fit_at_the_bounds_of_the_scale():
+    """Against a search of the likelihood over the box."""
+    for mean, mean_log in ((0.001, math.log(0.001) - 0.01), (40_000.0, math.log(40_000.0) - 30.0), (5.0, math.log(5.0) - 0.3), (0.2, math.log(0.2) - 4.0), (3000.0, math.log(3000.0) - 0.02)):
+        nu, th = X.gamma_shape(10, mean, mean_log)
+        ll = lambda k, t: (k - 1) * mean_log - mean / t - k * math.log(t) - math.lgamma(k)  # noqa: B023, E731
+        grid = lambda b: [b[0] * (b[1] / b[0]) ** (i / 300) for i in range(301)]
+        best = max(((ll(k, t), k, t) for k in grid(X.SHAPE) for t in grid(X.SCALE)))
+        assert X.SHAPE[0] <= nu * 1.000001 and nu <= X.SHAPE[1] * 1.000001 and X.SCALE[0] <= th <= X.SCALE[1]
+        assert ll(nu, th) >= best[0] - 1e-9, (mean, nu, th, best)
+
+
+def test_smoothed_curve_against_a_dense_solve(spark):
+    import numpy as np
+
+    r = random.Random(21)
+    totals = [int(8000 * math.exp(-((k / 250) ** 4)) * r.uniform(0.9, 1.1)) + r.randint(101, 130) for k in range(400)] + [r.randint(1, 100) for _ in range(50)]
+    stats = spark.createDataFrame([(f"b{k}", v) for k, v in enumerate(totals)], "barcode string, total_umi long")
+    got = sorted(C.smoothed_curve(stats, 100, segments=30, freedom=12).collect(), key=lambda v: v.x)
+    x, y = np.array([v.x for v in got]), np.array([v.y for v in got])
+    distinct = sorted({t for t in totals if t > 100}, reverse=True)
+    assert [v.total_umi for v in got] == distinct and x[0] == pytest.approx(math.log10((1 + totals.count(distinct[0])) / 2))
+    # cubic B-splines by their recursion over evenly spaced knots, all points at once
+    h = (x[-1] - x[0]) / 30
+    knots = x[0] + h * np.arange(-3, 34)
+
+    def spline(k, degree):
+        if degree == 0:
+            return ((x >= knots[k]) & (x < knots[k + 1])).astype(float)
+        return (x - knots[k]) / (degree * h) * spline(k, degree - 1) + (knots[k + degree + 1] - x) / (degree * h) * spline(k + 1, degree - 1)
+
+    x = np.minimum(x, x[-1] - 1e-12)
+    basis = np.stack([spline(k, 3) for k in range(33)], 1)
+    d = np.diff(np.eye(33), 2, axis=0)
+    free = lambda w: float(np.sum(basis * np.linalg.solve(basis.T @ basis + w * d.T @ d, basis.T).T))  # the trace of the fit
+    lo, hi = 1e-9, 1e9
+    for _ in range(60):
+        mid = math.sqrt(lo * hi)
+        lo, hi = (mid, hi) if free(mid) > 12 else (lo, mid)
+    # the penalised fit as least squares with the penalty as further rows
+    fit = basis @ np.linalg.lstsq(np.vstack([basis, math.sqrt(lo) * d]), np.concatenate([y, np.zeros(31)]), rcond=None)[0]
+    assert free(lo) == pytest.approx(12, abs=1e-6)
+    assert [v.fit for v in got] == pytest.approx(fit.tolist(), abs=1e-6)
+    slope = np.array([v.d1 for v in got])
+    steps = np.diff([v.fit for v in got]) / np.diff(x)
+    assert np.abs((slope[1:] + slope[:-1]) / 2 - steps).max() < 0.02 * np.abs(slope).max() + 1e-6
+    t = C.smoothed_thresholds(stats, 100, 50, 30, 12).first()
+    late = [v for v in got if v.rank > 50]
+    end = min(late, key=lambda v: (v.d1, v.x))
+    begin = max((v for v in late if v.x <= end.x), key=lambda v: (v.d1, -v.x))
+    knee = min((v for v in late if begin.x <= v.x <= end.x), key=lambda v: v.d2 / (1 + v.d1**2) ** 1.5)
+    assert (t.knee, t.inflection) == (knee.total_umi, end.total_umi) and 100 < t.inflection < t.knee < 8800
+    t = C.smoothed_thresholds(stats, 100).first()
+    called = C.calls(stats, 100, smooth=True).agg(F.count_if("is_cell_knee"), F.count_if("is_cell_inflection")).first()
+    assert tuple(called) == (sum(v >= t.knee for v in totals), sum(v >= t.inflection for v in totals))
+    none = C.smoothed_thresholds(stats.where("total_umi < 50")).first()
+    assert (none.knee, none.inflection) == (None, None)
+
+
+def test_ambient_ranks_by_merge(spark):
+    """Every chance is a rank among the iterations: between 1 / (n + 1) and 1, alike for like barcodes, and reruns agree."""
+    r = random.Random(5)
+    rows = [(g, f"b{b}", r.randint(1, 3)) for b in range(60) for g in r.sample(range(40), 30 if b < 10 else 3)]
+    rows += [(g, "twin", n) for g, b, n in rows if b == "b0"]
+    m = spark.createDataFrame(rows, "gene long, barcode string, n long")
+    got = {x.barcode: x for x in C.ambient_test(m, 20, 200, retain=False).collect()}
+    assert len(got) == 61 and got["twin"].p == got["b0"].p
+    assert all((x.p is None) == (x.total_umi <= 20) and (x.p is None or 1 <= round(x.p * 201) <= 201) for x in got.values())
+    assert {b: x.p for b, x in got.items()} == {x.barcode: x.p for x in C.ambient_test(m.repartition(5), 20, 200, retain=False).collect()}

@@ -156,6 +156,12 @@ def test_density(spark):
     c = density.curve(spark, 2.4, 1.5, 60.0, 2000).collect()
     step = 60.0 / 1999
     assert abs(sum(r.gamma for r in c) * step - 1) < 1e-3 and abs(sum(r.exponential for r in c) * step - 1) < 0.02
+    fits = spark.createDataFrame([("1", 3.6, 2.4, 1.5), ("2", 2.0, 0.8, 2.5), ("3", None, None, None)], "chrom string, mean double, nu double, theta double")
+    f = density.fitted_curves(fits, spark.createDataFrame([(60.0,), (3.0,)], "dist_mb double"), least=1e-9, points=4000).collect()
+    assert {x.chrom for x in f} == {"1", "2"} and min(x.x for x in f) == 1e-9 and max(x.x for x in f) == 60.0
+    for chrom in "12":  # a density below one rises without bound at 0, so its first point is left out
+        own = sorted((x.x, x.gamma, x.exponential) for x in f if x.chrom == chrom)[1:]
+        assert abs(sum(x[1] for x in own) * 60 / 3999 - 1) < 0.03 and abs(sum(x[2] for x in own) * 60 / 3999 - 1) < 0.01
     h = density.histogram(spark.range(1000).select((F.col("id") % 37).cast("double").alias("v")), "v").collect()
     assert len(h) == 25 and abs(sum(r.density * (r.right - r.left) for r in h) - 1) < 1e-9
 
