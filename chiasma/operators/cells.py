@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chiasma.operators.markers import quantiles
+
 
 def totals(matrix: DataFrame, barcodes: DataFrame | None = None) -> DataFrame:
     """(barcode, total_umi, n_genes) from (gene, barcode, n); of all barcodes where a table of them is given."""
@@ -19,14 +21,14 @@ def totals(matrix: DataFrame, barcodes: DataFrame | None = None) -> DataFrame:
 
 def compare(stats: DataFrame, methods: dict[str, str], default: str | None = None) -> DataFrame:
     """A row for each method (name → boolean column of stats): cells and their medians, least, most; nulls where none."""
-    one = lambda m, c: F.when(F.col(c), F.col(m))
-    aggs = []
-    for k, c in enumerate(methods.values()):
-        aggs += [F.count_if(F.col(c)).alias(f"n{k}"), F.median(one("total_umi", c)).alias(f"mu{k}"), F.median(one("n_genes", c)).alias(f"mg{k}"), F.min(one("total_umi", c)).alias(f"lo{k}"), F.max(one("total_umi", c)).alias(f"hi{k}")]
-    row = stats.agg(*aggs)
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("method"), F.col(f"n{k}").alias("n_cells"), F.col(f"mu{k}").alias("median_umi"), F.col(f"mg{k}").alias("median_genes"),
-                 F.col(f"lo{k}").alias("min_umi"), F.col(f"hi{k}").alias("max_umi"), F.lit(name == default).alias("is_default")) for k, name in enumerate(methods)])))
+    own = F.array(*[F.struct(F.lit(name).alias("method"), F.col(c).alias("on")) for name, c in methods.items()])
+    d = stats.select("total_umi", "n_genes", F.explode(F.filter(own, lambda x: x["on"])).alias("m")).select("total_umi", "n_genes", "m.method")
+    total = quantiles(d, "total_umi", {"min_umi": 0.0, "median_umi": 0.5, "max_umi": 1.0}, ("method",)).drop("mean")
+    genes = quantiles(d, "n_genes", {"median_genes": 0.5}, ("method",)).drop("mean", "n")
+    named = stats.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, methods))).alias("method"))
+    kind = stats.schema["total_umi"].dataType
+    return named.join(total, "method", "left").join(genes, "method", "left").select(
+        "method", F.coalesce("n", F.lit(0)).alias("n_cells"), "median_umi", "median_genes", F.col("min_umi").cast(kind).alias("min_umi"), F.col("max_umi").cast(kind).alias("max_umi"), (F.col("method") == F.lit(default)).alias("is_default"))
 
 
 def top_with_ties(stats: DataFrame, n: int) -> DataFrame:

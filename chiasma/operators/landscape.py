@@ -27,8 +27,15 @@ def per_cell(co: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def summary(counts: DataFrame) -> DataFrame:
-    return counts.agg(F.sum("n_cos").alias("total_cos"), F.count("*").alias("n_cells"), F.count_if(F.col("n_cos") >= 1).alias("cells_with_co"),
-                      F.avg("n_cos").alias("mean_cos"), F.median("n_cos").alias("median_cos"))
+    """One row: total_cos, n_cells, cells_with_co, mean_cos, median_cos; from how many cells have each number."""
+    by = counts.groupBy("n_cos").agg(F.count("*").alias("k"))
+    every = Window.partitionBy()
+    by = by.withColumns({"hi": F.sum("k").over(Window.orderBy("n_cos").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(every)})
+    at = lambda q: F.min(F.when(F.col("hi") > q, F.col("n_cos")))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2.0
+    total = F.sum(F.col("n_cos") * F.col("k"))
+    return by.agg(total.alias("total_cos"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_cells"), F.coalesce(F.sum(F.when(F.col("n_cos") >= 1, F.col("k"))), F.lit(0)).alias("cells_with_co"),
+                  F.try_divide(total, F.sum("k")).cast("double").alias("mean_cos"), middle.alias("median_cos"))
 
 
 def contingency(co: DataFrame, cells: DataFrame, chroms: list[str]) -> DataFrame:

@@ -87,7 +87,7 @@ def per_mb(markers: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def winsorised(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:
     """df with `value` cut at its q quantile."""
-    top = df.agg(F.percentile(value, q).alias("_top"))
+    top = quantiles(df, value, {"_top": q}).select("_top")  # one row
     return df.join(F.broadcast(top)).withColumn(value, F.least(F.col(value).cast("double"), "_top")).drop("_top")
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chiasma.operators.markers import quantiles
+
 
 def robust_top(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:
     """One row, top: the quantile of the positive values, else the largest, else 1."""
-    v = F.col(value)
-    return df.agg(F.coalesce(F.nullif(F.percentile(F.when(v > 0, v), q), F.lit(0.0)), F.nullif(F.max(v).cast("double"), F.lit(0.0)), F.lit(1.0)).alias("top"))
+    most = df.agg(F.max(value).cast("double").alias("_most"))  # one row, as the quantile
+    top = F.coalesce(F.nullif("_q", F.lit(0.0)), F.nullif("_most", F.lit(0.0)), F.lit(1.0))
+    return quantiles(df.where(F.col(value) > 0), value, {"_q": q}).crossJoin(most).select(top.alias("top"))
 
 
 def scaled(value: Column, top: Column) -> Column:

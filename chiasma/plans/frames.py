@@ -202,13 +202,13 @@ def conversion_report(spark, sf_dir):
     return R.section("cells", row, dict.fromkeys(row.columns)).unionByName(R.section("markers", q, {"q1": None, "median": None, "q3": None, "mean": "%.4f"})).unionByName(R.section("markers", ends, {"min": None, "max": None}))
 
 
-@register("mask_report", f"""WITH {QM.FE}, m AS (SELECT * FROM fe WHERE event_id % 3 = 0) SELECT 'parameters' AS section, 'flank' AS metric, '10' AS value UNION ALL SELECT 'parameters', 'merge_gap', '15' UNION ALL SELECT 'totals', 'features', CAST(count(*) AS VARCHAR) FROM m
+@register("mask_report", f"""WITH {QM.FE}, m AS (SELECT * FROM fe WHERE value >= 55) SELECT 'parameters' AS section, 'flank' AS metric, '10' AS value UNION ALL SELECT 'parameters', 'merge_gap', '15' UNION ALL SELECT 'totals', 'features', CAST(count(*) AS VARCHAR) FROM m
   UNION ALL SELECT 'totals', 'intervals', CAST(count(*) AS VARCHAR) FROM me UNION ALL SELECT 'totals', 'excluded_bp', CAST(CAST(coalesce(sum("end" - start), 0) AS BIGINT) AS VARCHAR) FROM me
   UNION ALL SELECT 'features', chrom || ' ' || CASE WHEN event_id % 2 = 0 THEN '18S_rRNA' ELSE '5S_rRNA' END, CAST(count(*) AS VARCHAR) FROM m GROUP BY ALL
   UNION ALL SELECT 'intervals', chrom || ':' || start || '-' || "end", CAST("end" - start AS VARCHAR) FROM me""")
 def mask_report(spark, sf_dir):
     merged = QM._merged(spark, sf_dir)
-    n = QM.features(spark, sf_dir).where("event_id % 3 = 0").agg(F.count("*").alias("features"))
+    n = QM.features(spark, sf_dir).where("value >= 55").agg(F.count("*").alias("features"))
     row = merged.agg(F.count("*").alias("intervals"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("excluded_bp"))
     limits = sinks.params_log(spark, {"flank": 10, "merge_gap": 15})
     each = merged.select(F.concat("chrom", F.lit(":"), "start", F.lit("-"), "end").alias("at"), (F.col("end") - F.col("start")).alias("bp"))

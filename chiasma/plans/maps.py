@@ -226,20 +226,20 @@ def gamma_band(spark, sf_dir):
     return fits.agg(F.count("nu").alias("n_boot"), q.alias("q")).select("n_boot", *[F.round(F.col("q")[k], 4).alias(a) for k, a in enumerate(("lo", "mid", "hi"))])
 
 
-FE = """fe AS (SELECT event_type AS chrom, (epoch_us(ts) - 1704067200000000) // 60000000 AS start, (epoch_us(ts) - 1704067200000000) // 60000000 + 1 + CAST(floor(value / 4) AS BIGINT) AS "end", event_id FROM events),
+FE = """fe AS (SELECT event_type AS chrom, (epoch_us(ts) - 1704067200000000) // 60000000 AS start, (epoch_us(ts) - 1704067200000000) // 60000000 + 1 + CAST(floor(value / 4) AS BIGINT) AS "end", event_id, value FROM events),
 me AS (SELECT chrom, isl, min(s) AS start, max(e) AS "end" FROM (SELECT *, sum(n) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM (
   SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 15 THEN 1 WHEN max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END AS n
-  FROM (SELECT chrom, greatest(start - 10, 0) AS s, "end" + 10 AS e FROM fe WHERE event_id % 3 = 0))) GROUP BY 1, 2)"""
+  FROM (SELECT chrom, greatest(start - 10, 0) AS s, "end" + 10 AS e FROM fe WHERE value >= 55))) GROUP BY 1, 2)"""
 
 
 def features(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     start = F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {T0}) div 60000000")
-    return e.select(F.col("event_type").alias("chrom"), start.alias("start"), (start + 1 + F.floor(F.col("value") / 4)).cast("long").alias("end"), "event_id")
+    return e.select(F.col("event_type").alias("chrom"), start.alias("start"), (start + 1 + F.floor(F.col("value") / 4)).cast("long").alias("end"), "event_id", "value")
 
 
 def _merged(spark, sf_dir):
-    return I.merge(features(spark, sf_dir).where("event_id % 3 = 0"), 10, 15, width=2000)  # a third of the features are masks
+    return I.merge(features(spark, sf_dir).where("value >= 55"), 10, 15, width=2000)  # features of a high value are masks
 
 
 @register("interval_merge", f'WITH {FE} SELECT chrom, start, "end" FROM me')
@@ -247,13 +247,13 @@ def interval_merge(spark, sf_dir):
     return _merged(spark, sf_dir)
 
 
-@register("mask_products", f"WITH {FE} SELECT chrom, CASE WHEN event_id % 2 = 0 THEN '18S_rRNA' ELSE '5S_rRNA' END AS product, count(*) AS n FROM fe WHERE event_id % 3 = 0 GROUP BY 1, 2")
+@register("mask_products", f"WITH {FE} SELECT chrom, CASE WHEN event_id % 2 = 0 THEN '18S_rRNA' ELSE '5S_rRNA' END AS product, count(*) AS n FROM fe WHERE value >= 55 GROUP BY 1, 2")
 def mask_products(spark, sf_dir):
     """Masked features by chromosome and product, the product read from the attributes of an annotation line."""
     from chiasma.functions.text import product
 
     name = F.when(F.col("event_id") % 2 == 0, "18S_rRNA").otherwise("5S_rRNA")
-    f = features(spark, sf_dir).where("event_id % 3 = 0").withColumn("attributes", F.concat(F.lit("Name="), name, F.lit(";product="), F.lower(name)))
+    f = features(spark, sf_dir).where("value >= 55").withColumn("attributes", F.concat(F.lit("Name="), name, F.lit(";product="), F.lower(name)))
     return f.groupBy("chrom", product(F.col("attributes")).alias("product")).agg(F.count("*").alias("n"))
 
 
@@ -262,9 +262,9 @@ def excluded_bases(spark, sf_dir):
     return _merged(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("n_regions"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bp"))
 
 
-@register("interval_anti_join", f'WITH {FE} SELECT fe.chrom, fe.start AS pos, fe.event_id FROM fe WHERE event_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM me WHERE me.chrom = fe.chrom AND fe.start > me.start AND fe.start <= me."end")')
+@register("interval_anti_join", f'WITH {FE} SELECT fe.chrom, fe.start AS pos, fe.event_id FROM fe WHERE value < 55 AND NOT EXISTS (SELECT 1 FROM me WHERE me.chrom = fe.chrom AND fe.start > me.start AND fe.start <= me."end")')
 def interval_anti_join(spark, sf_dir):
-    p = features(spark, sf_dir).where("event_id % 3 <> 0").select("chrom", F.col("start").alias("pos"), "event_id")
+    p = features(spark, sf_dir).where("value < 55").select("chrom", F.col("start").alias("pos"), "event_id")
     return I.outside(p, _merged(spark, sf_dir), 1000)
 
 

@@ -208,10 +208,10 @@ def reads(spark, sf_dir):
                                                    F.col("l_quantity").cast("int").alias("mapq"), (25 + F.col("l_linenumber") * 2).alias("len"), (F.col("l_partkey") % 6).alias("gene"))
 
 
-@register("allele_counts", f"WITH {RD} SELECT cb, chrom, pos, count(DISTINCT CASE WHEN base = 'A' THEN ub END) + count(DISTINCT CASE WHEN base = 'C' THEN ub END) AS dp, count(DISTINCT CASE WHEN base = 'C' THEN ub END) AS ad, count(DISTINCT CASE WHEN base = 'T' THEN ub END) AS oth FROM rd WHERE mapq >= 20 AND len >= 30 AND pos % 2 = 0 GROUP BY 1, 2, 3")
+@register("allele_counts", f"WITH {RD} SELECT cb, chrom, pos, count(DISTINCT CASE WHEN base = 'A' THEN ub END) + count(DISTINCT CASE WHEN base = 'C' THEN ub END) AS dp, count(DISTINCT CASE WHEN base = 'C' THEN ub END) AS ad, count(DISTINCT CASE WHEN base = 'T' THEN ub END) AS oth FROM rd SEMI JOIN (SELECT chrom, pos FROM rd WHERE mapq >= 50 AND base = 'C') USING (chrom, pos) WHERE mapq >= 20 AND len >= 30 GROUP BY 1, 2, 3")
 def allele_counts(spark, sf_dir):
     r = reads(spark, sf_dir)
-    sites = r.where("pos % 2 = 0").select("chrom", "pos").distinct().withColumns({"ref": F.lit("A"), "alt": F.lit("C")})
+    sites = r.where("mapq >= 50 AND base = 'C'").select("chrom", "pos").distinct().withColumns({"ref": F.lit("A"), "alt": F.lit("C")})
     return N.allele_counts(r, sites)
 
 
@@ -256,7 +256,8 @@ def marker_expression(spark, sf_dir):
 
 @register("real_cells", f"WITH {MX} SELECT count(*) AS n_cells, CAST(median(total_umi) AS DOUBLE) AS median_umi, CAST(sum(total_umi) AS BIGINT) AS total_umi FROM bt WHERE total_umi >= 14000")
 def real_cells(spark, sf_dir):
-    return barcode_stats(spark, sf_dir).where("total_umi >= 14000").agg(F.count("*").alias("n_cells"), F.median("total_umi").alias("median_umi"), F.sum("total_umi").alias("total_umi"))
+    s = barcode_stats(spark, sf_dir).where("total_umi >= 14000")
+    return M.quantiles(s, "total_umi", {"median_umi": 0.5}).select(F.col("n").alias("n_cells"), "median_umi", F.rint(F.col("mean") * F.col("n")).cast("long").alias("total_umi"))
 
 
 @register("resolved_params", """WITH p AS (SELECT 'qc' AS section, r_name AS species, 'reads' AS key, r_regionkey * 10.0::DOUBLE AS value FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT 'qc', 'default', 'reads', 7.5::DOUBLE)
