@@ -17,6 +17,7 @@ from chiasma.plans import cells as QC
 from chiasma.plans import maps as QM
 from chiasma.plans import qc as QQ
 from chiasma.plans.registry import register, table
+from chiasma.session import scratch
 from chiasma.sources import sinks
 
 LOWER = 5
@@ -244,9 +245,13 @@ def diagnostics_report(spark, sf_dir):
     return out
 
 
-@register("params_log", f"SELECT '{QC.CELL_MARKERS}' AS cell_markers, '{QC.BLOCK_SIZE}' AS block_size, '{QC.MARKER_NUM}' AS marker_num, '{QC.BASE_AF}' AS base_af, '{QC.WINDOW_AF}' AS window_af, '{QC.GENOTYPE}' AS genotype")
+@register("params_log", """WITH p AS (SELECT r_name AS species, r_regionkey * 10.0::DOUBLE AS value FROM region WHERE r_regionkey % 2 = 0)
+  SELECT n_name AS sample, 'qc.reads' AS parameter, CAST(coalesce(value, 7.5::DOUBLE) AS VARCHAR) AS value FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN p ON species = r_name""")
 def params_log(spark, sf_dir):
-    return sinks.params_log(spark, {"cell_markers": QC.CELL_MARKERS, "block_size": QC.BLOCK_SIZE, "marker_num": QC.MARKER_NUM, "base_af": QC.BASE_AF, "window_af": QC.WINDOW_AF, "genotype": QC.GENOTYPE})
+    """The parameters that each sample ran with, resolved from the tables, as a log that is written and read back."""
+    path = f"{scratch(spark)}/log"
+    sinks.params_logs(QQ.resolved_params(spark, sf_dir), path)
+    return spark.read.schema("sample string, parameter string, value string").json(path)
 
 
 @register("best_hit_lines", f"WITH {QQ.BH} SELECT marker, rpad(substr(marker, 1, 10), 10, ' ') || '  ' || rpad(CAST(rank AS VARCHAR), 4, ' ') || '  ' || rpad(substr(gene, 1, 16), 16, ' ') || '  ' || rpad(CASE WHEN starts_with(gene, '_scaffold_1') THEN 'YES' ELSE 'DEBRIS' END, 5, ' ') AS line FROM b2 WHERE rank <= 3")

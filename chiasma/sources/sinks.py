@@ -60,6 +60,11 @@ def params_log(spark: SparkSession, params: dict, path: str | None = None) -> Da
     return row
 
 
+def params_logs(resolved: DataFrame, path: str) -> None:
+    """The resolved parameters (sample_id, section, key, value) of all samples, a JSON line for each, values as text."""
+    resolved.select(F.col("sample_id").alias("sample"), F.concat_ws(".", "section", "key").alias("parameter"), F.col("value").cast("string").alias("value")).write.mode("overwrite").json(path)
+
+
 def barcode_lists(lists: DataFrame, path: str) -> None:
     """(list, barcode) as a folder of lines for each list, the list `called` among them."""
     lists.select("list", F.col("barcode").cast("string").alias("value")).write.mode("overwrite").partitionBy("list").text(path)
