@@ -86,7 +86,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         hit = e.join(F.broadcast(r), "prefix", "left")
     else:
         salted = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = e.withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["prefix", "salt"], "left")
+        # Rows themselves have no digest and stay out of the join, where they would be one key.
+        met = e.where(F.col("expr") != "").withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["prefix", "salt"]).drop("salt")
+        own = e.where(F.col("expr") == "").withColumns({c: F.lit(None).cast("string") for c in ("rule", "verdict", "digest")})
+        hit = met.unionByName(own)
     fits = F.col("digest") == F.col("x_digest")
     best = F.max(F.when(fits, F.struct(F.length("rule").alias("len"), F.col("rule"), F.col("verdict"))))
     judged = hit.where((F.col("expr") == "") | fits).groupBy("id", "host", "path").agg(F.count(F.when(F.col("expr") == "", 1)).alias("copies"), best.alias("best"))
