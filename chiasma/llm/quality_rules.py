@@ -14,7 +14,8 @@ rejects, and documents and words kept without it; and for a group of rules left
 
 Measurements. Words are runs of [^\\x20\\x09-\\x0D]; lines are what \\n splits, and count where they have a word.
 n_repeat_words is the number of words inside some window of WINDOW words that stands twice or more in the text, the first
-included; windows are compared exactly, by doubling ranks (words, pairs, fours, eights), not by hashes.
+included; windows are compared exactly, by doubling ranks (words, pairs, fours, eights), not by hashes. n_same_words counts
+words that repeat the word before.
 
 Defined results: a null text has no words, as an empty one; all other measurements of such a text are 0, and of the rules
 it fails only the one on few words; a null id stays null; repeated rows are rows of their own; an empty table gives an
@@ -33,7 +34,7 @@ from chiasma.llm.common import documents, tidy, written
 NAME = "op11_quality_rules"
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_digits", "n_bullet_lines", "n_ellipsis_lines", "longest_word")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_digits", "n_bullet_lines", "n_ellipsis_lines", "longest_word", "n_same_words")
 
 #: Rule, and when a row fails it; its place is its bit. All are over whole numbers, so every engine decides alike.
 RULES: tuple[tuple[str, str], ...] = (
@@ -44,11 +45,12 @@ RULES: tuple[tuple[str, str], ...] = (
     ("symbols", "10 * n_symbols > n_words"),
     ("few_letter_words", "100 * n_letter_words < 70 * n_words"),
     ("digits", "100 * n_digits > 30 * word_chars"),
-    ("repeated_lines", "n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines"),
     ("bullets", "n_lines >= 4 AND 100 * n_bullet_lines > 90 * n_lines"),
     ("ellipses", "n_lines >= 4 AND 100 * n_ellipsis_lines > 30 * n_lines"),
     ("endless_word", "longest_word > 1000"),
     ("very_long", "n_words > 100000"),
+    ("same_words", "100 * n_same_words > 30 * n_words"),
 )
 
 
@@ -126,10 +128,11 @@ def _measures(window: int):
             length = np.add.reduceat((~gap & ~follows[a]).astype(np.int64), starts)
             lettered = np.logical_or.reduceat(letter[a], starts)
             lines = [x for x in raw.split(b"\n") if x.strip()]
+            ids = _word_ids(raw, starts)
             return (
-                len(starts), int(length.sum()), int(counts[symbols].sum()), len(lines) - len(set(lines)), _repeat_words(_word_ids(raw, starts), window),
+                len(starts), int(length.sum()), int(counts[symbols].sum()), len(lines) - len(set(lines)), _repeat_words(ids, window),
                 len(lines), int(lettered.sum()), int(counts[48:58].sum()), sum(x.strip().startswith((b"-", b"*", "•".encode())) for x in lines),
-                sum(x.strip().endswith((b"...", "…".encode())) for x in lines), int(length.max()),
+                sum(x.strip().endswith((b"...", "…".encode())) for x in lines), int(length.max()), int((ids[1:] == ids[:-1]).sum()),
             )
 
         for b in batches:
@@ -231,7 +234,7 @@ words AS (SELECT r, count(*) FILTER (regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))
 m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
     CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(lettered, 0) AS BIGINT) AS n_letter_words, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits,
-    CAST(coalesce(bullets, 0) AS BIGINT) AS n_bullet_lines, CAST(coalesce(ellipses, 0) AS BIGINT) AS n_ellipsis_lines, CAST(coalesce(longest, 0) AS BIGINT) AS longest_word
+    CAST(coalesce(bullets, 0) AS BIGINT) AS n_bullet_lines, CAST(coalesce(ellipses, 0) AS BIGINT) AS n_ellipsis_lines, CAST(coalesce(longest, 0) AS BIGINT) AS longest_word, CAST(len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS BIGINT) AS n_same_words
     FROM d JOIN w USING (r) LEFT JOIN covered USING (r) LEFT JOIN lines USING (r) LEFT JOIN words USING (r)),
 f AS (SELECT *, CAST({" + ".join(bit(k) for k in range(len(RULES)))} AS BIGINT) AS failures FROM m),
 k AS (SELECT *, failures & {POLICIES["base"].mask()} <> 0 AS base_failed, failures & {p} = 0 AS kept, '{PRODUCTION}' AS policy,
