@@ -74,12 +74,16 @@ def sliding_rate(mids: DataFrame, sizes: DataFrame, win: int, step: int, n_cells
     return out.select("chrom", ((F.col("lo") + F.col("hi")) / 2.0 / MB).alias("pos_mb"), (F.coalesce("n", F.lit(0)) * 100.0 / n_cells / (win / MB)).alias("rate"))
 
 
-def numbered(cells: DataFrame) -> DataFrame:
-    """Cells with i from 0 in order of barcode and their number n. Numbers are counted in bins of the barcode; barcodes of
-    text are ordered in one task, for they are a dimension of thousands."""
+def numbered(cells: DataFrame, prefix: int = 6) -> DataFrame:
+    """Cells with i from 0 in order of barcode and their number n. Numbers are counted in bins: of the barcode's value, or of
+    the first letters of one of text, so bins are ordered in one task and not cells."""
     if dict(cells.dtypes)["barcode"] in ("tinyint", "smallint", "int", "bigint"):
         return I.numbered(cells.select("barcode"), "barcode").select("barcode", "i", "n")
-    return cells.select("barcode", (F.row_number().over(Window.orderBy("barcode")) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    d = cells.select("barcode", F.lit(0).alias("_all"), F.substring("barcode", 1, prefix).alias("_bin"))
+    n = d.count()
+    d = I._carried(d, ("_all",), F.count("*"), F.sum)
+    own = F.row_number().over(Window.partitionBy("_all", "_bin").orderBy("barcode")) - 1
+    return d.select("barcode", (own + F.coalesce("_carry", F.lit(0))).cast("long").alias("i"), F.lit(n).cast("long").alias("n"))
 
 
 def rate_band(mids: DataFrame, cells: DataFrame, sizes: DataFrame, win: int, step: int, n_cells: int, n_boot: int) -> DataFrame:

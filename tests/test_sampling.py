@@ -86,6 +86,20 @@ def test_coincidence_against_pairs(spark):
     assert X.coincidence(df.limit(0), 15, 0.4).count() == 0
 
 
+def test_cells_are_numbered_by_text_and_by_value(spark):
+    r = random.Random(8)
+    text = sorted({"".join(r.choice("ACGT") for _ in range(r.choice([1, 5, 6, 16]))) for _ in range(500)})
+    values = sorted({r.randint(-50, 10**6) for _ in range(300)})
+    for own, kind in ((text, "string"), (values, "long")):
+        df = spark.createDataFrame([(x,) for x in r.sample(own, len(own))], f"barcode {kind}")
+        got = L.numbered(df)
+        assert sorted((x.i, x.barcode, x.n) for x in got.collect()) == [(k, x, len(own)) for k, x in enumerate(own)]
+        assert L.numbered(df.limit(0)).count() == 0
+        for line in got._jdf.queryExecution().executedPlan().toString().splitlines():
+            if line.lstrip(" :+-").startswith("Window ["):
+                assert "_bin#" in line or "_one#" in line, line
+
+
 def test_multinomial_tree(spark):
     """As many draws in each resample as values; its sums spread like those of plain resampling; groups and reruns agree."""
     values = np.random.default_rng(1).gamma(2.5, 3.0, 5000)
