@@ -11,7 +11,7 @@ def plan(spark, name):
     return catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in catalog.queries() if n not in ("rate_band", "gamma_band", "snp_density", "winsorised_depth", "detection_saturation", "distance_histogram", "marker_expression", "top_barcodes_with_ties", "chromosome_extremes", "resolved_params", "ambient_test", "barcode_calls", "called_lists", "coincidence_axis", "marker_frames", "switch_frames")))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.queries() if n not in ("rate_band", "gamma_band", "snp_density", "winsorised_depth", "detection_saturation", "distance_histogram", "marker_expression", "top_barcodes_with_ties", "chromosome_extremes", "resolved_params", "ambient_test", "barcode_calls", "called_lists", "coincidence_axis", "marker_frames", "switch_frames", "density_curves", "smoothed_calls")))
 def test_no_theta_join(spark, name):
     """The names left out join a one-row table of thresholds or defaults."""
     p = plan(spark, name)
