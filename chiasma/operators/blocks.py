@@ -50,30 +50,11 @@ def breakpoints(blocks: DataFrame) -> DataFrame:
     )
 
 
-def refine(points: DataFrame, smoothed: DataFrame, value: str = "smt_af") -> DataFrame:
-    """Each breakpoint moved to the neighbouring markers of its gap (ends included) between which the genotypes differ
-    most: the first largest of max(share of 0 left x share of 1 right, share of 1 left x share of 0 right)."""
-    gap = smoothed.join(points, list(KEY)).where((F.col("pos") >= F.col("bp_start")) & (F.col("pos") <= F.col("bp_end")))
-    whole = Window.partitionBy(*KEY, "bp_start", "bp_end")
-    w = whole.orderBy("pos")
-    left = w.rowsBetween(Window.unboundedPreceding, 0)
-    zero, one = (F.col(value) == 0).cast("int"), (F.col(value) == 1).cast("int")
-    g = gap.select(
-        *points.columns, "pos", F.lead("pos").over(w).alias("_next"), F.row_number().over(w).alias("_i"), F.count("*").over(whole).alias("_n"),
-        F.sum(zero).over(left).alias("_l0"), F.sum(one).over(left).alias("_l1"), F.sum(zero).over(whole).alias("_t0"), F.sum(one).over(whole).alias("_t1"),
-    ).where("_next IS NOT NULL")
-    rest = F.col("_n") - F.col("_i")
-    score = F.greatest((F.col("_l0") / F.col("_i")) * ((F.col("_t1") - F.col("_l1")) / rest), (F.col("_l1") / F.col("_i")) * ((F.col("_t0") - F.col("_l0")) / rest))
-    best = F.max_by(F.struct("pos", "_next"), F.struct(score, -F.col("_i")))
-    return (
-        g.groupBy(*points.columns).agg(best.alias("_b"))
-        .select(*KEY, F.col("_b.pos").alias("bp_start"), F.col("_b._next").alias("bp_end"), "geno_pre", "geno_post", "marker_count")
-    )
-
-
 def called(smoothed: DataFrame, block_size: int, marker_num: int, value: str = "smt_af", genotype: float = 0.2) -> DataFrame:
-    """Surviving blocks with the refined breakpoint before each, from smoothed rows in one pass: runs(), long_enough(),
-    breakpoints() and refine() over (cell, chromosome) alone, so the rows are smoothed once and never joined.
+    """Surviving blocks with the refined breakpoint before each, from smoothed rows in one pass over (cell, chromosome) alone,
+    so the rows are smoothed once and never joined. A breakpoint is refined to the neighbouring markers of its gap, ends
+    included, between which the genotypes differ most: the first largest of max(share of 0 left x share of 1 right, share of
+    1 left x share of 0 right).
 
     (barcode, chrom, blk from 1, sta, end, genotype, markernum, run, acc, fresh, bp_start, bp_end, geno_pre, marker_count):
     run numbers the stretches of equal blocks from 0, acc is the running sum of markers of blocks that continue one, fresh
@@ -131,7 +112,9 @@ def refined(calls: DataFrame) -> DataFrame:
 
 
 def haplotypes(calls: DataFrame, sizes: DataFrame) -> DataFrame:
-    """final_blocks() with refined borders, from called(): one more aggregation over the same partitions."""
+    """Runs of equal surviving blocks from 1 to the chromosome's end (chrom, size), numbered by run, with refined borders, from
+    called(): one more aggregation over the same partitions. n_markers is their markers; markernum_acc is the running sum over
+    the blocks that continue a run, which is never reset."""
     out = calls.groupBy(*KEY, "run").agg(
         F.min("sta").alias("_s"), F.max("end").alias("_e"), F.first("genotype").alias("genotype"), F.max("acc").alias("markernum_acc"), F.sum("markernum").alias("n_markers"),
         F.max("bp_start").alias("_bs"), F.max("bp_end").alias("_be"))
@@ -141,28 +124,3 @@ def haplotypes(calls: DataFrame, sizes: DataFrame) -> DataFrame:
     sta = F.coalesce("_be", F.when(F.col("run") == 0, F.lit(1)).otherwise(F.col("_s")))
     end = F.coalesce("_ns", F.when(F.col("_nr").isNull(), F.greatest("_e", "size")).otherwise(F.col("_e")))
     return out.select(*KEY, "run", sta.cast("long").alias("sta"), end.alias("end"), F.col("genotype").cast("int").alias("genotype"), "markernum_acc", "n_markers")
-
-
-def final_blocks(blocks: DataFrame, sizes: DataFrame, refined: DataFrame | None = None) -> DataFrame:
-    """Runs of equal surviving blocks from 1 to the chromosome's end (chrom, size), numbered by run. n_markers is their
-    markers; markernum_acc is the running sum over the blocks that continue a run, which is never reset. With refined
-    breakpoints the inner borders move to them."""
-    w = Window.partitionBy(*KEY).orderBy("sta")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    same = F.coalesce(F.col("genotype") == F.lag("genotype").over(w), F.lit(False))
-    fresh = F.coalesce((F.col("genotype") != F.lag("genotype").over(w)).cast("int"), F.lit(0))
-    b = blocks.withColumn("_f", fresh).withColumn("_a", F.when(same, F.col("markernum")).otherwise(0))
-    b = b.withColumn("run", F.sum("_f").over(upto)).withColumn("_acc", F.sum("_a").over(upto))
-    out = b.groupBy(*KEY, "run").agg(F.min("sta").alias("sta"), F.max("end").alias("end"), F.first("genotype").alias("genotype"), F.max("_acc").alias("markernum_acc"), F.sum("markernum").alias("n_markers"))
-    r = Window.partitionBy(*KEY).orderBy("run")
-    out = out.join(F.broadcast(sizes.select("chrom", "size")), "chrom")  # one row for each chromosome of an assembly
-    out = out.withColumn("sta", F.when(F.col("run") == 0, F.lit(1)).otherwise(F.col("sta")))
-    out = out.withColumn("end", F.when(F.lead("run").over(r).isNull(), F.greatest("end", "size")).otherwise(F.col("end")))
-    if refined is not None:
-        p = refined.withColumn("_k", F.row_number().over(Window.partitionBy(*KEY).orderBy("bp_start"))).select(*KEY, "_k", "bp_start", "bp_end")
-        before, after = p.alias("x"), p.alias("y")
-        o = out.alias("o")
-        on = lambda t, k: (F.col("o.barcode") == F.col(f"{t}.barcode")) & (F.col("o.chrom") == F.col(f"{t}.chrom")) & (k == F.col(f"{t}._k"))
-        out = o.join(before, on("x", F.col("o.run")), "left").join(after, on("y", F.col("o.run") + 1), "left").select(
-            "o.barcode", "o.chrom", "o.run", F.coalesce("x.bp_end", "o.sta").alias("sta"), F.coalesce("y.bp_start", "o.end").alias("end"), "o.genotype", "o.markernum_acc", "o.n_markers")
-    return out.select(*KEY, F.col("run").cast("long").alias("run"), F.col("sta").cast("long").alias("sta"), "end", F.col("genotype").cast("int").alias("genotype"), "markernum_acc", "n_markers")

@@ -16,6 +16,7 @@ from chiasma.operators import landscape as L
 from chiasma.operators import markers as M
 from chiasma.operators import smoothing as S
 from chiasma.operators import tracks as T
+from tests import brute_blocks
 
 AF = "barcode string, chrom string, pos long, raw_af double"
 
@@ -96,9 +97,9 @@ def test_clean_crossover(spark):
     s = smooth(spark, [0] * 6 + [1] * 6)
     kept = B.long_enough(B.runs(s), 40, 3)
     assert [(r.sta, r.end, r.genotype, r.markernum) for r in kept.orderBy("sta").collect()] == [(10, 60, 0, 6), (70, 120, 1, 6)]
-    bp = B.refine(B.breakpoints(kept), s)
+    bp = brute_blocks.refine(B.breakpoints(kept), s)
     assert [tuple(r)[2:] for r in bp.collect()] == [(60, 70, 0, 1, 6)]
-    fin = B.final_blocks(kept, spark.createDataFrame([("1", 500)], "chrom string, size long"), bp)
+    fin = brute_blocks.final_blocks(kept, spark.createDataFrame([("1", 500)], "chrom string, size long"), bp)
     assert [(r.sta, r.end, r.genotype, r.markernum_acc, r.n_markers) for r in fin.orderBy("run").collect()] == [(1, 60, 0, 0, 6), (70, 500, 1, 0, 6)]
 
 
@@ -109,7 +110,7 @@ def test_runs_break_on_value_and_blocks_merge_over_dropped(spark):
     kept = B.long_enough(B.runs(s), 20, 3)  # a length equal to the threshold stays
     assert [r.markernum for r in kept.orderBy("sta").collect()] == [3, 3, 3, 4]
     assert [(r.bp_start, r.bp_end, r.marker_count) for r in B.breakpoints(kept).collect()] == [(100, 110, 9)]
-    fin = B.final_blocks(kept, spark.createDataFrame([("1", 90)], "chrom string, size long")).orderBy("run").collect()
+    fin = brute_blocks.final_blocks(kept, spark.createDataFrame([("1", 90)], "chrom string, size long")).orderBy("run").collect()
     assert [(r.sta, r.end, r.markernum_acc, r.n_markers) for r in fin] == [(1, 100, 6, 9), (110, 140, 6, 4)]
     assert B.breakpoints(B.long_enough(B.runs(s), 10**9, 1)).count() == 0
 
@@ -123,9 +124,9 @@ def test_refine_takes_the_first_best_split(spark):
         return max(f(l, 0) * f(r, 1), f(l, 1) * f(r, 0))
     seq = [0, 0.5, 0.5, 1]
     best = max(range(1, 4), key=lambda p: (score(seq, p), -p))
-    assert [(r.bp_start, r.bp_end) for r in B.refine(bp, s).collect()] == [(20 + 10 * best, 30 + 10 * best)]
+    assert [(r.bp_start, r.bp_end) for r in brute_blocks.refine(bp, s).collect()] == [(20 + 10 * best, 30 + 10 * best)]
     flat = smooth(spark, [0.5] * 8)
-    assert [(r.bp_start, r.bp_end) for r in B.refine(bp, flat).collect()] == [(30, 40)]
+    assert [(r.bp_start, r.bp_end) for r in brute_blocks.refine(bp, flat).collect()] == [(30, 40)]
 
 
 def test_switch_table_zero_fills_and_gates(spark):
@@ -303,11 +304,11 @@ def test_calling_in_one_pass(spark, size, number):
     calls = B.called(s, size, number)
     key = lambda d: sorted(map(str, d.select("barcode", "chrom", "sta", "end", "genotype", "markernum").collect()))
     assert key(calls) == key(kept)
-    points = B.refine(B.breakpoints(kept), s)
+    points = brute_blocks.refine(B.breakpoints(kept), s)
     assert sorted(map(str, B.refined(calls).collect())) == sorted(map(str, points.collect())) and points.count() > 5
     sizes = spark.createDataFrame([("x", 1200), ("y", 500)], "chrom string, size long")
     columns = ["barcode", "chrom", "run", "sta", "end", "genotype", "markernum_acc", "n_markers"]
-    want = B.final_blocks(kept, sizes, points).select(*columns).collect()
+    want = brute_blocks.final_blocks(kept, sizes, points).select(*columns).collect()
     assert sorted(map(str, B.haplotypes(calls, sizes).select(*columns).collect())) == sorted(map(str, want))
 
 
