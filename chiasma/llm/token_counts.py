@@ -31,10 +31,11 @@ from chiasma.llm.pretokens import pretokens
 
 NAME = "op4_token_counts"
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
-#: Rows of the broadcast table: at 64 characters a pre-token under 32 MB.
-HEAD = 1 << 18
-#: Distinct pre-tokens that a task sums before it passes them on; longer ones than LONGEST are never broadcast.
-FLUSH, LONGEST = 100_000, 64
+#: Rows of the broadcast table, and bytes of its pre-tokens for each row allowed: 16 MB of them at most.
+HEAD, HEAD_BYTES = 1 << 18, 64
+#: Distinct pre-tokens that a task sums before it passes them on; those of more bytes than LONGEST are never broadcast, and
+#: as each text that holds one is as long, there are few rows with them for the bytes read.
+FLUSH, LONGEST = 100_000, 1 << 20
 #: Rows that a task gathers for one Arrow batch.
 BATCH = 20_000
 
@@ -123,17 +124,19 @@ def piece_table(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENI
 
 
 def head_of(table: DataFrame, most: int = HEAD) -> dict[str, int]:
-    """pretoken → pieces of the most frequent ones: those above the lowest frequency that at most `most` of them exceed."""
-    level = F.floor(F.log2("freq") * 16).cast("int")
-    sizes = table.where(F.length("pretoken") <= LONGEST).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # under 64 x 16 rows
-    total, least = 0, None
-    for r in sizes:
-        if (total := total + r["count"]) > most:
+    """pretoken → pieces of the most frequent ones, long ones among them: those above the lowest frequency that at most
+    `most` of them, of HEAD_BYTES bytes on average, exceed."""
+    level, fits = F.floor(F.log2("freq") * 16).cast("int"), F.octet_length("pretoken") <= LONGEST
+    sizes = table.where(fits).groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("pretoken")).alias("size"))
+    total, size, least = 0, 0, None
+    for r in sizes.orderBy(F.desc("level")).collect():  # under 64 x 16 rows
+        total, size = total + r["rows"], size + r["size"]
+        if total > most or size > most * HEAD_BYTES:
             break
         least = r["level"]
     if least is None:
         return {}
-    return {r.pretoken: r.pieces for r in table.where((level >= least) & (F.length("pretoken") <= LONGEST)).select("pretoken", "pieces").collect()}
+    return {r.pretoken: r.pieces for r in table.where((level >= least) & fits).select("pretoken", "pieces").collect()}
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", head_rows: int = HEAD) -> DataFrame:

@@ -64,3 +64,15 @@ def test_against_library(spark, head):
 
 def test_empty(spark):
     assert M.token_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_frequent_pretokens_are_broadcast(spark):
+    """A rule of many characters in every text is in the table that goes to all tasks, not one key with a row for each text."""
+    long = "q" * 5000
+    texts = [f"{long} word{k} {long}" for k in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    head = M.head_of(M.piece_table(docs), 100)
+    assert any(long in w for w in head) and sum(map(len, head)) <= 100 * M.HEAD_BYTES
+    assert M.head_of(M.piece_table(docs), 10) == {}  # 640 bytes do not hold it
+    want = {r.doc_id: r.n_tokens for r in M.token_counts(docs, head_rows=0).collect()}
+    assert {r.doc_id: r.n_tokens for r in M.token_counts(docs, head_rows=100).collect()} == want and want[60] == want[61] == 0 and min(want[k] for k in range(60)) > 100
