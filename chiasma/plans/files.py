@@ -179,8 +179,8 @@ def aligned(spark, sf_dir):
 def file_alignments(spark, sf_dir):
     """Binary alignments, each file read as several ranges, of which only these columns are decoded."""
     path = f"{scratch(spark)}/a"
-    K.alignments(aligned(spark, sf_dir).coalesce(4), path, [(c, 1 << 28) for c in "ANR"])
-    return R.bam(spark, path, ["name", "flag", "chrom", "start", "mapq", "cigar", "seq", "strand", "len", "cb", "ub"], range_bytes=1 << 15)
+    K.alignments(aligned(spark, sf_dir), path, [(c, 1 << 28) for c in "ANR"])
+    return R.bam(spark, path, ["name", "flag", "chrom", "start", "mapq", "cigar", "seq", "strand", "len", "cb", "ub"])
 
 
 @register("file_umi_matrix", "SELECT 'gene' || l_partkey AS gene, 'cell' || l_suppkey AS barcode, count(*) AS n FROM lineitem GROUP BY 1, 2")

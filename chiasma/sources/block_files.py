@@ -2,7 +2,8 @@
 
 Such a file is a row of gzip members of at most 64 KB, each with its own size in its header, so it can be entered at any of
 them. The driver looks at sizes alone (and at an alignment file's list of references) and cuts each file into ranges of
-`range_bytes`; Spark gives every range its task. A task
+`range_bytes`, or of a size by which all files together make as many ranges as are asked for, within LEAST_BYTES and RANGE_BYTES;
+so small files have several ranges and large ones no more than they need. Spark gives every range its task. A task
 - finds the first block border of its range: a header whose block unpacks to its own checksum,
 - unpacks the blocks that begin in its range one after the other, and those after them only as far as its last record reaches,
 - takes the records that begin in these blocks. A line begins after a line feed. An alignment has no mark, so its beginning
@@ -11,7 +12,7 @@ Each record so belongs to one range, whatever the size of ranges and wherever bl
 not unpack to its checksum, or has no header where the one before says that it begins, raises an error: nothing is skipped.
 
 Lines are a text column that Spark parses; of alignments only the columns asked for are decoded, a batch of records at a time
-by column. Writing gives one file for each task, under its name only when all tasks have committed. Files are opened through
+by column, and encoded likewise. Writing gives one file for each task, under its name only when all tasks have committed. Files are opened through
 pyarrow's file systems, by the path's scheme.
 """
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-RANGE_BYTES, READ_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 2 << 20
+RANGE_BYTES, LEAST_BYTES, READ_BYTES, BATCH_BYTES = 64 << 20, 1 << 15, 1 << 20, 2 << 20
 #: Records that have to follow from each other where one is taken for the first of a range, and bytes of the largest.
 CHAIN, RECORD_BYTES = 8, 1 << 28
 
@@ -34,6 +35,7 @@ MAGIC = b"\x1f\x8b\x08\x04"
 END_MARK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BLOCK_BYTES = 0xFF00
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+TAG_BYTES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 NUMBERS = {"c": "b", "C": "B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 #: Columns of alignments and their types; len is the number of bases, cb and ub are the tags CB and UB.
 ALIGNMENT = {
@@ -311,6 +313,36 @@ def _tags(d: bytes, at: int, end: int):
         yield key, value
 
 
+def _texts(base, at, ends, keys: list[str]):
+    """The texts of these tags as a column each, the k-th tag of all records at a time. None where one of them is no text, or a
+    record has an array among its tags: these are decoded one by one."""
+    import numpy as np
+
+    zeros, size = np.append(np.flatnonzero(base == 0), len(base)), np.zeros(256, np.int64)
+    for kind, n in TAG_BYTES.items():
+        size[ord(kind)] = n
+    begin = {key: np.full(len(at), -1) for key in keys}
+    stop = {key: np.full(len(at), -1) for key in keys}
+    row, at = np.flatnonzero(at < ends), at[at < ends]
+    while len(row):
+        if (at + 3 > ends[row]).any():
+            return None
+        kind = base[at + 2]
+        text = (kind == ord("Z")) | (kind == ord("H"))
+        if not (text | (size[kind] > 0)).all():
+            return None
+        after = np.where(text, zeros[np.searchsorted(zeros, at + 3)], at + 3 + size[kind])
+        for key in keys:
+            own = (base[at] == ord(key[0])) & (base[at + 1] == ord(key[1])) & (begin[key][row] < 0)  # of two alike the first
+            if (own & ~text).any():
+                return None
+            begin[key][row[own]], stop[key][row[own]] = at[own] + 3, after[own]
+        at = after + text
+        more = at < ends[row]
+        row, at = row[more], at[more]
+    return {key: _strings(*_ragged(base, np.maximum(begin[key], 0), stop[key] - begin[key]), begin[key] < 0) for key in keys}
+
+
 def decoded(data: bytes, places: list[int], refs: list[str], columns: list[str]):
     """The asked columns of these records as an Arrow batch: places from 1, what is missing as null."""
     import numpy as np
@@ -351,16 +383,19 @@ def decoded(data: bytes, places: list[int], refs: list[str], columns: list[str])
             out.append(known[raw])
         return pa.array(out, pa.string())
 
+    stops = at + np.ascontiguousarray(base[at[:, None] + np.arange(-4, 0)]).view("<i4").reshape(-1) if len(at) else at
+
     def tagged():
-        stops = [p + struct.unpack_from("<i", data, p - 4)[0] for p in places]
-        return [list(_tags(data, a, b)) for a, b in zip(tags.tolist(), stops, strict=True)]
+        return [list(_tags(data, a, b)) for a, b in zip(tags.tolist(), stops.tolist(), strict=True)]
 
     def mates():
         same = fixed["next_ref"] == fixed["ref"]
         return pa.array([None if r is None else "=" if s else r for s, r in zip(same.tolist(), ref_names("next_ref").to_pylist(), strict=True)], pa.string())
 
-    found = tagged() if {"cb", "ub", "tags"} & set(columns) else None
-    one = lambda key: pa.array([next((v for k, v in t if k == key), None) for t in found], pa.string())
+    keys = [c.upper() for c in ("cb", "ub") if c in columns]
+    texts = _texts(base, tags, stops, keys) if keys else {}
+    found = tagged() if texts is None or "tags" in columns else None
+    one = lambda key: texts[key] if texts else pa.array([next((v for k, v in t if k == key), None) for t in found], pa.string())
     make = {
         "name": lambda: _strings(*_ragged(base, at + 32, lengths["n_name"] - 1)), "flag": lambda: pa.array(fixed["flag"].astype(np.int32)), "chrom": lambda: ref_names("ref"),
         "start": lambda: pa.array(fixed["pos"].astype(np.int64) + 1), "mapq": lambda: pa.array(fixed["mapq"].astype(np.int32)), "cigar": cigars, "rnext": mates,
@@ -381,17 +416,17 @@ class Range(InputPartition):
 
 
 class BlockReader(DataSourceReader):
-    def __init__(self, files: list[str], kind: str, range_bytes: int, columns: list[str]):
-        self.files, self.kind, self.range_bytes, self.columns = files, kind, range_bytes, columns
+    def __init__(self, files: list[str], kind: str, range_bytes: int | None, columns: list[str], ranges: int = 1):
+        self.files, self.kind, self.range_bytes, self.columns, self.ranges = files, kind, range_bytes, columns, ranges
 
     def partitions(self):
-        out = []
+        found = []
         for path in self.files:
             blocks = Blocks(path)
             blocks.ends(0)
-            head = header(path) if self.kind == "alignments" else None
-            out += [Range(path, k, min(blocks.size, k + self.range_bytes), head) for k in range(0, blocks.size, self.range_bytes)]
-        return out or [Range(None, 0, 0)]
+            found.append((path, blocks.size, header(path) if self.kind == "alignments" else None))
+        step = self.range_bytes or min(RANGE_BYTES, max(LEAST_BYTES, -(-sum(size for _, size, _ in found) // self.ranges)))
+        return [Range(path, k, min(size, k + step), head) for path, size, head in found for k in range(0, size, step)] or [Range(None, 0, 0)]
 
     def read(self, partition):
         import pyarrow as pa
@@ -438,6 +473,101 @@ def encoded(row: dict, places: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def _bytes(column):
+    """Bytes, and where each row's text begins and how long it is; nulls are empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    c = column.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int64)
+    base = np.frombuffer(c.buffers()[2], np.uint8) if c.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return base, ends[:-1], np.diff(ends)
+
+
+def encoded_batch(batch, places: dict[str, int]) -> bytes:
+    """The records of an Arrow batch, as encoded() gives them of its rows, made by column."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n, names = batch.num_rows, set(batch.schema.names)
+    if not n:
+        return b""
+    text = lambda c: batch.column(c).cast(pa.string()) if c in names else pa.nulls(n, pa.string())
+    number = lambda c: batch.column(c).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) if c in names else np.zeros(n, np.int64)
+    known = pa.array([*places], pa.string())
+    place = lambda c: pc.index_in(text(c), known).fill_null(-1).to_numpy(zero_copy_only=False)
+    zero = pa.scalar("\0")
+
+    name = text("name").fill_null("*")
+    name = pc.binary_join_element_wise(pc.if_else(pc.equal(name, ""), "*", name), zero, "")
+    seq, starts, n_seq = _bytes(text("seq"))
+    code = np.full(256, 255, np.uint8)
+    code[[ord(b) for b in BASES]] = np.arange(len(BASES))
+    letters, ends = _ragged(code[seq], starts, n_seq)
+    if (letters == 255).any():
+        raise ValueError(f"a base is none of {BASES}")
+    even = n_seq + (n_seq & 1)
+    half = np.zeros(even.sum(), np.uint8)
+    half[np.repeat(np.cumsum(even) - even - ends[:-1], n_seq) + np.arange(len(letters))] = letters
+    half = half[::2] << 4 | half[1::2]
+    qual, q_starts, n_qual = _bytes(text("qual"))
+    q, q_ends = _ragged(qual, q_starts, n_qual)
+    if (q < 33).any() or (q > 126).any():
+        raise ValueError("a quality is no printable character")
+    missing = np.where(n_qual > 0, 0, n_seq)
+    cigar = text("cigar").fill_null("").dictionary_encode()
+    own = [[(int(k) << 4) | OPS.index(o) for k, o in re.findall(rf"(\d+)([{OPS}])", c)] for c in cigar.dictionary.to_pylist()]
+    count, which = np.array([len(o) for o in own], np.int64), cigar.indices.to_numpy(zero_copy_only=False)
+    ops = np.frombuffer(struct.pack(f"<{count.sum()}I", *[v for o in own for v in o]), np.uint8)
+    n_ops = count[which]
+    if "tags" in names and batch.column("tags").null_count < n:
+        rows = batch.select([c for c in ("tags", "cb", "ub") if c in names]).to_pylist()
+        rows = [dict(r["tags"] or {}) | {k: r[c] for k, c in (("CB", "cb"), ("UB", "ub")) if r.get(c) is not None} for r in rows]
+        tags = pa.array(["".join(f"{k}Z{v}\0" for k, v in r.items()) for r in rows], pa.string())
+    else:
+        each = [pc.binary_join_element_wise(pa.scalar(f"{c.upper()}Z"), text(c), zero, "").fill_null("") for c in ("cb", "ub")]
+        tags = pc.binary_join_element_wise(*each, "")
+
+    half_ends = (even // 2).cumsum()
+    parts = [  # bytes, and where each row's begin and how many they are, in the order of the format
+        _bytes(name), (ops, 4 * (np.cumsum(count) - count)[which], 4 * n_ops), (half, half_ends - even // 2, even // 2),
+        (q - np.uint8(33), q_ends[:-1], n_qual), (np.full(missing.max(), 255, np.uint8), np.zeros(n, np.int64), missing), _bytes(tags)]
+    size = 36 + sum(length for _, _, length in parts)
+    begin = np.cumsum(size) - size
+    ref, mate = place("chrom"), place("rnext")
+    same = pc.equal(text("rnext"), "=").fill_null(False).to_numpy(zero_copy_only=False)
+    values = {
+        "size": size - 4, "ref": ref, "pos": number("start"), "n_name": parts[0][2], "mapq": number("mapq"), "bin": np.zeros(n, np.int64), "n_ops": n_ops, "flag": number("flag"), "n_seq": n_seq,
+        "next_ref": np.where(same, ref, mate), "next_pos": number("pnext"), "tlen": number("tlen")}
+    fixed = np.empty(n, np.dtype([("size", "<i4"), *FIXED]))
+    for c, v in values.items():
+        v = v - 1 if c in ("pos", "next_pos") else v
+        limits = np.iinfo(fixed.dtype[c])
+        if v.min() < limits.min or v.max() > limits.max:
+            raise ValueError(f"{c} is beyond its format's {limits.min} to {limits.max}")
+        fixed[c] = v
+    out = np.empty(size.sum(), np.uint8)
+    out[begin[:, None] + np.arange(36)] = fixed.view(np.uint8).reshape(n, 36)
+    at = begin + 36
+    for base, starts, length in parts:
+        data, ends = _ragged(base, starts, length)
+        out[np.repeat(at - ends[:-1], length) + np.arange(len(data))] = data
+        at = at + length
+    return out.tobytes()
+
+
+def joined_lines(column) -> bytes:
+    """The texts of an Arrow column, a line feed after each; nulls are empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    base, starts, lengths = _bytes(pc.binary_join_element_wise(column.cast(pa.string()).fill_null(""), pa.scalar("\n"), ""))
+    return base[starts[0] : starts[-1] + lengths[-1]].tobytes() if len(starts) else b""
+
+
 def packed(data: bytes) -> bytes:
     """One block of at most BLOCK_BYTES."""
     z = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -462,9 +592,9 @@ class BlockWriter(DataSourceArrowWriter):
         with fs.open_output_stream(f"{top}/_{name}", compression=None) as f:  # not by the ending
             for b in iterator:
                 if self.kind == "alignments":
-                    new = b"".join(encoded(r, places) for r in b.to_pylist())
+                    new = encoded_batch(b, places)
                 else:
-                    new = b"".join((v or "").encode() + b"\n" for v in b.column(0).to_pylist())
+                    new = joined_lines(b.column(0))
                 rest += new
                 full = len(rest) - len(rest) % BLOCK_BYTES
                 for k in range(0, full, BLOCK_BYTES):
@@ -489,8 +619,8 @@ class BlockWriter(DataSourceArrowWriter):
 
 
 class BlockSource(DataSource):
-    """format("chiasma_blocks"). Options: kind (text or alignments); to read files (one a line), range_bytes and, of
-    alignments, columns; to write path and, of alignments, references (name, tab, size; one a line)."""
+    """format("chiasma_blocks"). Options: kind (text or alignments); to read files (one a line), range_bytes or
+    ranges and, of alignments, columns; to write path and, of alignments, references (name, tab, size; one a line)."""
 
     @classmethod
     def name(cls):
@@ -505,16 +635,19 @@ class BlockSource(DataSource):
 
     def reader(self, schema):
         files = [f for f in self.options.get("files", "").split("\n") if f]
-        return BlockReader(files, self.options.get("kind", "text"), int(self.options.get("range_bytes", RANGE_BYTES)), self._columns())
+        step = self.options.get("range_bytes")
+        return BlockReader(files, self.options.get("kind", "text"), int(step) if step else None, self._columns(), int(self.options.get("ranges", 1)))
 
     def writer(self, schema, overwrite):
         refs = [r.split("\t") for r in self.options.get("references", "").split("\n") if r]
         return BlockWriter(self.options["path"], self.options.get("kind", "text"), [(n, int(s)) for n, s in refs])
 
 
-def read(spark: SparkSession, files: list[str], kind: str, range_bytes: int = RANGE_BYTES, columns: list[str] | None = None) -> DataFrame:
+def read(spark: SparkSession, files: list[str], kind: str, range_bytes: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Ranges of range_bytes, or else several for each core, as far as LEAST_BYTES and RANGE_BYTES allow."""
     spark.dataSource.register(BlockSource)
-    r = spark.read.format("chiasma_blocks").option("kind", kind).option("files", "\n".join(files)).option("range_bytes", range_bytes)
+    r = spark.read.format("chiasma_blocks").option("kind", kind).option("files", "\n".join(files))
+    r = r.option("range_bytes", range_bytes) if range_bytes else r.option("ranges", 4 * spark.sparkContext.defaultParallelism)
     return (r.option("columns", ",".join(columns)) if columns else r).load()
 
 

@@ -78,7 +78,7 @@ def numbered_lines(spark: SparkSession, path, start: int = 1) -> DataFrame:
     return t.join(F.broadcast(n), (F.col("_f") == F.col("_g")) & (F.col("_s") == F.col("_t"))).select((F.col("_k") + F.col("_o")).alias("line"), "value")
 
 
-def text_lines(spark: SparkSession, path, range_bytes: int = B.RANGE_BYTES) -> DataFrame:
+def text_lines(spark: SparkSession, path, range_bytes: int | None = None) -> DataFrame:
     """(value): the lines of text files in no order. Block-compressed files (.gz, .bgz) are read by byte ranges; other gzip
     files cannot be split, so each is read by one task and dealt out again for what follows."""
     packed = [f for one in existing(spark, path) for f in _expanded(spark, one) if f.endswith((".gz", ".bgz"))]
@@ -98,14 +98,14 @@ def _fields(df: DataFrame, names: list[str], sep: str = "\t") -> DataFrame:
     return df.withColumns({n: F.get(p, F.lit(k)) for k, n in enumerate(names)})
 
 
-def vcf_sites(spark: SparkSession, path, range_bytes: int = B.RANGE_BYTES) -> DataFrame:
+def vcf_sites(spark: SparkSession, path, range_bytes: int | None = None) -> DataFrame:
     """(chrom, pos, ref, alt) of a VCF, compressed or not; header lines are skipped and other columns not parsed."""
     t = text_lines(spark, path, range_bytes).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     p = F.split("value", "\t", 6)
     return t.select(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).try_cast("long").alias("pos"), F.get(p, F.lit(3)).alias("ref"), F.get(p, F.lit(4)).alias("alt"))
 
 
-def vcf(spark: SparkSession, path, range_bytes: int = B.RANGE_BYTES) -> DataFrame:
+def vcf(spark: SparkSession, path, range_bytes: int | None = None) -> DataFrame:
     """(chrom, pos, ref, alt, qual, gt, ad, dp) of a VCF with one sample; a value that is missing or '.' is null."""
     t = text_lines(spark, path, range_bytes).where(~F.col("value").startswith("#"))
     t = _fields(t, ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"])
@@ -207,7 +207,7 @@ def sam(spark: SparkSession, path) -> DataFrame:
     return out.withColumns({"strand": F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+"), "len": F.length("seq"), "cb": F.try_element_at("tags", F.lit("CB")), "ub": F.try_element_at("tags", F.lit("UB"))})
 
 
-def bam(spark: SparkSession, path, columns: list[str] | None = None, range_bytes: int = B.RANGE_BYTES) -> DataFrame:
+def bam(spark: SparkSession, path, columns: list[str] | None = None, range_bytes: int | None = None) -> DataFrame:
     """The columns of sam(), or those asked for, from binary alignments, read by byte ranges. path: one or a list; missing
     files give no rows."""
     asked = columns or [*[c.split()[0] for c in SAM.split(", ")], "tags", "strand", "len", "cb", "ub"]

@@ -148,3 +148,63 @@ def test_numbered_lines_of_a_folder(spark, tmp_path):
     spark.range(3000).selectExpr("CAST(id AS STRING) AS value").repartitionByRange(5, "value").sortWithinPartitions("value").write.text(f"{tmp_path}/n")
     got = {r.value: r.line for r in R.numbered_lines(spark, f"{tmp_path}/n").collect()}
     assert [v for v, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(map(str, range(3000))) and min(got.values()) == 1 and max(got.values()) == 3000
+
+
+@pytest.mark.parametrize("tagged", [True, False])
+def test_encoded_by_column_as_by_row(tmp_path, tagged):
+    import pyarrow as pa
+
+    rows = [w if tagged else {k: v for k, v in w.items() if k != "tags"} for w in some_reads(random.Random(7), 300)]
+    rows[5] |= {"cb": "", "ub": "T", "name": ""}
+    kinds = {"flag": pa.int32(), "mapq": pa.int32(), "start": pa.int64(), "pnext": pa.int64(), "tlen": pa.int64(), "tags": pa.map_(pa.string(), pa.string())}
+    batch = pa.RecordBatch.from_pylist([w | {"tags": list(w["tags"].items())} if tagged else w for w in rows], pa.schema([(c, kinds.get(c, pa.string())) for c in rows[0]]))
+    places = {n: k for k, (n, _) in enumerate(REFS)}
+    for first, n in ((0, 300), (17, 100), (5, 1), (3, 0)):
+        data = BF.encoded_batch(batch.slice(first, n), places)
+        assert data == b"".join(BF.encoded(w, places) for w in rows[first : first + n])
+    for wrong in ({"seq": "AXC"}, {"mapq": 256}, {"qual": "\x1f"}):
+        with pytest.raises(ValueError):
+            BF.encoded_batch(pa.RecordBatch.from_pylist([wrong]), places)
+
+
+def test_tags_by_column_as_by_row():
+    """Numbers and characters between texts, two of a name, a wanted name that holds a number, an array."""
+    z, i = lambda k, v: k + b"Z" + v + b"\0", lambda k: k + b"i\1\0\0\0"
+    plain = [z(b"CB", b"AC") + i(b"NH") + b"XAAq" + z(b"UB", b"G"), b"", z(b"UB", b""), i(b"NH") + b"XSS\1\1" + z(b"CB", b"T") + z(b"CB", b"U")]
+    for some in (plain, [*plain, i(b"CB")], [*plain, b"XBBc\2\0\0\0\1\2" + z(b"UB", b"x")]):
+        rows = [BF.encoded({"name": "r", "chrom": "2", "start": 3}, {"2": 0})[4:] + t for t in some]
+        data = b"".join(len(x).to_bytes(4, "little") + x for x in rows)
+        places = [sum(len(x) + 4 for x in rows[:k]) + 4 for k in range(len(rows))]
+        got = BF.decoded(data, places, ["2"], ["cb", "ub"]).to_pylist()
+        want = [dict(reversed(x["tags"])) for x in BF.decoded(data, places, ["2"], ["tags"]).to_pylist()]
+        assert got == [{"cb": w.get("CB"), "ub": w.get("UB")} for w in want]
+
+
+def test_ranges_follow_cores_not_bytes(spark, tmp_path):
+    """Unless a size is given, files make about as many ranges as were asked for, and small ones still several."""
+    path = tmp_path / "x.gz"
+    text = "".join(f"{random.Random(k).random()}\n" for k in range(60_000)).encode()
+    path.write_bytes(b"".join(BF.packed(text[k : k + 9000]) for k in range(0, len(text), 9000)) + BF.END_MARK)
+    for ranges in (1, 3, 10):
+        parts = BF.BlockReader([str(path)], "text", None, [], ranges).partitions()
+        assert len(parts) == ranges and parts[-1].end == path.stat().st_size
+    assert max(p.end - p.start for p in BF.BlockReader([str(path)], "text", None, [], 10**6).partitions()) == BF.LEAST_BYTES
+    got = BF.read(spark, [str(path)], "text")
+    assert 4 <= got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and got.count() == 60_000
+
+
+@pytest.mark.parametrize("name", ["file_alignments"])
+def test_files_of_all_tasks_are_read_in_few_ranges(spark, tmp_path, name):
+    """Every task of the table writes a file, and the ranges are not of a fixed size."""
+    from chiasma.plans import catalog
+
+    l = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    l.crossJoin(spark.range(5)).drop("id").repartition(6).write.parquet(str(tmp_path / "lineitem.parquet"))
+    before, spread = spark.conf.get("spark.sql.files.openCostInBytes"), "spark.sql.files.openCostInBytes"
+    spark.conf.set(spread, "1g")  # a split for each file
+    try:
+        files = catalog.queries()[name](spark, str(tmp_path))
+    finally:
+        spark.conf.set(spread, before)
+    assert files.count() == 5 * l.count()
+    assert 6 <= files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 7
