@@ -157,8 +157,8 @@ def file_vcf_sites(spark, sf_dir):
 def file_vcf_blocks(spark, sf_dir):
     """Variants through block-compressed files, each read as several ranges."""
     path = f"{scratch(spark)}/v"
-    K.packed_lines(_vcf_lines(spark, sf_dir).coalesce(4), path)
-    return R.vcf(spark, path, range_bytes=1 << 15).withColumn("qual", F.round("qual", 6))
+    K.packed_lines(_vcf_lines(spark, sf_dir), path)
+    return R.vcf(spark, path).withColumn("qual", F.round("qual", 6))
 
 
 ALIGNED = f"""SELECT 'r' || l_orderkey || '_' || l_linenumber AS name, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 16 ELSE 0 END AS INTEGER) AS flag, CASE WHEN l_linenumber < 7 THEN l_returnflag END AS chrom, l_partkey::BIGINT AS start,

@@ -193,7 +193,7 @@ def test_ranges_follow_cores_not_bytes(spark, tmp_path):
     assert 4 <= got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and got.count() == 60_000
 
 
-@pytest.mark.parametrize("name", ["file_alignments"])
+@pytest.mark.parametrize("name", ["file_vcf_blocks", "file_alignments"])
 def test_files_of_all_tasks_are_read_in_few_ranges(spark, tmp_path, name):
     """Every task of the table writes a file, and the ranges are not of a fixed size."""
     from chiasma.plans import catalog
