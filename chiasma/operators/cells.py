@@ -189,16 +189,23 @@ def log_gamma(x):
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f / 1680))) / x
 
 
-def good_turing(counts):
+def good_turing(counts, times=None):
     """Proportions of genes in the ambient pool from their counts, by simple Good-Turing: counts are smoothed through the
-    straight line of log frequency on log count, and genes never seen share the proportion of those seen once."""
+    straight line of log frequency on log count, and genes never seen share the proportion of those seen once. Genes of one
+    count have one proportion, so with times (the genes of each count) the counts are distinct and given once."""
     import numpy as np
 
     counts = np.asarray(counts, np.int64)
-    r, n = np.unique(counts[counts > 0], return_counts=True)
+    if times is None:
+        counts, where, times = np.unique(counts, return_inverse=True, return_counts=True)
+        return good_turing(counts, times)[where]
+    times = np.asarray(times, np.int64)
+    order = np.argsort(counts)
+    order = order[counts[order] > 0]
+    r, n = counts[order], times[order]
     if not len(r):
-        return np.full(len(counts), 1 / max(1, len(counts)))
-    unseen = int((counts == 0).sum())
+        return np.full(len(counts), 1 / max(1, times.sum()))
+    unseen = int(times[counts == 0].sum())
     p0 = n[0] / (r * n).sum() if r[0] == 1 else 0.0
     below, above = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - (r[-2] if len(r) > 1 else 0))
     slope = np.polyfit(np.log(r), np.log(2 * n / (above - below)), 1)[0] if len(r) > 1 else -1.0
@@ -217,7 +224,7 @@ def good_turing(counts):
     p = np.zeros(len(counts))
     p[counts > 0] = share[np.searchsorted(r, counts[counts > 0])]
     p[counts == 0] = p0 / unseen if unseen else 0.0
-    return np.where(p > 0, p, np.finfo(float).tiny) / p.sum()
+    return np.where(p > 0, p, np.finfo(float).tiny) / (p * times).sum()
 
 
 def _golden(f, lo: float, hi: float, steps: int = 60) -> float:
@@ -244,26 +251,34 @@ def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 10_000,
     alpha, which is fitted to them by likelihood unless given (inf: multinomial). p and fdr of barcodes up to lower are
     null. With retain, barcodes that reach the knee of the rank curve are kept: their p counts as 0 for fdr.
 
-    An iteration grows one sample molecule by molecule and gives the likelihood at every total that a tested barcode has, so
-    its cost is the largest total, whatever the genes or barcodes are; iterations are dealt to tasks, seeded by their number.
+    Genes that have one count in the pool are alike, so what is known of the pool is the genes of each count: the driver and
+    the draws hold a number for each distinct count and each distinct total, none for each gene. An iteration grows one sample
+    molecule by molecule, by Polya's urn: after m molecules the next is drawn from the profile with chance alpha / (alpha + m),
+    else it is of the gene of one of the m before. It gives the likelihood at every total that a tested barcode has, so its
+    cost is the largest total, whatever the genes or barcodes are; iterations are dealt to tasks, seeded by their number.
     Barcodes stay where they are: at each total the likelihoods of the iterations and of the barcodes are merged in order, and
-    a barcode's rank among the iterations is a running count. The driver holds a number for each gene and each distinct
-    total. matrix is read several times, so it should be a table."""
+    a barcode's rank among the iterations is a running count. matrix is read several times, so it should be a table; with
+    total_umi (each barcode's total) beside the counts, totals are not added up again."""
     import numpy as np
 
-    spark, t = matrix.sparkSession, totals(matrix)
-    low = matrix.join(t.where(F.col("total_umi") <= lower), "barcode", "left_semi")
-    genes = matrix.select("gene").distinct().join(low.groupBy("gene").agg(F.sum("n").alias("a")), "gene", "left").select("gene", F.coalesce("a", F.lit(0)).alias("a")).orderBy("gene").toArrow()
-    p = good_turing(genes["a"].to_numpy())
+    spark = matrix.sparkSession
+    if "total_umi" not in matrix.columns:
+        matrix = matrix.withColumn("total_umi", F.sum("n").over(Window.partitionBy("barcode")))
+    t = matrix.groupBy("barcode").agg(F.max("total_umi").alias("total_umi"))
+    pool = F.coalesce(F.sum(F.when(F.col("total_umi") <= lower, F.col("n"))), F.lit(0)).cast("long")
+    genes = matrix.groupBy("gene").agg(pool.alias("a"))
+    classes = genes.groupBy("a").agg(F.count("*").alias("times")).orderBy("a").toArrow()
+    count, times = (classes[c].to_numpy().astype(np.int64) for c in ("a", "times"))
+    p = good_turing(count, times)
     if alpha is None:
-        at = spark.createDataFrame(_columns(genes, p))
-        seen = low.join(at, "gene").where("n > 0").groupBy("p", "n").count().toArrow()  # pairs of a gene and a count up to lower
+        seen = matrix.where((F.col("total_umi") <= lower) & (F.col("n") > 0)).join(genes, "gene").groupBy("a", "n").count().toArrow()  # pairs of a gene's count and a count up to lower
         sizes = t.where((F.col("total_umi") <= lower) & (F.col("total_umi") > 0)).groupBy("total_umi").count().toArrow()
-        sp, sn, sk, size, times = (c.to_numpy().astype(float) for c in (*seen.columns, *sizes.columns))
+        sn, sk, size, many = (c.to_numpy().astype(float) for c in (*seen.columns[1:], *sizes.columns))
+        sp = p[np.searchsorted(count, seen.column(0).to_numpy())]
 
         def likelihood(x):
             a = math.exp(x)
-            own = (times * (log_gamma(np.array([a]))[0] - log_gamma(size + a))).sum() if len(size) else 0.0
+            own = (many * (log_gamma(np.array([a]))[0] - log_gamma(size + a))).sum() if len(size) else 0.0
             return own + (sk * (log_gamma(sn + a * sp) - log_gamma(a * sp))).sum()
 
         alpha = math.exp(_golden(likelihood, math.log(0.01), math.log(10_000))) if len(sn) else math.inf
@@ -276,13 +291,13 @@ def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 10_000,
         import pyarrow as pa
 
         for b in batches:
-            p, n = b.column(1).to_numpy(), b.column(2).to_numpy().astype(float)
-            v = n * np.log(p) if math.isinf(alpha) else log_gamma(n + alpha * p) - log_gamma(alpha * p)
+            of, n = p[np.searchsorted(count, b.column(1).to_numpy())], b.column(2).to_numpy().astype(float)
+            v = n * np.log(of) if math.isinf(alpha) else log_gamma(n + alpha * of) - log_gamma(alpha * of)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v - log_gamma(n + 1))], ["barcode", "ll"])
 
     kind = matrix.schema["barcode"].dataType.simpleString()
     tested = t.where(F.col("total_umi") > lower)
-    mine = matrix.join(tested, "barcode", "left_semi").where("n > 0").join(spark.createDataFrame(_columns(genes, p)), "gene").select("barcode", "p", "n")
+    mine = matrix.where((F.col("total_umi") > lower) & (F.col("n") > 0)).join(genes, "gene").select("barcode", "a", "n")
     mine = mine.mapInArrow(own, f"barcode {kind}, ll double").groupBy("barcode").agg(F.sum("ll").alias("ll")).join(tested, "barcode")
     distinct = np.sort(tested.select("total_umi").distinct().toArrow()["total_umi"].to_numpy().astype(np.int64))  # no more than the largest total
 
@@ -290,17 +305,24 @@ def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 10_000,
         import pyarrow as pa
 
         most = int(distinct[-1])
+        ends, first = np.cumsum(times * p), np.cumsum(times) - times  # genes are numbered through, class after class
+        m = np.arange(most)
         for b in batches:
             for i in b.column(0).to_pylist():
                 rng = np.random.default_rng([seed, i])
-                weights = p if math.isinf(alpha) else rng.gamma(alpha * p)
-                ends = np.cumsum(weights)
-                g = np.minimum(np.searchsorted(ends, rng.random(most) * ends[-1], "right"), len(p) - 1)
+                at = rng.random(most) * ends[-1]
+                of = np.minimum(np.searchsorted(ends, at, "right"), len(p) - 1)
+                g = first[of] + np.minimum((rng.random(most) * times[of]).astype(np.int64), times[of] - 1)
+                if not math.isinf(alpha):
+                    like = np.where(rng.random(most) * (alpha + m) < alpha, m, np.minimum((rng.random(most) * m).astype(np.int64), np.maximum(m - 1, 0)))
+                    while (after := like[like]).tobytes() != like.tobytes():  # each to the molecule that was drawn afresh
+                        like = after
+                    g, of = g[like], of[like]
                 order = np.argsort(g, kind="stable")
-                first = np.flatnonzero(np.diff(g[order], prepend=-1))
+                begin = np.flatnonzero(np.diff(g[order], prepend=-1))
                 before = np.empty(most)
-                before[order] = np.arange(most) - np.repeat(first, np.diff(np.append(first, most)))
-                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.cumsum(term(p[g], before))[distinct - 1])], ["total_umi", "ll"])
+                before[order] = m - np.repeat(begin, np.diff(np.append(begin, most)))
+                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.cumsum(term(p[of], before))[distinct - 1])], ["total_umi", "ll"])
 
     chance = mine.select(F.col("barcode").alias("b"), F.lit(None).cast("double").alias("p"))
     if len(distinct):
@@ -318,9 +340,3 @@ def ambient_test(matrix: DataFrame, lower: int = 100, iterations: int = 10_000,
     kept = F.col("p").isNotNull() & F.coalesce(F.col("total_umi") >= F.col("knee"), F.lit(False))
     out = out.join(F.broadcast(knee)).withColumn("_own", F.when(kept, F.lit(0.0)).otherwise(F.col("p")))
     return false_discovery(out.select("barcode", "total_umi", "p", "_own"), "_own").select("barcode", "total_umi", "p", "fdr")
-
-
-def _columns(genes, p):
-    import pyarrow as pa
-
-    return pa.table({"gene": genes["gene"], "p": pa.array(p, pa.float64())})

@@ -4,6 +4,7 @@ part for genes, orders for barcodes, nation and region for samples."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chiasma.operators import cells as C
 from chiasma.operators import counts as N
@@ -184,7 +185,7 @@ def false_discovery(spark, sf_dir):
 def ambient_test(spark, sf_dir):
     """Monte-Carlo, at four lower bounds: no SQL; tested for its error rate and power on planted barcodes."""
     path, out = f"{scratch(spark)}/matrix", None
-    matrix(spark, sf_dir).write.parquet(path)
+    matrix(spark, sf_dir).withColumn("total_umi", F.sum("n").over(Window.partitionBy("barcode"))).write.parquet(path)
     m = spark.read.parquet(path)
     for lower in AMBIENT:
         t = C.ambient_test(m, lower=lower).select(F.lit(lower).alias("lower"), "barcode", "total_umi", F.round("p", 6).alias("p"), F.round("fdr", 6).alias("fdr"))

@@ -502,3 +502,12 @@ def test_ambient_ranks_by_merge(spark):
     assert len(got) == 61 and got["twin"].p == got["b0"].p
     assert all((x.p is None) == (x.total_umi <= 20) and (x.p is None or 1 <= round(x.p * 201) <= 201) for x in got.values())
     assert {b: x.p for b, x in got.items()} == {x.barcode: x.p for x in C.ambient_test(m.repartition(5), 20, 200, retain=False).collect()}
+
+
+def test_good_turing_by_distinct_counts():
+    """Genes of one count are given once, with how many they are."""
+    r = random.Random(4)
+    for counts in ([r.choice([0, 0, 1, 1, 1, 2, 3, 7, 40]) for _ in range(300)], [0, 0, 0], [5, 5]):
+        own, times = zip(*sorted({c: counts.count(c) for c in counts}.items()), strict=True)
+        p, each = C.good_turing(own, times), C.good_turing(counts)
+        assert abs(sum(each) - 1) < 1e-12 and all(abs(each[k] - p[own.index(c)]) < 1e-15 for k, c in enumerate(counts))
