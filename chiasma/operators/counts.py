@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,11 +101,19 @@ def posterior_barcodes(reads: DataFrame, whitelist: DataFrame, quality: str | No
     return j.withColumn("_fixed", fixed).where("_fixed IS NOT NULL").withColumn("cb", F.col("_fixed")).select(*reads.columns)
 
 
+#: Hits of a site that Spark ranks in each task before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold is 1,000).
+SMALL_DEPTH = 500
+
+
 def capped(hits: DataFrame, max_depth: int, key: Column, keys: tuple = ("chrom", "pos"), buckets: int = 4096) -> DataFrame:
     """The max_depth hits of least `key` (a whole number from 0 to 2^31 - 1 that says nothing of the read; ties by the hit's
-    other columns) of each site, all where there are fewer. Depths are counted by bucket of the key before anything moves; only
+    other columns) of each site, all where there are fewer. Up to SMALL_DEPTH, ranks are cut where the hits are before they move,
+    so a site brings at most max_depth hits from each task. For more, depths are counted by bucket of the key before anything moves; only
     of the bucket in which a site reaches its depth do ranks decide, and they are of one bucket each, so no task holds a site."""
     k = list(keys)
+    if max_depth <= SMALL_DEPTH:
+        first = Window.partitionBy(*k).orderBy("_key", *[c for c in hits.columns if c not in keys])
+        return hits.withColumn("_key", key.cast("long")).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= max_depth).select(*hits.columns)
     h = hits.withColumn("_key", key.cast("long")).withColumn("_bucket", F.floor(F.col("_key") * buckets / F.lit(1 << 31)).cast("int"))
     upto = F.sum("_n").over(Window.partitionBy(*k).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
     n = h.groupBy(*k, "_bucket").agg(F.count("*").alias("_n")).withColumn("_upto", upto)
@@ -122,11 +132,12 @@ def conversion_counters(per_cell: DataFrame, min_markers: int) -> DataFrame:
     return per_cell.agg(F.count("*").alias("n_total"), F.count_if(n == 0).alias("n_empty"), F.count_if((n > 0) & (n < min_markers)).alias("n_below"), F.count_if(n >= min_markers).alias("n_written"))
 
 
-def aligned_bases(reads: DataFrame, sites: DataFrame, width: int = 1 << 16, most: int = I.HOT) -> DataFrame:
+def aligned_bases(reads: DataFrame, sites: DataFrame, width: int = 1 << 16, most: int = I.HOT, near: int = 32) -> DataFrame:
     """reads (chrom, start, cigar, seq and others) with pos and base at each site (chrom, pos, ...) that a read's alignment
     covers with a base: matches and mismatches; deletions, skips and clips cover none. Each run of aligned bases is dealt to
     the bins that it meets, and sites to theirs, so the join is one of equality; a bin with more than `most` runs is cut in
-    parts of reads, each with all its sites."""
+    parts of reads, each with all its sites. Within bins, runs and sites meet by stretches of `near` bases: a run is compared
+    with the sites of the stretches that it touches, not with all of its bin."""
     ops = F.transform(F.regexp_extract_all("cigar", F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("long").alias("n"), F.substring(x, -1, 1).alias("op")))
     zero = F.struct(F.col("start").cast("long").alias("ref"), F.lit(1).cast("long").alias("read"), F.array().cast("array<struct<ref: bigint, read: bigint, n: bigint>>").alias("runs"))
     moves = lambda o, kinds: F.when(o["op"].isin(*kinds), o["n"]).otherwise(F.lit(0))
@@ -135,7 +146,9 @@ def aligned_bases(reads: DataFrame, sites: DataFrame, width: int = 1 << 16, most
         F.when(o["op"].isin("M", "=", "X"), F.concat(a["runs"], F.array(F.struct(a["ref"].alias("ref"), a["read"].alias("read"), o["n"].alias("n"))))).otherwise(a["runs"]).alias("runs"))
     whole = F.array(F.struct(F.col("start").cast("long").alias("ref"), F.lit(1).cast("long").alias("read"), F.regexp_extract("cigar", "^[0-9]+", 0).try_cast("long").alias("n")))
     r = reads.withColumn("_run", F.explode(F.when(F.col("cigar").rlike("^[0-9]+M$"), whole).otherwise(F.aggregate(ops, zero, step, lambda a: a["runs"]))))
-    r = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_run.ref") / width), F.floor((F.col("_run.ref") + F.col("_run.n") - 1) / width))))
-    r, s, on = I.dealt(r, sites.withColumn("_bin", F.floor(F.col("pos") / width)), ["chrom", "_bin"], most)
-    hit = r.join(s, on).where((F.col("pos") >= F.col("_run.ref")) & (F.col("pos") < F.col("_run.ref") + F.col("_run.n")))
-    return hit.withColumn("base", F.substring(F.col("seq"), (F.col("_run.read") + F.col("pos") - F.col("_run.ref")).cast("int"), F.lit(1))).drop("_run", "_bin", "_part")
+    near = math.gcd(near, width)  # stretches don't cross bins
+    r = r.withColumn("_near", F.explode(F.sequence(F.floor(F.col("_run.ref") / near), F.floor((F.col("_run.ref") + F.col("_run.n") - 1) / near))))
+    bins = lambda df: df.withColumn("_bin", F.floor(F.col("_near") / (width // near)))
+    r, s, on = I.dealt(bins(r), bins(sites.withColumn("_near", F.floor(F.col("pos") / near))), ["chrom", "_bin"], most)
+    hit = r.join(s, [*on, "_near"]).where((F.col("pos") >= F.col("_run.ref")) & (F.col("pos") < F.col("_run.ref") + F.col("_run.n")))
+    return hit.withColumn("base", F.substring(F.col("seq"), (F.col("_run.read") + F.col("pos") - F.col("_run.ref")).cast("int"), F.lit(1))).drop("_run", "_bin", "_near", "_part")

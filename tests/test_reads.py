@@ -154,3 +154,20 @@ def test_depth_cap(spark):
                 by[x[1], x[2]].append(((x[0] * 48271 % 2147483647, x[0], x[3]), x))
             want = Counter(x for own in by.values() for _, x in sorted(own)[:depth])
             assert Counter(map(tuple, got)) == want, (depth, buckets)
+
+
+def test_pileup_compares_near_sites_alone_and_ranks_before_the_shuffle(spark):
+    """Runs and sites meet by stretches within bins, whatever the widths; small depths are cut before hits move."""
+    reads = spark.range(400).selectExpr("id", "'1' AS chrom", "id * 7 % 900 AS start", "IF(id % 3 = 0, '40M', '3M30N5M') AS cigar", "repeat('ACGT', 10) AS seq")
+    sites = spark.range(0, 1000, 3).selectExpr("'1' AS chrom", "id AS pos")
+    want = None
+    for width, near in ((1000, 32), (1000, 1000), (512, 1), (64, 48)):
+        hits = N.aligned_bases(reads, sites, width, near=near)
+        assert "_near" not in hits.columns
+        got = Counter((x.id, x.pos, x.base) for x in hits.collect())
+        want = want or got
+        assert got == want and len(got) > 2000
+    plan = N.aligned_bases(reads, sites, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "_near" in plan
+    plan = N.capped(hits, 6, F.col("id") * 48271 % 2147483647)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "_bucket" not in plan
