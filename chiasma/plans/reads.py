@@ -57,8 +57,7 @@ def _counts_sql(which):
 def read_genes(spark, sf_dir):
     """Each read's gene by its spliced blocks, and by the bodies of genes; reads come from the other strand."""
     r, e = spliced(spark, sf_dir), exons(spark, sf_dir)
-    a = A.assigned(r, A.transcripts(e), "Reverse", 600)
-    return A.assigned(a.withColumnRenamed("gene", "spliced"), A.bodies(e), "Reverse", 600).select("read", F.col("spliced").alias("gene"), F.col("gene").alias("full_gene"))
+    return A.assigned_by(r, {"gene": A.transcripts(e), "full_gene": A.bodies(e)}, "Reverse", 600).select("read", "gene", "full_gene")
 
 
 @register("gene_counts_spliced", _counts_sql("g1"))

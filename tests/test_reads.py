@@ -85,6 +85,33 @@ def test_genes_by_blocks(spark):
     assert A.assigned(df.limit(0), A.transcripts(ex)).count() == 0 and {x.gene for x in A.assigned(df, A.transcripts(ex.limit(0))).collect()} == {None}
 
 
+def test_cigars_are_taken_apart_by_column(spark):
+    r = random.Random(8)
+    rows = [(k, r.randint(0, 99), "".join(f"{r.choice([0, 1, 2, 7, 30])}{r.choice('MMIDNNSHP=X')}" for _ in range(r.randint(0, 6)))) for k in range(500)]
+    rows += [(500, 5, None), (501, 5, "*"), (502, None, "3M"), (503, 5, "3N4M"), (504, 5, "2S0M3N04M5S"), (505, 5, "10M"), (506, 5, "3N")]
+    df = spark.createDataFrame(rows, "id int, start int, cigar string")
+    got = df.select("id", A.blocks(F.col("start"), F.col("cigar")).alias("b"), A.first_base(F.col("start"), F.col("cigar")).alias("first")).collect()
+    for x, (k, start, cigar) in zip(sorted(got), rows, strict=True):
+        want = None if start is None or cigar is None else covered(start, cigar)
+        assert x.id == k and (x.b if x.b is None else [tuple(b) for b in x.b]) == want, (start, cigar)
+        assert x.first == (want[0][0] if want else None), (start, cigar)
+
+
+def test_several_sets_of_models_meet_reads_in_one_join(spark):
+    """Both genes of a read come from one join, and a filter on them does not compare exons twice."""
+    r = random.Random(9)
+    exons = annotation(r)
+    reads = [(k, x[2], r.randint(x[4], x[5]), f"{r.randint(1, 9)}M", r.choice("+-")) for k, x in enumerate(r.choices(exons, k=600))] * 2
+    df = spark.createDataFrame(reads, "id int, chrom string, start long, cigar string, strand string")
+    ex = spark.createDataFrame(exons, "gene string, transcript string, chrom string, strand string, start long, end long")
+    got = A.assigned_by(df, {"gene": A.transcripts(ex), "full": A.bodies(ex)}, "Forward", 64, 50)
+    assert got.columns == [*df.columns, "gene", "full"]
+    want = Counter((x[0], gene_of(x, exons, "Forward", True), gene_of(x, exons, "Forward", False)) for x in reads)
+    assert Counter((x.id, x.gene, x.full) for x in got.collect()) == want and len({x[1:] for x in want}) > 20
+    plan = got.where("gene IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_fitting(") == 1 and plan.count("_blocks(") == 1
+
+
 def test_exons_of_both_formats(spark, tmp_path):
     gff = tmp_path / "a.gff"
     gff.write_text("1\tx\tgene\t1\t90\t.\t+\t.\tID=g1\n1\tx\tmRNA\t1\t90\t.\t+\t.\tID=t1;Parent=g1\n1\tx\texon\t1\t20\t.\t+\t.\tParent=t1\n1\tx\texon\t40\t90\t.\t+\t.\tID=e;Parent=t1\n1\tx\tCDS\t2\t9\t.\t+\t.\tParent=t1\n")
