@@ -511,3 +511,34 @@ def test_good_turing_by_distinct_counts():
         own, times = zip(*sorted({c: counts.count(c) for c in counts}.items()), strict=True)
         p, each = C.good_turing(own, times), C.good_turing(counts)
         assert abs(sum(each) - 1) < 1e-12 and all(abs(each[k] - p[own.index(c)]) < 1e-15 for k, c in enumerate(counts))
+
+
+def test_quantiles_order_few_values_in_one_task(spark):
+    """Exact on skewed, tied and infinite values, at any number of bins; only values of one bin are ordered together."""
+    import math
+    import random
+    import re
+
+    from chiasma.operators import markers as M
+
+    r, inf, nan = random.Random(1), float("inf"), float("nan")
+    rows = [("a", r.random()) for _ in range(300)] + [("b", float(r.randint(0, 9))) for _ in range(200)] + [(None, 1.5), (None, 2.5), ("none", None)]
+    rows += [("skew", 1 + k * 1e-12) for k in range(200)] + [("skew", 1e308), ("skew", -1e308)] + [("one", 7.0)] * 5 + [("inf", x) for x in (inf, 1.0, 2.0, -inf)] + [("nan", x) for x in (nan, 3.0, 4.0)]
+    at = {"min": 0.0, "q1": 0.25, "median": 0.5, "q9": 0.9, "max": 1.0}
+    df = spark.createDataFrame(rows, "k string, v double")
+    for bins in (2, 1024):
+        got = {x.k: x for x in M.quantiles(df, "v", at, ("k",), bins=bins).collect()}
+        assert set(got) == {k for k, v in rows if v is not None}
+        for k, x in got.items():
+            v = sorted((v for c, v in rows if c == k and v is not None), key=lambda y: (math.isnan(y), y))
+            for name, q in at.items():
+                h = (len(v) - 1) * q
+                a, b = v[math.floor(h)], v[math.ceil(h)]
+                want = a + (b - a) * (h - math.floor(h))
+                assert x[name] == want or math.isnan(want) and math.isnan(x[name]), (k, name, bins)
+            assert x.n == len(v)
+    empty = M.quantiles(df.where("false"), "v", at).collect()
+    assert [tuple(x) for x in empty] == [(None,) * 6 + (0,)]
+    plan = M.quantiles(df, "v", at)._jdf.queryExecution().optimizedPlan().toString()
+    specs = [x for x in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan) if "_v#" in x]
+    assert specs and all(x.startswith("_bin0") and "_bin1" in x for x in specs)
