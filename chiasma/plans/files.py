@@ -111,7 +111,7 @@ def file_cell_tables(spark, sf_dir):
 def file_per_cell(spark, sf_dir):
     path = f"{scratch(spark)}/c"
     K.per_cell(QC.cell_markers(spark, sf_dir), path)
-    return spark.read.parquet(path).select(F.col("barcode").cast("long").alias("barcode"), "chrom", "pos", "ref_count", "alt_count")
+    return R.per_cell(spark, path, "barcode string, chrom string, pos long, ref_count long, alt_count long").withColumn("barcode", F.col("barcode").cast("long"))
 
 
 @register("file_replaced", "SELECT n_regionkey::BIGINT AS region, CASE WHEN n_regionkey = 2 THEN 'new ' || n_name ELSE n_name END AS name FROM nation")

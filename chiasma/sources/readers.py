@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chiasma.sources import block_files as B
+from chiasma.sources import cell_files as C
 
 SAMPLES = ", ".join(f"{c} string" for c in (
     "sample_id species haplotype assembly_fasta annotation_gff repeats_ltr_gff repeats_satellite_gff syri_dir scrna_r1 scrna_r2 scrna_i1 scrna_r3 "
@@ -60,6 +61,11 @@ def per_cell_tables(spark: SparkSession, folder: str, schema: str = CELL_MARKERS
     return t.where(~F.col("_f").isin(*without) if without else F.lit(True)).withColumn("barcode", F.regexp_replace("_f", r"\.tsv$", "")).drop("_f")
 
 
+def per_cell(spark: SparkSession, path: str, schema: str, key: str = "barcode") -> DataFrame:
+    """What sink per_cell() wrote, the key as a string."""
+    return C.read(spark, path, schema, key)
+
+
 def lines(spark: SparkSession, path, skip_blank: bool = True) -> DataFrame:
     """(value): one trimmed value per line."""
     t = spark.read.text(path).select(F.trim("value").alias("value"))

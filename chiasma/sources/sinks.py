@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chiasma.sources import block_files as B
+from chiasma.sources import cell_files as C
 
 
 def tsv(df: DataFrame, path: str, header: bool = True) -> None:
@@ -24,7 +25,7 @@ def line_list(df: DataFrame, column: str, path: str) -> None:
 def per_cell(df: DataFrame, path: str, key: str = "barcode") -> None:
     """A folder for each cell, which replaces one file per cell. Rows are dealt by ranges of cell and place, so a cell has
     few files and a large one is written by several tasks."""
-    df.repartitionByRange(key, "chrom", "pos").sortWithinPartitions(key, "chrom", "pos").write.mode("overwrite").partitionBy(key).parquet(path)
+    C.write(df, path, key, "chrom", "pos")
 
 
 def replaced_partitions(df: DataFrame, path: str, *keys: str) -> None:

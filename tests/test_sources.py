@@ -290,3 +290,90 @@ def test_drawings(spark, tmp_path):
     assert count(D.svg(D.histogram(h.where("false"))), "rect") == 0
     with pytest.raises(ValueError, match="marks"):
         D.svg(D.marks(spark.range(D.MOST + 1), "points", "id", "id"))
+
+
+CELLS = "chrom string, pos long, n long, barcode string"
+
+
+def test_cells_of_any_name_come_back(spark, tmp_path):
+    """Cells of many batches and tasks, and names that a folder cannot have; both readers agree. Tasks do not grow with cells."""
+    odd = ["", None, "a/b", "x=1%2F", "é 'q'", "..", "007", "A" * 200]
+    name = F.element_at(F.array(*map(F.lit, odd)), (F.col("id") % 8 + 1).cast("int"))
+    d = spark.range(60_000).select((F.col("id") % 3).cast("string").alias("chrom"), "id", (F.col("id") * 7).alias("n"), F.when(F.col("id") < 30_000, name).when(F.col("id") < 55_000, "big").otherwise(F.concat(F.lit("c"), F.col("id") % 600)).alias("barcode")).withColumnRenamed("id", "pos")
+    path = str(tmp_path / "per cell")
+    K.per_cell(d.repartition(5), path)
+    want = sorted(d.withColumn("barcode", F.nullif("barcode", F.lit(""))).collect(), key=str)
+    back = R.per_cell(spark, path, CELLS)
+    assert sorted(back.collect(), key=str) == want
+    assert back.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 600
+    assert sorted(spark.read.schema(CELLS).parquet(path).select("chrom", "pos", "n", "barcode").collect(), key=str) == want
+    assert [r.pos for r in R.per_cell(spark, path, "barcode string, pos long").where("barcode = 'c7'").collect()] == [r.pos for r in d.where("barcode = 'c7'").orderBy("chrom", "pos").collect()]
+    assert not list((tmp_path / "per cell").rglob("*.crc")) and not list((tmp_path / "per cell").rglob("_*.parquet")) and [p.name for p in tmp_path.iterdir()] == ["per cell"]
+    K.per_cell(d.where("false"), path)
+    assert R.per_cell(spark, path, CELLS).count() == 0 and [p.name for p in (tmp_path / "per cell").iterdir()] == ["_SUCCESS"]
+    with pytest.raises(Exception, match="read as a string"):
+        R.per_cell(spark, path, "barcode long, pos long").collect()
+
+
+def test_a_failed_write_of_cells_changes_nothing(spark, tmp_path):
+    d = spark.range(2000).select(F.lit("1").alias("chrom"), F.col("id").alias("pos"), (F.col("id") % 40).cast("string").alias("barcode"))
+    path = str(tmp_path / "p")
+    K.per_cell(d, path)
+    with pytest.raises(Exception, match="no such row"):
+        K.per_cell(d.withColumn("n", F.when(F.col("pos") == 1999, F.raise_error(F.lit("no such row"))).otherwise("x")), path)
+    assert R.per_cell(spark, path, "barcode string, pos long").count() == 2000 and [p.name for p in tmp_path.iterdir()] == ["p"]
+    K.per_cell(R.per_cell(spark, path, "chrom string, pos long, barcode string").where("pos < 100"), path)  # from itself
+    assert R.per_cell(spark, path, "barcode string, pos long").count() == 100
+
+
+def test_an_attempt_replaces_the_one_before(tmp_path, monkeypatch):
+    """The first attempt ends within a cell; of two at the same time each has its own hidden file."""
+    import types
+
+    import pyarrow as pa
+
+    from chiasma.sources import cell_files as C
+
+    monkeypatch.setattr(C, "GATHERED_BYTES", 1)
+    b = [pa.RecordBatch.from_pydict({"pos": [k, k + 1], "_folder": [f, f]}) for k, f in ((0, "a"), (2, "b"), (4, "b"))]
+    task = lambda attempt: types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3, taskAttemptId=lambda: attempt))
+    w = C.CellWriter(f"file:{tmp_path}/p", "cell")
+
+    def broken():
+        yield from b[:2]
+        raise OSError("lost")
+
+    monkeypatch.setattr(C, "TaskContext", task(8))
+    with pytest.raises(OSError, match="lost"):
+        w.write(broken())
+    monkeypatch.setattr(C, "TaskContext", task(9))
+    w.commit([w.write(iter(b))])
+    r = C.CellReader(f"file:{tmp_path}/p", "cell", ["cell", "pos"], 4)
+    assert [(x["cell"], x["pos"]) for p in r.partitions() for t in r.read(p) for x in t.to_pylist()] == [("a", 0), ("a", 1), ("b", 2), ("b", 3), ("b", 4), ("b", 5)]
+
+
+def test_damaged_cells_raise(spark, tmp_path):
+    d = spark.range(5000).select(F.lit("1").alias("chrom"), F.col("id").alias("pos"), F.lit("a").alias("barcode"))
+    K.per_cell(d.coalesce(1), str(tmp_path / "p"))
+    for f in (tmp_path / "p" / "barcode=a").glob("*.parquet"):
+        raw = bytearray(f.read_bytes())
+        raw[len(raw) // 2] ^= 1
+        f.write_bytes(raw)
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        R.per_cell(spark, str(tmp_path / "p"), "pos long").collect()
+
+
+def test_tasks_do_not_grow_with_cells(spark, tmp_path):
+    """A thousand cells through the query's sink and reader: neither lists nor reads them by tasks of a few."""
+    from chiasma.plans import files
+
+    spark.range(3000).select((F.col("id") % 1000).alias("user_id"), F.lit("A").alias("event_type"), F.timestamp_micros("id").alias("ts"), F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    sc = spark.sparkContext
+    sc.setJobGroup("cells", "cells")
+    try:
+        assert files.file_per_cell(spark, str(tmp_path)).select("barcode", "pos").distinct().count() == 3000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("cells") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    infos = [i for i in map(sc.statusTracker().getStageInfo, stages) if i]
+    assert infos and max(i.numTasks for i in infos) <= 4 * sc.defaultParallelism
