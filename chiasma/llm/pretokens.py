@@ -147,11 +147,12 @@ class Memo:
 
         alone = pc.match_substring_regex(units, r"^$|^\x00|[\t\n\r]$").to_numpy(zero_copy_only=False)
         rest, single = np.flatnonzero(~alone), np.flatnonzero(alone)
-        words = units.take(rest).to_pylist()
-        flat, _ = self._library([" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])
+        words = units.take(pa.array(rest))
+        ends = np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32)
+        flat, _ = self._library([" " + x for x in pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ").to_pylist()])
         first = np.flatnonzero(self.opens[flat])
         if len(first) != len(words):  # the library cut differently than expected: one by one
-            flat, n = self._library([" " + x for x in words])
+            flat, n = self._library([" " + x for x in words.to_pylist()])
             first = np.cumsum(n) - n
         more, n = self._library([self.p.whole(x) for x in units.take(single).to_pylist()])
         if not len(single):

@@ -48,6 +48,10 @@ SKETCH = 384
 CROWDED = 4000
 #: Pairs of children looked at at a time.
 OPEN = 1 << 20
+#: Bands of that many smallest hashes each, in which keep_one seeks its candidates.
+BANDS, BAND = 16, 3
+#: Bytes of the texts whose shingles are hashed together.
+SLICE_BYTES = 8 << 20
 #: Rows a side of a block in which the pieces of a candidate component are compared.
 BLOCK = 512
 
@@ -110,36 +114,122 @@ def grams(h, n: int):
     return np.unique(x * odd)
 
 
+def _words(texts):
+    """The words of a string array in a row, as hashes, and how many each text has. Each distinct word is hashed once."""
+    import numpy as np
+    import pyarrow.compute as pc
+    from xxhash import xxh64_intdigest
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, at = lists.flatten(), lists.offsets.to_numpy()
+    some = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end leaves an empty string
+    n = np.diff(np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[at - at[0]])
+    coded = flat.filter(some).dictionary_encode()
+    own = coded.dictionary
+    raw, ends = (own.buffers()[2] or b"") and own.buffers()[2].to_pybytes(), np.frombuffer(own.buffers()[1], "<i4", len(own) + 1, 4 * own.offset).tolist() if len(own) else [0]
+    h = np.fromiter((xxh64_intdigest(raw[a:z], 42) for a, z in zip(ends, ends[1:], strict=False)), np.uint64, len(own))
+    return h[coded.indices.to_numpy()], n
+
+
+def _all_grams(h, n, size: int):
+    """grams() of many texts: all in a row, and how many each has. h: the word hashes of all, n: how many each has."""
+    import numpy as np
+
+    odd, ends = np.uint64(0x9E3779B97F4A7C15), np.cumsum(n)
+    x, room = np.zeros(max(0, len(h) - size + 1), np.uint64), np.maximum(n - size + 1, 0)
+    for k in range(size if len(x) else 0):
+        x = (x ^ (x >> np.uint64(29))) * odd + h[k : len(h) - size + 1 + k]
+    x ^= x >> np.uint64(32)
+    x = x * odd
+    short = np.flatnonzero((n > 0) & (n < size))
+    whole = np.concatenate([grams(h[ends[k] - n[k] : ends[k]], size) for k in short]) if len(short) else np.zeros(0, np.uint64)
+    room[short] = 1
+    to = np.cumsum(room)
+    out, begin = np.empty(int(to[-1]) if len(to) else 0, np.uint64), to - room
+    long = np.flatnonzero(n >= size)
+    for a, z, b in zip(begin[long].tolist(), to[long].tolist(), (ends - n)[long].tolist(), strict=True):
+        own = out[a:z]
+        own[:] = x[b : b + z - a]
+        own.sort()
+    out[begin[short]] = whole
+    first = np.concatenate([[True], out[1:] != out[:-1]])[: len(out)]
+    first[begin[room > 0]] = True
+    return out[first], np.diff(np.concatenate([[0], np.cumsum(first)])[np.append(0, to)])
+
+
+def _majorities(h, n):
+    """_majority() of many texts, of whose hashes h each has n. Eight sums of a byte each are added up at a time."""
+    import numpy as np
+
+    some = np.flatnonzero(n)
+    out = np.zeros(len(n), np.uint64)
+    if not len(some):
+        return out.view(np.int64)
+    pieces = -(-n[some] // 255)  # no sum of a byte overflows
+    up = np.cumsum(pieces) - pieces
+    which, k = _ranges(np.zeros(len(some), np.int64), pieces)
+    begin = (np.cumsum(n) - n)[some][which] + 255 * k
+    total = np.zeros((len(some), 64), np.int64)
+    for bit in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(0x0101010101010101), begin)
+        total[:, bit::8] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), up, axis=0, dtype=np.int64)
+    out[some] = np.packbits(total * 2 > n[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out.view(np.int64)
+
+
+def _band_keys(h, n):
+    """A key for each band and text, of whose distinct hashes h each has n: BAND smallest hashes, each in an order of its own."""
+    import numpy as np
+
+    some, odd = np.flatnonzero(n), np.uint64(0x9E3779B97F4A7C15)
+    keys = np.zeros((len(n), BANDS), np.uint64)
+    at, low = (np.cumsum(n) - n)[some], (h >> np.uint64(32)).astype(np.uint32)
+    factor = np.random.default_rng(20240229).integers(0, 1 << 31, BANDS * BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    for k, f in enumerate(factor):
+        if len(some):
+            least = np.minimum.reduceat(low * f, at).astype(np.uint64)
+            x = keys[some, k // BAND]
+            keys[some, k // BAND] = (x ^ (x >> np.uint64(29))) * odd + least
+    keys = (keys ^ (keys >> np.uint64(32))) * odd + np.arange(BANDS, dtype=np.uint64)  # keys of two bands differ
+    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
+
+
 def _near_prints(words: int, print_words: int, views: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
+        import pyarrow.compute as pc
 
         odd = np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
-            out, sketches = [[] for _ in range(views)], []
-            for text in b.column(1):
-                w = np.array([xxh64_intdigest(x, 42) for x in (text.as_py() or "").encode().lower().split()], np.uint64)
-                sketches.append((grams(w, words)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() if len(w) else b"")
-                h = grams(w, print_words) if len(w) else w
-                for o in out:
-                    o.append(_majority(h) if len(w) else 0)
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64)
+            cuts = np.unique(np.concatenate([np.flatnonzero(np.diff((np.cumsum(size) - size) // SLICE_BYTES)) + 1, [0, len(b)]])).tolist()
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                word, n = _words(b.column(1)[lo:hi])
+                h, m = _all_grams(word, n, words)
+                short = (h >> np.uint64(32)).astype("<u4").tobytes()
+                begin = np.cumsum(m) - m
+                sketches = [short[4 * i : 4 * (i + j)] for i, j in zip(begin.tolist(), np.minimum(m, SKETCH).tolist(), strict=True)]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (len(n) + 1), BANDS, dtype=np.int32)), pa.array(_band_keys(h, m).ravel()))
+                h, m = _all_grams(word, n, print_words)
+                out = []
+                for _ in range(views):
+                    out.append(_majorities(h, m))
                     h = h * odd
                     h ^= h >> np.uint64(29)
                     h *= odd
                     h ^= h >> np.uint64(32)
-            columns = [b.column(0), b.column(2), *(pa.array(o, pa.int64()) for o in out), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "h", *(f"fp{k}" for k in range(views)), "sketch"])
+                columns = [b.column(0)[lo:hi], b.column(2)[lo:hi], *map(pa.array, out), pa.array(sketches, pa.binary()), bands]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", *(f"fp{k}" for k in range(views)), "sketch", "bands"])
 
     return run
 
 
 def near_prints(docs: DataFrame, words: int, print_words: int, views: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (a hash of the whole row), fp0, fp1, ... of the distinct shingles of print_words words, and a sketch of those of
-    `words` words, of every row."""
+    """id, h (a hash of the whole row), fp0, fp1, ... of the distinct shingles of print_words words, and a sketch and the bands'
+    keys of those of `words` words, of every row."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
-    return d.mapInArrow(tidy(_near_prints(words, print_words, views)), "id long, h long, " + ", ".join(f"fp{k} long" for k in range(views)) + ", sketch binary")
+    return d.mapInArrow(tidy(_near_prints(words, print_words, views)), "id long, h long, " + ", ".join(f"fp{k} long" for k in range(views)) + ", sketch binary, bands array<long>")
 
 
 def gray_rank(c):
@@ -321,9 +411,66 @@ def _edges(distance: int, tables: list[int], forests: tuple, views: int, far: in
     return run
 
 
+def _gray_order(run, x):
+    """The order by run and the rank of x in Gray order."""
+    import numpy as np
+
+    g = x.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        g ^= g >> np.uint64(k)
+    return np.lexsort((g, run))
+
+
+def _edges_in_bands(forests: tuple, views: int, far: int):
+    """From rows (key, node, fp0, fp1, ...) in the order of the keys: pairs of nodes with one key whose fingerprints are near."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def found(held):
+            key, node, *fps = (np.concatenate(v) for v in zip(*held, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            n = np.diff(starts)
+            some, bounds = np.repeat(n > 1, n), np.concatenate([[0], np.cumsum(n[n > 1])])
+            node, fps = node[some], [x[some].view(np.uint64) for x in fps]
+            which, out = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), [np.zeros((2, 0), np.int64)]
+            for v, x in enumerate(fps):
+                order = _gray_order(which, x)
+                others = [(y[order], far) for k, y in enumerate(fps) if k != v]
+                out += [node[order[np.stack([i, j])]] for f in forests for i, j in search(x[order], f, bounds, others)]
+            pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        held, size = [], 0  # columns of the batches since the last that ended a run
+        for b in batches:
+            if not len(b):
+                continue
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+            if size >= ROWS:
+                done = int(np.searchsorted(now[0] != held[-1][0][-1], True))  # the last run may go on
+                held.append([v[:done] for v in now])
+                size, now = size + done, [v[done:] for v in now]
+                if not len(now[0]):
+                    continue
+                yield found(held)
+                held, size = [], 0
+            held.append(now)
+            size += len(now[0])
+        if held:
+            yield found(held)
+
+    return run
+
+
 def links(nodes: DataFrame, distance: int, forests: tuple | None = None, far: int = 64) -> DataFrame:
     """Edges a, b between rows of nodes (node, fp0, fp1, ...) of which one view is within the distance and the others are
-    within `far`: those of spanning forests at each distance of `forests`."""
+    within `far`: those of spanning forests at each distance of `forests`. With a column `bands`, rows meet where they
+    share a band's key instead of a bit pattern, in all views at once."""
+    if "bands" in nodes.columns:
+        views = [c for c in nodes.columns if c.startswith("fp")]
+        rows = nodes.select(F.explode("bands").alias("key"), "node", *views).repartition("key").sortWithinPartitions("key")
+        return rows.mapInArrow(tidy(_edges_in_bands(forests or (distance,), len(views), far)), "a long, b long")
     tables = masks(distance, nodes.count())
     views, out = [c for c in nodes.columns if c.startswith("fp")], None
     for v in views:
@@ -451,9 +598,10 @@ def grouped(prints: DataFrame, distance: int, similarity: float | None = None, f
     node; with a similarity, only if their sketches are alike too, and links are those whose sketches are as similar."""
     views = [c for c in prints.columns if c.startswith("fp")]
     node = F.xxhash64(*views, "sketch") if similarity else F.col(views[0]) if len(views) == 1 else F.xxhash64(*views)
-    nodes = prints.withColumn("node", node).groupBy("node", *views).agg(F.min("id").alias("least"), *([F.min(F.struct(F.col("id").isNull(), "id", "h")).getField("h").alias("row")] if similarity else []))
+    banded = [F.min("bands").alias("bands")] if "bands" in prints.columns else []
+    nodes = prints.withColumn("node", node).groupBy("node", *views).agg(F.min("id").alias("least"), *banded, *([F.min(F.struct(F.col("id").isNull(), "id", "h")).getField("h").alias("row")] if similarity else []))
     nodes = written(nodes, "nodes")
-    e = links(nodes.select("node", *views), distance, (distance // 3, 2 * distance // 3, distance) if similarity else None, far)
+    e = links(nodes.drop("least", "row"), distance, (distance // 3, 2 * distance // 3, distance) if similarity else None, far)
     if similarity:
         e = written(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         ends = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -467,7 +615,7 @@ def grouped(prints: DataFrame, distance: int, similarity: float | None = None, f
     member = nodes.join(roots, F.col("node") == F.col("u"), "left").select("node", "least", F.coalesce("v", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     of = member.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "root", "component_id")
-    return prints.withColumn("node", node).join(of, F.col("node") == F.col("n"), "left").drop("node", "n", "sketch")
+    return prints.withColumn("node", node).join(of, F.col("node") == F.col("n"), "left").drop("node", "n", "sketch", "bands")
 
 
 def simhash(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

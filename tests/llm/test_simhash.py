@@ -188,6 +188,66 @@ def test_near_copies_by_similarity(spark):
     assert len(high) > 10 and sum(i not in kept for i in high) >= 0.95 * len(high)
 
 
+def test_near_prints_against_a_scalar_version(spark):
+    """Texts of any length are hashed together; each gets what it gets alone, and texts alike to 0.8 share a band's key."""
+    r = random.Random(16)
+    texts = [*(t for _, t in rows()), " lead", "tail ", "\x1c a\x85b \x0b", "É e É", *(" ".join(f"t{r.randrange(9)}" for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 254, 257, 900))]
+    got = {x.doc_id: x for x in M.near_prints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 2, 2).withColumnRenamed("id", "doc_id").collect()}
+    odd, most = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    for k, text in enumerate(texts):
+        w = np.array([xxhash.xxh64_intdigest(x, 42) for x in (text or "").encode().lower().split()], np.uint64)
+        views = [int(v) for v in M.grams(w, 2)] if len(w) else []
+        for view in ("fp0", "fp1"):
+            assert got[k][view] % (1 << 64) == sum(1 << b for b in range(64) if sum(v >> b & 1 for v in views) * 2 > len(views))
+            views = [v * odd & most for v in views]
+            views = [(v ^ v >> 29) * odd & most for v in views]
+            views = [v ^ v >> 32 for v in views]
+        assert bytes(got[k].sketch) == ((M.grams(w, 5)[: M.SKETCH] >> np.uint64(32)).astype("<u4").tobytes() if len(w) else b"")
+        assert len(set(got[k].bands)) == M.BANDS
+    n = len(texts)
+    for a in range(n):
+        for b in range(a):
+            x, y = (np.frombuffer(got[k].sketch, "<u4") for k in (a, b))
+            shared = any(u == v for u, v in zip(got[a].bands, got[b].bands, strict=True))
+            assert shared or not M.alike(x, y, 0.8)
+
+
+def test_bands_hold_no_random_pairs(spark):
+    """What meets in a band grows with the copies alone: of different texts of one vocabulary none share a key, where every bit
+    pattern of a table is shared by more of them as they grow in number."""
+    r = random.Random(17)
+    data = [(k, " ".join(f"t{r.randrange(300)}" for _ in range(40))) for k in range(3000)]
+    data += [(5000 + k, data[k][1] + " more") for k in range(20)]
+    prints = M.near_prints(spark.createDataFrame(data, "doc_id long, text string"), 5, 2, 2)
+    keys = prints.selectExpr("explode(bands) AS key", "id % 5000 AS id")
+    assert keys.distinct().groupBy("key").count().where("count > 1").isEmpty()
+    assert keys.groupBy("key").count().where("count > 2").isEmpty() and keys.groupBy("key").count().where("count = 2").count() > 100
+
+
+def test_links_in_bands(monkeypatch):
+    """Rows of one key are linked whatever the batches and the rows at once, near in one view and not far in the other."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(18)
+    centre = r.integers(0, 1 << 63, (30, 2), dtype=np.uint64)
+    own = r.integers(0, 30, 400)
+    fps = centre[own] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (4, 400, 2), dtype=np.uint64))
+    key = np.sort(own // 3 - 5).astype(np.int64)
+    fps, node = fps[np.argsort(own // 3, kind="stable")], np.arange(400) * 7 - 900
+    d = np.bitwise_count(fps[:, None] ^ fps[None])
+    near = (key[:, None] == key[None]) & (d.min(2) <= 5) & (d.max(2) <= 7)
+    columns = [key, node, *(fps[:, v].copy().view(np.int64) for v in range(2))]
+    for cuts, at_once in (([0, 400], 1 << 17), ([0, 1, 5, 90, 90, 300, 400], 1), ([0, 33, 66, 200, 400], 50)):
+        monkeypatch.setattr(M, "ROWS", at_once)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i:j]) for c in columns], ["key", "node", "fp0", "fp1"]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        label = np.arange(400)
+        for b in M._edges_in_bands((2, 5), 2, 7)(batches):
+            for i, j in zip(*(((np.array(c) + 900) // 7).tolist() for c in b.columns), strict=True):
+                assert near[i, j] and i < j
+                label[label == label[i]] = label[j]
+        assert (label[:, None] == label[None])[near].all() and 30 < len(set(label.tolist())) < 350
+
+
 def verified_components(rows, distance, least):
     """Components of rows (id, fp0, fp1, sketch array) by all pairs: near in one view and similar."""
     root = list(range(len(rows)))
