@@ -495,6 +495,40 @@ def alike(x, y, least: float) -> bool:
     return not len(both) or common.sum() >= least * len(both)
 
 
+class _Sketches:
+    """Sketches of the rows of a block, compared by column."""
+
+    def __init__(self, sketches: list):
+        import numpy as np
+
+        self.n = np.array([len(x) for x in sketches], np.int64)
+        self.end = np.cumsum(self.n)
+        known, self.code = np.unique(np.concatenate([*sketches, np.zeros(0, "<u4")]), return_inverse=True)
+        self.mark = np.zeros(len(known), np.int32)
+
+    def alike(self, i: int, others, least: float):
+        """What alike() says of row i and each of the others."""
+        import numpy as np
+
+        n, own = self.n[others], self.code[self.end[i] - self.n[i] : self.end[i]]
+        self.mark[own] = 1
+        upto = np.cumsum(self.mark)  # hashes of i up to each
+        which, at = _ranges(self.end[others] - n, self.end[others])
+        code = self.code[at]
+        common = self.mark[code].astype(np.int64)
+        self.mark[own] = 0
+        first = np.repeat(np.cumsum(n) - n, n)
+        met = np.cumsum(common)
+        met -= (met - common)[first] if len(met) else 0
+        place = upto[code] + np.arange(len(code)) - first + 1 - met  # of a hash in the union of both
+        full = np.maximum(n, self.n[i]) >= SKETCH
+        union = n + self.n[i] - np.bincount(which, common, len(others)).astype(np.int64)
+        common[full[which] & (place > SKETCH)] = 0  # the smallest of the union decide
+        shared = np.bincount(which, common, len(others)).astype(np.int64)
+        both = np.where(full, np.minimum(union, SKETCH), union)
+        return (both == 0) | (shared >= least * both)
+
+
 def _similar(least: float):
     """(a, b) of rows (a, b, sa, sb) whose sketches are as similar as that."""
 
@@ -519,7 +553,7 @@ def _across(distance: int, least: float, views: int, far: int):
 
         stray, piece = (block[c].to_numpy() for c in ("stray", "piece"))
         fps = [block[f"fp{k}"].to_numpy().view(np.uint64) for k in range(views)]
-        sketch = [np.frombuffer(v.as_py(), "<u4") for v in block["sketch"]]
+        sketch = _Sketches([np.frombuffer(v.as_py(), "<u4") for v in block["sketch"]])
         rows, others, up, out = np.flatnonzero(stray), np.flatnonzero(~stray), {}, []
 
         def root(k):
@@ -530,9 +564,10 @@ def _across(distance: int, least: float, views: int, far: int):
         for i in rows:
             d = np.stack([np.bitwise_count(x[i] ^ x[others]) for x in fps])
             near = (d.min(0) <= distance) & (d.max(0) <= far)
-            for j in others[near & (piece[others] != piece[i])]:
+            near = others[near & (piece[others] != piece[i])]
+            for j in near[sketch.alike(i, near, least)] if len(near) else ():
                 a, b = root(piece[i]), root(piece[j])
-                if a != b and alike(sketch[i], sketch[j], least):
+                if a != b:
                     up[a] = b
                     out.append((piece[i], piece[j]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})

@@ -169,6 +169,21 @@ def test_sketch_similarity():
     assert [x.num_rows for x in M._similar(0.8)([b])] == [sum(want)]
 
 
+def test_sketches_compared_by_column():
+    """A row against many gives what it gives against each, with whole sets and with cut ones."""
+    r = np.random.default_rng(19)
+    base = r.integers(0, 1 << 32, 1200, dtype=np.uint64).astype("<u4")
+    sketches = [np.zeros(0, "<u4"), np.zeros(0, "<u4")]
+    for n in (1, 5, 5, 40, 383, 384, 385, 420, 500, 1200):
+        for edits in (0, 0.02, 0.05, 0.1, 0.11, 0.12, 0.2, 0.5):
+            x = base[:n].copy()
+            x[r.random(n) < edits] ^= np.uint32(r.integers(1, 1 << 32))
+            sketches.append(np.unique(x)[: M.SKETCH])
+    columns, every = M._Sketches(sketches), np.arange(len(sketches))
+    said = np.array([columns.alike(i, every, 0.8) for i in every])
+    assert (said == [[M.alike(x, y, 0.8) for y in sketches] for x in sketches]).all() and 0.03 < said.mean() < 0.9
+
+
 def test_near_copies_by_similarity(spark):
     """Edited copies: similar ones go, less similar ones stay; held against exact shingle sets."""
     r = random.Random(10)
