@@ -14,7 +14,10 @@ from it. Pairs of nodes are opened from the top: the differences on the bits tha
 whole groups are pruned when the sum passes `distance`, and groups that cannot differ by more are linked without looking
 inside. What is given are spanning forests, so a dense group never emits its pairs; an edge is given by the first table
 where its ends meet only. With two views, a pair that is within `distance` in one must be within `far` in the other, which
-random pairs are not, so that candidates don't grow together as a corpus grows.
+random pairs are not, so that candidates don't grow together as a corpus grows. keep_one's rows meet not under bit patterns,
+whose runs grow with the corpus, but under the keys of BANDS bands: the smallest of the `words`-word shingles' hashes in BAND
+orders. Rows at similarity s share a key with a chance of 1 - (1 - s^BAND)^BANDS, at 0.8 all but 0.00001 of them; different
+texts share none.
 
 Verification (keep_one). What links by SimHash is only a candidate; its similarity is taken from bottom-SKETCH sketches of
 the distinct shingle hashes, which are the whole sets, and exact, for texts of fewer than SKETCH distinct shingles, and
