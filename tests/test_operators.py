@@ -378,6 +378,26 @@ def test_collapsed_molecules(spark):
     assert {(x.cb, x.gene, x.ub): x.k for x in got.collect()} == want
 
 
+def test_collapsed_molecules_with_odd_names(spark):
+    """No cell, gene or name: nothing to be taken for, or to take. Only bases are put in a name's place, so one with an N is
+    taken for others, not they for it; an empty name counts as a base that is missing. Other lengths never meet."""
+    from chiasma.operators import counts as N
+
+    r = random.Random(11)
+    name = lambda: None if r.random() < 0.05 else "".join(r.choice("ACGT" if r.random() < 0.9 else "Na\u00fc") for _ in range(r.choice([0, 1, 2, 3, 4, 5])))
+    rows = [(r.choice(["c", "", None]), name(), r.choice([0, 1, None])) for _ in range(900)]
+    n, want = {}, {}
+    for cb, ub, g in rows:
+        n[cb, g, ub] = n.get((cb, g, ub), 0) + 1
+    for (cb, g, ub), k in n.items():
+        near = set() if None in (cb, g, ub) else {ub[:i] + b + ub[i + 1 :] for i in range(max(len(ub), 1)) for b in "ACGT"} - {ub}
+        better = [(n[cb, g, u], u) for u in near if (cb, g, u) in n and (n[cb, g, u], u) > (k, ub)]
+        to = max(better)[1] if better else ub
+        want[cb, g, to] = want.get((cb, g, to), 0) + k
+    got = N.collapsed(spark.createDataFrame(rows, "cb string, ub string, gene int")).collect()
+    assert len(got) == len(want) and {(x.cb, x.gene, x.ub): x.k for x in got} == want
+
+
 def test_aligned_bases(spark):
     from chiasma.operators import counts as N
 

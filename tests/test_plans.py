@@ -43,6 +43,16 @@ def test_rows_are_not_ordered_in_one_task(spark, name):
         assert any(token in line for token in ("_bin#", "_one#", "_k#", "_q#", "partitionBy(barcode", "windowspecdefinition(barcode#")), line
 
 
+@pytest.mark.parametrize("name", ["molecule_collapse"])
+def test_molecules_are_dealt_by_their_halves(spark, name):
+    """Reads are scanned once; molecules move when counted, by each half and when added up, their neighbours never."""
+    p = plan(spark, name)
+    assert p.count("Scan parquet") == 1 and p.count("Exchange") == 4 and "Join" not in p
+    above = [line.lstrip(" :+-") for line in p.splitlines()]
+    for k in (i for i, line in enumerate(above) if line.startswith("Generate explode")):
+        assert next(line for line in above[k + 1 :] if not line.startswith("Project")).startswith("Exchange hashpartitioning")
+
+
 def test_columns_are_pruned(spark):
     p = plan(spark, "switch_counts")
     assert "props" not in p.split("ReadSchema")[1] and "value" not in p.split("ReadSchema")[1]
