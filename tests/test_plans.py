@@ -53,6 +53,12 @@ def test_molecules_are_dealt_by_their_halves(spark, name):
         assert next(line for line in above[k + 1 :] if not line.startswith("Project")).startswith("Exchange hashpartitioning")
 
 
+def test_counts_of_collapsed_molecules_take_two_shuffles_more(spark):
+    """Of molecules by name, whose genes are compared, and of counts; the collapse below is the one above."""
+    p = plan(spark, "gene_counts_collapsed")
+    assert p.count("Scan parquet") == 1 and p.count("Exchange") == 6 and "Join" not in p
+
+
 def test_columns_are_pruned(spark):
     p = plan(spark, "switch_counts")
     assert "props" not in p.split("ReadSchema")[1] and "value" not in p.split("ReadSchema")[1]
