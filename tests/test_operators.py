@@ -361,6 +361,18 @@ def test_quantiles_from_counts(spark):
     assert none.n == 0 and none.m is None
 
 
+def test_quantiles_of_odd_groups(spark):
+    """Groups without a name, of one value, of values that are not finite, and without values, which give no row."""
+    inf = math.inf
+    own = {None: [3.0, 1.0, 2.0, 2.0], "one": [5.0], "same": [7.0] * 4, "inf": [inf, 1.0, 1.0, -inf], "nan": [math.nan, math.nan, 2.0], "none": []}
+    df = spark.createDataFrame([(k, v) for k, vs in own.items() for v in [*vs, None]], "k string, v double").repartition(3)
+    got = {x.k: x for x in M.quantiles(df, "v", {"lo": 0.0, "m": 0.5, "hi": 1.0}, ("k",)).collect()}
+    assert set(got) == {None, "one", "same", "inf", "nan"} and all(x.n == len(own[k]) for k, x in got.items())
+    assert tuple(got[None])[1:] == (1.0, 2.0, 3.0, 2.0, 4) and tuple(got["one"])[1:] == (5.0, 5.0, 5.0, 5.0, 1)
+    assert tuple(got["same"])[1:] == (7.0, 7.0, 7.0, 7.0, 4) and got["inf"].m == 1.0 and math.isnan(got["inf"]["mean"])
+    assert got["nan"].lo == 2.0 and math.isnan(got["nan"].m) and math.isnan(got["nan"]["mean"])
+
+
 def test_collapsed_molecules(spark):
     r = random.Random(7)
     rows = [(r.choice("cd"), "".join(r.choice("ACGT") for _ in range(3)), r.randrange(2)) for _ in range(150)]

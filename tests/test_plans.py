@@ -59,6 +59,19 @@ def test_counts_of_collapsed_molecules_take_two_shuffles_more(spark):
     assert p.count("Scan parquet") == 1 and p.count("Exchange") == 6 and "Join" not in p
 
 
+def ran(spark, name):
+    """The plan that ran, in which what is used again is one line."""
+    df = catalog.queries()[name](spark, SF)
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize(("name", "scans"), [("six_number_summary", 1), ("winsorised_depth", 2)])
+def test_quantiles_read_their_rows_once(spark, name, scans):
+    """All steps start from the same counts of distinct values; the second query reads the rows again to cut them."""
+    assert ran(spark, name).count("Scan parquet") == scans
+
+
 def test_columns_are_pruned(spark):
     p = plan(spark, "switch_counts")
     assert "props" not in p.split("ReadSchema")[1] and "value" not in p.split("ReadSchema")[1]
