@@ -158,6 +158,15 @@ def _six(section, df, value):
     return R.section(section, M.six_numbers(df, value), {n: "%.4f" for n, _ in NUMBERS})
 
 
+def _sixes(df, values):
+    """_six() of several values (section: column) in one pass, for depths and the like, whose distinct values are few: they
+    share the tasks that count them."""
+    each = df.select(F.posexplode(F.array(*[v.cast("double") for v in values.values()])).alias("k", "value"))
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, values))).alias("k", "section"))
+    six = names.join(F.broadcast(M.six_numbers(each, "value", ("k",))), "k", "left")  # a row for each section, with values or not
+    return R.section(F.col("section"), six, {n: "%.4f" for n, _ in NUMBERS})
+
+
 @register("selection_report", f"""WITH {QC.CM}, ok AS (SELECT * FROM st WHERE total_markers >= {QC.TOTAL} AND min_chrom_markers >= {QC.PER_CHROM} AND switch_rate <= {QC.RATE}), n AS (SELECT count(*) AS a FROM st), k AS (SELECT count(*) AS b FROM ok)
   SELECT 'cells' AS section, 'input' AS metric, CAST(a AS VARCHAR) AS value FROM n UNION ALL SELECT 'cells', 'selected', CAST(b AS VARCHAR) FROM k UNION ALL SELECT 'cells', 'percent', printf('%.4f', 100.0::DOUBLE * b / a) FROM n, k
   UNION ALL SELECT 'filters', 'total_markers', '{QC.TOTAL}' UNION ALL SELECT 'filters', 'min_chrom_markers', '{QC.PER_CHROM}' UNION ALL SELECT 'filters', 'switch_rate', '{QC.RATE}'
@@ -234,13 +243,18 @@ def filter_report(spark, sf_dir):
   UNION ALL SELECT 'passing', 'DP>=' || d || ', QUAL>=' || q, CAST(count_if(dp >= d AND qual >= q AND ratio BETWEEN 0.3 AND 0.7) AS VARCHAR) FROM hs, (VALUES (10), (15), (20)) a(d), (VALUES (20), (30)) b(q) GROUP BY d, q""")
 def diagnostics_report(spark, sf_dir):
     v = QQ.variants(spark, sf_dir)
-    snv = v.where(M.single_alt() & M.is_snv())
+    is_snv = M.single_alt() & M.is_snv()
+    is_het = is_snv & F.col("gt").isin(*M.HET)
     a, b = F.get("ad", F.lit(0)), F.get("ad", F.lit(1))
-    het = snv.where(F.col("gt").isin(*M.HET)).withColumn("ratio", F.try_divide(b, a + b))
-    row = v.agg(F.count("*").alias("variants"), F.count_if(M.single_alt() & M.is_snv()).alias("snvs"), F.count_if(M.single_alt() & M.is_snv() & F.col("gt").isin(*M.HET)).alias("heterozygous"))
-    grid = M.threshold_grid(het, [10, 15, 20], [20, 30], 0.3, 0.7).select(F.format_string("DP>=%d, QUAL>=%.0f", "min_dp", "min_qual").alias("k"), "n")
+    snv = v.where(is_snv).withColumn("ratio", F.when(is_het, F.try_divide(b, a + b)))
+    counted = {"variants": F.count("*"), "snvs": F.count_if(is_snv), "heterozygous": F.count_if(is_het)}
+    per = v.groupBy("chrom").agg(*[n.alias(c) for c, n in counted.items()])
+    per = per.select("chrom", F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in counted])))  # all counts in one column, so that both readers below share them
+    row = per.agg(*[F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in counted])
+    grid = M.threshold_grid(snv.where(is_het), [10, 15, 20], [20, 30], 0.3, 0.7).select(F.format_string("DP>=%d, QUAL>=%.0f", "min_dp", "min_qual").alias("k"), "n")
+    depths = _sixes(snv, {"dp": F.col("dp"), "het_dp": F.when(is_het, F.col("dp")), "ratio": F.col("ratio")})
     out = R.section("totals", row, dict.fromkeys(row.columns))
-    for part in (_six("dp", snv, "dp"), _six("het_dp", het, "dp"), _six("ratio", het, "ratio"), _six("qual", snv, "qual"), R.listing("per_chromosome", het.groupBy("chrom").agg(F.count("*").alias("n")), "chrom", "n"), R.listing("passing", grid, "k", "n")):
+    for part in (depths, _six("qual", snv, "qual"), R.listing("per_chromosome", per.where("what = 'heterozygous' AND n > 0"), "chrom", "n"), R.listing("passing", grid, "k", "n")):
         out = out.unionByName(part)
     return out
 

@@ -373,6 +373,22 @@ def test_quantiles_of_odd_groups(spark):
     assert got["nan"].lo == 2.0 and math.isnan(got["nan"].m) and math.isnan(got["nan"]["mean"])
 
 
+def test_diagnostics_of_few_variants(spark, tmp_path):
+    """No variants, then one that is not heterozygous and one without chromosome, depth or quality: every section keeps its rows."""
+    from chiasma.plans import frames
+
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    rows = [(1, 3, 1, 1, 12.0, 2000.0, "A", "F"), (2, 1, 1, 7, None, 5.0, None, "F")]
+    for n in (0, 2):
+        spark.createDataFrame(rows[:n], schema).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        got = [tuple(x) for x in frames.diagnostics_report(spark, f"{tmp_path}/{n}").collect()]
+        six = {"dp": "12.0000", "qual": "2.0000"} if n else {}
+        want = [("totals", k, v if n else "0") for k, v in (("variants", "2"), ("snvs", "2"), ("heterozygous", "1"))]
+        want += [(s, m, six.get(s, "null")) for s in ("dp", "het_dp", "ratio", "qual") for m, _ in frames.NUMBERS]
+        want += [("per_chromosome", None, "1")] * (n > 0) + [("passing", f"DP>={d}, QUAL>={q}", "0") for d in (10, 15, 20) for q in (20, 30)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_collapsed_molecules(spark):
     r = random.Random(7)
     rows = [(r.choice("cd"), "".join(r.choice("ACGT") for _ in range(3)), r.randrange(2)) for _ in range(150)]

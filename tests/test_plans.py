@@ -72,6 +72,11 @@ def test_quantiles_read_their_rows_once(spark, name, scans):
     assert ran(spark, name).count("Scan parquet") == scans
 
 
+def test_diagnostics_scan_four_times(spark):
+    """For counts by chromosome and in all, for depths and ratios, for qualities, and for the grid."""
+    assert ran(spark, "diagnostics_report").count("Scan parquet") == 4
+
+
 def test_columns_are_pruned(spark):
     p = plan(spark, "switch_counts")
     assert "props" not in p.split("ReadSchema")[1] and "value" not in p.split("ReadSchema")[1]
